@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import checkpointed, prepare, text_or_empty
+from .runtime import checkpointed, prepare, table, text_or_empty
 from .textbytes import blocks, mixed
+from .whole_texts import NO_ID
 
 #: Chunks hold at least SHORTEST and at most LONGEST bytes, and about 2**MEAN_BITS on average.
 SHORTEST, LONGEST, MEAN_BITS = 256, 16384, 11
@@ -120,16 +121,17 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, all columns, one row for each repeated (doc_id, text)."""
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(text_or_empty().cast("binary"), 256))
-    kept = keyed.join(groups, keyed["doc_id"].eqNullSafe(F.col("_keep")) & (keyed["_sha"] == groups["_sha"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(docs.columns)
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns, whatever these are named.
 
+    Of rows that repeat both doc_id and text one stays.
+    """
+    id_or_none = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    groups = exact_groups(docs).where("kept").select(id_or_none, F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), id_or_none, F.sha2(text_or_empty().cast("binary"), 256).alias("sha"))
+    return rows.join(groups.hint("merge"), ["doc", "sha"], "left_semi").dropDuplicates(["doc", "sha"]).select("row.*")
 
-def op6(spark, sf_dir: str) -> DataFrame:
-    from .runtime import table
 
+def op6(spark, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -168,9 +168,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    keep = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component.
+
+    Rows of one doc_id stay or go together; rows with a null doc_id stay.
+    """
+    keep = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
+    named = rows.where("doc_id IS NOT NULL").join(keep.hint("merge"), "doc_id", "left_semi")
+    return named.select("row").union(rows.where("doc_id IS NULL").select("row")).select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
