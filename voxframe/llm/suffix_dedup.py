@@ -7,13 +7,16 @@ leaves the sort as soon as it stands alone or its group is known to be equal thr
    its place. Neighbouring suffixes share it, so a run of them, and not each suffix, is one row of the
    shuffle. Suffixes whose gram occurs nowhere else are alone.
 2. The second digit is the whole of the run's bytes. Runs that agree in it agree in all their suffixes:
-   all but the first run are repeats, as whole runs.
-3. What is left are runs of equal gram and unequal bytes. Their suffixes, first runs only, are ordered
-   one by one by all DEPTH bytes; in each group all but the first are repeats.
-
-Digits are two independent 64-bit hashes of the bytes they stand for, compared together. Each pass is a
-shuffle by digit and a sort within partitions. A block of texts first sorts its own runs and sends only the
-first of equal ones on, so a string that a third of all texts hold costs a few rows for each task.
+   all but the first run are repeats, as whole runs. Of runs of equal gram and unequal bytes, the third
+   digit is, for each quarter of a run's suffixes, short hashes of the bytes around the gram that all
+   suffixes of the quarter hold. A quarter that shares them with no other run stands alone.
+3. The suffixes of the quarters that are left, first runs only, are ordered one by one by all DEPTH bytes;
+   in each group all but the first are repeats.
+
+First and second digits, and the whole DEPTH bytes, are pairs of independent 64-bit hashes, compared
+together. Each pass is a shuffle by digit and a sort within partitions. A block of texts first sorts its own
+runs and sends only the first of equal ones on, so a string that a third of all texts hold costs a few rows
+for each task. The passes follow each other in one plan, so the texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -30,22 +33,41 @@ from .runtime import prepare, table
 from .textbytes import SpanHash, blocks, integers, runs, signed, sliding_minimum, whole_keys
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
-DEPTH, GRAM = 100, 32
+DEPTH, GRAM = 100, 20
+#: Parts of a run's suffixes that are told apart by the third digit.
+QUARTERS = 4
 
 _ONE, _TWO = SpanHash(21), SpanHash(22)
 U64 = np.uint64
 
-#: What a row says of the suffixes that start at pos..pos+n-1 of a text: not settled, repeats, or to be sorted singly.
+#: What a row says of the suffixes that start at pos..pos+n-1 of a text: not settled, repeats, to be sorted singly.
 OPEN, REPEAT, SINGLY = 0, 1, 2
 
 
+def quarter_hashes(one: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, gram: int) -> np.ndarray:
+    """Four 16-bit hashes for each run, of the bytes that its suffixes of a quarter have in common; zero beyond the text.
+
+    A suffix that starts d bytes before the gram, d in the k-th quarter, holds k quarters of depth - gram
+    bytes before the gram and the bytes after it up to depth less the k + 1 quarters.
+    """
+    part = -(-(depth - gram) // QUARTERS)
+    out = np.zeros(len(anchor), U64)
+    for k in range(QUARTERS):
+        start, end = anchor - k * part, anchor + max(gram, depth - (k + 1) * part)
+        whole = (start >= low) & (end <= high)
+        h = _ONE.spans(one, np.where(whole, start, 0), np.where(whole, end, 0)) >> U64(48)
+        out |= np.where(whole, h, U64(0)) << U64(16 * k)
+    return out
+
+
 def suffix_runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of suffixes of one first digit: gram hash, hash of the run's bytes, row of the text, start in it, suffixes."""
-    none = tuple(np.zeros(0, t) for t in (U64, U64, np.int64, np.int64, np.int64))
+    """Runs of suffixes of one first digit: gram hash, hash of the run's bytes, quarter hashes, row of the text,
+    start in it, suffixes, and bytes from the first one to the gram."""
+    none = tuple(np.zeros(0, t) for t in (U64, U64, U64, np.int64, np.int64, np.int64, np.int64))
     if len(data) < depth:
         return none
     one = _ONE.prefix(data)
-    grams = _ONE.windows(one[: len(data) + 1], gram)
+    grams = _ONE.windows(one, gram)
     bits = int(len(grams)).bit_length()
     # The place in the lower bits finds the leftmost of equal grams.
     packed = (grams & ~U64((1 << bits) - 1)) | np.arange(len(grams), dtype=U64)
@@ -58,9 +80,10 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram:
     anchor = least[start]
     head = np.flatnonzero(runs(anchor))
     count = np.diff(np.append(head, len(start)))
-    first = start[head]
+    first, anchor, text = start[head], anchor[head], text[head]
     two = _TWO.prefix(data)
-    return grams[anchor[head]], _TWO.spans(two, first, first + count - 1 + depth), text[head], first - offsets[:-1][text[head]], count
+    quarters = quarter_hashes(one, anchor, offsets[:-1][text], offsets[1:][text], depth, gram)
+    return grams[anchor], _TWO.spans(two, first, first + count - 1 + depth), quarters, text, first - offsets[:-1][text], count, anchor - first
 
 
 def settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,89 +92,142 @@ def settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, p
     return order, runs(one[order], two[order])
 
 
-_RUNS = "one long, two long, doc long, tag long, pos int, n int, state int"
+# Rows carry pos, n, the distance to the gram and the state as one number, as rows are what the shuffles move.
+def pack_place(pos: np.ndarray, n: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
+    return ((pos.astype(np.int64) * 256 + n) * 256 + before) * 4 + state
+
+
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, ...]:
+    return place >> 18, (place >> 10) & 255, (place >> 2) & 255, place & 3
+
+
+_RUNS = "one long, two long, quarters long, doc long, tag long, place long"
 _MARKS = "doc long, tag long, pos int, n int, state int"
 
 
 def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     fields = [f.split() for f in names.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(signed(c) if c.dtype == U64 else c.astype(np.int64 if t == "long" else np.int32, copy=False)) for (_, t), c in zip(fields, columns)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(signed(c) if t == "long" and c.dtype == U64 else c.astype(np.int64 if t == "long" else np.int32, copy=False)) for (_, t), c in zip(fields, columns)], [n for n, _ in fields])
 
 
 def _first_pass(depth: int, gram: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            one, two, text, pos, n = suffix_runs(data, offsets, depth, gram)
+            one, two, quarters, text, pos, n, before = suffix_runs(data, offsets, depth, gram)
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
             order, first = settle(one, two, doc, tag, pos)
-            yield _batch(_RUNS, one[order], two[order], doc[order], tag[order], pos[order], n[order], np.where(first, OPEN, REPEAT))
+            place = pack_place(pos[order], n[order], before[order], np.where(first, OPEN, REPEAT))
+            yield _batch(_RUNS, one[order], two[order], quarters[order], doc[order], tag[order], place)
 
     return cut
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in whole_keys(batches, "one"):
-        one, two, doc, tag, pos, n, state = (integers(rows, c) for c in ("one", "two", "doc", "tag", "pos", "n", "state"))
-        done = state == REPEAT
-        yield _batch(_MARKS, doc[done], tag[done], pos[done], n[done], state[done])
-        one, two, doc, tag, pos, n = (x[~done] for x in (one, two, doc, tag, pos, n))
-        if not len(one):
-            continue
-        order, first = settle(one, two, doc, tag, pos)
-        one, doc, tag, pos, n = (x[order] for x in (one, doc, tag, pos, n))
-        # Groups of the second digit within each of the first: with one alone, its first run has no match.
-        groups = np.add.reduceat(first.astype(np.int64), np.flatnonzero(runs(one)))
-        several = np.repeat(groups, np.diff(np.append(np.flatnonzero(runs(one)), len(one)))) > 1
-        state = np.where(first, np.where(several, SINGLY, OPEN), REPEAT)
-        out = state != OPEN
-        yield _batch(_MARKS, doc[out], tag[out], pos[out], n[out], state[out])
-
-
-def _pairs(column: pa.Array, row: int) -> np.ndarray:
-    """The (pos, n) structs of a list column in one row, as two columns."""
+def _counts(*keys: np.ndarray) -> np.ndarray:
+    """For each element how many have its keys."""
+    order = np.lexsort(keys)
+    head = np.flatnonzero(runs(*(k[order] for k in keys)))
+    size = np.diff(np.append(head, len(order)))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
+def _second_pass(depth: int, gram: int):
+    part = -(-(depth - gram) // QUARTERS)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, "one"):
+            one, two, quarters, doc, tag, place = (integers(rows, c) for c in ("one", "two", "quarters", "doc", "tag", "place"))
+            pos, n, before, state = unpack_place(place)
+            done = state == REPEAT
+            yield _batch(_MARKS, doc[done], tag[done], pos[done], n[done], state[done])
+            one, two, quarters, doc, tag, pos, n, before = (x[~done] for x in (one, two, quarters, doc, tag, pos, n, before))
+            if not len(one):
+                continue
+            order, first = settle(one, two, doc, tag, pos)
+            again = order[~first]
+            yield _batch(_MARKS, doc[again], tag[again], pos[again], n[again], np.full(len(again), REPEAT))
+            single = order[first]
+            single = single[_counts(one[single]) > 1]
+            for k in range(QUARTERS):
+                # Suffixes that start part*k .. part*(k+1) - 1 bytes before the gram, the last quarter to its end.
+                near, far = part * k, part * (k + 1) - 1 if k < QUARTERS - 1 else depth
+                start = np.maximum(pos[single], pos[single] + before[single] - far)
+                end = np.minimum(pos[single] + n[single] - 1, pos[single] + before[single] - near)
+                some = single[start <= end]
+                start, end = start[start <= end], end[start <= end]
+                shared = _counts((quarters[some] >> (16 * k)) & 0xFFFF, one[some]) > 1
+                some = some[shared]
+                yield _batch(_MARKS, doc[some], tag[some], start[shared], (end - start + 1)[shared], np.full(len(some), SINGLY))
+
+    return sort
+
+
+def _triples(column: pa.Array, row: int, fields: tuple[str, ...]) -> np.ndarray:
+    """The structs of a list column in one row, as an array of a column for each field."""
     value = column[row].values
     if value is None or not len(value):
-        return np.zeros((0, 2), np.int64)
-    return np.stack([value.field("pos").to_numpy(), value.field("n").to_numpy()], axis=1).astype(np.int64)
+        return np.zeros((0, len(fields)), np.int64)
+    return np.stack([value.field(f).to_numpy() for f in fields], axis=1).astype(np.int64)
+
+
+def merged(pairs: np.ndarray) -> np.ndarray:
+    """The same starts as (pos, n), in as few pairs as there can be."""
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    if not len(pairs):
+        return pairs
+    reach = np.maximum.accumulate(pairs.sum(axis=1))
+    head = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
+    tail = np.append(head[1:], len(pairs)) - 1
+    return np.stack([pairs[head, 0], reach[tail] - pairs[head, 0]], axis=1)
+
+
+_SINGLE = "one long, two long, doc long, tag long, pos int, n int, state int"
 
 
 def _third_pass(depth: int):
     def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            places, texts = [], []
+            places, texts, settled = [], [], []
             column = rows.column(rows.schema.get_field_index("places"))
+            doc, tag = integers(rows, "doc"), integers(rows, "tag")
             for row in range(rows.num_rows):
-                pairs = _pairs(column, row)
+                marks = _triples(column, row, ("pos", "n", "state"))
+                whole = merged(marks[marks[:, 2] == REPEAT, :2])
+                settled.append(np.column_stack([np.full(len(whole), row), whole]))
+                pairs = merged(marks[marks[:, 2] == SINGLY, :2])
                 n = pairs[:, 1]
                 places.append(np.repeat(pairs[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 texts.append(np.full(len(places[-1]), row))
+            row, pos, n = np.concatenate(settled).T
+            # Settled rows only pass through, under the hash of their place.
+            yield _batch(_SINGLE, doc[row] * 31 + pos, doc[row], doc[row], tag[row], pos, n, np.full(len(row), REPEAT))
             pos, text = np.concatenate(places), np.concatenate(texts)
             start = pos + offsets[:-1][text]
             one, two = (h.spans(h.prefix(data), start, start + depth) for h in (_ONE, _TWO))
-            doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
-            order, first = settle(one, two, doc, tag, pos)
-            yield _batch(_RUNS, one[order], two[order], doc[order], tag[order], pos[order], np.ones(len(pos), np.int64), np.where(first, OPEN, REPEAT))
+            order, first = settle(one, two, doc[text], tag[text], pos)
+            yield _batch(_SINGLE, one[order], two[order], doc[text][order], tag[text][order], pos[order], np.ones(len(pos), np.int64), np.where(first, OPEN, REPEAT))
 
     return singly
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in whole_keys(batches, "one"):
-        one, two, doc, tag, pos, state = (integers(rows, c) for c in ("one", "two", "doc", "tag", "pos", "state"))
-        order, first = settle(one, two, doc, tag, pos)
-        out = order[~first]
-        yield _batch(_MARKS, doc[out], tag[out], pos[out], np.ones(len(out), np.int64), np.full(len(out), REPEAT))
+        one, two, doc, tag, pos, n, state = (integers(rows, c) for c in ("one", "two", "doc", "tag", "pos", "n", "state"))
+        done, left = np.flatnonzero(state == REPEAT), np.flatnonzero(state != REPEAT)
+        order, first = settle(one[left], two[left], doc[left], tag[left], pos[left])
+        out = np.concatenate([done, left[order[~first]]])
+        yield _batch("doc long, tag long, pos int, n int", doc[out], tag[out], pos[out], n[out])
 
 
 def repeat_marks(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """(doc, tag, pos, n): the suffixes at pos..pos+n-1 of a text repeat, through ``depth``, one that starts earlier."""
-    first = texts.select("doc", "tag", "text").mapInArrow(_first_pass(depth, gram), _RUNS)
-    marks = first.repartition("one").sortWithinPartitions("one").mapInArrow(_second_pass, _MARKS)
-    places = marks.where(f"state = {SINGLY}").groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("places"))
-    single = texts.select("doc", "tag", "text").join(places.hint("merge"), ["doc", "tag"]).mapInArrow(_third_pass(depth), _RUNS)
-    last = single.repartition("one").sortWithinPartitions("one").mapInArrow(_last_pass, _MARKS)
-    return marks.where(f"state = {REPEAT}").union(last).select("doc", "tag", "pos", "n")
+    plain = texts.select("doc", "tag", "text")
+    first = plain.mapInArrow(_first_pass(depth, gram), _RUNS)
+    marks = first.repartition("one").sortWithinPartitions("one").mapInArrow(_second_pass(depth, gram), _MARKS)
+    places = marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n", "state")).alias("places"))
+    single = plain.join(places.hint("merge"), ["doc", "tag"]).mapInArrow(_third_pass(depth), _SINGLE)
+    return single.repartition("one").sortWithinPartitions("one").mapInArrow(_last_pass, "doc long, tag long, pos int, n int")
 
 
 _CUT = "sha string, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -174,7 +250,7 @@ def _cut_out(depth: int, with_text: bool):
             marks, out = rows.column(rows.schema.get_field_index("marks")), []
             for row in range(rows.num_rows):
                 text = data[offsets[row] : offsets[row + 1]]
-                gone = removed(len(text), _pairs(marks, row), depth)
+                gone = removed(len(text), _triples(marks, row, ("pos", "n")), depth)
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text[~gone].tobytes()
                 out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
@@ -193,6 +269,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_t
     all give the first one's row; different texts of one doc_id count as different documents, ordered by
     hash. Other columns are ignored.
     """
+    if not 0 < gram <= depth < 256:
+        raise ValueError("depth must be below 256, and a gram within it")
     prepare(docs.sparkSession)
     rows = keyed_rows(docs)
     texts = distinct_texts(docs, first_copies(rows))
