@@ -6,7 +6,7 @@ of WINDOW words, wherever they start, some anchors less than PERIOD words in are
 WINDOW - PERIOD + 1 words from each anchor are hashed and shuffled. Where such a hash occurs twice, the
 windows that hold the anchor are extended to all their WINDOW words, and those are compared.
 
-Hashes stand for word sequences and are compared as two independent ones together. A block of texts sends
+The hashes of windows stand for their words and are compared as two independent ones together. A block of texts sends
 on only one of its equal anchors or windows, marked as occurring more than once, so what a third of all texts
 share costs a row for each task.
 """
@@ -33,24 +33,22 @@ PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 _WORD, _ONE, _TWO = SpanHash(31), SpanHash(32), SpanHash(33)
 U64 = np.uint64
 
-_ROWS = "one long, two long, doc long, tag long, pos int, state int"
+_ROWS = "one long, two long, doc long, tag long, place long"
+_ANCHOR_ROWS = "one long, doc long, tag long, place long"
 #: Occurs once in its block; occurs more often there; the same, and settled: the block's first speaks for it.
 ONCE, OFTEN, SETTLED = 0, 1, 2
 
 
-def _rows(one, two, doc, tag, pos, state) -> pa.RecordBatch:
-    columns = [pa.array(signed(one)), pa.array(signed(two)), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int32)), pa.array(state.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["one", "two", "doc", "tag", "pos", "state"])
-
-
-def _combined(one, two, doc, tag, pos) -> pa.RecordBatch:
-    """Rows in the order of their hashes, each with its state within the block."""
-    order = np.lexsort((two, one))
-    first = runs(one[order], two[order])
+def _combined(keys: list[np.ndarray], doc, tag, pos) -> pa.RecordBatch:
+    """Rows in the order of the texts, which compresses best, each with its place and its state within the block as one number."""
+    order = np.lexsort(keys[::-1])
+    first = runs(*(k[order] for k in keys))
     head = np.flatnonzero(first)
     size = np.diff(np.append(head, len(order)))
-    state = np.where(first, np.where(np.repeat(size, size) > 1, OFTEN, ONCE), SETTLED)
-    return _rows(one[order], two[order], doc[order], tag[order], pos[order], state)
+    state = np.empty(len(order), np.int64)
+    state[order] = np.where(first, np.where(np.repeat(size, size) > 1, OFTEN, ONCE), SETTLED)
+    columns = [*(pa.array(signed(k)) for k in keys), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int64) * 4 + state)]
+    return pa.RecordBatch.from_arrays(columns, [*("one", "two")[: len(keys)], "doc", "tag", "place"])
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,10 +67,10 @@ def anchor_places(words: np.ndarray, place: np.ndarray, window: int, period: int
     return np.flatnonzero(covered[place % period] & (left >= window - period + 1) & (np.repeat(count, count) >= window))
 
 
-def _span_rows(rows: pa.RecordBatch, hashes: np.ndarray, words: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
+def _span_rows(rows: pa.RecordBatch, hashes: np.ndarray, words: np.ndarray, at: np.ndarray, width: int, digits: int) -> pa.RecordBatch:
     text = np.searchsorted(words, at, "right") - 1
-    one, two = (h.spans(h.prefix(hashes), at, at + width) for h in (_ONE, _TWO))
-    return _combined(one, two, integers(rows, "doc")[text], integers(rows, "tag")[text], at - words[:-1][text])
+    keys = [h.spans(h.prefix(hashes), at, at + width) for h in (_ONE, _TWO)[:digits]]
+    return _combined(keys, integers(rows, "doc")[text], integers(rows, "tag")[text], at - words[:-1][text])
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
@@ -81,25 +79,29 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             hashes, words, place = _word_hashes(data, offsets)
             at = anchor_places(words, place, window, period, cover)
             if len(at):
-                yield _span_rows(rows, hashes, words, at, window - period + 1)
+                yield _span_rows(rows, hashes, words, at, window - period + 1, 1)
 
     return cut
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first hash, those whose two hashes occur more than once."""
-    for rows in whole_keys(batches, "one"):
-        one, two, state = integers(rows, "one"), integers(rows, "two"), integers(rows, "state")
-        order = np.lexsort((two, one))
-        head = np.flatnonzero(runs(one[order], two[order]))
-        size = np.diff(np.append(head, len(order)))
-        often = np.maximum.reduceat(state[order], head) > ONCE
-        out = order[np.repeat((size > 1) | often, size)]
-        yield pa.RecordBatch.from_arrays([pa.array(integers(rows, c)[out]) for c in ("doc", "tag", "pos")], ["doc", "tag", "pos"])
+def _repeated(digits: tuple[str, ...]):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by their first hash, those whose hashes occur more than once."""
+        for rows in whole_keys(batches, "one"):
+            keys, place = [integers(rows, c) for c in digits], integers(rows, "place")
+            order = np.lexsort(keys[::-1])
+            head = np.flatnonzero(runs(*(k[order] for k in keys)))
+            size = np.diff(np.append(head, len(order)))
+            often = np.maximum.reduceat(place[order] & 3, head) > ONCE
+            out = order[np.repeat((size > 1) | often, size)]
+            columns = [integers(rows, "doc")[out], integers(rows, "tag")[out], (place[out] >> 2).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "tag", "pos"])
+
+    return found
 
 
-def _occurring_twice(rows: DataFrame) -> DataFrame:
-    return rows.repartition("one").sortWithinPartitions("one").mapInArrow(_repeated, "doc long, tag long, pos int")
+def _occurring_twice(rows: DataFrame, *digits: str) -> DataFrame:
+    return rows.repartition("one").sortWithinPartitions("one").mapInArrow(_repeated(digits), "doc long, tag long, pos int")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ def _extended(window: int, period: int):
             whole = np.repeat(count, count) - place >= window
             at = np.flatnonzero((np.cumsum(held[:-1]) > 0) & whole)
             if len(at):
-                yield _span_rows(rows, hashes, words, at, window)
+                yield _span_rows(rows, hashes, words, at, window, 2)
 
     return extend
 
@@ -130,9 +132,10 @@ def _extended(window: int, period: int):
 def repeated_windows(texts: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """(doc, tag, pos): windows of distinct texts whose words also start elsewhere, by the place of their first word."""
     plain = texts.select("doc", "tag", "text")
-    anchors = _occurring_twice(plain.mapInArrow(_anchors(window, period, cover), _ROWS))
+    # Anchors only propose windows, so one hash is enough for them.
+    anchors = _occurring_twice(plain.mapInArrow(_anchors(window, period, cover), _ANCHOR_ROWS), "one")
     places = anchors.groupBy("doc", "tag").agg(F.collect_list("pos").alias("places"))
-    return _occurring_twice(plain.join(places.hint("merge"), ["doc", "tag"]).mapInArrow(_extended(window, period), _ROWS))
+    return _occurring_twice(plain.join(places.hint("merge"), ["doc", "tag"]).mapInArrow(_extended(window, period), _ROWS), "one", "two")
 
 
 _CUT = "sha string, n_words long, n_removed long, kept_sha256 string, kept binary"
