@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import log_queries, volume_queries
+
+QUERIES: dict = volume_queries.QUERIES | log_queries.QUERIES
+ORACLE_SQL: dict[str, str] = volume_queries.SQL | log_queries.SQL
