@@ -25,13 +25,15 @@ BUCKET_ROWS = 4096
 #: Rows of the schedule up to which it is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 100_000
 
-_ALL = Window.partitionBy(F.lit(0))
+def _all_rows():
+    """One group of all rows, for tables with a row for each source."""
+    return Window.partitionBy(F.lit(0))
 
 
 def tempered_weights(sizes: DataFrame, temperature: float = 0.5, cycle: int = CYCLE) -> DataFrame:
     """(source, weight) from (source, bytes): slots in proportion to bytes to the power of ``temperature``."""
     part = F.pow(F.greatest(F.col("bytes"), F.lit(1)).cast("double"), F.lit(temperature))
-    share = sizes.withColumn("part", part).withColumn("share", F.col("part") / F.sum("part").over(_ALL))
+    share = sizes.withColumn("part", part).withColumn("share", F.col("part") / F.sum("part").over(_all_rows()))
     return share.select("source", F.greatest(F.lit(1), F.round(F.col("share") * cycle).cast("int")).alias("weight"))
 
 
@@ -63,7 +65,7 @@ def schedule(stock: DataFrame) -> DataFrame:
     """
     full = F.col("blocks").cast("long").cast("double") / F.col("weight")
     points = stock.select(F.explode(F.array(F.lit(0).cast("long"), F.floor(full), F.floor(full) + 1)).alias("from_cycle")).distinct()
-    line = _ALL.orderBy("from_cycle")
+    line = _all_rows().orderBy("from_cycle")
     spans = points.withColumn("to_cycle", F.lead("from_cycle").over(line)).where("to_cycle IS NOT NULL")
     # Every source at every point: both sides have about as many rows as there are sources.
     left = spans.join(stock, F.col("blocks") > F.col("from_cycle") * F.col("weight"))
