@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry, intensity
 from ..operators import aggregate, compare, voxels
 
-SIDE = F.lit(4)
+#: Voxels along each side of these volumes.
+SIDE = 4
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +181,7 @@ def _blocks(name: str, axis: str, k: int, factor: int, level: int | None = None)
     @query(name, f"WITH {VOX} SELECT vol_id, {u} // {factor} AS bx, {w} // {factor} AS by, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS v FROM vox WHERE {c} = {k} AND {u} // {factor} < {n} AND {w} // {factor} < {n} GROUP BY ALL")
     def run(spark, sf_dir):
         slices = voxels.slice_voxels(volumes(spark, sf_dir), axis, k)
-        means = aggregate.block_mean(slices, SIDE, SIDE, factor) if level is None else aggregate.lod(slices, SIDE, SIDE, level)
+        means = aggregate.block_mean(slices, F.lit(SIDE), F.lit(SIDE), factor) if level is None else aggregate.lod(slices, F.lit(SIDE), F.lit(SIDE), level)
         return means.select("vol_id", "bx", "by", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
@@ -298,7 +299,7 @@ def compare_clamped(spark, sf_dir):
     v = volumes(spark, sf_dir)
     corner = voxels.voxels(v).where("x = 3 AND y = 3").select(F.col("vol_id").alias("pair"), "x", "y", "z")
     found = compare.aligned(corner, _affine(spark, v, _FIRST), _affine(spark, v, _SECOND))
-    return found.select("pair", "z", *[compare.aligned_slice(F.col(f"b{a}"), F.col(f"b{a}"), SIDE).cast("int").alias(f"b{a}") for a in "xyz"])
+    return found.select("pair", "z", *[compare.aligned_slice(F.col(f"b{a}"), F.col(f"b{a}"), F.lit(SIDE)).cast("int").alias(f"b{a}") for a in "xyz"])
 
 
 @query(
@@ -331,7 +332,7 @@ def point_probe(spark, sf_dir):
     SELECT vol_id, mx, my, v FROM g JOIN vox ON z = 2 AND x = CAST(floor(mx * 4 / 6.0::DOUBLE) AS INTEGER) AND y = 3 - CAST(floor(my * 4 / 6.0::DOUBLE) AS INTEGER)""",
 )
 def minimap_resample(spark, sf_dir):
-    return voxels.resampled(voxels.slice_voxels(volumes(spark, sf_dir), "axial", 2), SIDE, SIDE, 6, 6)
+    return voxels.resampled(voxels.slice_voxels(volumes(spark, sf_dir), "axial", 2), F.lit(SIDE), F.lit(SIDE), 6, 6)
 
 
 @query("q39_volume_union_filter", "SELECT vec_id AS vol_id, CASE WHEN vec_id < 20 THEN vec_id - (vec_id > 3)::INT ELSE vec_id - 1 END AS pos FROM embeddings WHERE vec_id < 40 AND vec_id <> 3")
@@ -346,7 +347,7 @@ def volume_union_filter(spark, sf_dir):
 @query("q40_flip_side_by_side", f"WITH {VOX} SELECT vol_id, u, 3 - w AS w, v, 'left' AS side FROM ({_slice_sql('axial', 1)}) UNION ALL SELECT vol_id, u, 3 - w, v, 'right' FROM ({_slice_sql('axial', 3)})")
 def flip_side_by_side(spark, sf_dir):
     v = volumes(spark, sf_dir)
-    first, second = (voxels.flipped(voxels.slice_clamped(v, "axial", k), SIDE).select("vol_id", "u", "w", "v") for k in (1, 9))
+    first, second = (voxels.flipped(voxels.slice_clamped(v, "axial", k), F.lit(SIDE)).select("vol_id", "u", "w", "v") for k in (1, 9))
     return compare.side_by_side(first, second)
 
 
