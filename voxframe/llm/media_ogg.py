@@ -128,7 +128,7 @@ def demultiplex(media: bytes) -> dict[int, list[tuple[bytes, int]]]:
         if flags & LAST:
             ended.add(serial)
         at = to
-    if partial or ended != set(packets):
+    if partial or not packets or ended != set(packets):
         raise Damaged("stream without an end")
     return packets
 
