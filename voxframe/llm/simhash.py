@@ -140,7 +140,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(fps)], ["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, "key"):
+        for rows, _ in whole_keys(batches, "key"):
             x, y = map(signed, cell_links(rows, radius))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 

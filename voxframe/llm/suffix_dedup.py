@@ -7,16 +7,18 @@ leaves the sort as soon as it stands alone or its group is known to be equal thr
    its place. Neighbouring suffixes share it, so a run of them, and not each suffix, is one row of the
    shuffle. Suffixes whose gram occurs nowhere else are alone.
 2. The second digit is the whole of the run's bytes. Runs that agree in it agree in all their suffixes:
-   all but the first run are repeats, as whole runs. Of runs of equal gram and unequal bytes, the third
-   digit is, for each quarter of a run's suffixes, short hashes of the bytes around the gram that all
-   suffixes of the quarter hold. A quarter that shares them with no other run stands alone.
-3. The suffixes of the quarters that are left, first runs only, are ordered one by one by all DEPTH bytes;
-   in each group all but the first are repeats.
-
-First and second digits, and the whole DEPTH bytes, are pairs of independent 64-bit hashes, compared
-together. Each pass is a shuffle by digit and a sort within partitions. A block of texts first sorts its own
-runs and sends only the first of equal ones on, so a string that a third of all texts hold costs a few rows
-for each task. The passes follow each other in one plan, so the texts are shuffled once.
+   all but the first run are repeats, as whole runs. Of runs of equal gram and unequal bytes, only first ones
+   go on, and of these only the quarters whose suffixes have the bytes around the gram, by a short hash, in
+   common with another run's.
+3. The third digit is, for STEP neighbouring suffixes each, all bytes that they have in common. Those that
+   share them with no others are alone.
+4. The suffixes that are left are ordered one by one by all DEPTH bytes; in each group all but the first
+   are repeats.
+
+Digits are pairs of independent 64-bit hashes, compared together. Each pass is a shuffle by digit and a sort
+within partitions. A block of texts first sorts its own runs and sends only the first of equal ones on, so a
+string that a third of all texts hold costs a few rows for each task. The passes follow each other in one
+plan, so the texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ from .textbytes import SpanHash, blocks, integers, runs, signed, sliding_minimum
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
 DEPTH, GRAM = 100, 20
-#: Parts of a run's suffixes that are told apart by the third digit.
-QUARTERS = 4
+#: Parts of a run's suffixes that the second pass tells apart, and suffixes that share a row of the third.
+QUARTERS, STEP = 4, 8
+#: Rows of one digit that a task takes into memory at a time.
+TASK_ROWS = 1 << 19
 
 _ONE, _TWO = SpanHash(21), SpanHash(22)
 U64 = np.uint64
@@ -100,22 +104,36 @@ def _block_state(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndar
     return state
 
 
-# Rows carry pos, n, the distance to the gram and the state as one number, as rows are what the shuffles move.
+# Rows carry what they say of suffixes as one number, as rows are what the shuffles move: pos, n, the bytes
+# from the first suffix to the gram and the state; for repeats, whose n has no bound, pos, n and the state.
 def pack_place(pos: np.ndarray, n: np.ndarray, before: np.ndarray, state: np.ndarray) -> np.ndarray:
-    return ((pos.astype(np.int64) * 256 + n) * 256 + before) * 4 + state
+    pos, n = pos.astype(np.int64), n.astype(np.int64)
+    return np.where(state == REPEAT, pos << 32 | n << 2, pos << 18 | n << 10 | before << 2) | state
 
 
-def unpack_place(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    return place >> 18, (place >> 10) & 255, (place >> 2) & 255, place & 3
+def repeats(pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return pos.astype(np.int64) << 32 | n.astype(np.int64) << 2 | REPEAT
+
+
+def unpack_repeats(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> 32, (place >> 2) & ((1 << 30) - 1)
+
+
+def unpack_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 18, (place >> 10) & 255, (place >> 2) & 255
 
 
 _RUNS = "one long, two long, quarters long, doc long, tag long, place long"
-_MARKS = "doc long, tag long, pos int, n int, state int"
+_ROWS = "one long, two long, doc long, tag long, place long"
+_MARKS = "doc long, tag long, place long"
 
 
 def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
-    fields = [f.split() for f in names.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(signed(c) if t == "long" and c.dtype == U64 else c.astype(np.int64 if t == "long" else np.int32, copy=False)) for (_, t), c in zip(fields, columns)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(signed(c)) if c.dtype == U64 else pa.array(c.astype(np.int64, copy=False)) for c in columns], [f.split()[0] for f in names.split(", ")])
+
+
+def _columns(rows: pa.Table, names: str) -> list[np.ndarray]:
+    return [integers(rows, f.split()[0]) for f in names.split(", ")]
 
 
 def _first_pass(depth: int, gram: int):
@@ -139,102 +157,127 @@ def _counts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _per_key(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """For each row of a sorted key how many of its rows are counted."""
+    head = np.flatnonzero(runs(key))
+    return np.repeat(np.add.reduceat(counted.astype(np.int64), head), np.diff(np.append(head, len(key))))
+
+
 def _second_pass(depth: int, gram: int):
     part = -(-(depth - gram) // QUARTERS)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, "one"):
-            one, two, quarters, doc, tag, place = (integers(rows, c) for c in ("one", "two", "quarters", "doc", "tag", "place"))
-            pos, n, before, state = unpack_place(place)
-            done = state == REPEAT
-            yield _batch(_MARKS, doc[done], tag[done], pos[done], n[done], state[done])
-            one, two, quarters, doc, tag, pos, n, before = (x[~done] for x in (one, two, quarters, doc, tag, pos, n, before))
+        for rows, cut_up in whole_keys(batches, "one", TASK_ROWS):
+            columns = _columns(rows, _RUNS)
+            done = columns[-1] & 3 == REPEAT
+            yield _batch(_MARKS, *(c[done] for c in columns[3:]))
+            one, two, quarters, doc, tag, place = (c[~done] for c in columns)
             if not len(one):
                 continue
-            order, first = settle(one, two, doc, tag, pos)
-            again = order[~first]
-            yield _batch(_MARKS, doc[again], tag[again], pos[again], n[again], np.full(len(again), REPEAT))
-            single = order[first]
-            single = single[_counts(one[single]) > 1]
+            first = runs(one, two)
+            pos, n, before = unpack_place(place)
+            yield _batch(_MARKS, doc[~first], tag[~first], repeats(pos[~first], n[~first]))
+            # A gram too frequent to be seen at once goes to the next pass as it is.
+            single = np.flatnonzero(first if cut_up else first & (_per_key(one, first) > 1))
             for k in range(QUARTERS):
                 # Suffixes that start part*k .. part*(k+1) - 1 bytes before the gram, the last quarter to its end.
                 near, far = part * k, part * (k + 1) - 1 if k < QUARTERS - 1 else depth
                 start = np.maximum(pos[single], pos[single] + before[single] - far)
                 end = np.minimum(pos[single] + n[single] - 1, pos[single] + before[single] - near)
-                some = single[start <= end]
-                start, end = start[start <= end], end[start <= end]
-                shared = _counts((quarters[some] >> (16 * k)) & 0xFFFF, one[some]) > 1
-                some = some[shared]
-                yield _batch(_MARKS, doc[some], tag[some], start[shared], (end - start + 1)[shared], np.full(len(some), SINGLY))
+                some = start <= end
+                if not cut_up:
+                    own = np.flatnonzero(some)
+                    some[own] = _counts((quarters[single[own]] >> (16 * k)) & 0xFFFF, one[single[own]]) > 1
+                row, start, end = single[some], start[some], end[some]
+                yield _batch(_MARKS, doc[row], tag[row], pack_place(start, end - start + 1, before[row] - (start - pos[row]), np.full(len(row), SINGLY)))
 
     return sort
 
 
-def _triples(column: pa.Array, row: int, fields: tuple[str, ...]) -> np.ndarray:
-    """The structs of a list column in one row, as an array of a column for each field."""
+def _list(column: pa.Array, row: int) -> np.ndarray:
+    """The numbers of a list column in one row."""
     value = column[row].values
-    if value is None or not len(value):
-        return np.zeros((0, len(fields)), np.int64)
-    return np.stack([value.field(f).to_numpy() for f in fields], axis=1).astype(np.int64)
-
+    return np.zeros(0, np.int64) if value is None else value.to_numpy(zero_copy_only=False)
 
-def merged(pairs: np.ndarray) -> np.ndarray:
-    """The same starts as (pos, n), in as few pairs as there can be."""
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    if not len(pairs):
-        return pairs
-    reach = np.maximum.accumulate(pairs.sum(axis=1))
-    head = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
-    tail = np.append(head[1:], len(pairs)) - 1
-    return np.stack([pairs[head, 0], reach[tail] - pairs[head, 0]], axis=1)
 
+def merged(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same starts in as few runs (pos, n) as there can be."""
+    order = np.argsort(pos, kind="stable")
+    pos, reach = pos[order], np.maximum.accumulate((pos + n)[order])
+    head = np.flatnonzero(np.append(True, pos[1:] > reach[:-1])[: len(pos)])
+    tail = np.append(head[1:], len(pos))[: len(head)] - 1
+    return pos[head], reach[tail] - pos[head]
 
-_SINGLE = "one long, two long, doc long, tag long, pos int, n int, state int"
 
+def _refine(depth: int, step: int):
+    """Rows for each ``step`` neighbouring suffixes that aren't settled, with the hashes of what they have in common."""
 
-def _third_pass(depth: int):
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            places, texts, settled = [], [], []
             column = rows.column(rows.schema.get_field_index("places"))
             doc, tag = integers(rows, "doc"), integers(rows, "tag")
+            settled, texts, places = [], [], []
             for row in range(rows.num_rows):
-                marks = _triples(column, row, ("pos", "n", "state"))
-                whole = merged(marks[marks[:, 2] == REPEAT, :2])
-                settled.append(np.column_stack([np.full(len(whole), row), whole]))
-                pairs = merged(marks[marks[:, 2] == SINGLY, :2])
-                n = pairs[:, 1]
-                places.append(np.repeat(pairs[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                place = _list(column, row)
+                again = place & 3 == REPEAT
+                pos, n = merged(*unpack_repeats(place[again]))
+                settled.append((np.full(len(pos), row), pos, n))
+                places.append(place[~again])
                 texts.append(np.full(len(places[-1]), row))
-            row, pos, n = np.concatenate(settled).T
-            # Settled rows only pass through, under the hash of their place.
-            yield _batch(_SINGLE, doc[row] * 31 + pos, doc[row], doc[row], tag[row], pos, n, np.full(len(row), REPEAT))
-            pos, text = np.concatenate(places), np.concatenate(texts)
-            start = pos + offsets[:-1][text]
-            one, two = (h.spans(h.prefix(data), start, start + depth) for h in (_ONE, _TWO))
-            state = _block_state(one, two, doc[text], tag[text], pos)
-            yield _batch(_SINGLE, one, two, doc[text], tag[text], pos, np.ones(len(pos), np.int64), state)
+            row, pos, n = (np.concatenate(c) for c in zip(*settled))
+            # Settled rows only pass through, under a number that spreads them.
+            yield _batch(_ROWS, doc[row] * 31 + pos, tag[row], doc[row], tag[row], repeats(pos, n))
+            text, (pos, n, before) = np.concatenate(texts), unpack_place(np.concatenate(places))
+            # Pieces by the distance to the gram, which equal suffixes have in common: step*j .. step*(j+1) - 1.
+            low, high = (before - n + 1) // step, before // step
+            pieces = high - low + 1
+            of = np.repeat(np.arange(len(pos)), pieces)
+            j = np.repeat(low, pieces) + np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            near = np.maximum(step * j, (before - n + 1)[of])
+            far = np.minimum(step * (j + 1) - 1, before[of])
+            text, start = text[of], pos[of] + before[of] - far
+            common = offsets[:-1][text] + pos[of] + before[of] - step * j
+            one, two = (h.spans(h.prefix(data), common, common + depth - step + 1) for h in (_ONE, _TWO))
+            state = _block_state(one, two, doc[text], tag[text], start) if step == 1 else np.full(len(text), OPEN)
+            yield _batch(_ROWS, one, two, doc[text], tag[text], pack_place(start, far - near + 1, far, state))
+
+    return cut
+
 
-    return singly
+def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, _ in whole_keys(batches, "one", TASK_ROWS):
+        one, two, doc, tag, place = _columns(rows, _ROWS)
+        done = np.flatnonzero(place & 3 == REPEAT)
+        left = np.flatnonzero(place & 3 == OPEN)
+        left = left[_counts(two[left], one[left]) > 1]
+        yield _batch(_MARKS, *(np.concatenate([c[done], c[left]]) for c in (doc, tag)), np.concatenate([place[done], place[left] - OPEN + SINGLY]))
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in whole_keys(batches, "one"):
-        one, two, doc, tag, pos, n, state = (integers(rows, c) for c in ("one", "two", "doc", "tag", "pos", "n", "state"))
-        done, left = np.flatnonzero(state == REPEAT), np.flatnonzero(state != REPEAT)
-        order, first = settle(one[left], two[left], doc[left], tag[left], pos[left])
-        out = np.concatenate([done, left[order[~first]]])
-        yield _batch("doc long, tag long, pos int, n int", doc[out], tag[out], pos[out], n[out])
+    for rows, _ in whole_keys(batches, "one", TASK_ROWS):
+        one, two, doc, tag, place = _columns(rows, _ROWS)
+        done = np.flatnonzero(place & 3 == REPEAT)
+        left = np.flatnonzero(place & 3 == OPEN)
+        left = left[~runs(one[left], two[left])]
+        yield _batch(_MARKS, *(np.concatenate([c[done], c[left]]) for c in (doc, tag)), np.concatenate([place[done], repeats(*unpack_place(place[left])[:2])]))
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Rows dealt by their first digit and ordered by both, then by place."""
+    return rows.repartition("one").sortWithinPartitions("one", "two", "doc", "tag", "place")
+
+
+def _with_places(texts: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
+    """The texts that are marked (or all), each with its marks, as a list."""
+    return texts.join(marks.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")).hint("merge"), ["doc", "tag"], how)
 
 
 def repeat_marks(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """(doc, tag, pos, n): the suffixes at pos..pos+n-1 of a text repeat, through ``depth``, one that starts earlier."""
+    """(doc, tag, place): suffixes that repeat, through ``depth``, one that starts earlier; see :func:`unpack_repeats`."""
     plain = texts.select("doc", "tag", "text")
-    first = plain.mapInArrow(_first_pass(depth, gram), _RUNS)
-    marks = first.repartition("one").sortWithinPartitions("one").mapInArrow(_second_pass(depth, gram), _MARKS)
-    places = marks.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n", "state")).alias("places"))
-    single = plain.join(places.hint("merge"), ["doc", "tag"]).mapInArrow(_third_pass(depth), _SINGLE)
-    return single.repartition("one").sortWithinPartitions("one").mapInArrow(_last_pass, "doc long, tag long, pos int, n int")
+    marks = _sorted(plain.mapInArrow(_first_pass(depth, gram), _RUNS)).mapInArrow(_second_pass(depth, gram), _MARKS)
+    marks = _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, STEP), _ROWS)).mapInArrow(_third_pass, _MARKS)
+    return _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, 1), _ROWS)).mapInArrow(_last_pass, _MARKS)
 
 
 _CUT = "sha string, doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -254,10 +297,10 @@ def _cut_out(depth: int, with_text: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            marks, out = rows.column(rows.schema.get_field_index("marks")), []
+            places, out = rows.column(rows.schema.get_field_index("places")), []
             for row in range(rows.num_rows):
                 text = data[offsets[row] : offsets[row + 1]]
-                gone = removed(len(text), _triples(marks, row, ("pos", "n")), depth)
+                gone = removed(len(text), np.stack(unpack_repeats(_list(places, row)), axis=1), depth)
                 spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
                 kept = text[~gone].tobytes()
                 out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
@@ -281,8 +324,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_t
     prepare(docs.sparkSession)
     rows = keyed_rows(docs)
     texts = distinct_texts(docs, first_copies(rows))
-    marks = repeat_marks(texts, depth, gram).groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("marks"))
-    cut = texts.join(marks.hint("merge"), ["doc", "tag"], "left").select("sha", "doc", "text", "marks").mapInArrow(_cut_out(depth, with_text), _CUT)
+    marked = _with_places(texts, repeat_marks(texts, depth, gram), "left")
+    cut = marked.select("sha", "doc", "text", "places").mapInArrow(_cut_out(depth, with_text), _CUT)
     own = rows.select("doc_id", F.col("doc").alias("row_doc"), "sha").join(cut.hint("merge"), "sha")
     # A later copy of a whole text repeats all of it, if it has a string of this length at all.
     again = (F.col("row_doc") != F.col("doc")) & (F.col("n_bytes") >= depth)

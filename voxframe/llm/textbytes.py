@@ -133,24 +133,40 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Regroup the batches of a partition sorted by ``key`` so that no value of it is cut in two."""
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, limit: int | None = None) -> Iterator[tuple[pa.Table, bool]]:
+    """Regroup the batches of a partition sorted by ``key`` so that no value of it is cut in two.
+
+    A value of more than ``limit`` rows comes in parts of about that size, each but the first beginning with
+    the last row of the one before, and is marked so.
+    """
     held: list[pa.RecordBatch] = []
+    rows, cut_up = 0, False
     for batch in batches:
         if not batch.num_rows:
             continue
         values = integers(batch, key)
-        if values[0] == values[-1]:
-            if held and integers(held[-1], key)[-1] != values[0]:
-                yield pa.Table.from_batches(held)
-                held = []
+        if held and integers(held[-1], key)[-1] != values[0]:
+            yield pa.Table.from_batches(held), cut_up
+            held, rows, cut_up = [], 0, False
+        if values[0] != values[-1]:
+            cut = int(np.flatnonzero(values != values[-1])[-1]) + 1
+            head = int(np.flatnonzero(values != values[0])[0])
+            if cut_up:
+                yield pa.Table.from_batches([*held, batch.slice(0, head)]), True
+                held, cut_up = [], False
+                if cut > head:
+                    yield pa.Table.from_batches([batch.slice(head, cut - head)]), False
+            else:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]), False
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+        else:
             held.append(batch)
-            continue
-        cut = int(np.flatnonzero(values != values[-1])[-1]) + 1
-        yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-        held = [batch.slice(cut)]
+            rows += batch.num_rows
+        if limit is not None and rows > limit:
+            yield pa.Table.from_batches(held), True
+            held, rows, cut_up = [held[-1].slice(held[-1].num_rows - 1)], 1, True
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), cut_up
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -30,6 +30,9 @@ WINDOW = 35
 #: A perfect difference set: each of 1..20 is one difference of two members modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
+#: Rows of one hash that a task takes into memory at a time.
+TASK_ROWS = 1 << 19
+
 _WORD, _ONE, _TWO = SpanHash(31), SpanHash(32), SpanHash(33)
 U64 = np.uint64
 
@@ -87,7 +90,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 def _repeated(digits: tuple[str, ...]):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by their first hash, those whose hashes occur more than once."""
-        for rows in whole_keys(batches, "one"):
+        for rows, _ in whole_keys(batches, "one", TASK_ROWS):
             keys, place = [integers(rows, c) for c in digits], integers(rows, "place")
             order = np.lexsort(keys[::-1])
             head = np.flatnonzero(runs(*(k[order] for k in keys)))
@@ -101,7 +104,7 @@ def _repeated(digits: tuple[str, ...]):
 
 
 def _occurring_twice(rows: DataFrame, *digits: str) -> DataFrame:
-    return rows.repartition("one").sortWithinPartitions("one").mapInArrow(_repeated(digits), "doc long, tag long, pos int")
+    return rows.repartition("one").sortWithinPartitions(*digits).mapInArrow(_repeated(digits), "doc long, tag long, pos int")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
