@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare, table
 from .suffix_dedup import removed
-from .textbytes import SpanHash, blocks, integers, runs, signed, whole_keys, word_spans
+from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, whole_keys, word_spans
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
 WINDOW = 35
@@ -50,6 +50,8 @@ def _combined(keys: list[np.ndarray], doc, tag, pos) -> pa.RecordBatch:
     size = np.diff(np.append(head, len(order)))
     state = np.empty(len(order), np.int64)
     state[order] = np.where(first, np.where(np.repeat(size, size) > 1, OFTEN, ONCE), SETTLED)
+    # Settled rows meet no others, so they are spread evenly instead of going where their equals go.
+    keys = [np.where(state == SETTLED, scattered(doc, pos), keys[0]), *keys[1:]]
     columns = [*(pa.array(signed(k)) for k in keys), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int64) * 4 + state)]
     return pa.RecordBatch.from_arrays(columns, [*("one", "two")[: len(keys)], "doc", "tag", "place"])
 
@@ -87,18 +89,25 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
     return cut
 
 
+def _places(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at]), pa.array((place[at] >> 2).astype(np.int32))], ["doc", "tag", "pos"])
+
+
 def _repeated(digits: tuple[str, ...]):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows sorted by their first hash, those whose hashes occur more than once."""
         for rows, _ in whole_keys(batches, "one", TASK_ROWS):
-            keys, place = [integers(rows, c) for c in digits], integers(rows, "place")
+            doc, tag, place = (integers(rows, c) for c in ("doc", "tag", "place"))
+            settled, left = np.flatnonzero(place & 3 == SETTLED), np.flatnonzero(place & 3 != SETTLED)
+            if not len(left):
+                yield _places(doc, tag, place, settled)
+                continue
+            keys = [integers(rows, c)[left] for c in digits]
             order = np.lexsort(keys[::-1])
             head = np.flatnonzero(runs(*(k[order] for k in keys)))
             size = np.diff(np.append(head, len(order)))
-            often = np.maximum.reduceat(place[order] & 3, head) > ONCE
-            out = order[np.repeat((size > 1) | often, size)]
-            columns = [integers(rows, "doc")[out], integers(rows, "tag")[out], (place[out] >> 2).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "tag", "pos"])
+            often = np.maximum.reduceat(place[left[order]] & 3, head) > ONCE
+            yield _places(doc, tag, place, np.concatenate([settled, left[order[np.repeat((size > 1) | often, size)]]]))
 
     return found
 
