@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare, table
-from .textbytes import SpanHash, blocks, integers, runs, signed, sliding_minimum, whole_keys
+from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, sliding_minimum, whole_keys
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
 DEPTH, GRAM = 100, 20
@@ -141,8 +141,10 @@ def _first_pass(depth: int, gram: int):
         for rows, data, offsets in blocks(batches):
             one, two, quarters, text, pos, n, before = suffix_runs(data, offsets, depth, gram)
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
-            # Rows leave in the order of the texts, which compresses best.
-            yield _batch(_RUNS, one, two, quarters, doc, tag, pack_place(pos, n, before, _block_state(one, two, doc, tag, pos)))
+            state = _block_state(one, two, doc, tag, pos)
+            # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
+            one = np.where(state == REPEAT, scattered(doc, pos), one)
+            yield _batch(_RUNS, one, two, quarters, doc, tag, pack_place(pos, n, before, state))
 
     return cut
 
@@ -222,11 +224,11 @@ def _refine(depth: int, step: int):
                 again = place & 3 == REPEAT
                 pos, n = merged(*unpack_repeats(place[again]))
                 settled.append((np.full(len(pos), row), pos, n))
-                places.append(place[~again])
+                places.append(np.unique(place[~again]))  # one digit's rows may come in overlapping parts
                 texts.append(np.full(len(places[-1]), row))
             row, pos, n = (np.concatenate(c) for c in zip(*settled))
-            # Settled rows only pass through, under a number that spreads them.
-            yield _batch(_ROWS, doc[row] * 31 + pos, tag[row], doc[row], tag[row], repeats(pos, n))
+            # Settled rows only pass through, spread evenly.
+            yield _batch(_ROWS, scattered(doc[row], pos), tag[row], doc[row], tag[row], repeats(pos, n))
             text, (pos, n, before) = np.concatenate(texts), unpack_place(np.concatenate(places))
             # Pieces by the distance to the gram, which equal suffixes have in common: step*j .. step*(j+1) - 1.
             low, high = (before - n + 1) // step, before // step
@@ -239,6 +241,7 @@ def _refine(depth: int, step: int):
             common = offsets[:-1][text] + pos[of] + before[of] - step * j
             one, two = (h.spans(h.prefix(data), common, common + depth - step + 1) for h in (_ONE, _TWO))
             state = _block_state(one, two, doc[text], tag[text], start) if step == 1 else np.full(len(text), OPEN)
+            one = np.where(state == REPEAT, scattered(doc[text], start), one)
             yield _batch(_ROWS, one, two, doc[text], tag[text], pack_place(start, far - near + 1, far, state))
 
     return cut
