@@ -91,7 +91,7 @@ def verified_lists(recipe: DataFrame) -> DataFrame:
 
     The number is 0 unless a fingerprint is shared, so only documents with such a chunk are looked up.
     """
-    recipe = recipe.withColumn("row", F.monotonically_increasing_id())
+    recipe = checkpointed(recipe.withColumn("row", F.monotonically_increasing_id()))
     shared = checkpointed(shared_fingerprints(recipe))
     plain = F.transform("recipe", lambda c: F.struct(c["fp"].alias("fp"), F.lit(0).alias("n")))
     if shared.isEmpty():
@@ -111,7 +111,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     are one document: they give one row and all count in group_size. A null doc_id sorts below all others,
     so such a row stays only if all doc_ids of its text are null. Other columns of ``docs`` are ignored.
     """
-    lists = checkpointed(verified_lists(recipes(docs)))
+    lists = verified_lists(recipes(docs))
     documents = lists.groupBy("ids", "doc_id").agg(F.count("*").alias("rows"), F.first("text_sha256").alias("text_sha256"), F.first("n_bytes").alias("n_bytes"))
     groups = lists.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # A third of all rows may share one list; the sort-merge join splits such a partition.
