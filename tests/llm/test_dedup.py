@@ -139,3 +139,33 @@ def test_empty_tables(empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert window_dedup.remove_windows(empty).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 4])
+def test_digits_too_frequent_for_one_task(rows, monkeypatch, edge_rows):
+    """The passes in this process, with a few rows in memory at a time: same result."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "TASK_ROWS", rows)
+    texts = sorted({t for _, t in ((r[0], r[1] or "") for r in edge_rows)} | {f"{'head of a line ' * 3}{k} " + "common line of eighty bytes " * 3 + f" {k * 7}" for k in range(40)})
+    plain = pa.record_batch({"doc": pa.array(range(len(texts)), pa.int64()), "tag": pa.array([0] * len(texts), pa.int64()), "text": pa.array(texts)})
+
+    def dealt(batches):
+        table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("one", "two", "doc", "tag", "place")])
+        return iter(table.to_batches(max_chunksize=3))
+
+    def listed(batches):
+        table = pa.Table.from_batches(list(batches))
+        places = defaultdict(list)
+        for d, p in zip(table.column("doc").to_pylist(), table.column("place").to_pylist()):
+            places[d].append(p)
+        out = plain.append_column("places", pa.array([places.get(d, []) for d in range(len(texts))], pa.list_(pa.int64())))
+        return out
+
+    marks = suffix_dedup._second_pass(100, 20)(dealt(suffix_dedup._first_pass(100, 20)(iter([plain]))))
+    marks = suffix_dedup._third_pass(dealt(suffix_dedup._refine(100, suffix_dedup.STEP)(iter([listed(marks)]))))
+    marks = suffix_dedup._last_pass(dealt(suffix_dedup._refine(100, 1)(iter([listed(marks)]))))
+    cut = suffix_dedup._cut_out(100, False)(iter([listed(marks).append_column("sha", pa.array([""] * len(texts))).select(["sha", "doc", "text", "places"])]))
+    got = [tuple(r.values())[2:6] for b in cut for r in b.to_pylist()]
+    want = brute_suffixes(list(enumerate(texts)))
+    assert got == [want[k, t] for k, t in enumerate(texts)]
