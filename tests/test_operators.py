@@ -102,3 +102,31 @@ def test_lru_keeps_pinned_and_newest(spark):
     kept = {r.key: r.kept for r in accesslog.lru_within_budget(entries, "key", 600).collect()}
     assert kept == {"c": True, "d": True, "b": True, "a": False}
     assert {r.key for r in accesslog.newest(entries, "key", 2).where("kept").collect()} == {"c", "d"}
+
+
+def test_thumbnail_of_a_large_slice_keeps_its_corners(spark):
+    """More voxels than pixels: some voxels have no pixel, each pixel has one voxel."""
+    from voxframe.operators import views
+
+    v = spark.createDataFrame([(1, 7, 5, 1, [float(i) for i in range(35)])], "vol_id long, nx int, ny int, nz int, data array<float>")
+    got = {(r.mx, r.my): r.r for r in views.thumbnail(v, size=3).collect()}
+    assert len(got) == 9
+    assert got[0, 0] == math.floor(28 / 34 * 255 + 0.5) and got[2, 2] == math.floor((4 + 7) / 34 * 255 + 0.5)
+
+
+def test_slice_bytes_are_row_major(spark, cube):
+    import numpy as np
+
+    from voxframe.operators import views
+
+    payload = views.slice_bytes(voxels.slice_voxels(cube, "coronal", 1)).first().payload
+    assert np.frombuffer(payload, "<f4").tolist() == [float(x + 5 * (1 + 3 * z)) for z in range(7) for x in range(5)]
+
+
+def test_debounce_and_admission(spark):
+    t = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame([(1, t + dt.timedelta(milliseconds=m)) for m in (0, 100, 281, 462, 700)], "key long, ts timestamp")
+    kept = sorted(r.ts.microsecond // 1000 for r in accesslog.debounced(log, "key").collect())
+    assert kept == [100, 281, 462, 700]
+    jobs = spark.createDataFrame([("remote", 1, 1), ("remote", 5, 2), ("local", 0, 3), ("local", 0, 4), ("local", 0, 5)], "class string, priority int, seq int")
+    assert sorted(r.seq for r in accesslog.admitted(jobs).where("active").collect()) == [2, 3, 4]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry, numeric
-from ..operators import accesslog
+from ..functions import geometry, numeric, requests
+from ..operators import accesslog, views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -247,3 +247,46 @@ def shipment_projection(spark, sf_dir):
     """A projection's plan, grouped maximum on pixels, over a table of many rows."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr("cast(l_orderkey % 64 as int)").alias("px"), F.expr("cast(l_partkey % 64 as int)").alias("py"), "l_extendedprice")
     return rows.groupBy("px", "py").agg(F.max("l_extendedprice").alias("v"), F.count("*").alias("n"))
+
+
+_URLS = """CASE event_id % 8 WHEN 0 THEN '/header/' || user_id WHEN 1 THEN '/preview/' || user_id WHEN 2 THEN '/preview-bin/' || user_id WHEN 3 THEN '/slice/' || user_id || '/coronal/' || event_id
+  WHEN 4 THEN '/slice/' || user_id || '/oblique/' || event_id WHEN 5 THEN '/lod/' || user_id || '/' || event_id % 4 WHEN 6 THEN '/file/' || user_id ELSE '/file/x' END"""
+
+
+@query(
+    "q54_routes",
+    f"""WITH u AS (SELECT event_id, user_id, {_URLS} AS url FROM events)
+    SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'header' WHEN 1 THEN 'preview' WHEN 2 THEN 'preview-bin' WHEN 3 THEN 'slice' WHEN 5 THEN 'lod' WHEN 6 THEN 'file' END AS kind,
+      CASE WHEN event_id % 8 NOT IN (4, 7) THEN user_id END AS file, CASE WHEN event_id % 8 = 3 THEN 'coronal' END AS axis,
+      CASE event_id % 8 WHEN 3 THEN event_id WHEN 5 THEN event_id % 4 END AS index FROM u""",
+)
+def routes(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.expr(_URLS).alias("url")).select("event_id", *requests.route(F.col("url")))
+
+
+@query(
+    "q55_byte_ranges",
+    """WITH r AS (SELECT event_id, event_id * 10 AS a, event_id % 4 AS kind, 50000::BIGINT AS size FROM events)
+    SELECT event_id, CASE kind WHEN 0 THEN 200 WHEN 3 THEN 416 ELSE 206 END AS status, CASE kind WHEN 0 THEN 0 WHEN 3 THEN NULL ELSE a END AS first,
+      CASE kind WHEN 1 THEN least(a + 999, size - 1) WHEN 3 THEN NULL ELSE size - 1 END AS last FROM r""",
+)
+def byte_ranges(spark, sf_dir):
+    header = F.expr("CASE event_id % 4 WHEN 1 THEN 'bytes=' || event_id * 10 || '-' || (event_id * 10 + 999) WHEN 2 THEN 'bytes=' || event_id * 10 || '-' WHEN 3 THEN 'lines=1-2' END")
+    return events(spark, sf_dir).select("event_id", *requests.byte_range(header, F.lit(50_000).cast("long")))
+
+
+@query("q56_backoff", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 500::BIGINT WHEN 1 THEN 1000::BIGINT END AS wait_ms FROM events")
+def backoff(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", requests.backoff_ms(F.col("event_id") % 4).alias("wait_ms"))
+
+
+@query(
+    "q57_metrics",
+    """SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS preview_loads, count(*) FILTER (WHERE event_type = 'click') AS full_loads,
+      round(avg(CAST(event_id % 900 AS DOUBLE)) FILTER (WHERE event_type = 'view'), 6) AS preview_ms, round(avg(CAST(event_id % 900 AS DOUBLE)) FILTER (WHERE event_type = 'click'), 6) AS full_ms,
+      count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_type = 'signup') AS evictions, count(*) FILTER (WHERE value > 100) AS residents FROM events GROUP BY user_id""",
+)
+def metrics(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for pair in (("view", "preview"), ("click", "full"), ("error", "failure"), ("signup", "eviction"), ("purchase", "other")) for x in pair])
+    log = events(spark, sf_dir).select("user_id", kinds[F.col("event_type")].alias("kind"), (F.col("event_id") % 900).cast("double").alias("ms"), (F.col("value") > 100).alias("resident"))
+    return views.metrics(log, "user_id").withColumns({c: F.round(c, 6) for c in ("preview_ms", "full_ms")})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, intensity
-from ..operators import aggregate, compare, voxels
+from ..operators import aggregate, compare, views, voxels
 
 #: Voxels along each side of these volumes.
 SIDE = 4
@@ -387,3 +387,29 @@ def preview_payload(spark, sf_dir):
     previews = ordered.join(bound, "vol_id").select(F.col("vol_id").cast("string").alias("path"), F.to_json(F.struct("vol_id")).alias("header"), "lo", "hi", F.array(*[F.lit(2)] * 3).alias("idx"), *_AXES)
     back = preview_codec.decode_previews(preview_codec.encode_previews(previews))
     return back.select(F.get_json_object("header", "$.vol_id").cast("long").alias("vol_id"), "lo", "hi", F.posexplode("coronal").alias("i", "v"))
+
+
+@query(
+    "q51_thumbnail",
+    f"""WITH {VOX}, {_PREVIEW}, r AS (SELECT vol_id, CAST(min(v) AS DOUBLE) AS lo, CASE WHEN min(v) = max(v) THEN CAST(min(v) AS DOUBLE) + 1 ELSE CAST(max(v) AS DOUBLE) END AS hi FROM p GROUP BY vol_id),
+    d AS (SELECT vol_id, u, w, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CAST(v AS DOUBLE) - lo) / (hi - lo))) AS t FROM p JOIN r USING (vol_id) WHERE axis = 'axial'),
+    c AS (SELECT vol_id, u, w, {", ".join(f"CAST(floor({e} + 0.5::DOUBLE) AS INTEGER) AS {c}" for c, e in zip("rgb", _CHANNELS["hot"]))} FROM d)
+    SELECT vol_id, CAST(x.k AS INTEGER) AS mx, CAST(y.k AS INTEGER) AS my, r, g, b FROM c JOIN range(10) x(k) ON CAST(floor(x.k * 4 / 10.0::DOUBLE) AS INTEGER) = u JOIN range(10) y(k) ON 3 - CAST(floor(y.k * 4 / 10.0::DOUBLE) AS INTEGER) = w""",
+)
+def thumbnail(spark, sf_dir):
+    return views.thumbnail(volumes(spark, sf_dir), "hot", size=10)
+
+
+@query(
+    "q52_lod_picture",
+    f"""WITH {VOX}, m AS (SELECT vol_id, x // 2 AS bu, y // 2 AS bw, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS v FROM vox WHERE z = 2 GROUP BY ALL)
+    SELECT vol_id, 2 AS nx, 2 AS ny, 1 AS nz, CAST(bu + 2 * bw AS INTEGER) AS i, v FROM m""",
+)
+def lod_picture(spark, sf_dir):
+    return views.lod_picture(volumes(spark, sf_dir), 1).select("vol_id", "nx", "ny", "nz", F.posexplode("data").alias("i", "v"))
+
+
+@query("q53_slice_bytes", f"WITH {VOX} SELECT vol_id, CAST(3 AS INTEGER) AS idx, CAST(count(*) * 4 AS INTEGER) AS n_bytes, 'sagittal' AS axis FROM vox WHERE x = 3 GROUP BY vol_id")
+def slice_bytes(spark, sf_dir):
+    found = views.slice_bytes(voxels.slice_voxels(volumes(spark, sf_dir), "sagittal", 3))
+    return found.select("vol_id", "idx", F.octet_length("payload").alias("n_bytes"), "axis")
