@@ -133,3 +133,52 @@ def test_preview_payload_layout():
     header, lo, hi, idx, slices = preview_codec.decode(raw)
     assert (header, lo, hi, idx) == ('{"nx":4}', 1, 12, [1, 1, 2])
     assert [s.tolist() for s in slices] == [p.tolist() for p in parts]
+
+
+def test_volumes_feed_the_operators(spark, folder):
+    from voxframe.operators import aggregate, voxels
+
+    slabs = nifti.read_volumes(spark, [str(folder / "a.nii"), str(folder / "b.nii.gz")])
+    volumes = nifti.as_volumes(slabs)
+    assert volumes.count() == 2
+    got = {(r.lo, r.hi) for r in aggregate.value_range(voxels.voxels(volumes)).collect()}
+    assert got == {(10.0, 208.0)}
+    assert nifti.slab_voxels(slabs).where("x = 4 AND y = 1 AND z = 2").select("v").distinct().first().v == 2 * (4 + 5 + 30) + 10
+
+
+def test_preview_as_json(spark, tmp_path):
+    import json
+
+    rows = [("p", '{"nx":4}', 1.0, 12.0, [1, 1, 2], [1.0, 2.0], [3.0], [4.0])]
+    previews = spark.createDataFrame(rows, preview_codec.PREVIEW)
+    full, part = (json.loads(preview_codec.preview_json(previews, p).first().json) for p in (False, True))
+    assert full["header"] == {"nx": 4} and full["coronal"] == [3.0] and "partialPreview" not in full
+    assert part["coronal"] == [0.0] and part["axial"] == [1.0, 2.0] and part["partialPreview"]
+    preview_codec.write_json(preview_codec.preview_json(previews), str(tmp_path / "out"))
+    assert any(p.suffix == ".gz" for p in (tmp_path / "out").iterdir())
+    back = preview_codec.decode_previews(preview_codec.encode_previews(previews)).first()
+    assert back.sagittal == [4.0] and back.idx == [1, 1, 2]
+
+
+def test_tagged_jobs_can_be_cancelled(spark):
+    import threading
+
+    from voxframe import session
+
+    failed = []
+
+    def work():
+        with session.cancellable(spark, "slow"):
+            try:
+                spark.range(10_000_000_000).selectExpr("sum(hash(id))").collect()
+            except Exception as e:
+                failed.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    for _ in range(60):
+        session.cancel(spark, "slow")
+        thread.join(0.5)
+        if not thread.is_alive():
+            break
+    assert failed

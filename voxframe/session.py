@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -23,6 +24,20 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
     )
 
 
+@contextlib.contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs started inside can be cancelled from another thread by :func:`cancel`."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once for each context, so that Python workers can import it."""
     context = spark.sparkContext

@@ -12,6 +12,7 @@ from __future__ import annotations
 import fnmatch
 import glob
 import gzip
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
@@ -132,11 +134,10 @@ class NiftiReader(DataSourceReader):
             raise ValueError(f"view is one of {', '.join(VIEWS)}")
         self.mode = options.get("mode", "standard")
         self.slab_bytes = int(options.get("slabbytes", SLAB_BYTES))
-        path = options.get("path") or ""
         pattern = options.get("pathglobfilter", "*.nii*")
-        names = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
+        asked = json.loads(options["paths"]) if options.get("paths") else [options.get("path") or ""]
         self.files: list[str] = []
-        for name in names:
+        for name in [n for path in asked for n in (sorted(glob.glob(path)) if glob.has_magic(path) else [path])]:
             if os.path.isdir(name):
                 self.files += sorted(os.path.join(d, f) for d, _, fs in os.walk(name) for f in fs if fnmatch.fnmatch(f, pattern))
             elif name:
@@ -257,6 +258,27 @@ def decode_files(files: DataFrame, mode: str = "standard") -> DataFrame:
     return files.select("path", "content").mapInArrow(slabs, VIEWS["slabs"])
 
 
+def slab_voxels(slabs: DataFrame) -> DataFrame:
+    """(path, t, x, y, z, v) of the ``slabs`` view."""
+    flat = slabs.select("path", "t", "z", "nx", F.posexplode("data").alias("i", "v"))
+    return flat.select("path", "t", F.expr("cast(i % nx as int)").alias("x"), F.expr("cast(i div nx as int)").alias("y"), "z", "v")
+
+
+def as_volumes(slabs: DataFrame) -> DataFrame:
+    """(vol_id, t, nx, ny, nz, data) of the ``slabs`` view: one row for each frame of a file, as the operators take them.
+
+    A frame's slabs meet in one row, so it has to fit into one array.
+    """
+    parts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", "data"))), lambda s: s["data"]))
+    return slabs.groupBy(F.col("path").alias("vol_id"), "t", "nx", "ny", "nz").agg(parts.alias("data"))
+
+
+def read_volumes(spark: SparkSession, path: str | list[str], view: str = "slabs", mode: str = "standard") -> DataFrame:
+    """A view of one or more files, folders or patterns."""
+    register(spark)
+    return spark.read.format("nifti").option("view", view).option("mode", mode).load(path)
+
+
 def register(spark: SparkSession) -> None:
     """Make the format known to the session and let it take over filters."""
     ship_package(spark)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES
 from ..session import ship_package
@@ -70,3 +71,19 @@ def decode_previews(payloads: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "header", "lo", "hi", "idx", *AXES])
 
     return payloads.mapInPandas(run, PREVIEW)
+
+
+def preview_json(previews: DataFrame, partial: bool = False) -> DataFrame:
+    """(path, json) of previews of the PREVIEW columns.
+
+    ``partial`` previews have the axial slice alone, the other two filled with zeros, and say so.
+    """
+    empty = lambda a: F.transform(a, lambda v: F.lit(0.0).cast("float"))
+    slices = [F.col("axial"), *(empty(a) if partial else F.col(a) for a in AXES[1:])]
+    body = F.to_json(F.struct(*[c.alias(a) for a, c in zip(AXES, slices)], F.col("lo").alias("globalMin"), F.col("hi").alias("globalMax"), F.col("idx").alias("sliceIndices"), *([F.lit(True).alias("partialPreview")] if partial else [])))
+    return previews.select("path", F.concat(F.lit('{"header":'), "header", F.lit(","), F.substr(body, F.lit(2))).alias("json"))
+
+
+def write_json(texts: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """The json column as lines of text files, compressed."""
+    texts.select("json").write.mode("overwrite").option("compression", compression).text(folder)
