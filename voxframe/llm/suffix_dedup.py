@@ -10,8 +10,8 @@ leaves the sort as soon as it stands alone or its group is known to be equal thr
    all but the first run are repeats, as whole runs. Of runs of equal gram and unequal bytes, only first ones
    go on, and of these only the quarters whose suffixes have the bytes around the gram, by a short hash, in
    common with another run's.
-3. The third digit is, for STEP neighbouring suffixes each, all bytes that they have in common. Those that
-   share them with no others are alone.
+3. Each STEP neighbouring suffixes are then treated as runs were: the bytes that all of them hold are their
+   third digit, and all their bytes the fourth. Equal ones are repeats as a whole but for the first.
 4. The suffixes that are left are ordered one by one by all DEPTH bytes; in each group all but the first
    are repeats.
 
@@ -143,7 +143,9 @@ def _first_pass(depth: int, gram: int):
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
             state = _block_state(one, two, doc, tag, pos)
             # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
-            one = np.where(state == REPEAT, scattered(doc, pos), one)
+            settled = state == REPEAT
+            one = np.where(settled, scattered(doc, pos), one)
+            two[settled] = quarters[settled] = 0
             yield _batch(_RUNS, one, two, quarters, doc, tag, pack_place(pos, n, before, state))
 
     return cut
@@ -162,6 +164,8 @@ def _counts(*keys: np.ndarray) -> np.ndarray:
 def _per_key(key: np.ndarray, counted: np.ndarray) -> np.ndarray:
     """For each row of a sorted key how many of its rows are counted."""
     head = np.flatnonzero(runs(key))
+    if not len(head):
+        return np.zeros(0, np.int64)
     return np.repeat(np.add.reduceat(counted.astype(np.int64), head), np.diff(np.append(head, len(key))))
 
 
@@ -212,7 +216,7 @@ def merged(pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refine(depth: int, step: int):
-    """Rows for each ``step`` neighbouring suffixes that aren't settled, with the hashes of what they have in common."""
+    """Rows for each ``step`` neighbouring suffixes that aren't settled: hashes of what all of them hold, and of all their bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
@@ -239,21 +243,27 @@ def _refine(depth: int, step: int):
             far = np.minimum(step * (j + 1) - 1, before[of])
             text, start = text[of], pos[of] + before[of] - far
             common = offsets[:-1][text] + pos[of] + before[of] - step * j
-            one, two = (h.spans(h.prefix(data), common, common + depth - step + 1) for h in (_ONE, _TWO))
-            state = _block_state(one, two, doc[text], tag[text], start) if step == 1 else np.full(len(text), OPEN)
+            one = _ONE.spans(_ONE.prefix(data), common, common + depth - step + 1)
+            two = _TWO.spans(_TWO.prefix(data), offsets[:-1][text] + start, offsets[:-1][text] + start + far - near + depth)
+            state = _block_state(one, two, doc[text], tag[text], start)
             one = np.where(state == REPEAT, scattered(doc[text], start), one)
+            two[state == REPEAT] = 0
             yield _batch(_ROWS, one, two, doc[text], tag[text], pack_place(start, far - near + 1, far, state))
 
     return cut
 
 
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _ in whole_keys(batches, "one", TASK_ROWS):
+    for rows, cut_up in whole_keys(batches, "one", TASK_ROWS):
         one, two, doc, tag, place = _columns(rows, _ROWS)
         done = np.flatnonzero(place & 3 == REPEAT)
         left = np.flatnonzero(place & 3 == OPEN)
-        left = left[_counts(two[left], one[left]) > 1]
-        yield _batch(_MARKS, *(np.concatenate([c[done], c[left]]) for c in (doc, tag)), np.concatenate([place[done], place[left] - OPEN + SINGLY]))
+        first = runs(one[left], two[left])
+        again = left[~first]
+        # One of several contents of a digit may still hold suffixes of another; a digit too frequent to be seen at once too.
+        single = left[first if cut_up else first & (_per_key(one[left], first) > 1)]
+        state = np.concatenate([place[done], repeats(*unpack_place(place[again])[:2]), place[single] - OPEN + SINGLY])
+        yield _batch(_MARKS, *(np.concatenate([c[done], c[again], c[single]]) for c in (doc, tag)), state)
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
