@@ -135,8 +135,8 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
     """Weights and bias learned from ``labels(doc_id, label)``, from ``max_rows`` labelled texts at the most.
 
-    Doc_ids with differing labels, null labels or labels other than 0 and 1 teach nothing. Without any
-    label both are zero and every score is 0.5.
+    Doc_ids with differing labels, null labels or labels other than 0 and 1 teach nothing; of several texts
+    of one doc_id the least does. Without any label both are zero and every score is 0.5.
     """
     prepare(docs.sparkSession)
     clean = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     if n > max_rows:
         clean = clean.where(F.pmod("order", F.lit(1 << 20)) < int((1 << 20) * 0.9 * max_rows / n))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(clean), "doc_id")
+    rows = rows.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
     shards = rows.withColumn("shard", F.pmod(F.shiftright("order", 24), F.lit(SHARDS))).groupBy("shard").applyInPandas(_train_shard, "index int, weight long")
     learned = shards.groupBy("index").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).toPandas()
     weights, bias = np.zeros(1 << BITS), 0.0
@@ -171,7 +172,7 @@ def score_quality(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame
 
 
 def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more. Names may clash with none of ours: rows pass through whole."""
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns, whatever these are named."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
