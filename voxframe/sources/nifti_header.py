@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import ORIENTATIONS, TYPE_NAMES
+from ..functions.geometry import ORIENTATIONS
 
 MODES = ("standard", "reference")
 
@@ -169,6 +169,3 @@ def write_header(shape: tuple[int, ...], datatype: int, version: int = 1, order:
             struct.pack_into(order + form, raw, at, *(v if isinstance(v, (list, tuple)) else [v]))
     return bytes(raw)
 
-
-def known_type(code: int) -> bool:
-    return code in TYPE_NAMES
