@@ -38,6 +38,8 @@ from .whole_texts import distinct_texts, first_copies, keyed_rows
 DEPTH, GRAM = 100, 20
 #: Parts of a run's suffixes that the second pass tells apart, and suffixes that share a row of the third.
 QUARTERS, STEP = 4, 8
+#: Settled rows of so many bytes of a text are sent together.
+SPREAD = 8192
 #: Rows of one digit that a task takes into memory at a time.
 TASK_ROWS = 1 << 19
 
@@ -144,7 +146,7 @@ def _first_pass(depth: int, gram: int):
             state = _block_state(one, two, doc, tag, pos)
             # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
             settled = state == REPEAT
-            one = np.where(settled, scattered(doc, pos), one)
+            one = np.where(settled, scattered(doc, pos, SPREAD), one)
             two[settled] = quarters[settled] = 0
             yield _batch(_RUNS, one, two, quarters, doc, tag, pack_place(pos, n, before, state))
 
@@ -232,7 +234,7 @@ def _refine(depth: int, step: int):
                 texts.append(np.full(len(places[-1]), row))
             row, pos, n = (np.concatenate(c) for c in zip(*settled))
             # Settled rows only pass through, spread evenly.
-            yield _batch(_ROWS, scattered(doc[row], pos), tag[row], doc[row], tag[row], repeats(pos, n))
+            yield _batch(_ROWS, scattered(doc[row], pos, SPREAD), np.zeros(len(row), np.int64), doc[row], tag[row], repeats(pos, n))
             text, (pos, n, before) = np.concatenate(texts), unpack_place(np.concatenate(places))
             # Pieces by the distance to the gram, which equal suffixes have in common: step*j .. step*(j+1) - 1.
             low, high = (before - n + 1) // step, before // step
@@ -246,7 +248,7 @@ def _refine(depth: int, step: int):
             one = _ONE.spans(_ONE.prefix(data), common, common + depth - step + 1)
             two = _TWO.spans(_TWO.prefix(data), offsets[:-1][text] + start, offsets[:-1][text] + start + far - near + depth)
             state = _block_state(one, two, doc[text], tag[text], start)
-            one = np.where(state == REPEAT, scattered(doc[text], start), one)
+            one = np.where(state == REPEAT, scattered(doc[text], start, SPREAD), one)
             two[state == REPEAT] = 0
             yield _batch(_ROWS, one, two, doc[text], tag[text], pack_place(start, far - near + 1, far, state))
 

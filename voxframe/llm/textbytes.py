@@ -169,9 +169,9 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, limit: int | None =
         yield pa.Table.from_batches(held), cut_up
 
 
-def scattered(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A hash of a place, to spread rows that need not meet others."""
-    return mixed(doc.astype(U64) * U64(0x9E3779B97F4A7C15) + pos.astype(U64))
+def scattered(doc: np.ndarray, pos: np.ndarray, span: int) -> np.ndarray:
+    """A hash of a place, to spread rows that need not meet others; places of one ``span`` stay together, which compresses well."""
+    return mixed(doc.astype(U64) * U64(0x9E3779B97F4A7C15) + (pos // span).astype(U64))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

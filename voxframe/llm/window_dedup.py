@@ -30,6 +30,8 @@ WINDOW = 35
 #: A perfect difference set: each of 1..20 is one difference of two members modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 
+#: Settled rows of so many words of a text are sent together.
+SPREAD = 256
 #: Rows of one hash that a task takes into memory at a time.
 TASK_ROWS = 1 << 19
 
@@ -51,7 +53,8 @@ def _combined(keys: list[np.ndarray], doc, tag, pos) -> pa.RecordBatch:
     state = np.empty(len(order), np.int64)
     state[order] = np.where(first, np.where(np.repeat(size, size) > 1, OFTEN, ONCE), SETTLED)
     # Settled rows meet no others, so they are spread evenly instead of going where their equals go.
-    keys = [np.where(state == SETTLED, scattered(doc, pos), keys[0]), *keys[1:]]
+    settled = state == SETTLED
+    keys = [np.where(settled, scattered(doc, pos, SPREAD), keys[0]), *(np.where(settled, U64(0), k) for k in keys[1:])]
     columns = [*(pa.array(signed(k)) for k in keys), pa.array(doc), pa.array(tag), pa.array(pos.astype(np.int64) * 4 + state)]
     return pa.RecordBatch.from_arrays(columns, [*("one", "two")[: len(keys)], "doc", "tag", "place"])
 
