@@ -148,12 +148,13 @@ def test_fixity_finds_each_kind_of_damage(spark):
 
 def test_records_of_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/é", "ü", "x"), (2, "http://a/é", "ü", "x"), (None, "u", "h", "x"), (3, "", "a" * 100_000, "x")], "page_id long, url string, html string, record string")
-    records = warc_fixity.pages_to_records(pages)
+    records = warc_fixity.page_records(pages)
     assert records.count() == 5
-    spans = sorted((r.file, r.offset, r.offset + len(r.record.encode())) for r in records.collect())
-    assert all(a[2] == b[1] for a, b in zip(spans, spans[1:]) if a[0] == b[0])
     hashes = warc_fixity.record_hashes(records)
+    spans = sorted((r.file, r.offset, r.offset + r.length) for r in hashes.collect())
+    assert all(a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(spans, spans[1:]))
+    assert sum(b - a for _, a, b in spans) == sum(len(r.record.encode()) for r in records.collect())
     assert warc_fixity.audit(hashes, hashes).count() == 0
-    none = warc_fixity.record_hashes(warc_fixity.pages_to_records(pages.where(F.lit(False))))
+    none = warc_fixity.record_hashes(warc_fixity.page_records(pages.where(F.lit(False))))
     assert warc_fixity.audit(none, none).count() == 0
     assert warc_fixity.audit(hashes, none).where("status <> 'missing'").count() == 0

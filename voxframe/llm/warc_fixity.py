@@ -20,8 +20,8 @@ from .runtime import checkpointed, table, text_or_empty
 LEAF_BYTES, FANOUT = 65536, 16
 #: Levels above the leaves; a root covers LEAF_BYTES * FANOUT**LEVELS bytes, 4 GiB; longer files have several.
 LEVELS = 4
-#: Pages of one WARC file in :func:`pages_to_records`.
-FILE_PAGES = 1000
+#: Pages of one WARC file in :func:`page_records`.
+FILE_PAGES = 250
 
 
 def warc_record(url: Column, name: Column, payload: Column) -> Column:
@@ -33,25 +33,38 @@ def warc_record(url: Column, name: Column, payload: Column) -> Column:
     return F.concat(head, payload, F.lit("\r\n\r\n"))
 
 
-def pages_to_records(pages: DataFrame) -> DataFrame:
-    """Records (file, offset, page_id, record) of ``pages(page_id, url, html)``, FILE_PAGES consecutive page_ids to a WARC file.
+def page_records(pages: DataFrame) -> DataFrame:
+    """Records (file, page_id, record) of ``pages(page_id, url, html)``, FILE_PAGES consecutive page_ids to a WARC file.
 
-    Null url and html are empty; pages with a null page_id make up a file of their own, -1. A file is as
-    long as its pages, so page_id has to be a key but for a few repeated rows, which follow each other.
+    Null url and html are empty; pages with a null page_id make up a file of their own, -1.
     """
-    body = pages.select(
-        F.coalesce(F.expr(f"page_id div {FILE_PAGES}"), F.lit(-1)).alias("file"), "page_id",
+    return pages.select(
+        F.coalesce(F.expr(f"page_id div {FILE_PAGES}"), F.lit(-1)).alias("file"),
+        "page_id",
         warc_record(F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")), text_or_empty("html")).alias("record"),
-    )
-    upto = Window.partitionBy("file").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.octet_length("record").cast("long")
-    return body.withColumn("offset", F.sum(size).over(upto) - size).select("file", "offset", "page_id", "record")
+    )
+
+
+def record_digest(record: Column) -> Column:
+    """(length, hash) of a record; null of a null one."""
+    return F.when(record.isNotNull(), F.struct(F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("hash")))
+
+
+def with_offsets(records: DataFrame, *order: str) -> DataFrame:
+    """Adds ``offset`` to records(file, size, ...): where each stands in its file, in the given order.
+
+    A file is as long as its records, so ``file`` must not be a key that grows with the corpus. Only what the
+    rows hold is shuffled, so records are best replaced by their digests before.
+    """
+    upto = Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return records.withColumn("offset", F.sum("size").over(upto) - F.col("size"))
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
-    """(file, offset, length, hash) of records(file, offset, record); a null record is empty."""
-    record = F.coalesce(F.col("record"), F.lit(""))
-    return records.select("file", "offset", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("hash"))
+    """(file, offset, length, hash) of records(file, page_id, record), which follow each other by page_id; a null record is empty."""
+    digest = record_digest(F.coalesce("record", F.lit("")))
+    small = records.select("file", "page_id", digest.alias("d")).withColumn("size", F.col("d.length"))
+    return with_offsets(small, "page_id", "d").select("file", "offset", "d.length", "d.hash")
 
 
 def _ordered_hash(order: list[str]) -> Column:
@@ -79,9 +92,9 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
     Returns file, offset, length, status ('changed', 'missing' in theirs, 'extra' in theirs), hash and
     other_hash. Equal replicas, empty ones too, give no row. A file or branch that only one replica has
-    differs as a whole. Offsets of a replica are those of its own index.
+    differs as a whole. Offsets of a replica are those of its own index. Both tables are read several
+    times, so what is costly to compute should be checkpointed before.
     """
-    ours, theirs = checkpointed(ours), checkpointed(theirs)
     mine, other = merkle_levels(ours), merkle_levels(theirs)
     suspects = checkpointed(_differing(mine[-1], other[-1]))
     for level in range(LEVELS - 1, -1, -1):
@@ -95,17 +108,23 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.select("file", "offset", F.coalesce("length", "other_length").alias("length"), status.alias("status"), "hash", "other_hash")
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica with known damage, as none is at hand: of every 50 page_ids, 7 has its last payload byte
-    replaced, 23 is missing and 31 has a byte of its header changed; all other records and all offsets stay."""
-    kind = F.col("page_id") % 50
-    record = F.when(kind == 7, F.concat(F.expr("left(record, length(record) - 5)"), F.lit("~\r\n\r\n"))).when(kind == 31, F.concat(F.lit("w"), F.expr("substr(record, 2)")))
-    return records.where("page_id IS NULL OR page_id % 50 <> 23").withColumn("record", F.coalesce(record, F.col("record")))
+def damaged(record: Column, page_id: Column) -> Column:
+    """A replica's record with known damage, as none is at hand: of every 50 page_ids, 7 has its last payload
+    character replaced, 23 is missing and 31 has the first byte of its header changed; all others are whole."""
+    kind = page_id % 50
+    changed = F.when(kind == 7, F.concat(F.substring(record, F.lit(1), F.length(record) - 5), F.lit("~\r\n\r\n")))
+    changed = changed.when(kind == 31, F.concat(F.lit("w"), F.substr(record, F.lit(2)))).when(kind == 23, F.lit(None))
+    return changed.otherwise(record)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    records = pages_to_records(table(spark, sf_dir, "pages"))
-    return audit(record_hashes(records), record_hashes(damaged(records)))
+    """All pages as records of WARC files, held against a damaged replica whose offsets are those of the whole one."""
+    records = page_records(table(spark, sf_dir, "pages"))
+    record, page_id = F.col("record"), F.col("page_id")
+    both = records.select("file", "page_id", record_digest(record).alias("ours"), record_digest(damaged(record, page_id)).alias("theirs"))
+    placed = checkpointed(with_offsets(both.withColumn("size", F.col("ours.length")), "page_id", "ours"))
+    sides = [placed.where(F.col(side).isNotNull()).select("file", "offset", f"{side}.length", f"{side}.hash") for side in ("ours", "theirs")]
+    return audit(*sides)
 
 
 OP1_SQL = f"""
