@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,25 +22,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a copy in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the cluster names none.
 
-    Only where the cluster names no such folder (tests on one machine) a temporary one is set.
+    A temporary folder of this machine serves only where all tasks run in this process, as in tests.
     """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        if not hasattr(context, "_voxframe_folder"):
+            context._voxframe_folder = tempfile.mkdtemp(prefix="voxframe-")
+        return context._voxframe_folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a copy in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read again from a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="written-")
-    path = f"{folder}/written-{uuid.uuid4().hex}"
+    """The same rows, read again from a new Parquet table in the shared folder; the caller owns the files."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
