@@ -16,6 +16,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from ..session import ship_package
 from .nifti_header import PREFIX_BYTES, SCHEMA, NotNifti, parse_header
 
 SLAB_BYTES = 32 << 20
+#: Headers that are read at a time while a scan is planned.
+PLANNING_THREADS = 32
 
 # Numpy types of the element codes that are numbers.
 DTYPES = {1: "u1", 2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -172,8 +175,9 @@ class NiftiReader(DataSourceReader):
         if self.view == "header":
             return [Slab(path) for path in self.files] or [Slab("")]
         out = []
-        for path in self.files:
-            header = read_header(path, self.mode)
+        with ThreadPoolExecutor(PLANNING_THREADS) as pool:
+            headers = list(pool.map(lambda path: read_header(path, self.mode), self.files))
+        for path, header in zip(self.files, headers):
             low, high = max(0, self.bounds["z"][0]), min(header["nz"], self.bounds["z"][1])
             first, last = max(0, self.bounds["t"][0]), min(header["nt"], self.bounds["t"][1])
             if low >= high or first >= last:
