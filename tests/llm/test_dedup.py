@@ -141,9 +141,9 @@ def test_empty_tables(empty):
     assert window_dedup.remove_windows(empty).count() == 0
 
 
-@pytest.mark.parametrize("rows", [1, 4])
-def test_digits_too_frequent_for_one_task(rows, monkeypatch, edge_rows):
-    """The passes in this process, with a few rows in memory at a time: same result."""
+@pytest.mark.parametrize("rows,share", [(1, 0), (4, 0), (1000, 0), (1000, 1), (1000, 3)])
+def test_digits_too_frequent_for_one_task(rows, share, monkeypatch, edge_rows):
+    """The passes in this process, with a few rows in memory at a time, or with none, all or a third of the grams frequent: same result."""
     import pyarrow as pa
 
     monkeypatch.setattr(suffix_dedup, "TASK_ROWS", rows)
@@ -162,10 +162,27 @@ def test_digits_too_frequent_for_one_task(rows, monkeypatch, edge_rows):
         out = plain.append_column("places", pa.array([places.get(d, []) for d in range(len(texts))], pa.list_(pa.int64())))
         return out
 
-    marks = suffix_dedup._second_pass(100, 20)(dealt(suffix_dedup._first_pass(100, 20)(iter([plain]))))
+    frequent = np.zeros(0, np.uint64)
+    if share:
+        from voxframe.llm.textbytes import column_bytes
+
+        frequent = np.unique(suffix_dedup.suffix_runs(*column_bytes(pa.array(texts)))[0])[::share]
+    marks = suffix_dedup._second_pass(100, 20)(dealt(suffix_dedup._first_pass(100, 20, frequent)(iter([plain]))))
     marks = suffix_dedup._third_pass(dealt(suffix_dedup._refine(100, suffix_dedup.STEP)(iter([listed(marks)]))))
     marks = suffix_dedup._last_pass(dealt(suffix_dedup._refine(100, 1)(iter([listed(marks)]))))
     cut = suffix_dedup._cut_out(100, False)(iter([listed(marks).append_column("sha", pa.array([""] * len(texts))).select(["sha", "doc", "text", "places"])]))
     got = [tuple(r.values())[2:6] for b in cut for r in b.to_pylist()]
     want = brute_suffixes(list(enumerate(texts)))
     assert got == [want[k, t] for k, t in enumerate(texts)]
+
+
+def test_frequent_grams_of_a_common_line(spark, monkeypatch):
+    line = "this line stands in every text, among others that differ from one text to the next one"
+    rng = np.random.default_rng(4)
+    other = lambda: " ".join(rng.choice(list("abcdefghij"), 6).tobytes().decode("utf-32-le") for _ in range(30))
+    docs = spark.createDataFrame([(k, f"{other()}\n{line}\n{other()}") for k in range(300)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    found = suffix_dedup.frequent_grams(docs)
+    assert 0 < len(found) <= 1 / suffix_dedup.FREQUENT
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs).drop("kept").collect())
+    assert got == _by_text([(r.doc_id, r.text) for r in docs.collect()], brute_suffixes)

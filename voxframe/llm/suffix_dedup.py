@@ -15,6 +15,10 @@ leaves the sort as soon as it stands alone or its group is known to be equal thr
 4. The suffixes that are left are ordered one by one by all DEPTH bytes; in each group all but the first
    are repeats.
 
+Grams that a share of FREQUENT of all runs have, found on a sample, would gather in one task: their suffixes
+skip to the last pass, where only equal ones meet. Whether a gram is on this list changes the way, not the
+result.
+
 Digits are pairs of independent 64-bit hashes, compared together. Each pass is a shuffle by digit and a sort
 within partitions. A block of texts first sorts its own runs and sends only the first of equal ones on, so a
 string that a third of all texts hold costs a few rows for each task. The passes follow each other in one
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, table
+from .runtime import prepare, table, text_or_empty
 from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, sliding_minimum, whole_keys
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
@@ -46,8 +50,13 @@ TASK_ROWS = 1 << 19
 _ONE, _TWO = SpanHash(21), SpanHash(22)
 U64 = np.uint64
 
-#: What a row says of the suffixes that start at pos..pos+n-1 of a text: not settled, repeats, to be sorted singly.
-OPEN, REPEAT, SINGLY = 0, 1, 2
+#: What a row says of the suffixes that start at pos..pos+n-1 of a text: not settled, repeats, to be sorted
+#: further, to be sorted in the last pass.
+OPEN, REPEAT, SINGLY, DIRECT = 0, 1, 2, 3
+
+#: Grams of this share of the sampled runs are frequent, so there are at most its inverse; one text in SAMPLED
+#: is looked at, and SEEN runs at least make a gram frequent.
+FREQUENT, SAMPLED, SEEN = 1 / 4096, 64, 64
 
 
 def quarter_hashes(one: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, gram: int) -> np.ndarray:
@@ -138,14 +147,34 @@ def _columns(rows: pa.Table, names: str) -> list[np.ndarray]:
     return [integers(rows, f.split()[0]) for f in names.split(", ")]
 
 
-def _first_pass(depth: int, gram: int):
+def frequent_grams(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> np.ndarray:
+    """First digits, sorted, that occur in many different runs of a sample of the texts; at most 1 / FREQUENT."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in blocks(batches):
+            one, two, _, text, pos, _, _ = suffix_runs(data, offsets, depth, gram)
+            found, n = np.unique(one[_block_state(one, two, text, text, pos) == OPEN], return_counts=True)
+            # All runs are counted in the row of no gram.
+            kept = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array([*signed(found[kept]).tolist(), None], pa.int64()), pa.array(np.append(n[kept], n.sum()))], ["one", "n"])
+
+    texts = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counts = texts.mapInArrow(count, "one long, n long").groupBy("one").agg(F.sum("n").alias("n")).where(f"one IS NULL OR n >= {SEEN}")
+    largest = counts.orderBy(F.desc("n")).limit(int(1 / FREQUENT) + 1).toPandas()
+    total = largest.loc[largest["one"].isna(), "n"].sum()
+    grams = largest.loc[largest["one"].notna() & (largest["n"] >= FREQUENT * total), "one"]
+    return np.sort(np.array([int(x) for x in grams], np.int64).view(U64))
+
+
+def _first_pass(depth: int, gram: int, frequent: np.ndarray):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
             one, two, quarters, text, pos, n, before = suffix_runs(data, offsets, depth, gram)
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
             state = _block_state(one, two, doc, tag, pos)
+            state[(state == OPEN) & np.isin(one, frequent)] = DIRECT
             # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
-            settled = state == REPEAT
+            settled = state != OPEN
             one = np.where(settled, scattered(doc, pos, SPREAD), one)
             two[settled] = quarters[settled] = 0
             yield _batch(_RUNS, one, two, quarters, doc, tag, pack_place(pos, n, before, state))
@@ -177,7 +206,7 @@ def _second_pass(depth: int, gram: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, cut_up in whole_keys(batches, "one", TASK_ROWS):
             columns = _columns(rows, _RUNS)
-            done = columns[-1] & 3 == REPEAT
+            done = columns[-1] & 3 != OPEN
             yield _batch(_MARKS, *(c[done] for c in columns[3:]))
             one, two, quarters, doc, tag, place = (c[~done] for c in columns)
             if not len(one):
@@ -224,17 +253,22 @@ def _refine(depth: int, step: int):
         for rows, data, offsets in blocks(batches):
             column = rows.column(rows.schema.get_field_index("places"))
             doc, tag = integers(rows, "doc"), integers(rows, "tag")
-            settled, texts, places = [], [], []
+            settled, texts, places, waiting = [], [], [], []
             for row in range(rows.num_rows):
                 place = _list(column, row)
                 again = place & 3 == REPEAT
                 pos, n = merged(*unpack_repeats(place[again]))
                 settled.append((np.full(len(pos), row), pos, n))
-                places.append(np.unique(place[~again]))  # one digit's rows may come in overlapping parts
+                left = np.unique(place[~again])  # one digit's rows may come in overlapping parts
+                direct = left & 3 == DIRECT if step > 1 else np.zeros(len(left), bool)
+                waiting.append((np.full(direct.sum(), row), left[direct]))
+                places.append(left[~direct])
                 texts.append(np.full(len(places[-1]), row))
             row, pos, n = (np.concatenate(c) for c in zip(*settled))
             # Settled rows only pass through, spread evenly.
             yield _batch(_ROWS, scattered(doc[row], pos, SPREAD), np.zeros(len(row), np.int64), doc[row], tag[row], repeats(pos, n))
+            row, place = (np.concatenate(c) for c in zip(*waiting))
+            yield _batch(_ROWS, scattered(doc[row], place >> 18, SPREAD), np.zeros(len(row), np.int64), doc[row], tag[row], place)
             text, (pos, n, before) = np.concatenate(texts), unpack_place(np.concatenate(places))
             # Pieces by the distance to the gram, which equal suffixes have in common: step*j .. step*(j+1) - 1.
             low, high = (before - n + 1) // step, before // step
@@ -258,7 +292,7 @@ def _refine(depth: int, step: int):
 def _third_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, cut_up in whole_keys(batches, "one", TASK_ROWS):
         one, two, doc, tag, place = _columns(rows, _ROWS)
-        done = np.flatnonzero(place & 3 == REPEAT)
+        done = np.flatnonzero(place & 3 != OPEN)
         left = np.flatnonzero(place & 3 == OPEN)
         first = runs(one[left], two[left])
         again = left[~first]
@@ -287,10 +321,10 @@ def _with_places(texts: DataFrame, marks: DataFrame, how: str = "inner") -> Data
     return texts.join(marks.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")).hint("merge"), ["doc", "tag"], how)
 
 
-def repeat_marks(texts: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
+def repeat_marks(texts: DataFrame, depth: int, gram: int, frequent: np.ndarray) -> DataFrame:
     """(doc, tag, place): suffixes that repeat, through ``depth``, one that starts earlier; see :func:`unpack_repeats`."""
     plain = texts.select("doc", "tag", "text")
-    marks = _sorted(plain.mapInArrow(_first_pass(depth, gram), _RUNS)).mapInArrow(_second_pass(depth, gram), _MARKS)
+    marks = _sorted(plain.mapInArrow(_first_pass(depth, gram, frequent), _RUNS)).mapInArrow(_second_pass(depth, gram), _MARKS)
     marks = _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, STEP), _ROWS)).mapInArrow(_third_pass, _MARKS)
     return _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, 1), _ROWS)).mapInArrow(_last_pass, _MARKS)
 
@@ -339,7 +373,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_t
     prepare(docs.sparkSession)
     rows = keyed_rows(docs)
     texts = distinct_texts(docs, first_copies(rows))
-    marked = _with_places(texts, repeat_marks(texts, depth, gram), "left")
+    marked = _with_places(texts, repeat_marks(texts, depth, gram, frequent_grams(docs, depth, gram)), "left")
     cut = marked.select("sha", "doc", "text", "places").mapInArrow(_cut_out(depth, with_text), _CUT)
     own = rows.select("doc_id", F.col("doc").alias("row_doc"), "sha").join(cut.hint("merge"), "sha")
     # A later copy of a whole text repeats all of it, if it has a string of this length at all.
