@@ -1,0 +1,76 @@
+import random
+import re
+
+import numpy as np
+
+from voxframe.llm import near_texts
+
+from test_simhash import brute_fingerprint
+
+
+def brute_shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(x, y):
+    shared = len(x & y)
+    return shared > 0 and 5 * shared >= 4 * (len(x) + len(y) - shared)
+
+
+def brute_first(rows):
+    """For each doc_id the smallest of its group, linked by fingerprints or shingle sets."""
+    first = {i: i for i, _ in rows}
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    fps = [brute_fingerprint(t) for _, t in rows]
+    sets = [brute_shingles(t) for _, t in rows]
+    for a, (i, _) in enumerate(rows):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 4 or alike(sets[a], sets[b]):
+                x, y = sorted((find(i), find(rows[b][0])))
+                first[y] = x
+    return {i: find(i) for i in first}
+
+
+def kept_ids(rows):
+    return sorted(i for i, f in brute_first(rows).items() if i == f)
+
+
+def test_edge_rows(edge, edge_rows, empty):
+    kept = near_texts.drop_near_copies(edge)
+    assert kept.columns == edge.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted({i for i in ids if i is not None}) == kept_ids([r[:2] for r in edge_rows if r[0] is not None])
+    assert ids.count(None) == 2 and ids.count(7) == 0
+    assert near_texts.drop_near_copies(empty).count() == 0
+
+
+def test_edited_copies(spark):
+    """Copies with words changed throughout, of chains and of one original, at similarities from 0.7 to 1."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(25):
+        original = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(60, 500))]
+        words = list(original)
+        for copy in range(rng.randint(1, 12)):
+            rows.append((len(rows) * 7 % 997, " ".join(words)))
+            words = list(words if family % 2 else original)
+            for _ in range(max(1, len(words) // rng.randint(40, 120))):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = sorted(r.doc_id for r in near_texts.drop_near_copies(docs).collect())
+    want = kept_ids(rows)
+    assert set(want) <= set(got) and len(got) <= len(want) + 1 and len(want) < len(rows) // 2
+
+
+def test_spanning_pairs_connect_groups_only():
+    rng = np.random.default_rng(2)
+    short = np.repeat(rng.integers(0, 256, (3, 70), dtype=np.uint8), 4, axis=0)
+    known = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 7, 7, 7])
+    links = near_texts.spanning_pairs(known, short)
+    assert len(links) == 2 + 3 and all(x // 4 == y // 4 and known[x] != known[y] for x, y in links)

@@ -1,0 +1,158 @@
+"""Near copies of a corpus: what 64-bit fingerprints link, and texts alike that they can't link.
+
+Texts that share SIMILARITY of their five-word shingles differ in about ten fingerprint bits, and no split
+of 64 bits into blocks finds such pairs without comparing nearly all. So to the links of
+:mod:`.simhash` come those of shingle sets. A sketch of least hashes, BANDS of ROWS each, puts such a pair into
+a common band with probability 1 - (1 - SIMILARITY**ROWS)**BANDS, 0.996 at the threshold itself. Only bands
+that hold more than one group of fingerprints are looked at, so a group of copies, however large, costs nothing
+by itself. Within a band a maximum spanning tree by the sketches' estimate proposes links, never all
+pairs, and each is verified by the exact shingle sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .components import connected_components
+from .runtime import checkpointed, prepare, text_or_empty
+from .simhash import LOWER, near_duplicates
+from .textbytes import SpanHash, blocks, integers, mixed, runs, signed, whole_keys, word_spans
+
+SHINGLE_WORDS = 5
+#: Least similarity of shingle sets, in fifths.
+FIFTHS = 4
+BANDS, ROWS = 14, 5
+#: Least share of equal sketch values for a link to be verified; four deviations below the threshold.
+PROPOSED = 0.6
+
+U64 = np.uint64
+_WORD, _SHINGLE = SpanHash(41), SpanHash(42)
+_FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the block's texts, and the bounds of each text's; a shorter text is one shingle, one without words has none."""
+    data = LOWER[data]
+    starts, ends, words = word_spans(data, offsets)
+    count = np.diff(words)
+    shingles = np.where(count > 0, np.maximum(1, count - width + 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(shingles)])
+    first = np.repeat(words[:-1] - bounds[:-1], shingles) + np.arange(bounds[-1])
+    last = np.minimum(first + width, np.repeat(words[1:], shingles))
+    hashes = _WORD.spans(_WORD.prefix(data), starts, ends)
+    return _SHINGLE.spans(_SHINGLE.prefix(hashes), first, last), bounds
+
+
+def sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS least hashes of each text that has shingles."""
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    out = np.empty((len(starts), len(_FACTORS)), U64)
+    for k, factor in enumerate(_FACTORS):
+        if len(starts):
+            out[:, k] = np.minimum.reduceat(hashes * factor, starts)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each text and band."""
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64), (len(least), BANDS))
+    for row in range(ROWS):
+        keys = mixed(keys * U64(0x9E3779B97F4A7C15) + least[:, row::ROWS])
+    return keys
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in blocks(batches):
+        hashes, bounds = shingle_hashes(data, offsets)
+        doc = integers(rows, "doc")[np.diff(bounds) > 0]
+        least = sketches(hashes, bounds)
+        keys = pa.ListArray.from_arrays(np.arange(0, len(doc) * BANDS + 1, BANDS, dtype=np.int32), signed(band_keys(least).ravel()))
+        # One byte of each value is enough for an estimate.
+        short = (least >> U64(8)).astype(np.uint8)
+        ends = np.arange(0, short.size + 1, short.shape[1], dtype=np.int32)
+        sketch = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(short.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), keys, sketch], ["doc", "keys", "sketch"])
+
+
+def spanning_pairs(known: np.ndarray, short: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a maximum spanning forest by the share of equal sketch values, PROPOSED at least; equal ``known`` are one node from the start."""
+    best, parent = np.full(len(known), -1.0), np.zeros(len(known), np.int64)
+    left, links = np.ones(len(known), bool), []
+    while left.any():
+        at = int(np.argmax(np.where(left, best, -2.0)))
+        if best[at] >= PROPOSED:
+            links.append((int(parent[at]), at))
+        for new in np.flatnonzero(known == known[at]).tolist():
+            left[new] = False
+            if not left.any():
+                break
+            likeness = (short == short[new]).mean(axis=1)
+            nearer = likeness > best
+            best[nearer], parent[nearer] = likeness[nearer], new
+    return links
+
+
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, _ in whole_keys(batches, "key"):
+        key, doc, known = (integers(rows, c) for c in ("key", "doc", "known"))
+        short = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+        start = np.flatnonzero(runs(key))
+        links = [(a + x, a + y) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]) for x, y in spanning_pairs(known[a:b], short[a:b])]
+        x, y = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y]))], ["a", "b"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in blocks(batches):
+        hashes, bounds = shingle_hashes(data, offsets)
+        sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(ends, signed(np.concatenate(sets)))], ["doc", "shingles"])
+
+
+def similar_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) of doc_ids whose shingle sets are alike, as far as they connect different groups of ``known(doc, known)``."""
+    prepare(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").alias("doc"), text_or_empty().alias("text"))
+    sketch = texts.mapInArrow(_sketched, "doc long, keys array<long>, sketch binary").join(known, "doc").withColumn("row", F.monotonically_increasing_id())
+    sketch = checkpointed(sketch)
+    banded = sketch.select("row", "doc", "known", F.explode("keys").alias("key"))
+    mixed_bands = banded.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("key")
+    cells = banded.join(mixed_bands, "key", "left_semi").join(sketch.select("row", "sketch"), "row")
+    pairs = checkpointed(cells.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_proposed, "a long, b long").where("a < b").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_shingle_sets, "doc long, shingles array<long>")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = 5 * shared >= FIFTHS * (F.size("x") + F.size("y") - shared)
+    return both.where(alike).select("a", "b").distinct()
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc, first) of each document in a group of near copies: first is the group's smallest doc_id.
+
+    Two documents are linked if their fingerprints are (see :func:`.simhash.near_duplicates`) or if they share
+    four fifths of their five-word shingles, lower-cased; groups are what links connect. Null texts are empty;
+    texts without words are linked by their fingerprint alone. Texts of one doc_id are one document. Rows
+    without doc_id belong to no group.
+    """
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = checkpointed(near_duplicates(texts).select(F.col("doc_id").alias("doc"), F.col("component_id").alias("known")).distinct())
+    alike = similar_texts(texts, named.groupBy("doc").agg(F.min("known").alias("known")))
+    groups = connected_components(named.select(F.col("doc").alias("a"), F.col("known").alias("b")).union(alike))
+    return groups.select(F.col("node").alias("doc"), F.col("component").alias("first"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, but for those of near copies whose doc_id isn't the smallest of their group.
+
+    Rows of one doc_id stay or go together; rows with a null doc_id stay.
+    """
+    gone = near_copies(docs).where("doc <> first").select("doc")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"))
+    return rows.join(gone, "doc", "left_anti").select("row.*")

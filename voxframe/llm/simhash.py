@@ -32,8 +32,8 @@ SEGMENT_BITS, BLOCKS = 2, 8
 XXH_SEED = 42
 
 U64 = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -46,7 +46,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE_W
     lengths = ends - starts
     place = np.concatenate([[0], np.cumsum(lengths + 1)])
     take = np.repeat(starts - place[:-1], lengths + 1) + np.arange(place[-1])
-    joined = _LOWER[data[np.minimum(take, len(data) - 1)]]
+    joined = LOWER[data[np.minimum(take, len(data) - 1)]]
     joined[place[1:] - 1] = 0x20
     raw = joined.tobytes()
     count = np.diff(words)
@@ -167,16 +167,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     return prints.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component.
-
-    Rows of one doc_id stay or go together; rows with a null doc_id stay.
-    """
-    keep = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id")
-    named = rows.where("doc_id IS NOT NULL").join(keep.hint("merge"), "doc_id", "left_semi")
-    return named.select("row").union(rows.where("doc_id IS NULL").select("row")).select("row.*")
-
-
 def op8(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
