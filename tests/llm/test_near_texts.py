@@ -74,3 +74,52 @@ def test_spanning_pairs_connect_groups_only():
     known = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 7, 7, 7])
     links = near_texts.spanning_pairs(known, short)
     assert len(links) == 2 + 3 and all(x // 4 == y // 4 and known[x] != known[y] for x, y in links)
+
+
+def families(rng, count, size, edited):
+    """Texts of families, copies edited from one original; a list of rows."""
+    rows = []
+    for _ in range(count):
+        original = [f"w{rng.randrange(10**6)}" for _ in range(404)]
+        for _ in range(size):
+            words = list(original)
+            for at in rng.sample(range(len(words)), rng.randint(*edited)):
+                words[at] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows) * 7919 % 100003, " ".join(words)))
+    return rows
+
+
+def pairs_in_bands(rows):
+    """Pairs of row numbers that share a band."""
+    found, held = set(), {}
+    raw = [t.encode() for _, t in rows]
+    hashes, bounds = near_texts.shingle_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for at, keys in enumerate(near_texts.band_keys(near_texts.sketches(hashes, bounds)).tolist()):
+        for key in keys:
+            found |= {(x, at) for x in held.get(key, [])}
+            held.setdefault(key, []).append(at)
+    return found
+
+
+def linked_ids(rows):
+    """The doc_ids that stay if all pairs of a band are verified and fingerprints link as well."""
+    first = list(range(len(rows)))
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    sets, fps = [brute_shingles(t) for _, t in rows], [brute_fingerprint(t) for _, t in rows]
+    near = {(x, y) for y in range(len(rows)) for x in range(y) if (fps[x] ^ fps[y]).bit_count() <= 4}
+    for x, y in near | {p for p in pairs_in_bands(rows) if alike(sets[p[0]], sets[p[1]])}:
+        x, y = sorted((find(x), find(y)), key=lambda i: rows[i][0])
+        first[y] = x
+    return sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
+def test_links_that_failed_ones_displace(spark):
+    """Families whose pairs lie on both sides of the threshold lose no copy that a band can find."""
+    rows = families(random.Random(4), 6, 20, (4, 6))
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    assert sorted(r.doc_id for r in near_texts.drop_near_copies(docs).collect()) == linked_ids(rows)

@@ -5,8 +5,9 @@ of 64 bits into blocks finds such pairs without comparing nearly all. So to the
 :mod:`.simhash` come those of shingle sets. A sketch of least hashes, BANDS of ROWS each, puts such a pair into
 a common band with probability 1 - (1 - SIMILARITY**ROWS)**BANDS, 0.996 at the threshold itself. Only bands
 that hold more than one group of fingerprints are looked at, so a group of copies, however large, costs nothing
-by itself. Within a band a maximum spanning tree by the sketches' estimate proposes links, never all
-pairs, and each is verified by the exact shingle sets.
+by itself. Within a band a maximum spanning tree by the sketches' estimate proposes links, and each is verified
+by the exact shingle sets. What these connect is one node; then all pairs of a band that still lie in
+different nodes are verified, since a link that failed may have displaced true ones.
 """
 
 from __future__ import annotations
@@ -97,14 +98,50 @@ def spanning_pairs(known: np.ndarray, short: np.ndarray) -> list[tuple[int, int]
     return links
 
 
+def crossing_pairs(node: np.ndarray, short: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All pairs of a row of ``left`` and one of ``right``, of two nodes, whose share of equal sketch values is PROPOSED at least."""
+    out = [np.empty((0, 2), np.int64)]
+    for x in left.tolist():
+        y = right[node[right] != node[x]]
+        y = y[(short[y] == short[x]).mean(axis=1) >= PROPOSED]
+        out.append(np.stack([np.full(len(y), x), y], axis=1))
+    return np.concatenate(out)
+
+
+_PAIRS = "a long, b long, ka long, kb long"
+
+
+def _pairs(rows: pa.Table, links: np.ndarray) -> pa.RecordBatch:
+    """Links of row numbers as links of documents, the smaller first, each with its group."""
+    doc, known = integers(rows, "doc"), integers(rows, "known")
+    x, y = links.T
+    x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[x], doc[y], known[x], known[y])], ["a", "b", "ka", "kb"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, int, int]]:
+    """For each value of ``key`` the table that holds its rows, all sketches of the table, and the first and the last row but one."""
+    for rows, _ in whole_keys(batches, key):
+        keys = integers(rows, key)
+        short = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(keys), -1)
+        start = np.flatnonzero(runs(keys))
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)]):
+            yield rows, short, a, b
+
+
 def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, _ in whole_keys(batches, "key"):
-        key, doc, known = (integers(rows, c) for c in ("key", "doc", "known"))
-        short = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
-        start = np.flatnonzero(runs(key))
-        links = [(a + x, a + y) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]) for x, y in spanning_pairs(known[a:b], short[a:b])]
-        x, y = np.array(links, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y]))], ["a", "b"])
+    for rows, short, a, b in _keyed(batches, "key"):
+        links = np.array(spanning_pairs(integers(rows, "node")[a:b], short[a:b]), np.int64).reshape(-1, 2)
+        if len(links):
+            yield _pairs(rows, links + a)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, short, a, b in _keyed(batches, "key"):
+        every = np.arange(b - a)
+        links = crossing_pairs(integers(rows, "node")[a:b], short[a:b], every, every)
+        if len(links):
+            yield _pairs(rows, links + a)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,22 +152,46 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(ends, signed(np.concatenate(sets)))], ["doc", "shingles"])
 
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose shingle sets are alike."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_shingle_sets, "doc long, shingles array<long>")
+    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = 5 * shared >= FIFTHS * (F.size("x") + F.size("y") - shared)
+    return checkpointed(both.where(alike).select(*pairs.columns).distinct())
+
+
+def _of_mixed_bands(cells: DataFrame) -> DataFrame:
+    """The cells of bands that hold more than one node."""
+    bands = cells.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    return cells.join(bands, "key", "left_semi")
+
+
+def _contracted(cells: DataFrame, alike: DataFrame) -> DataFrame:
+    """The cells with groups that ``alike`` connects as one node."""
+    merged = connected_components(alike.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).select(F.col("node").alias("known"), "component")
+    # One group may stand for a third of all cells; the sort-merge join splits such a partition.
+    return cells.drop("node").join(merged.hint("merge"), "known", "left").withColumn("node", F.coalesce("component", "known")).drop("component")
+
+
+def _by_key(cells: DataFrame, work) -> DataFrame:
+    return cells.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(work, _PAIRS).distinct()
+
+
 def similar_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Links (a, b) of doc_ids whose shingle sets are alike, as far as they connect different groups of ``known(doc, known)``."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").alias("doc"), text_or_empty().alias("text"))
     sketch = texts.mapInArrow(_sketched, "doc long, keys array<long>, sketch binary").join(known, "doc").withColumn("row", F.monotonically_increasing_id())
     sketch = checkpointed(sketch)
-    banded = sketch.select("row", "doc", "known", F.explode("keys").alias("key"))
-    mixed_bands = banded.groupBy("key").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo < hi").select("key")
-    cells = banded.join(mixed_bands, "key", "left_semi").join(sketch.select("row", "sketch"), "row")
-    pairs = checkpointed(cells.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_proposed, "a long, b long").where("a < b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_shingle_sets, "doc long, shingles array<long>")
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = 5 * shared >= FIFTHS * (F.size("x") + F.size("y") - shared)
-    return both.where(alike).select("a", "b").distinct()
+    banded = sketch.select("row", "doc", "known", F.col("known").alias("node"), F.explode("keys").alias("key"))
+    cells = checkpointed(_of_mixed_bands(banded).join(sketch.select("row", "sketch"), "row"))
+    tested = checkpointed(_by_key(cells, _proposed))
+    alike = _verified(tested, texts)
+    # A link that failed may have displaced true ones: try all pairs that still cross.
+    left = checkpointed(_by_key(_of_mixed_bands(_contracted(cells, alike)), _crossing).join(tested, ["a", "b"], "left_anti"))
+    return alike.union(_verified(left, texts)).select("a", "b")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
