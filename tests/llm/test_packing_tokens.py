@@ -112,6 +112,13 @@ def test_fast_ids_equal_the_tokenizer(tokenizer, texts):
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_long_whitespace(spark, tokenizer):
+    """Runs on which tiktoken runs out of stack."""
+    rows = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_200_000 + "a"), (3, "a b" + "\t" * 1_200_000), (4, "a" + " " * 10_000 + "b" + "\t\n" * 5_001)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    check_pieces(rows, packing.pack(docs, BPE).collect(), tokenizer)
+
+
 @pytest.fixture(scope="module")
 def unigram():
     t = Tokenizer(models.Unigram(token_counts.read_vocabulary(PIECES), unk_id=0, byte_fallback=True))

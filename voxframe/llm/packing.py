@@ -10,6 +10,7 @@ so no task holds all pieces of a length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -172,6 +173,26 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks of the file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Whitespace in a row that tiktoken is given; its expression runs out of stack between 300,000 and 1,000,000.
+LONGEST_RUN = 10_000
+_LONG_RUN = re.compile(r"\s{100,}")
+
+
+def file_ids(path: str):
+    """A function that gives a text's ids: by :func:`encoder`, and by ``tokenizers`` itself where whitespace runs on too long for it."""
+    from tokenizers import Tokenizer
+
+    plain, tokenizer = encoder(path).encode_ordinary, Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+
+    def ids(text: str) -> list[int]:
+        if len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _LONG_RUN.finditer(text)):
+            return tokenizer.encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return ids
+
+
 _encoders: dict[str, object] = {}
 
 #: Rows of pieces that are returned at a time, about.
@@ -189,8 +210,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = encoder(tokenizer_path)
-        encode, bucket = _encoders[tokenizer_path].encode_ordinary, TaskContext.get().partitionId()
+            _encoders[tokenizer_path] = file_ids(tokenizer_path)
+        encode, bucket = _encoders[tokenizer_path], TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([END_ID], "<u4").tobytes()
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
