@@ -119,6 +119,15 @@ def test_ids_of_long_whitespace(spark, tokenizer):
     check_pieces(rows, packing.pack(docs, BPE).collect(), tokenizer)
 
 
+def test_added_tokens_are_read_as_the_file_says(spark):
+    """Ids equal those of an unmodified tokenizer."""
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"  {end}\n\n{end}  x", f"<|{end}|>", f"a{end[:-1]} {end}b", f"{end}" + " " * 20_000 + f"a {end}"]
+    rows = list(enumerate([*texts, *ODD]))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    check_pieces(rows, packing.pack(docs, BPE).collect(), Tokenizer.from_file(BPE))
+
+
 @pytest.fixture(scope="module")
 def unigram():
     t = Tokenizer(models.Unigram(token_counts.read_vocabulary(PIECES), unk_id=0, byte_fallback=True))

@@ -179,16 +179,27 @@ _LONG_RUN = re.compile(r"\s{100,}")
 
 
 def file_ids(path: str):
-    """A function that gives a text's ids: by :func:`encoder`, and by ``tokenizers`` itself where whitespace runs on too long for it."""
+    """A function that gives a text's ids as the ``tokenizers`` file says, without its post-processor.
+
+    The file's added tokens are cut out first, the longest at each place; the text between them goes to
+    :func:`encoder`, or whole to ``tokenizers`` itself where whitespace runs on too long or a token takes its surroundings in.
+    """
     from tokenizers import Tokenizer
 
     plain, tokenizer = encoder(path).encode_ordinary, Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokens = tokenizer.get_added_tokens_decoder()
+    added = {t.content: k for k, t in tokens.items()}
+    bare = not any(t.single_word or t.lstrip or t.rstrip for t in tokens.values())
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
 
     def ids(text: str) -> list[int]:
-        if len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _LONG_RUN.finditer(text)):
+        holds = any(content in text for content in added)
+        if holds and not bare or len(text) > LONGEST_RUN and any(m.end() - m.start() > LONGEST_RUN for m in _LONG_RUN.finditer(text)):
             return tokenizer.encode(text, add_special_tokens=False).ids
-        return plain(text)
+        if not holds:
+            return plain(text)
+        # Every other part is an added token.
+        return [k for at, part in enumerate(cut.split(text)) for k in ([added[part]] if at % 2 else plain(part))]
 
     return ids
 
