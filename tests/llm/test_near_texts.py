@@ -123,3 +123,16 @@ def test_links_that_failed_ones_displace(spark):
     rows = families(random.Random(4), 6, 20, (4, 6))
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
     assert sorted(r.doc_id for r in near_texts.drop_near_copies(docs).collect()) == linked_ids(rows)
+
+
+def test_large_bands_are_dealt_out(spark, monkeypatch):
+    """Blocks of few rows give the same groups, and no task compares more."""
+    monkeypatch.setattr(near_texts, "BLOCK", 8)
+    rows = families(random.Random(9), 1, 90, (2, 6)) + [(500_000 + i, t) for i, t in families(random.Random(10), 2, 5, (4, 6))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    largest, worked = [], near_texts._worked
+    monkeypatch.setattr(near_texts, "_worked", lambda cells, work: largest.append(cells.groupBy("block").count().agg({"count": "max"}).first()[0] or 0) or worked(cells, work))
+    got = sorted(r.doc_id for r in near_texts.drop_near_copies(docs).collect())
+    assert got == linked_ids(rows)
+    # Two blocks of about 8 rows at random.
+    assert 1 < max(largest) <= 40

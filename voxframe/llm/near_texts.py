@@ -7,7 +7,8 @@ a common band with probability 1 - (1 - SIMILARITY**ROWS)**BANDS, 0.996 at the t
 that hold more than one group of fingerprints are looked at, so a group of copies, however large, costs nothing
 by itself. Within a band a maximum spanning tree by the sketches' estimate proposes links, and each is verified
 by the exact shingle sets. What these connect is one node; then all pairs of a band that still lie in
-different nodes are verified, since a link that failed may have displaced true ones.
+different nodes are verified, since a link that failed may have displaced true ones. A band of more than BLOCK
+rows is dealt into blocks for both, so no task holds a whole band.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ FIFTHS = 4
 BANDS, ROWS = 14, 5
 #: Least share of equal sketch values for a link to be verified; four deviations below the threshold.
 PROPOSED = 0.6
+#: Rows of a band that one task compares with each other, about.
+BLOCK = 512
 
 U64 = np.uint64
 _WORD, _SHINGLE = SpanHash(41), SpanHash(42)
@@ -130,16 +133,16 @@ def _keyed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
 
 
 def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, short, a, b in _keyed(batches, "key"):
+    for rows, short, a, b in _keyed(batches, "block"):
         links = np.array(spanning_pairs(integers(rows, "node")[a:b], short[a:b]), np.int64).reshape(-1, 2)
         if len(links):
             yield _pairs(rows, links + a)
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, short, a, b in _keyed(batches, "key"):
-        every = np.arange(b - a)
-        links = crossing_pairs(integers(rows, "node")[a:b], short[a:b], every, every)
+    for rows, short, a, b in _keyed(batches, "block"):
+        side = integers(rows, "side")[a:b]
+        links = crossing_pairs(integers(rows, "node")[a:b], short[a:b], np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         if len(links):
             yield _pairs(rows, links + a)
 
@@ -162,10 +165,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpointed(both.where(alike).select(*pairs.columns).distinct())
 
 
+def _band_nodes(cells: DataFrame) -> DataFrame:
+    """key, node and n, its rows, of each node of a band, with nodes and rows of the band; bands of one node are left out."""
+    counts = cells.groupBy("key", "node").agg(F.count("*").alias("n"))
+    bands = counts.groupBy("key").agg(F.count("*").alias("nodes"), F.sum("n").alias("rows"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("few")).where("nodes > 1")
+    return counts.join(bands.hint("merge"), "key")
+
+
 def _of_mixed_bands(cells: DataFrame) -> DataFrame:
-    """The cells of bands that hold more than one node."""
-    bands = cells.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    return cells.join(bands, "key", "left_semi")
+    """The cells of bands that hold more than one node, and rows, the number of rows of the band."""
+    bands = cells.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
+    return cells.join(bands.hint("merge"), "key")
 
 
 def _contracted(cells: DataFrame, alike: DataFrame) -> DataFrame:
@@ -175,8 +185,42 @@ def _contracted(cells: DataFrame, alike: DataFrame) -> DataFrame:
     return cells.drop("node").join(merged.hint("merge"), "known", "left").withColumn("node", F.coalesce("component", "known")).drop("component")
 
 
-def _by_key(cells: DataFrame, work) -> DataFrame:
-    return cells.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(work, _PAIRS).distinct()
+def _worked(cells: DataFrame, work) -> DataFrame:
+    return cells.repartition("block").sortWithinPartitions("block", "doc").mapInArrow(work, _PAIRS).distinct()
+
+
+def _forests(cells: DataFrame, seed: int) -> DataFrame:
+    """Links of a spanning forest of each block of about BLOCK rows, into which the rows of a band are dealt at random."""
+    deal = F.pmod(F.xxhash64("row", "key", F.lit(seed)), F.ceil(F.col("rows") / BLOCK))
+    return _worked(_of_mixed_bands(cells).withColumn("block", F.xxhash64("key", deal)), _proposed)
+
+
+def _representatives(cells: DataFrame, seed: int) -> DataFrame:
+    """A row of each node of each band."""
+    fields = ("row", "doc", "known", "sketch")
+    return cells.groupBy("key", "node").agg(F.min(F.struct(F.xxhash64("row", F.lit(seed)).alias("h"), *fields)).alias("one")).select("key", "node", *[f"one.{c}" for c in fields])
+
+
+def _all_crossing(cells: DataFrame) -> DataFrame:
+    """All pairs of a band that lie in two nodes and that the sketches take for alike.
+
+    Nodes of more than BLOCK rows have blocks of their own, the others share blocks; each pair of blocks that
+    can hold such pairs is worked on by itself, so a large node costs only its rows times the blocks of others.
+    """
+    nodes = _band_nodes(cells).withColumn("own", F.col("n") > BLOCK)
+    nodes = nodes.withColumn("alone", F.when(F.col("own"), F.col("node")).otherwise(F.lit(0))).withColumn("parts", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("few")) / BLOCK))
+    nodes = checkpointed(nodes.select("key", "node", "own", "alone", "parts"))
+    block = F.xxhash64("own", "alone", "part")
+    dealt = cells.join(nodes.hint("merge"), ["key", "node"]).withColumn("part", F.pmod(F.xxhash64("row", "key"), "parts")).withColumn("at", block)
+    dealt = checkpointed(dealt.select("key", "doc", "known", "node", "sketch", "at"))
+    blocks_ = nodes.select("key", "own", "alone", "parts").distinct().withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("at", block)
+    x, y = (blocks_.select("key", F.col("own").alias(f"own_{c}"), F.col("alone").alias(f"alone_{c}"), F.col("at").alias(c)) for c in "xy")
+    met = x.join(y, "key").where("x <= y AND NOT (own_x AND own_y AND alone_x = alone_y)").select("key", "x", "y", F.xxhash64("key", "x", "y").alias("block"))
+    met = checkpointed(met)
+    left = dealt.join(met.withColumnRenamed("x", "at"), ["key", "at"]).withColumn("side", F.when(F.col("at") == F.col("y"), 2).otherwise(0))
+    right = dealt.join(met.where("x < y").withColumnRenamed("y", "at"), ["key", "at"]).withColumn("side", F.lit(1))
+    columns = ("block", "side", "doc", "known", "node", "sketch")
+    return _worked(left.select(*columns).union(right.select(*columns)), _crossing)
 
 
 def similar_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -186,11 +230,21 @@ def similar_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     sketch = texts.mapInArrow(_sketched, "doc long, keys array<long>, sketch binary").join(known, "doc").withColumn("row", F.monotonically_increasing_id())
     sketch = checkpointed(sketch)
     banded = sketch.select("row", "doc", "known", F.col("known").alias("node"), F.explode("keys").alias("key"))
-    cells = checkpointed(_of_mixed_bands(banded).join(sketch.select("row", "sketch"), "row"))
-    tested = checkpointed(_by_key(cells, _proposed))
+    cells = checkpointed(_of_mixed_bands(banded).drop("rows").join(sketch.select("row", "sketch"), "row"))
+    seed, tested = 0, checkpointed(_forests(cells, 0))
     alike = _verified(tested, texts)
-    # A link that failed may have displaced true ones: try all pairs that still cross.
-    left = checkpointed(_by_key(_of_mixed_bands(_contracted(cells, alike)), _crossing).join(tested, ["a", "b"], "left_anti"))
+    now = _contracted(cells, alike)
+    # A band in blocks leaves a node or more for each: one row of each stands for it until their number fits a block.
+    while not _band_nodes(now).where(F.col("nodes") > BLOCK).isEmpty():
+        seed += 1
+        more = checkpointed(_forests(_representatives(now, seed), seed).join(tested, ["a", "b"], "left_anti"))
+        found = _verified(more, texts)
+        tested, alike = tested.union(more), alike.union(found)
+        if found.isEmpty():
+            break
+        now = _contracted(cells, alike)
+    # A link that failed may have displaced true ones, and other rows of a node may link: try all pairs that still cross.
+    left = checkpointed(_all_crossing(now).join(tested, ["a", "b"], "left_anti"))
     return alike.union(_verified(left, texts)).select("a", "b")
 
 
