@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
@@ -20,6 +22,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "4g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -38,6 +41,40 @@ def cancel(spark: SparkSession, tag: str) -> None:
     spark.sparkContext.cancelJobsWithTag(tag)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset and all tasks run in this process, as in tests, a temporary folder serves; a cluster has to name one.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_voxframe_folder"):
+        context._voxframe_folder = tempfile.mkdtemp(prefix="voxframe-")
+    return context._voxframe_folder
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows, read again from a new Parquet table in the shared folder, and its path; see :func:`discard`."""
+    path = new_path(df.sparkSession, "written")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that :func:`written` made and nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once for each context, so that Python workers can import it."""
     context = spark.sparkContext
