@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from voxframe.llm import packing, queries, token_counts
@@ -100,6 +102,27 @@ def test_packing_query(spark, sf_dir, texts, tokenizer):
     assert used <= least * 1.02 + 1
 
 
+def test_packing_in_order(spark, documents, texts, tokenizer, edge, edge_rows, empty):
+    """Sequences of a window hold its documents alone and follow their order; all windows but the last are full."""
+    order = {i: k for k, (i, _) in enumerate(sorted(texts))}
+    places = spark.createDataFrame([(i, k // 70, k % 70) for i, k in order.items()], "doc_id long, part long, at long")
+    rows = documents.join(places, "doc_id")
+    got = packing.pack_in_order(rows, BPE, (F.col("part"), F.col("at")), window_rows=60).collect()
+    used, least = check_pieces(texts, got, tokenizer)
+    assert used <= least * 1.02 + 4 and {r.sequence_id for r in got} == set(range(used))
+    windows, first = {}, {}
+    for r in got:
+        windows.setdefault(r.sequence_id, set()).add(order[r.doc_id] // 60)
+        first[r.sequence_id] = min(first.get(r.sequence_id, (1 << 30, 0)), (order[r.doc_id], r.piece))
+    assert all(len(w) == 1 for w in windows.values())
+    assert [first[k] for k in range(used)] == sorted(first.values())
+    at = edge.withColumn("_at", F.monotonically_increasing_id())
+    line = F.row_number().over(Window.partitionBy(F.spark_partition_id()).orderBy("_at")) - 1
+    numbered = at.withColumn("_file", F.spark_partition_id().cast("long")).withColumn("_row", line)
+    check_pieces([r[:2] for r in edge_rows], packing.pack_in_order(numbered, BPE, (F.col("_file"), F.col("_row").cast("long"))).collect(), tokenizer)
+    assert packing.pack_in_order(empty, BPE, (F.lit(0).cast("long"), F.lit(0).cast("long"))).count() == 0
+
+
 @pytest.mark.parametrize("capacity", [1024, 16])
 def test_packing_of_edge_rows(edge, edge_rows, empty, tokenizer, capacity):
     check_pieces([r[:2] for r in edge_rows], packing.pack(edge, BPE, capacity).collect(), tokenizer, capacity)

@@ -1,12 +1,11 @@
 """Each stage against brute force on its own input, on rows with exact and near copies and junk."""
 
-from collections import defaultdict
-
 import pytest
 
 import corpus_pipeline
-from voxframe.llm import quality, queries
-from voxframe.llm.runtime import table, written
+from voxframe.llm import mixing, quality, queries
+from voxframe.llm.runtime import table
+from voxframe.session import written
 
 from test_packing_tokens import BPE, check_pieces
 from test_near_texts import kept_ids
@@ -16,7 +15,7 @@ from test_near_texts import kept_ids
 def stages(spark, sf_dir):
     docs, out = table(spark, sf_dir, "documents"), []
     for _, stage in corpus_pipeline.STAGES:
-        out.append((docs, written(stage(spark, docs, sf_dir))))
+        out.append((docs, written(stage(spark, docs, sf_dir))[0]))
         docs = out[-1][1]
     return out
 
@@ -49,23 +48,23 @@ def test_one_of_near_copies_stays(stages):
     assert sorted(i for i, _ in kept) == kept_ids(docs) and len(kept) < len(docs)
 
 
-def test_mixing_keeps_all_and_interleaves(stages):
+def test_mixing_keeps_all_and_its_order_reaches_the_sequences(stages):
     docs, mixed = stages[3]
     assert sorted(pairs(docs)) == sorted(pairs(mixed))
-    runs = defaultdict(int)
-    rows = [r.source for r in mixed.select("source").collect()]
-    for a, b in zip(rows, rows[1:]):
-        runs[a == b] += 1
-    assert len(set(rows[:40])) >= 10
+    file, row = mixing.file_order(mixed)
+    order = [r.doc_id for r in mixed.select("doc_id", file.alias("f"), row.alias("r")).orderBy("f", "r").collect()]
+    assert order == [r.doc_id for r in mixing.mix(docs, columns=["doc_id"]).orderBy("mix_block", "source", "at").select("row.doc_id").collect()]
+    first = {}
+    for r in stages[4][1].collect():
+        first[r.sequence_id] = min(first.get(r.sequence_id, 1 << 30), order.index(r.doc_id))
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
 
 
 def test_packed(spark, sf_dir, stages):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     docs, packed = stages[4]
-    used, least = check_pieces(pairs(docs), packed.collect(), t)
+    used, least = check_pieces(pairs(docs), packed.collect(), Tokenizer.from_file(BPE))
     assert used <= least * 1.02 + 1
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
 

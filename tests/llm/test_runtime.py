@@ -1,23 +1,17 @@
-from types import SimpleNamespace
-
 from voxframe.llm import runtime
 
 
-def fake(master, **conf):
-    return SimpleNamespace(
-        sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k, d=None: conf.get(k.replace(".", "_"), d))),
-        conf=SimpleNamespace(get=lambda k: "hdfs://warehouse"),
-    )
-
-
-def test_shared_folder():
-    assert runtime.shared_folder(fake("yarn", spark_checkpoint_dir="hdfs://c")) == "hdfs://c"
-    assert runtime.shared_folder(fake("local[4]", spark_checkpoint_dir="file:///c")) == "file:///c"
-    assert runtime.shared_folder(fake("yarn")) == runtime.shared_folder(fake("local-cluster[2,1,512]")) == "hdfs://warehouse/_shared"
-    own = fake("local[2]")
-    assert runtime.shared_folder(own) == runtime.shared_folder(own) != runtime.shared_folder(fake("local"))
+def test_checkpointed_rows(spark):
+    assert runtime.checkpointed(spark.range(10)).count() == 10
 
 
-def test_written_and_checkpointed_rows(spark):
-    rows = spark.range(10)
-    assert runtime.written(rows).count() == runtime.checkpointed(rows).count() == 10
+def test_batches_are_bounded_unless_the_caller_says_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "12345")
+        assert runtime.prepare(spark).conf.get(name) == "12345"
+        spark.conf.unset(name)
+        assert runtime.prepare(spark).conf.get(name) == str(runtime.ARROW_BATCH_BYTES)
+    finally:
+        spark.conf.set(name, before)

@@ -6,6 +6,10 @@ dominate every alternative are fixed as sequences for good, and best fit decreas
 both work on runs of equal pieces. The result is a list of patterns with how often each is used. Pieces
 then find their sequence by their rank among the pieces of their length: a prefix sum over partitions,
 so no task holds all pieces of a length.
+
+Documents that come in an order, such as that of a mixture, are packed in windows of it: each window of
+WINDOW_ROWS documents is an instance of its own, and sequences are numbered along the order, so what is read
+first still holds the mixture.
 """
 
 from __future__ import annotations
@@ -16,9 +20,10 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,8 +33,8 @@ from .textbytes import integers
 CAPACITY = 1024
 #: Id that ends each document.
 END_ID = 2
-# Fixed value: the pattern that splits text in byte-level BPE files of this kind.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Documents of an order that are packed together.
+WINDOW_ROWS = 16_384
 
 
 class Pattern(NamedTuple):
@@ -156,11 +161,12 @@ class Places:
 
 
 def encoder(path: str):
-    """The byte-level BPE of a ``tokenizers`` file, whole texts to ids, special tokens read as ordinary text.
+    """The byte-level BPE of a ``tokenizers`` file, whole texts to ids, added tokens read as ordinary text.
 
     The file's ids ascend with its merges, so they serve as the ranks by which tiktoken applies the same
     merges in a third of the time.
     """
+    import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -170,7 +176,7 @@ def encoder(path: str):
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*printable}))}
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     ranks = {bytes(byte_of[c] for c in piece): k for piece, k in tokenizer.get_vocab().items() if piece not in special}
-    return tiktoken.Encoding("ranks of the file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks of the file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 #: Whitespace in a row that tiktoken is given; its expression runs out of stack between 300,000 and 1,000,000.
@@ -212,10 +218,12 @@ _STEP = 4096
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int, rank long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of the tokenised texts, each with its rank among the pieces of its length in its partition (``bucket``).
 
-    A document is its ids and END_ID. One longer than ``capacity`` is cut so that all but its first piece are full.
+    A document is its ids and END_ID. One longer than ``capacity`` is cut so that all but its first piece are
+    full. Null texts are empty, rows that repeat others give pieces of their own. ``keep`` names columns of
+    whole numbers that each piece takes along from its row.
     """
     prepare(docs.sparkSession)
 
@@ -225,23 +233,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         encode, bucket = _encoders[tokenizer_path], TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         end = np.array([END_ID], "<u4").tobytes()
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "rank"]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.int64()] * len(keep)]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "rank", *keep]
         for rows in batches:
             texts, out = rows.column(1), []
+            kept = [c.to_pylist() for c in rows.columns[2:]]
             for at, name in enumerate(rows.column(0).to_pylist()):
                 ids = np.array(encode(texts[at].as_py()), "<u4").tobytes() + end
                 n = len(ids) // 4
                 start, to = 0, n - (n - 1) // capacity * capacity
                 for piece in range((n - 1) // capacity + 1):
-                    out.append((name, piece, start, to - start, zlib.crc32(ids[4 * start : 4 * to]), bucket, seen[to - start]))
+                    out.append((name, piece, start, to - start, zlib.crc32(ids[4 * start : 4 * to]), bucket, seen[to - start], *[c[at] for c in kept]))
                     seen[to - start] += 1
                     start, to = to, to + capacity
                 if len(out) >= _STEP or out and at == rows.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                     out = []
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, _PIECES)
+    schema = ", ".join([_PIECES, *[f"{c} long" for c in keep]])
+    return docs.select("doc_id", text_or_empty().alias("text"), *keep).mapInArrow(cut, schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -258,6 +268,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     counts = [0] * (capacity + 1)
     for row in own.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
         counts[row["length"]] = row["n"]
+    # A pattern uses up a length or the open sequences of another pattern, so there are about as many as lengths: 1,300 of
+    # capacity 1024 for 10**4 pieces and for 10**11.
     places = docs.sparkSession.sparkContext.broadcast(Places(pack_lengths(counts, capacity)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +281,43 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence long, offset long"
+
+
+def _pack_window(capacity: int):
+    def pack_rows(window: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["at", "piece"], kind="stable")
+        lengths = rows["length"].to_numpy()
+        ranks = rows.groupby("length", sort=False).cumcount().to_numpy()
+        sequence, offset = Places(pack_lengths(np.bincount(lengths, minlength=capacity + 1).tolist(), capacity)).find(lengths, ranks)
+        # Sequences follow the order of their first documents.
+        _, first, number = np.unique(sequence, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        return pd.concat([pd.Series([window[0]] * len(rows), rows.index, name="window"), rows[["doc_id", "piece", "start", "length", "ids_crc32"]]], axis=1).assign(sequence=rank[number], offset=offset)
+
+    return pack_rows
+
+
+def pack_in_order(docs: DataFrame, tokenizer_path: str, order: tuple[Column, Column], capacity: int = CAPACITY, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """As :func:`pack`, in windows of ``window_rows`` documents of an order; sequence_id counts from 0 along it.
+
+    ``order`` is a number of a file (or another part) and the row's place in it, from 0, no two rows at one place.
+    """
+    rows = docs.select(docs["doc_id"], docs["text"], order[0].alias("part"), order[1].alias("at"))
+    # A row for each file.
+    line = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg((F.max("at") + 1).alias("n"))
+    bases = parts.select("part", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("base"))
+    pieces = token_pieces(rows, tokenizer_path, capacity, ("part", "at")).join(bases, "part").withColumn("at", F.col("at") + F.col("base"))
+    pieces = pieces.select(F.expr(f"at div {window_rows}").alias("window"), "at", "doc_id", "piece", "start", "length", "ids_crc32")
+    placed = checkpointed(pieces.groupBy("window").applyInPandas(_pack_window(capacity), f"window long, {_PLACED}"))
+    windows = placed.groupBy("window").agg((F.max("sequence") + 1).alias("n"))
+    line = Window.partitionBy(F.lit(0)).orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = windows.select("window", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("first"))
+    return placed.join(firsts, "window").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("sequence")).alias("sequence_id"), "offset")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

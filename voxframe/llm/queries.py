@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc_fixity": warc_fixity.OP1_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op7_source_mixing": mixing.OP7_SQL,
 }

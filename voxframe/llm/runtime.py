@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_folder, ship_package
 
 #: Bytes that one Arrow batch between the JVM and a Python worker may hold.
 ARROW_BATCH_BYTES = 16 << 20
+#: Spark's own bound, as the session gives it where nothing is set.
+DEFAULT_BATCH = f"{64 << 20}b"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes, not only by rows, since texts differ in length by orders of magnitude, and ship this package."""
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
-    return spark
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where the cluster names none.
+    """Ship this package, and bound Arrow batches by bytes to less than Spark's default, as several are in memory at a time.
 
-    A temporary folder of this machine serves only where all tasks run in this process, as in tests.
+    The bound holds for the session from here on, as plans run later; one that the caller has set stays.
     """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        if not hasattr(context, "_voxframe_folder"):
-            context._voxframe_folder = tempfile.mkdtemp(prefix="voxframe-")
-        return context._voxframe_folder
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH:
+        spark.conf.set(name, str(ARROW_BATCH_BYTES))
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -46,13 +33,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read again from a new Parquet table in the shared folder; the caller owns the files."""
-    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
