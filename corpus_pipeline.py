@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxframe.llm import exact_dedup, mixing, near_texts, packing, quality
-from voxframe.llm.runtime import table, written
+from voxframe.llm.runtime import table
+from voxframe.session import discard, written
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +29,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture; files and their rows follow it."""
+    """All documents, in the order of the mixture; files and their rows follow it, which the next stage reads back."""
     return mixing.in_mixed_order(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 tokens."""
+    """Pieces of all documents in sequences of 1024 tokens, packed in windows of the mixture and numbered along it."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_in_order(docs, public_tokenizers.path("byte_bpe_50k.json"), mixing.file_order(docs))
 
 
 STAGES = [
@@ -52,7 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages in a row; a stage's table goes when the next one's is written, and the last, which the result reads, stays."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, done = written(stage(spark, docs, sf_dir))
+        if path:
+            discard(spark, path)
+        path = done
     return STAGES[-1][1](spark, docs, sf_dir)
