@@ -107,15 +107,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     """Every document with the document of its text that stays.
 
     Returns doc_id, keep_id (largest doc_id of the same text), group_size (rows of ``docs`` with this
-    text), kept, text_sha256, n_bytes. Null texts equal empty ones. Rows that repeat both doc_id and text
-    are one document: they give one row and all count in group_size. A null doc_id sorts below all others,
-    so such a row stays only if all doc_ids of its text are null. Other columns of ``docs`` are ignored.
+    text), kept, text_sha256, n_bytes, one row for each row of ``docs``. Null texts equal empty ones. Rows that
+    repeat both doc_id and text are one document: each gives its row, with the same values, and all count in
+    group_size. A null doc_id sorts below all others, so such a row stays only if all doc_ids of its text are
+    null. Other columns of ``docs`` are ignored.
     """
     lists = verified_lists(recipes(docs))
-    documents = lists.groupBy("ids", "doc_id").agg(F.count("*").alias("rows"), F.first("text_sha256").alias("text_sha256"), F.first("n_bytes").alias("n_bytes"))
     groups = lists.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     # A third of all rows may share one list; the sort-merge join splits such a partition.
-    return documents.join(groups.hint("merge"), "ids").select(
+    return lists.join(groups.hint("merge"), "ids").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes"
     )
 
@@ -137,6 +137,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
