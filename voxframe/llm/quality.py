@@ -82,12 +82,15 @@ def hashed_ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarra
 
 
 def scores(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Scores of the block's texts; a text without words has no feature, so its score is that of the bias."""
+    """Scores of the block's texts; a text without words has no feature, so its score is that of the bias.
+
+    Each text's sum is its own, so equal texts have equal scores whatever stands beside them.
+    """
     kinds, words = hashed_ngrams(data, offsets)
-    total = np.zeros(len(offsets) - 1)
+    total, some = np.zeros(len(offsets) - 1), np.flatnonzero(np.diff(words))
     for index in kinds:
-        sums = np.concatenate([[0.0], np.cumsum(weights[index])])
-        total += sums[words[1:]] - sums[words[:-1]]
+        if len(some):
+            total[some] += np.add.reduceat(weights[index].astype(np.float64), words[some])
     return 1 / (1 + np.exp(-(bias + SCALE * total / np.maximum(1, KINDS * np.diff(words)))))
 
 
@@ -112,16 +115,31 @@ def train_ftrl(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, e
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + root) / ALPHA + L2)), float(-zb / ((BETA + np.sqrt(nb)) / ALPHA))
 
 
-def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
-    data, offsets = column_bytes(pa.array([text]))
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices, ascending, of one text's features and how often each occurs."""
     kinds, _ = hashed_ngrams(data, offsets)
-    index, count = np.unique(np.concatenate(kinds), return_counts=True)
-    return index, count * (SCALE / max(1, KINDS * len(kinds[0])))
+    return np.unique(np.concatenate(kinds), return_counts=True)
+
+
+def _frequencies(count: np.ndarray) -> np.ndarray:
+    """Values of a vector: each word counts once of each kind."""
+    return count * (SCALE / max(1, int(count.sum())))
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as sparse counts, 2**BITS at the most, however long they are."""
+    for rows in batches:
+        for at in range(rows.num_rows):
+            row = rows.slice(at, 1)
+            index, count = _counted(*column_bytes(row.column(row.schema.get_field_index("text"))))
+            kept = [row.column(row.schema.get_field_index(c)) for c in ("doc_id", "label", "order", "digest")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([index.astype(np.int32)]), pa.array([count.astype(np.int32)])], ["doc_id", "label", "order", "digest", "index", "count"])
 
 
 def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["order", "doc_id"])
-    weights, bias = train_ftrl([_sparse(t) for t in rows["text"]], rows["label"].to_numpy(float))
+    texts = [(index, _frequencies(count)) for index, count in zip(rows["index"], rows["count"])]
+    weights, bias = train_ftrl(texts, rows["label"].to_numpy(float))
     index = np.flatnonzero(weights)
     fixed = np.round(np.append(weights[index], bias) / STEP).astype(np.int64)
     return pd.DataFrame({"index": np.append(index, -1).astype(np.int32), "weight": fixed})
@@ -136,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     """Weights and bias learned from ``labels(doc_id, label)``, from ``max_rows`` labelled texts at the most.
 
     Doc_ids with differing labels, null labels or labels other than 0 and 1 teach nothing; of several texts
-    of one doc_id the least does. Without any label both are zero and every score is 0.5.
+    of one doc_id the one of the least SHA-256 does. Texts become sparse counts before the shuffle. Without any label both are zero and every score is 0.5.
     """
     prepare(docs.sparkSession)
     clean = labels.where("label IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
@@ -145,9 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[n
     # An even spread of hashes: the share of them that makes nine tenths of max_rows, so that chance doesn't exceed it.
     if n > max_rows:
         clean = clean.where(F.pmod("order", F.lit(1 << 20)) < int((1 << 20) * 0.9 * max_rows / n))
+    # At most ``max_rows`` rows of three numbers are broadcast.
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(clean), "doc_id")
-    rows = rows.groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
-    shards = rows.withColumn("shard", F.pmod(F.shiftright("order", 24), F.lit(SHARDS))).groupBy("shard").applyInPandas(_train_shard, "index int, weight long")
+    rows = rows.select("doc_id", "label", "order", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
+    vectors = rows.mapInArrow(_vectors, "doc_id long, label int, order long, digest string, index array<int>, count array<int>")
+    vectors = vectors.groupBy("doc_id", "label", "order").agg(F.min(F.struct("digest", "index", "count")).alias("v")).select("doc_id", "label", "order", "v.index", "v.count")
+    shards = vectors.withColumn("shard", F.pmod(F.shiftright("order", 24), F.lit(SHARDS))).groupBy("shard").applyInPandas(_train_shard, "index int, weight long")
     learned = shards.groupBy("index").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).toPandas()
     weights, bias = np.zeros(1 << BITS), 0.0
     if len(learned):
