@@ -8,7 +8,7 @@ from voxframe.llm.runtime import table
 from voxframe.session import written
 
 from test_packing_tokens import BPE, check_pieces
-from test_near_texts import kept_ids
+from test_simhash import kept_rows
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +45,7 @@ def test_one_of_equal_texts_stays(stages):
 
 def test_one_of_near_copies_stays(stages):
     docs, kept = map(pairs, stages[2])
-    assert sorted(i for i, _ in kept) == kept_ids(docs) and len(kept) < len(docs)
+    assert sorted(kept) == kept_rows(docs) and len(kept) < len(docs)
 
 
 def test_mixing_keeps_all_and_its_order_reaches_the_sequences(stages):

@@ -44,6 +44,20 @@ def check(rows, got):
     assert sorted(map(key, got)) == sorted(key((i, f"{f:016x}", c)) for (i, _), f, c in zip(rows, fps, want))
 
 
+def kept_rows(rows):
+    """The rows that stay where each component keeps its smallest doc_id."""
+    component = brute_components([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows])
+    return sorted((r for r, c in zip(rows, component) if r[0] is None or r[0] == c), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def test_near_copies_dropped_with_all_columns(edge, edge_rows, empty):
+    kept = simhash.drop_near_copies(edge)
+    assert kept.columns == edge.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    assert got == kept_rows([r[:2] for r in edge_rows])
+    assert simhash.drop_near_copies(empty).count() == 0
+
+
 def test_edge_rows(edge, edge_rows):
     check([r[:2] for r in edge_rows], [tuple(r) for r in simhash.near_duplicates(edge).collect()])
 
@@ -74,8 +88,9 @@ def test_links_connect_all_that_is_near(spark, seed):
 def test_bound_is_below_distance():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-    low = np.abs(simhash.segment_counts(a).astype(int) - simhash.segment_counts(b)).sum(axis=1)
-    assert (low <= np.bitwise_count(a ^ b)).all()
+    counts = lambda x: np.array([[(int(v) >> k & 3).bit_count() for k in range(0, 64, 2)] for v in x])
+    low = np.bitwise_count(simhash.embedded(a) ^ simhash.embedded(b))
+    assert (low == np.abs(counts(a) - counts(b)).sum(axis=1)).all() and (low <= np.bitwise_count(a ^ b)).all()
 
 
 def test_long_chain_of_links(spark):
@@ -86,3 +101,64 @@ def test_long_chain_of_links(spark):
 
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_cells_and_parts_stay_whole(size, monkeypatch):
+    """Cells of all sizes, cut into batches of any size: the links connect what brute force connects, and only bounded runs are held."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 50)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    # Fingerprints with the same counts in every segment, hence one cell of each choice: 01 and 10 at random.
+    middle = np.uint64(0x5555555555555555) << rng.integers(0, 2, (600, 1), dtype=np.uint64)
+    swap = rng.integers(0, 1 << 63, 600, dtype=np.uint64) & np.uint64(0x5555555555555555)
+    one = np.uint64(0x5555555555555555) ^ (swap | swap << np.uint64(1))
+    near = one[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
+    fps = np.unique(np.concatenate([base, base ^ np.uint64(3), middle[:, 0], one, near]))
+    parent = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    held = []
+    for key in simhash.cell_keys(fps):
+        order = np.argsort(signed(key), kind="stable")
+        table = pa.table({"key": signed(key)[order], "fp": signed(fps)[order]})
+        for k, f in simhash.whole_cells(iter(table.to_batches(max_chunksize=size))):
+            held.append(len(k))
+            for x, y in zip(*simhash.cell_links(k, f)):
+                assert (int(x) ^ int(y)).bit_count() <= 4
+                parent[find(int(x))] = find(int(y))
+    groups = {}
+    for f, c in zip(fps.tolist(), brute_components(list(range(len(fps))), fps.tolist())):
+        groups.setdefault(c, set()).add(find(f))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+    assert size > 50 or max(held) <= 250
+
+
+def test_a_hundred_thousand_fingerprints_of_one_cell(spark):
+    """All counts are one, so every fingerprint is in the same 70 cells: parts keep the work near linear."""
+    rng = np.random.default_rng(1)
+    swap = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64) & np.uint64(0x5555555555555555)
+    fps = np.uint64(0x5555555555555555) ^ (swap | swap << np.uint64(1))
+    # Each has a partner with one segment turned, 01 for 10, which are two bits.
+    turned = fps ^ (np.uint64(3) << (rng.integers(0, 32, len(fps), dtype=np.uint64) * np.uint64(2)))
+    nodes = np.unique(np.concatenate([fps, turned]))
+    assert len(np.unique(simhash.embedded(nodes))) == 1
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in signed(nodes)], "fp long").repartition(4)).toPandas()
+    found = set(zip(links["a"], links["b"]))
+    pair = zip(np.minimum(signed(fps), signed(turned)).tolist(), np.maximum(signed(fps), signed(turned)).tolist())
+    first = {}
+
+    def find(x):
+        while first.setdefault(x, x) != x:
+            x = first[x]
+        return x
+
+    for a, b in found:
+        first[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, b in pair)

@@ -1,11 +1,17 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the counts of set bits in its segments of SEGMENT_BITS. The Manhattan
-distance of two such vectors is a lower bound of the fingerprints' Hamming distance, so the join within
-RADIUS bits is a range join in the space of counts. The space is cut into BLOCKS blocks of coordinates:
-if the distance is at most RADIUS, at least BLOCKS - RADIUS blocks agree in every count. For each choice
-of that many blocks their counts are a grid cell, and only fingerprints of one cell are compared: first
-by Manhattan distance, then exactly by Hamming distance.
+A 64-bit fingerprint is mapped to the counts of set bits in its segments of two bits. The Manhattan distance of
+two such vectors is a lower bound of the fingerprints' Hamming distance, so the join within RADIUS bits is a
+range join in the space of counts. Counts are written in unary, 00, 01 and 11, so that a vector is again one
+64-bit number and the Manhattan distance of two is the number of bits in which they differ.
+
+The space is cut into BLOCKS blocks of coordinates: if the distance is at most RADIUS, at least BLOCKS - RADIUS
+blocks agree. For each choice of that many blocks their counts are a grid cell, and only fingerprints of one
+cell are compared: first by Manhattan distance, then exactly by Hamming distance.
+
+Counts crowd in the middle, so cells are uneven. A cell of more than CELL_ROWS fingerprints is divided by the
+bits of the blocks chosen: as RADIUS bits touch at most RADIUS blocks, any two near fingerprints agree in the
+bits, and not only in the counts, of some choice of blocks, so dividing cells loses no link.
 
 Equal fingerprints are one node from the start. Within a cell a breadth-first search compares each node it
 reaches only with those not yet reached and returns one link for each, so a cell of n near copies costs
@@ -25,11 +31,15 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .runtime import checkpointed, prepare, table, text_or_empty
-from .textbytes import blocks, integers, mixed, runs, signed, whole_keys, word_spans
+from .textbytes import blocks, integers, mixed, runs, signed, word_spans
 
 SHINGLE_WORDS, RADIUS = 4, 4
-SEGMENT_BITS, BLOCKS = 2, 8
+BLOCKS = 8
 XXH_SEED = 42
+#: Fingerprints of a cell up to which they are compared as they are, and that are compared with one at a time.
+CELL_ROWS, CHUNK = 8192, 1 << 16
+#: Lower bits of a key that tell the parts of a cell.
+PART_BITS = 24
 
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,47 +75,60 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE_W
     return out
 
 
-def segment_counts(fps: np.ndarray, bits: int = SEGMENT_BITS) -> np.ndarray:
-    """The embedding: a row for each fingerprint, a column for each segment."""
-    parts = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return parts.reshape(len(fps), 64 // bits, bits).sum(axis=2, dtype=np.uint8)
+def embedded(fps: np.ndarray) -> np.ndarray:
+    """The counts of set bits in the 32 segments of each fingerprint, in unary."""
+    odd = U64(0x5555555555555555)
+    low, high = fps & odd, fps >> U64(1) & odd
+    return (low | high) | (low & high) << U64(1)
 
 
 def cell_keys(fps: np.ndarray, radius: int = RADIUS, block_count: int = BLOCKS) -> Iterator[np.ndarray]:
-    """For each choice of blocks that must agree, the keys of the fingerprints' cells."""
-    counts = segment_counts(fps)
-    edges = np.linspace(0, counts.shape[1], block_count + 1).astype(int)
-    power = U64(3) ** np.arange(counts.shape[1], dtype=U64) if SEGMENT_BITS == 2 else U64(SEGMENT_BITS + 1) ** np.arange(counts.shape[1], dtype=U64)
-    block = [(counts[:, a:b] * power[: b - a]).sum(axis=1, dtype=U64) for a, b in zip(edges[:-1], edges[1:])]
+    """For each choice of blocks that must agree, the keys of the fingerprints' cells; the lower PART_BITS tell the bits of these blocks."""
+    counts, width = embedded(fps), 64 // block_count
+    mask, golden = U64((1 << width) - 1), U64(0x9E3779B97F4A7C15)
+    block = [(counts >> U64(b * width) & mask, fps >> U64(b * width) & mask) for b in range(block_count)]
+    low = U64((1 << PART_BITS) - 1)
     for number, chosen in enumerate(combinations(range(block_count), block_count - radius)):
-        key = np.full(len(fps), number + 1, U64)
+        cell = np.full(len(fps), number + 1, U64)
+        part = np.zeros(len(fps), U64)
         for b in chosen:
-            key = mixed(key * U64(0x9E3779B97F4A7C15) + block[b])
-        yield key
+            cell = mixed(cell * golden + block[b][0])
+            part = mixed(part * golden + block[b][1])
+        yield cell & ~low | part & low
 
 
 def _spanning_links(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what is connected within one cell: each reached node is compared with all not yet reached."""
-    counts = segment_counts(fps).astype(np.int8)
+    counts = embedded(fps)
     left, links = np.arange(len(fps)), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
-            at = queue.pop()
-            near = left[np.abs(counts[left] - counts[at]).sum(axis=1, dtype=np.int16) <= radius] if len(left) < 4096 else left
-            near = near[np.bitwise_count(fps[near] ^ fps[at]) <= radius]
-            if len(near):
-                links.append((np.full(len(near), fps[at]), fps[near]))
-                left = np.setdiff1d(left, near, assume_unique=True)
-                queue += near.tolist()
+            at, kept = queue.pop(), []
+            for k in range(0, len(left), CHUNK):
+                some = left[k : k + CHUNK]
+                near = np.bitwise_count(counts[some] ^ counts[at]) <= radius
+                near[near] = np.bitwise_count(fps[some[near]] ^ fps[at]) <= radius
+                found = some[near]
+                kept.append(some[~near] if len(found) else some)
+                if len(found):
+                    links.append((np.full(len(found), fps[at]), fps[found]))
+                    queue += found.tolist()
+            left = np.concatenate(kept)
     return links
 
 
-def cell_links(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each run of equal keys."""
-    key, fp = integers(rows, "key"), integers(rows, "fp").view(U64)
-    start = np.flatnonzero(runs(key))
+def cell_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each run of equal cells of sorted keys; a large cell is taken part by part."""
+    cell = key >> U64(PART_BITS)
+    start = np.flatnonzero(runs(cell))
     size = np.diff(np.append(start, len(key)))
+    large = np.flatnonzero(size > CELL_ROWS)
+    if len(large):
+        # Parts of large cells stand for cells of their own.
+        apart = np.repeat(size > CELL_ROWS, size)
+        start = np.flatnonzero(runs(cell, np.where(apart, key, U64(0))))
+        size = np.diff(np.append(start, len(key)))
     pairs = start[size == 2]
     left, right = [fp[pairs]], [fp[pairs + 1]]
     for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
@@ -113,21 +136,56 @@ def cell_links(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
             left.append(x)
             right.append(y)
     x, y = np.concatenate(left), np.concatenate(right)
-    bound = np.abs(segment_counts(x).astype(np.int8) - segment_counts(y).astype(np.int8)).sum(axis=1, dtype=np.int16) <= radius
+    bound = np.bitwise_count(embedded(x) ^ embedded(y)) <= radius
     x, y = x[bound], y[bound]
     near = np.bitwise_count(x ^ y) <= radius
     return x[near], y[near]
 
 
-def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer, of every whole text."""
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and fingerprints of a partition regrouped so that no cell is cut, or, once it is large, no part of one."""
+    keys, fps, rows, parts = [], [], 0, False
+    for batch in batches:
+        key, fp = integers(batch, "key").view(U64), integers(batch, "fp").view(U64)
+        while len(key):
+            # Where the batch may be cut: at the last change of cell, or of part within a large cell.
+            unit = key if parts else key >> U64(PART_BITS)
+            held = keys[-1][-1] if keys else key[0]
+            held = held if parts else held >> U64(PART_BITS)
+            changes = np.flatnonzero(np.append(unit[:1] != held, unit[1:] != unit[:-1]))
+            if not len(changes):
+                keys.append(key)
+                fps.append(fp)
+                rows += len(key)
+                if parts or rows <= CELL_ROWS:
+                    break
+                # The cell is large: what is held goes on part by part.
+                key, fp = np.concatenate(keys), np.concatenate(fps)
+                keys, fps, rows, parts = [], [], 0, True
+                continue
+            at = int(changes[-1])
+            if at:
+                keys.append(key[:at])
+                fps.append(fp[:at])
+            yield np.concatenate(keys), np.concatenate(fps)
+            before = keys[-1][-1]
+            key, fp, keys, fps, rows = key[at:], fp[at:], [], [], 0
+            parts = parts and key[0] >> U64(PART_BITS) == before >> U64(PART_BITS)
+    if keys:
+        yield np.concatenate(keys), np.concatenate(fps)
+
+
+def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed 64-bit integer, and ``keep``, columns of type long, of every whole text."""
     prepare(docs.sparkSession)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(signed(fingerprints(data, offsets, shingle)))], ["doc_id", "fp"])
+            kept = rows.columns[2:]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(signed(fingerprints(data, offsets, shingle))), *kept], ["doc_id", "fp", *keep])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(made, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in keep]])
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *keep).mapInArrow(made, schema)
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -140,23 +198,24 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(fps)], ["key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in whole_keys(batches, "key"):
-            x, y = map(signed, cell_links(rows, radius))
+        for key, fp in whole_cells(batches):
+            x, y = map(signed, cell_links(key, fp, radius))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    cells = nodes.mapInArrow(keyed, "key long, fp long").repartition("key").sortWithinPartitions("key")
+    cells = nodes.mapInArrow(keyed, "key long, fp long").repartition(F.shiftrightunsigned("key", PART_BITS)).sortWithinPartitions("key")
     return cells.mapInArrow(linked, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its fingerprint and the component of near-duplicates that it belongs to.
 
     Returns doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id that links of
-    at most ``radius`` differing bits reach from it. Null texts are empty; texts without words have
-    fingerprint zero and link like others. Repeated rows give repeated rows. A null doc_id never names a
-    component unless all doc_ids of the component are null. Other columns of ``docs`` are ignored.
+    at most ``radius`` differing bits reach from it, and ``keep``, columns of type long that go along. Null
+    texts are empty; texts without words have fingerprint zero and link like others. Repeated rows give
+    repeated rows. A null doc_id never names a component unless all doc_ids of the component are null. Other
+    columns of ``docs`` are ignored.
     """
-    prints = checkpointed(fingerprint_table(docs, shingle))
+    prints = checkpointed(fingerprint_table(docs, shingle, keep))
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = fingerprint_links(nodes.select("fp"), radius)
     labels = connected_components(links)
@@ -164,7 +223,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, radius: int =
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(smallest, "component").select("fp", "component_id")
     # One fingerprint may stand for a third of all documents; the sort-merge join splits such a partition.
-    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whatever these are named, but for those whose component holds a smaller doc_id.
+
+    So of each component the smallest doc_id stays. Rows that repeat each other stay or go together; rows
+    without doc_id stay, as there is nothing to rank them by.
+    """
+    text = text_or_empty()
+    named = near_duplicates(docs.select("doc_id", "text", F.xxhash64(text).alias("tag")), keep=("tag",))
+    # Text and doc_id together name a row's component; the hash is of texts of one doc_id only.
+    gone = named.where("doc_id > component_id").select(F.col("doc_id").alias("doc"), "tag").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("tag"))
+    return rows.join(gone, ["doc", "tag"], "left_anti").select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
