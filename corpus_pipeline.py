@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxframe.llm import exact_dedup, mixing, near_texts, packing, quality
+from voxframe.llm import exact_dedup, mixing, packing, quality, simhash
 from voxframe.llm.runtime import table
 from voxframe.session import discard, written
 
@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies, linked by fingerprint or by four fifths of their five-word shingles, the document with the smallest doc_id."""
-    return near_texts.drop_near_copies(docs)
+    """Of documents that links of fingerprints connect, the one with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
