@@ -112,6 +112,11 @@ def test_suffix_query(spark, sf_dir, texts):
     assert got == _by_text(texts, brute_suffixes)
 
 
+@pytest.mark.parametrize("name", ["op4_suffix_dedup", "op5_window_dedup"])
+def test_queries_equal_sql(name, spark, sf_dir, duck, same_rows):
+    same_rows(queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
+
+
 def test_suffix_text_is_what_the_digest_says(edge):
     for r in suffix_dedup.remove_repeats(edge).collect():
         assert sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed
@@ -195,5 +200,12 @@ def test_frequent_grams_of_a_common_line(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
     found = suffix_dedup.frequent_grams(docs)
     assert 0 < len(found) <= 1 / suffix_dedup.FREQUENT
+    # Beyond TASK_ROWS sampled rows a gram is frequent whatever its share, and the list is never longer than MOST.
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 2.0)
+    assert not len(suffix_dedup.frequent_grams(docs))
+    monkeypatch.setattr(suffix_dedup, "TASK_ROWS", suffix_dedup.SEEN)
+    assert set(suffix_dedup.frequent_grams(docs)) >= set(found)
+    monkeypatch.setattr(suffix_dedup, "MOST", 2)
+    assert len(suffix_dedup.frequent_grams(docs)) == 2
     got = Counter(tuple(r)[:5] for r in suffix_dedup.remove_repeats(docs).drop("kept").collect())
     assert got == _by_text([(r.doc_id, r.text) for r in docs.collect()], brute_suffixes)

@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc_fixity": warc_fixity.OP1_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_window_dedup": window_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
 }

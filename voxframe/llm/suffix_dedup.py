@@ -15,9 +15,9 @@ leaves the sort as soon as it stands alone or its group is known to be equal thr
 4. The suffixes that are left are ordered one by one by all DEPTH bytes; in each group all but the first
    are repeats.
 
-Grams that a share of FREQUENT of all runs have, found on a sample, would gather in one task: their suffixes
-skip to the last pass, where only equal ones meet. Whether a gram is on this list changes the way, not the
-result.
+Grams that a share of FREQUENT of all runs have, or about TASK_ROWS of them, found on a sample, would gather in
+one task: their suffixes skip to the last pass, where only equal ones meet. Whether a gram is on this list
+changes the way, not the result, and the list has a bound of its own, MOST.
 
 Digits are pairs of independent 64-bit hashes, compared together. Each pass is a shuffle by digit and a sort
 within partitions. A block of texts first sorts its own runs and sends only the first of equal ones on, so a
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import prepare, table, text_or_empty
+from .runtime import checkpointed, prepare, table, text_or_empty
 from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, sliding_minimum, whole_keys
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
@@ -54,9 +54,9 @@ U64 = np.uint64
 #: further, to be sorted in the last pass.
 OPEN, REPEAT, SINGLY, DIRECT = 0, 1, 2, 3
 
-#: Grams of this share of the sampled runs are frequent, so there are at most its inverse; one text in SAMPLED
-#: is looked at, and SEEN runs at least make a gram frequent.
-FREQUENT, SAMPLED, SEEN = 1 / 4096, 64, 64
+#: Grams of this share of the sampled runs are frequent, and all of TASK_ROWS runs or more; one text in SAMPLED is looked
+#: at, SEEN runs at least make a gram frequent, and the MOST frequent ones are listed, 8 MB.
+FREQUENT, SAMPLED, SEEN, MOST = 1 / 4096, 64, 64, 1 << 20
 
 
 def quarter_hashes(one: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, gram: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _columns(rows: pa.Table, names: str) -> list[np.ndarray]:
 
 
 def frequent_grams(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> np.ndarray:
-    """First digits, sorted, that occur in many different runs of a sample of the texts; at most 1 / FREQUENT."""
+    """First digits, sorted, that occur in many different runs of a sample of the texts; at most MOST."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in blocks(batches):
@@ -160,10 +160,18 @@ def frequent_grams(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> np.
 
     texts = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
     counts = texts.mapInArrow(count, "one long, n long").groupBy("one").agg(F.sum("n").alias("n")).where(f"one IS NULL OR n >= {SEEN}")
-    largest = counts.orderBy(F.desc("n")).limit(int(1 / FREQUENT) + 1).toPandas()
-    total = largest.loc[largest["one"].isna(), "n"].sum()
-    grams = largest.loc[largest["one"].notna() & (largest["n"] >= FREQUENT * total), "one"]
-    return np.sort(np.array([int(x) for x in grams], np.int64).view(U64))
+    counts = checkpointed(counts)
+    total = counts.where("one IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = counts.where((F.col("one").isNotNull()) & (F.col("n") >= min(FREQUENT * total, TASK_ROWS / SAMPLED)))
+    largest = frequent.orderBy(F.desc("n")).limit(MOST).select("one").toPandas()["one"]
+    return np.sort(largest.to_numpy(np.int64).view(U64))
+
+
+def _listed(one: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which values are on the sorted list."""
+    if not len(frequent):
+        return np.zeros(len(one), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, one), len(frequent) - 1)] == one
 
 
 def _first_pass(depth: int, gram: int, frequent: np.ndarray):
@@ -172,7 +180,7 @@ def _first_pass(depth: int, gram: int, frequent: np.ndarray):
             one, two, quarters, text, pos, n, before = suffix_runs(data, offsets, depth, gram)
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
             state = _block_state(one, two, doc, tag, pos)
-            state[(state == OPEN) & np.isin(one, frequent)] = DIRECT
+            state[(state == OPEN) & _listed(one, frequent)] = DIRECT
             # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
             settled = state != OPEN
             one = np.where(settled, scattered(doc, pos, SPREAD), one)
@@ -390,3 +398,16 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, with_t
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+OP4_SQL = f"""
+WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+bytes AS (SELECT r, p, hex(b[p : p]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) + 1)) AS p FROM texts)),
+windows AS (SELECT r, p, h, string_agg(h, '') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {DEPTH - 1} FOLLOWING) AS w FROM bytes),
+marked AS (SELECT r, p, h, strlen(w) = {2 * DEPTH} AND row_number() OVER (PARTITION BY w ORDER BY r, p) > 1 AS again FROM windows),
+covered AS (SELECT r, p, h, bool_or(again) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {DEPTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), false) AS opens FROM covered),
+sums AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(h, '' ORDER BY p) FILTER (NOT gone) AS kept FROM edges GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM texts LEFT JOIN sums USING (r)
+"""

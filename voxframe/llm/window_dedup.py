@@ -198,3 +198,14 @@ def remove_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return remove_windows(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+OP5_SQL = rf"""
+WITH texts AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM texts),
+windows AS (SELECT r, p, w, n, string_agg(w, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS s FROM words),
+marked AS (SELECT r, p, w, p + {WINDOW - 1} <= n AND count(*) FILTER (p + {WINDOW - 1} <= n) OVER (PARTITION BY s) > 1 AS again FROM windows),
+covered AS (SELECT r, p, w, bool_or(again) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM marked),
+sums AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM covered GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN sums USING (r)
+"""
