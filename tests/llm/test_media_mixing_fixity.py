@@ -177,21 +177,68 @@ def test_fixity_query(spark, sf_dir, duck, same_rows):
     same_rows(queries.QUERIES["op1_warc_fixity"](spark, folder).toPandas(), duck.sql(sql).df())
 
 
+RECORDS = "file long, record_id string, offset long, length long, hash string"
+
+
 def test_fixity_finds_each_kind_of_damage(spark):
-    rows = [(f, o, 10, f"{f}-{o}") for f in range(3) for o in range(0, 40 * 65536, 30_000)]
-    ours = spark.createDataFrame(rows, "file long, offset long, length long, hash string")
+    rows = [(f, f"r{o}", o, 10, f"{f}-{o}") for f in range(3) for o in range(0, 40 * 65536, 30_000)]
+    ours = spark.createDataFrame(rows, RECORDS)
     assert warc_fixity.audit(ours, ours).count() == 0
-    theirs = [r for r in rows if r[:2] != (1, 60_000) and r[0] != 2]
-    theirs = [(*r[:3], "bad") if r[:2] == (0, 30_000 * 40) else r for r in theirs] + [(0, 7, 3, "more"), (9, 0, 3, "file")]
+    theirs = [r for r in rows if (r[0], r[2]) != (1, 60_000) and r[0] != 2]
+    theirs = [(*r[:4], "bad") if (r[0], r[2]) == (0, 30_000 * 40) else r for r in theirs] + [(0, "new", 7, 3, "more"), (9, "r", 0, 3, "file")]
     got = {(r.file, r.offset, r.status) for r in warc_fixity.audit(ours, spark.createDataFrame(theirs, ours.schema)).collect()}
-    lost = {(2, r[1], "missing") for r in rows if r[0] == 2}
+    lost = {(2, r[2], "missing") for r in rows if r[0] == 2}
     assert got == lost | {(1, 60_000, "missing"), (0, 30_000 * 40, "changed"), (0, 7, "extra"), (9, 0, "extra")}
 
 
+def laid_out(rows):
+    """Records (file, record_id, length, hash) one after the other."""
+    out, at = [], defaultdict(int)
+    for file, name, n, h in rows:
+        out.append((file, name, at[file], n, h))
+        at[file] += n
+    return out
+
+
+def test_lost_and_longer_records_are_found_alone(spark):
+    """Each replica has its own offsets: all later records have moved, and only what changed is reported, repeated and null names too."""
+    rows = [(1, f"r{k}" if k % 7 else "twice" if k % 2 else None, 40_000 + k, f"h{k}") for k in range(60)] + [(2, f"r{k}", 9, f"x{k}") for k in range(5)]
+    ours = spark.createDataFrame(laid_out(rows), RECORDS)
+    changed = [(f, n, size + 500, "other") if h == "h11" else (f, n, size, h) for f, n, size, h in rows if h != "h5"]
+    changed[30:30] = [(1, "new", 77, "new")]
+    theirs = laid_out(changed)
+    got = sorted((r.file, r.offset, r.length, r.status, r.hash, r.other_hash) for r in warc_fixity.audit(ours, spark.createDataFrame(theirs, RECORDS)).collect() if r.status != "extra")
+    place = {r[4]: r for r in laid_out(rows)}
+    assert got == [(1, place["h5"][2], place["h5"][3], "missing", "h5", None), (1, place["h11"][2], place["h11"][3], "changed", "h11", "other")]
+    extra = [(r.file, r.offset, r.other_hash) for r in warc_fixity.audit(ours, spark.createDataFrame(theirs, RECORDS)).where("status = 'extra'").collect()]
+    assert extra == [(1, next(r[2] for r in theirs if r[4] == "new"), "new")]
+
+
+def test_warc_files_are_parsed(spark, tmp_path):
+    """Records written to files, plain and gzipped member by member, come back with their offsets; a cut file says so."""
+    import gzip
+
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "ü" * k + "\r\n\r\nWARC/1.0\r\n") for k in range(6)], "page_id long, url string, html string")
+    records = [r.record.encode() for r in warc_fixity.page_records(pages).orderBy("page_id").collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "c.warc").write_bytes(b"".join(records)[:-3])
+    (tmp_path / "d.warc").write_bytes(b"")
+    got = defaultdict(list)
+    for r in warc_fixity.read_warc(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("file", "offset").collect():
+        got[r.file[-len("x.warc") :] if r.file.endswith("c") else "gz"].append((r.record_id, r.offset, r.length, r.hash, r.error))
+    want, at = [], 0
+    for k, r in enumerate(records):
+        want.append((f"<urn:page:{k}>", at, len(r), hashlib.sha256(r).hexdigest(), None))
+        at += len(r)
+    assert got["a.warc"] == got["gz"] == want and got["c.warc"][:-1] == want[:-1]
+    assert got["c.warc"][-1][0] is None and got["c.warc"][-1][4] and "d.warc" not in got
+
+
 def test_records_of_odd_pages(spark):
-    pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/é", "ü", "x"), (2, "http://a/é", "ü", "x"), (None, "u", "h", "x"), (3, "", "a" * 100_000, "x")], "page_id long, url string, html string, record string")
+    pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/é", "ü", "x"), (2, "http://a/é", "ü", "x"), (None, "u", "h", "x"), (None, "v", None, "x"), (3, "", "a" * 100_000, "x")], "page_id long, url string, html string, record string")
     records = warc_fixity.page_records(pages)
-    assert records.count() == 5
+    assert records.count() == 6 and records.where("file < 0").select("file").distinct().count() == 2
     hashes = warc_fixity.record_hashes(records)
     spans = sorted((r.file, r.offset, r.offset + r.length) for r in hashes.collect())
     assert all(a[2] == b[1] if a[0] == b[0] else b[1] == 0 for a, b in zip(spans, spans[1:]))

@@ -2,20 +2,28 @@
 
 Each record is hashed. A tree node covers an ordered range of offsets of one WARC file: a leaf the records
 that start within LEAF_BYTES, a node above FANOUT ranges of the level below, and its hash is that of its
-parts' hashes in order. Replicas are compared from the roots down: a level is joined only below nodes that
-differ one level up, and records are compared only in leaves that differ.
+parts' hashes in order. Roots are compared first, each replica's by its own offsets: files whose roots agree
+are whole and are not looked at again. In a file that is left, a record that was lost or changed its length has
+moved all later ones, so the other replica's records are put at the offsets that records of their name have in
+ours. Then the trees are compared from the roots down: a level is joined only below nodes that differ one level
+up, and records are compared only in leaves that differ.
 
 All nodes of a level are one DataFrame, built from the level below by one grouping of at most FANOUT rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .runtime import checkpointed, table, text_or_empty
+from .runtime import checkpointed, prepare, table, text_or_empty
 
 LEAF_BYTES, FANOUT = 65536, 16
 #: Levels above the leaves; a root covers LEAF_BYTES * FANOUT**LEVELS bytes, 4 GiB; longer files have several.
@@ -34,17 +42,72 @@ def warc_record(url: Column, name: Column, payload: Column) -> Column:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """Records (file, page_id, record) of ``pages(page_id, url, html)``, FILE_PAGES consecutive page_ids to a WARC file.
+    """Records (file, record_id, page_id, record) of ``pages(page_id, url, html)``, FILE_PAGES consecutive page_ids to a WARC file.
 
-    Null url and html are empty; pages with a null page_id make up a file of their own, -1.
+    Null url and html are empty. Pages with a null page_id are dealt to files below zero by a hash of what they
+    hold, so these grow no larger than the others; their record_id is that hash.
     """
+    own = F.xxhash64(F.coalesce("url", F.lit("")), text_or_empty("html"))
     return pages.select(
-        F.coalesce(F.expr(f"page_id div {FILE_PAGES}"), F.lit(-1)).alias("file"),
+        F.coalesce(F.expr(f"page_id div {FILE_PAGES}"), -1 - F.shiftrightunsigned(own, 40)).alias("file"),
+        F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("h"), F.hex(own))).alias("record_id"),
         "page_id",
         warc_record(F.coalesce("url", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit("")), text_or_empty("html")).alias("record"),
     )
 
 
+_HEAD = re.compile(rb"WARC/1\.\d\r\n(.*?)\r\n\r\n", re.S)
+
+
+def _split(raw: bytes) -> Iterator[tuple[str | None, int, int, bytes, str | None]]:
+    """(record_id, offset, length, bytes, error) of each record of a WARC file; what is no record up to the file's end is one with an error."""
+    at = 0
+    while at < len(raw):
+        head = _HEAD.match(raw, at)
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head[1].split(b"\r\n"))} if head else {}
+        size = fields.get(b"content-length", b"")
+        end = head.end() + int(size) + 4 if head and size.isdigit() else len(raw) + 1
+        if end > len(raw) or raw[end - 4 : end] != b"\r\n\r\n":
+            yield None, at, len(raw) - at, raw[at:], "not a whole record"
+            return
+        yield fields.get(b"warc-record-id", b"").decode("utf-8", "replace"), at, end - at, raw[at:end], None
+        at = end
+
+
+def _members(raw: bytes) -> bytes:
+    """The content of a gzipped file of many members, as far as it is whole."""
+    out = []
+    while raw:
+        one = zlib.decompressobj(31)
+        try:
+            out.append(one.decompress(raw))
+        except zlib.error:
+            break
+        raw = one.unused_data
+    return b"".join(out)
+
+
+def read_warc(files: DataFrame) -> DataFrame:
+    """(file, record_id, offset, length, hash, error) of the records in files(path, content), as ``binaryFile`` reads them.
+
+    ``file`` is the path. Gzipped files are inflated member by member, and offsets are those of the content.
+    Null content has no record; what can't be read as a record gives a row with an error, its record_id null.
+    """
+    prepare(files.sparkSession)
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at, path in enumerate(rows.column(0).to_pylist()):
+                raw = rows.column(1)[at].as_py() or b""
+                raw = _members(raw) if raw[:2] == b"\x1f\x8b" else raw
+                out = [(path, i, o, n, hashlib.sha256(r).hexdigest(), e) for i, o, n, r, e in _split(raw)]
+                if out:
+                    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["file", "record_id", "offset", "length", "hash", "error"])
+
+    return files.select("path", "content").mapInArrow(parsed, "file string, record_id string, offset long, length long, hash string, error string")
+
+
 def record_digest(record: Column) -> Column:
     """(length, hash) of a record; null of a null one."""
     return F.when(record.isNotNull(), F.struct(F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("hash")))
@@ -61,10 +124,10 @@ def with_offsets(records: DataFrame, *order: str) -> DataFrame:
 
 
 def record_hashes(records: DataFrame) -> DataFrame:
-    """(file, offset, length, hash) of records(file, page_id, record), which follow each other by page_id; a null record is empty."""
+    """(file, record_id, offset, length, hash) of records(file, record_id, page_id, record), which follow each other by page_id; a null record is empty."""
     digest = record_digest(F.coalesce("record", F.lit("")))
-    small = records.select("file", "page_id", digest.alias("d")).withColumn("size", F.col("d.length"))
-    return with_offsets(small, "page_id", "d").select("file", "offset", "d.length", "d.hash")
+    small = records.select("file", "record_id", "page_id", digest.alias("d")).withColumn("size", F.col("d.length"))
+    return with_offsets(small, "page_id", "d").select("file", "record_id", "offset", "d.length", "d.hash")
 
 
 def _ordered_hash(order: list[str]) -> Column:
@@ -87,25 +150,47 @@ def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
 
 
+def _numbered(records: DataFrame) -> DataFrame:
+    """Adds ``nth``, which tells records of one name apart by their order; a null name is a name."""
+    same = Window.partitionBy("file", "record_id").orderBy("offset", "hash")
+    return records.withColumn("record_id", F.coalesce("record_id", F.lit(""))).withColumn("nth", F.row_number().over(same))
+
+
+def aligned(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``theirs`` with ``at``, the offset of the record of the same name in ``ours``; a record that ours lacks stands where the one before it does.
+
+    Both are (file, record_id, nth, offset, length, hash). A file's records are sorted by one task, digests only.
+    """
+    places = ours.select("file", "record_id", "nth", F.col("offset").alias("own"))
+    upto = Window.partitionBy("file").orderBy("offset", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return theirs.join(places, ["file", "record_id", "nth"], "left").withColumn("at", F.coalesce(F.last("own", ignorenulls=True).over(upto), F.lit(0))).drop("own")
+
+
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Where the replica ``theirs`` departs from ``ours``; both are (file, offset, length, hash) of records.
+    """Where the replica ``theirs`` departs from ``ours``; both are (file, record_id, offset, length, hash) of records.
 
     Returns file, offset, length, status ('changed', 'missing' in theirs, 'extra' in theirs), hash and
-    other_hash. Equal replicas, empty ones too, give no row. A file or branch that only one replica has
-    differs as a whole. Offsets of a replica are those of its own index. Both tables are read several
+    other_hash. Offsets are those of the replica's own index, in ``ours`` but for extra records; a record that
+    only moved isn't reported. Equal replicas, empty ones too, give no row. A file or branch that only one
+    replica has differs as a whole. Repeated names are matched in their order. Both tables are read several
     times, so what is costly to compute should be checkpointed before.
     """
     mine, other = merkle_levels(ours), merkle_levels(theirs)
-    suspects = checkpointed(_differing(mine[-1], other[-1]))
+    files = checkpointed(_differing(mine[-1], other[-1]).select("file").distinct())
+    left = checkpointed(_numbered(ours.join(files, "file", "left_semi")))
+    right = checkpointed(aligned(left, _numbered(theirs.join(files, "file", "left_semi"))))
+    other = merkle_levels(right.select("file", F.col("at").alias("offset"), "length", "hash"))
+    suspects = checkpointed(_differing(mine[-1].join(files, "file", "left_semi"), other[-1]))
     for level in range(LEVELS - 1, -1, -1):
         up = suspects.withColumnRenamed("node", "up")
         below = [side[level].withColumn("up", F.expr(f"node div {FANOUT}")).join(up, ["file", "up"], "left_semi").select("file", "node", "hash") for side in (mine, other)]
         suspects = checkpointed(_differing(*below))
-    leaves = [side.withColumn("node", F.expr(f"offset div {LEAF_BYTES}")).join(suspects, ["file", "node"], "left_semi").drop("node") for side in (ours, theirs)]
-    theirs_in = leaves[1].select("file", "offset", F.col("length").alias("other_length"), F.col("hash").alias("other_hash"))
-    both = leaves[0].join(theirs_in, ["file", "offset"], "full_outer").where("NOT (hash <=> other_hash)")
+    left = left.withColumn("node", F.expr(f"offset div {LEAF_BYTES}")).join(suspects, ["file", "node"], "left_semi").drop("node")
+    right = right.withColumn("node", F.expr(f"at div {LEAF_BYTES}")).join(suspects, ["file", "node"], "left_semi")
+    right = right.select("file", "record_id", "nth", F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("hash").alias("other_hash"))
+    both = left.join(right, ["file", "record_id", "nth"], "full_outer").where("NOT (hash <=> other_hash)")
     status = F.when(F.col("other_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
-    return both.select("file", "offset", F.coalesce("length", "other_length").alias("length"), status.alias("status"), "hash", "other_hash")
+    return both.select("file", F.coalesce("offset", "other_offset").alias("offset"), F.coalesce("length", "other_length").alias("length"), status.alias("status"), "hash", "other_hash")
 
 
 def damaged(record: Column, page_id: Column) -> Column:
@@ -118,12 +203,15 @@ def damaged(record: Column, page_id: Column) -> Column:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    """All pages as records of WARC files, held against a damaged replica whose offsets are those of the whole one."""
+    """All pages as records of WARC files, held against a damaged replica, in which records are missing and all later ones have moved."""
     records = page_records(table(spark, sf_dir, "pages"))
     record, page_id = F.col("record"), F.col("page_id")
-    both = records.select("file", "page_id", record_digest(record).alias("ours"), record_digest(damaged(record, page_id)).alias("theirs"))
-    placed = checkpointed(with_offsets(both.withColumn("size", F.col("ours.length")), "page_id", "ours"))
-    sides = [placed.where(F.col(side).isNotNull()).select("file", "offset", f"{side}.length", f"{side}.hash") for side in ("ours", "theirs")]
+    # Digests alone are shuffled, not records.
+    both = checkpointed(records.select("file", "record_id", "page_id", record_digest(record).alias("ours"), record_digest(damaged(record, page_id)).alias("theirs")))
+    sides = []
+    for side in ("ours", "theirs"):
+        there = both.where(F.col(side).isNotNull()).select("file", "record_id", "page_id", F.col(side).alias("d")).withColumn("size", F.col("d.length"))
+        sides.append(checkpointed(with_offsets(there, "page_id", "d").select("file", "record_id", "offset", "d.length", "d.hash")))
     return audit(*sides)
 
 
