@@ -98,10 +98,10 @@ def test_standard_world_and_back(spark, more):
 def test_lru_keeps_pinned_and_newest(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [("a", 60, t, False), ("b", 60, t + dt.timedelta(1), False), ("c", 500, t, True), ("d", 40, t + dt.timedelta(2), False)]
-    entries = spark.createDataFrame(rows, "key string, bytes long, last_ts timestamp, pinned boolean")
-    kept = {r.key: r.kept for r in accesslog.lru_within_budget(entries, "key", 600).collect()}
+    entries = spark.createDataFrame(rows, "key string, bytes long, last_ts timestamp, pinned boolean").withColumn("host", F.lit("h"))
+    kept = {r.key: r.kept for r in accesslog.lru_within_budget(entries, "key", "host", 600).collect()}
     assert kept == {"c": True, "d": True, "b": True, "a": False}
-    assert {r.key for r in accesslog.newest(entries, "key", 2).where("kept").collect()} == {"c", "d"}
+    assert {r.key for r in accesslog.newest(entries, "key", "host", 2).where("kept").collect()} == {"c", "d"}
 
 
 def test_thumbnail_of_a_large_slice_keeps_its_corners(spark):
@@ -129,4 +129,31 @@ def test_debounce_and_admission(spark):
     kept = sorted(r.ts.microsecond // 1000 for r in accesslog.debounced(log, "key").collect())
     assert kept == [100, 281, 462, 700]
     jobs = spark.createDataFrame([("remote", 1, 1), ("remote", 5, 2), ("local", 0, 3), ("local", 0, 4), ("local", 0, 5)], "class string, priority int, seq int")
-    assert sorted(r.seq for r in accesslog.admitted(jobs).where("active").collect()) == [2, 3, 4]
+    assert sorted(r.seq for r in accesslog.admitted(jobs.withColumn("host", F.lit("h")), "host").where("active").collect()) == [2, 3, 4]
+
+
+def test_strided_window_of_a_large_volume_skips_nan(spark):
+    """More voxels than samples, a tenth of them NaN: the strided samples are sorted and picked as by hand."""
+    n = 25_000
+    data = [math.nan if i % 10 == 0 else float(i * 7919 % 10_007) for i in range(n)]
+    v = spark.createDataFrame([(1, 50, 50, 10, data), (2, 1, 1, 1, [math.nan])], "vol_id long, nx int, ny int, nz int, data array<float>")
+    got = {r.vol_id: r for r in aggregate.auto_window(v).collect()}
+    step = n // aggregate.CONTRAST_SAMPLES
+    assert step == 2
+    samples, whole = sorted(x for x in data[::step] if x == x), [x for x in data if x == x]
+    low, high = samples[int(len(samples) * 0.01)], samples[int(len(samples) * 0.99)]
+    assert (got[1].p01, got[1].p99) == (low, high) and got[1].win == (high - low) / (max(whole) - min(whole))
+    assert got[2].p01 is None and got[2].win is None
+
+
+def test_strided_projection(spark):
+    """Sides of twice the samples: every other voxel counts."""
+    n = 2 * aggregate.MIP_SAMPLES
+    v = spark.range(1).select(F.col("id").alias("vol_id"), F.lit(n).alias("nx"), F.lit(n).alias("ny"), F.lit(n).alias("nz"), *[F.lit(1.0).alias(c) for c in ("dx", "dy", "dz")])
+    axis = spark.range(n).select(F.col("id").cast("int").alias("k"))
+    near = axis.where("k IN (0, 1, 40, 41, 158, 159)")
+    vox = near.select(F.col("k").alias("x")).join(near.select(F.col("k").alias("y"))).join(near.select(F.col("k").alias("z"))).withColumn("vol_id", F.lit(0).cast("long"))
+    vox = vox.withColumn("v", (F.col("x") + 1000 * F.col("z")).cast("float"))
+    got = {(r.px, r.py): r.v for r in aggregate.mip(vox, v).collect()}
+    even = (0, 40, 158)
+    assert got == {(x, y): float(x + 158_000) for x in even for y in even}

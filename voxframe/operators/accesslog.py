@@ -24,12 +24,9 @@ def _micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def bandwidth(samples: DataFrame, key: str | None = None) -> DataFrame:
-    """Adds bps and level: bits a second over the last samples(ts, bytes, ms), those without a duration left out.
-
-    ``key`` makes one estimate for each of its values, as a log of many clients needs.
-    """
-    base = Window.partitionBy(key if key else F.lit(0)).orderBy("ts").rowsBetween(1 - BANDWIDTH_SAMPLES, 0)
+def bandwidth(samples: DataFrame, key: str) -> DataFrame:
+    """Adds bps and level: bits a second over the last samples(ts, bytes, ms) of each ``key``, such as a client; those without a duration are left out."""
+    base = Window.partitionBy(key).orderBy("ts").rowsBetween(1 - BANDWIDTH_SAMPLES, 0)
     sums = samples.where("ms > 0").withColumns({"_b": F.sum("bytes").over(base), "_m": F.sum("ms").over(base)})
     bps = F.col("_b") * 8000.0 / F.col("_m")
     mbps = bps / float(1 << 20)
@@ -41,14 +38,13 @@ def last_access(log: DataFrame, key: str) -> DataFrame:
     return log.groupBy(key).agg(F.max("ts").alias("last_ts"))
 
 
-def lru_within_budget(entries: DataFrame, key: str, budget: int = CACHE_BYTES, group: str | None = None) -> DataFrame:
-    """Adds kept: entries(key, bytes, last_ts, pinned) that a cache of ``budget`` bytes still holds.
+def lru_within_budget(entries: DataFrame, key: str, group: str, budget: int = CACHE_BYTES) -> DataFrame:
+    """Adds kept: entries(key, bytes, last_ts, pinned) that the cache of their ``group``, of ``budget`` bytes, still holds.
 
-    Pinned entries come first and always stay, the others newest first while the bytes so far fit. With
-    ``group`` each of its values has a cache of its own, and so a task of its own.
+    Pinned entries come first and always stay, the others newest first while the bytes so far fit. A group,
+    such as a host, is sorted by one task.
     """
-    part = Window.partitionBy(group if group else F.lit(0))
-    line = part.orderBy(F.desc("pinned"), F.desc("last_ts"), F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(group).orderBy(F.desc("pinned"), F.desc("last_ts"), F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
     return entries.withColumn("kept", F.col("pinned") | (F.sum("bytes").over(line) <= budget))
 
 
@@ -58,20 +54,19 @@ def idle(entries: DataFrame, now: Column, seconds: int = IDLE_SECONDS) -> DataFr
     return entries.withColumn("expired", age >= seconds * 1_000_000)
 
 
-def newest(entries: DataFrame, key: str, count: int, group: str | None = None) -> DataFrame:
-    """Adds kept: pinned entries and the newest others, ``count`` in all; also the size cap of slice caches."""
-    part = Window.partitionBy(group if group else F.lit(0))
-    rank = F.row_number().over(part.orderBy(F.desc("pinned"), F.desc("last_ts"), F.asc(key)))
+def newest(entries: DataFrame, key: str, group: str, count: int) -> DataFrame:
+    """Adds kept: pinned entries and the newest others of each ``group``, ``count`` in all; also the size cap of slice caches."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("pinned"), F.desc("last_ts"), F.asc(key)))
     return entries.withColumn("kept", F.col("pinned") | (rank <= count))
 
 
-def admitted(jobs: DataFrame, caps: dict[str, int] | None = None, group: str | None = None) -> DataFrame:
+def admitted(jobs: DataFrame, group: str, caps: dict[str, int] | None = None) -> DataFrame:
     """Adds rank and active to jobs(class, priority, seq): by class, highest priority first, first come first, up to its cap.
 
-    With ``group`` each of its values has a queue of its own.
+    Each value of ``group``, such as a host or a user, has a queue of its own.
     """
     caps = QUEUE_CAPS if caps is None else caps
-    rank = F.row_number().over(Window.partitionBy(*([group] if group else []), "class").orderBy(F.desc("priority"), F.asc("seq")))
+    rank = F.row_number().over(Window.partitionBy(group, "class").orderBy(F.desc("priority"), F.asc("seq")))
     cap = F.lit(0)
     for name, n in caps.items():
         cap = F.when(F.col("class") == name, n).otherwise(cap)

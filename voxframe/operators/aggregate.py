@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numeric import half_up
 from .voxels import DATA
@@ -28,33 +27,47 @@ def value_range(vox: DataFrame, widen: bool = True, *keys: str) -> DataFrame:
     return vox.where(~F.isnan("v")).groupBy("vol_id", *keys).agg(low.alias("lo"), (_widened(low, high) if widen else high).alias("hi"))
 
 
+def _numbers(values: Column) -> Column:
+    return F.filter(values, lambda v: ~F.isnan(v))
+
+
+def array_range(values: Column, widen: bool = True) -> tuple[Column, Column]:
+    """As :func:`value_range`, of an array in place: no voxel becomes a row."""
+    low, high = F.array_min(_numbers(values)).cast("double"), F.array_max(_numbers(values)).cast("double")
+    return low, _widened(low, high) if widen else high
+
+
+def _strided(step: Column, value) -> Column:
+    """``value`` of every step-th voxel of a volume at rest, NaN left out."""
+    return _numbers(F.transform(F.sequence(F.lit(0), F.size(DATA) - 1, step), lambda i: value(F.element_at(DATA, i + 1).cast("double"))))
+
+
 def strided_range(volumes: DataFrame, samples: int = RANGE_SAMPLES, slope: Column | float = 1.0, inter: Column | float = 0.0) -> DataFrame:
     """(vol_id, step, lo, hi) of every step-th rescaled voxel, the step so that at least ``samples`` are seen of a large volume.
 
     Works on the arrays in place: no voxel becomes a row.
     """
-    n = F.size(DATA)
-    step = F.greatest(F.lit(1), F.floor(n / float(samples))).cast("int")
-    taken = F.transform(F.sequence(F.lit(0), n - 1, step), lambda i: F.element_at(DATA, i + 1).cast("double") * slope + inter)
-    numbers = F.filter(taken, lambda v: ~F.isnan(v))
+    step = F.greatest(F.lit(1), F.floor(F.size(DATA) / float(samples))).cast("int")
+    numbers = _strided(step, lambda v: v * slope + inter)
     low, high = F.array_min(numbers), F.array_max(numbers)
     return volumes.select("vol_id", step.alias("step"), low.alias("lo"), _widened(low, high).alias("hi"))
 
 
-def auto_window(vox: DataFrame, ranges: DataFrame, samples: int = CONTRAST_SAMPLES) -> DataFrame:
-    """(vol_id, p01, p99, win, level): order statistics 1 % and 99 % of strided voxels (i, v), and the window they span.
+def auto_window(volumes: DataFrame, samples: int = CONTRAST_SAMPLES) -> DataFrame:
+    """(vol_id, p01, p99, win, level): order statistics 1 % and 99 % of every step-th voxel, and the window they span in the volume's range.
 
-    Ranks are exact and not interpolated: the element at floor(n * p) of the sorted samples.
+    The step is so that at least ``samples`` voxels of a large volume are seen. Ranks are exact and not
+    interpolated: the element at floor(n * p) of the sorted samples. NaN is no sample; a volume of nothing
+    else has null statistics. Works on the arrays in place.
     """
-    sized = vox.join(vox.groupBy("vol_id").agg(F.count("*").alias("n")), "vol_id")
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / F.least(F.lit(float(samples)), F.col("n").cast("double"))))
-    sampled = sized.where(F.col("i") % step == 0)
-    ordered = sampled.withColumn("r", F.row_number().over(Window.partitionBy("vol_id").orderBy("v"))).withColumn("m", F.count("*").over(Window.partitionBy("vol_id")))
+    step = F.greatest(F.lit(1), F.floor(F.size(DATA) / float(samples))).cast("int")
+    low, high = array_range(F.col(DATA), widen=False)
+    found = volumes.select("vol_id", F.array_sort(_strided(step, lambda v: v)).alias("s"), low.alias("lo"), high.alias("hi"))
 
     def at(p: float) -> Column:
-        return F.max(F.when(F.col("r") == 1 + F.floor(F.col("m") * p), F.col("v").cast("double")))
+        return F.when(F.size("s") > 0, F.element_at("s", (1 + F.floor(F.size("s") * p)).cast("int")))
 
-    found = ordered.groupBy("vol_id").agg(at(0.01).alias("p01"), at(0.99).alias("p99")).join(ranges, "vol_id")
+    found = found.select("vol_id", "lo", "hi", at(0.01).alias("p01"), at(0.99).alias("p99"))
     span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
     return found.select("vol_id", "p01", "p99", ((F.col("p99") - F.col("p01")) / span).alias("win"), (((F.col("p01") + F.col("p99")) / 2.0 - F.col("lo")) / span).alias("level"))
 

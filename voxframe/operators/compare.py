@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import to_voxel, to_world
 from ..functions.intensity import blend
 from ..functions.numeric import clamp, half_up
+from .voxels import DATA
 
 
 def aligned(vox: DataFrame, header: DataFrame, other_header: DataFrame) -> DataFrame:
@@ -23,14 +24,25 @@ def aligned(vox: DataFrame, header: DataFrame, other_header: DataFrame) -> DataF
     return placed.withColumns({f"b{a}": half_up(c) for a, c in zip("xyz", back)}).select(*vox.columns, "bx", "by", "bz")
 
 
-def compare(vox: DataFrame, header: DataFrame, other: DataFrame, other_header: DataFrame) -> DataFrame:
-    """(pair, x, y, z, v, other): each voxel with the other volume's value at its world point, null where that lies outside.
+def compare(volumes: DataFrame, header: DataFrame, others: DataFrame, other_header: DataFrame) -> DataFrame:
+    """(pair, x, y, z, v, other): each voxel of volumes(pair, nx, ny, nz, data) with the value of ``others``, alike, at its
+    world point, null where that lies outside.
 
-    A plain equi-join on the pair and the rounded coordinates.
+    Volumes meet by ``pair``, a row each; the other's voxels are looked up in its array and never shuffled one by one.
     """
-    right = other.select("pair", F.col("x").cast("long").alias("bx"), F.col("y").cast("long").alias("by"), F.col("z").cast("long").alias("bz"), F.col("v").alias("other"))
-    joined = aligned(vox, header, other_header).join(right, ["pair", "bx", "by", "bz"], "left")
-    return joined.select("pair", "x", "y", "z", "v", "other")
+    named = other_header.select("pair", *[F.col(c).alias(f"b_{c}") for c in other_header.columns if c != "pair"])
+    right = others.select("pair", *[F.col(c).alias(f"other_{c}") for c in ("nx", "ny", "nz", DATA)])
+    both = volumes.select("pair", "nx", "ny", DATA).join(header, "pair").join(named, "pair").join(right, "pair", "left")
+
+    def voxel(v: Column, i: Column) -> Column:
+        x, y, z = i % F.col("nx"), F.floor(i / F.col("nx")) % F.col("ny"), F.floor(i / (F.col("nx") * F.col("ny")))
+        bx, by, bz = (half_up(c) for c in to_voxel(*to_world(x, y, z), "b_"))
+        inside = bx.between(0, F.col("other_nx") - 1) & by.between(0, F.col("other_ny") - 1) & bz.between(0, F.col("other_nz") - 1)
+        at = bx + F.col("other_nx") * (by + F.col("other_ny") * bz) + 1
+        other = F.when(inside, F.element_at(f"other_{DATA}", F.when(inside, at).otherwise(F.lit(1)).cast("int")))
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), v.alias("v"), other.alias("other"))
+
+    return both.select("pair", F.inline(F.transform(DATA, voxel)))
 
 
 def aligned_slice(index: Column, axis_world: Column, n_other: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intensity
@@ -21,19 +21,14 @@ def thumbnail(volumes: DataFrame, name: str = "gray", window: float = 1.0, level
 
     The range is that of the three middle slices. Colour comes before scaling, so it is computed once a voxel.
     """
-    ranges = aggregate.value_range(voxels.preview(volumes))
-    middle = voxels.slice_voxels(volumes, "axial", F.expr("nz div 2"), "nx", "ny").join(ranges, "vol_id")
+    low, high = aggregate.array_range(F.flatten(F.transform(voxels.middle_slices(), lambda s: s["part"])))
+    ranged = volumes.withColumns({"lo": low, "hi": high})
+    middle = voxels.slice_voxels(ranged, "axial", F.expr("nz div 2"), "nx", "ny", "lo", "hi")
     t = intensity.window_level(intensity.normalised(F.col("v"), F.col("lo"), F.col("hi")), window, level)
     coloured = intensity.apply_colormap(middle.withColumn("t", t), name)
-    # One pixel range for each voxel: the target columns (rows) whose source it is.
-
-    def targets(at: str, n: str) -> Column:
-        first, after = (F.ceil((F.col(at) + k) * float(size) / F.col(n)).cast("int") for k in (0, 1))
-        return F.filter(F.sequence(first, F.greatest(first, after - 1)), lambda p: p < after)
-
     placed = coloured.withColumn("row", F.col("ny") - 1 - F.col("w"))
-    wide = placed.select("vol_id", "r", "g", "b", "row", "ny", F.explode(targets("u", "nx")).alias("mx"))
-    return wide.select("vol_id", "mx", F.explode(targets("row", "ny")).alias("my"), "r", "g", "b")
+    wide = placed.select("vol_id", "r", "g", "b", "row", "ny", F.explode(voxels.target_pixels(F.col("u"), F.col("nx"), size)).alias("mx"))
+    return wide.select("vol_id", "mx", F.explode(voxels.target_pixels(F.col("row"), F.col("ny"), size)).alias("my"), "r", "g", "b")
 
 
 def lod_picture(volumes: DataFrame, level: int) -> DataFrame:

@@ -31,21 +31,26 @@ def voxels(volumes: DataFrame, *keep: str) -> DataFrame:
     return flat.select("vol_id", *keep, "i", x.alias("x"), y.alias("y"), z.alias("z"), "v")
 
 
-def _at(kind: str, k: Column) -> tuple[Column, Column, Column, Column]:
-    """For an axis: the part of the array that holds slice k, its in-slice (u, w), and whether k is in range."""
+def _at(kind: str, k: Column) -> tuple[Column, Column, Column]:
+    """For an axis: the part of the array that holds slice k, the slice's width, and whether k is in range."""
     nx, ny, nz, data = (F.col(c) for c in ("nx", "ny", "nz", DATA))
     if kind == "axial":
-        part = F.slice(data, k * nx * ny + 1, (nx * ny).cast("int"))
-        return part, F.expr("cast(p % nx as int)"), F.expr("cast(p div nx as int)"), k.between(0, nz - 1)
+        return F.slice(data, k * nx * ny + 1, (nx * ny).cast("int")), nx, k.between(0, nz - 1)
     if kind == "coronal":
         rows = F.transform(F.sequence(F.lit(0), nz - 1), lambda z: F.slice(data, (z * ny + k) * nx + 1, nx.cast("int")))
-        return F.flatten(rows), F.expr("cast(p % nx as int)"), F.expr("cast(p div nx as int)"), k.between(0, ny - 1)
+        return F.flatten(rows), nx, k.between(0, ny - 1)
     if kind == "sagittal":
         cells = F.transform(F.sequence(F.lit(0), (ny * nz - 1).cast("int")), lambda r: F.element_at(data, r * nx + k + 1))
-        return cells, F.expr("cast(p % ny as int)"), F.expr("cast(p div ny as int)"), k.between(0, nx - 1)
+        return cells, ny, k.between(0, nx - 1)
     raise ValueError(f"no axis named {kind!r}; there are {', '.join(AXES)}")
 
 
+def _spread(slices: DataFrame, *keep: str) -> DataFrame:
+    """A row for each voxel of slices(vol_id, axis, idx, width, part)."""
+    flat = slices.select("vol_id", "axis", "idx", "width", *keep, F.posexplode("part").alias("p", "v"))
+    return flat.select("vol_id", "axis", "idx", F.expr("cast(p % width as int)").alias("u"), F.expr("cast(p div width as int)").alias("w"), "v", *keep)
+
+
 def slice_voxels(volumes: DataFrame, axis: str, index: Column | int, *keep: str) -> DataFrame:
     """(vol_id, axis, idx, u, w, v): one slice of each volume, u across and w up; none where the index is out of range.
 
@@ -53,9 +58,9 @@ def slice_voxels(volumes: DataFrame, axis: str, index: Column | int, *keep: str)
     """
     k = index if isinstance(index, Column) else F.lit(index)
     k = k.cast("int")
-    part, u, w, inside = _at(axis, k)
-    flat = volumes.where(inside).select("vol_id", "nx", "ny", k.alias("idx"), *keep, F.posexplode(part).alias("p", "v"))
-    return flat.select("vol_id", F.lit(axis).alias("axis"), "idx", u.alias("u"), w.alias("w"), "v", *keep)
+    part, width, inside = _at(axis, k)
+    slices = volumes.where(inside).select("vol_id", F.lit(axis).alias("axis"), k.alias("idx"), width.alias("width"), part.alias("part"), *keep)
+    return _spread(slices, *keep)
 
 
 def slice_clamped(volumes: DataFrame, axis: str, index: Column | int, *keep: str) -> DataFrame:
@@ -65,11 +70,19 @@ def slice_clamped(volumes: DataFrame, axis: str, index: Column | int, *keep: str
     return slice_voxels(volumes, axis, clamp(k, 0, n - 1), *keep)
 
 
-def preview(volumes: DataFrame, *keep: str) -> DataFrame:
-    """The middle slice along each axis, as :func:`slice_voxels`."""
+def middle_slices() -> Column:
+    """The three middle slices of a volume at rest, as an array of (axis, idx, width, part)."""
     middle = {"axial": F.expr("nz div 2"), "coronal": F.expr("ny div 2"), "sagittal": F.expr("nx div 2")}
-    parts = [slice_voxels(volumes, axis, middle[axis], *keep) for axis in AXES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = []
+    for axis in AXES:
+        part, width, _ = _at(axis, middle[axis].cast("int"))
+        parts.append(F.struct(F.lit(axis).alias("axis"), middle[axis].cast("int").alias("idx"), width.cast("int").alias("width"), part.alias("part")))
+    return F.array(*parts)
+
+
+def preview(volumes: DataFrame, *keep: str) -> DataFrame:
+    """The middle slice along each axis, as :func:`slice_voxels`, in one pass over the volumes."""
+    return _spread(volumes.select("vol_id", *keep, F.inline(middle_slices())), *keep)
 
 
 def probe(volumes: DataFrame, points: DataFrame) -> DataFrame:
@@ -80,16 +93,19 @@ def probe(volumes: DataFrame, points: DataFrame) -> DataFrame:
     return points.join(volumes, "vol_id").select("vol_id", "x", "y", "z", value.alias("v"))
 
 
+def target_pixels(at: Column, n: Column, size: int) -> Column:
+    """The pixels, of ``size`` in a row, whose nearest source among ``n`` is number ``at``: a range, empty where sources outnumber pixels."""
+    first, after = (F.ceil((at + k) * float(size) / n).cast("int") for k in (0, 1))
+    return F.filter(F.sequence(first, F.greatest(first, after - 1)), lambda p: p < after)
+
+
 def resampled(slices: DataFrame, width: Column, height: Column, out_w: int, out_h: int) -> DataFrame:
     """Nearest-neighbour picture of out_w x out_h of each slice (vol_id, u, w, v), top row first: (vol_id, mx, my, v).
 
-    Each source voxel is spread over the target pixels that fall on it, so no join is needed.
+    Each source voxel is spread over the range of target pixels that fall on it, so no join is needed.
     """
-    fit = F.array(*[F.struct(F.lit(x).alias("mx"), F.lit(y).alias("my")) for y in range(out_h) for x in range(out_w)])
-    sx = lambda p: F.floor(p["mx"] * width / float(out_w))
-    sy = lambda p: height - 1 - F.floor(p["my"] * height / float(out_h))
-    hits = F.filter(fit, lambda p: (sx(p) == F.col("u")) & (sy(p) == F.col("w")))
-    return slices.select("vol_id", "v", F.explode(hits).alias("p")).select("vol_id", "p.mx", "p.my", "v")
+    wide = slices.select("vol_id", "v", "w", F.explode(target_pixels(F.col("u"), width, out_w)).alias("mx"))
+    return wide.select("vol_id", "mx", F.explode(target_pixels(height - 1 - F.col("w"), height, out_h)).alias("my"), "v")
 
 
 def flipped(slices: DataFrame, height: Column) -> DataFrame:

@@ -58,7 +58,7 @@ _ENTRIES = "c AS (SELECT user_id, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGI
 
 @query("q27_lru_evict", f"WITH {_ENTRIES} SELECT user_id, bytes, pinned OR sum(bytes) OVER (PARTITION BY host ORDER BY pinned DESC, last_ts DESC, user_id ROWS UNBOUNDED PRECEDING) <= 20000 AS kept FROM c")
 def lru_evict(spark, sf_dir):
-    return accesslog.lru_within_budget(_entries(spark, sf_dir), "user_id", 20_000, "host").select("user_id", "bytes", "kept")
+    return accesslog.lru_within_budget(_entries(spark, sf_dir), "user_id", "host", 20_000).select("user_id", "bytes", "kept")
 
 
 @query("q28_ttl_evict", f"WITH {_ENTRIES} SELECT user_id, epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(last_ts) >= 43200 * 1000000::BIGINT AS expired FROM c")
@@ -68,7 +68,7 @@ def ttl_evict(spark, sf_dir):
 
 @query("q29_resident_topk", f"WITH {_ENTRIES} SELECT user_id, pinned OR row_number() OVER (PARTITION BY host ORDER BY pinned DESC, last_ts DESC, user_id) <= 2 AS kept FROM c")
 def resident_topk(spark, sf_dir):
-    return accesslog.newest(_entries(spark, sf_dir), "user_id", accesslog.RESIDENT, "host").select("user_id", "kept")
+    return accesslog.newest(_entries(spark, sf_dir), "user_id", "host", accesslog.RESIDENT).select("user_id", "kept")
 
 
 @query(
@@ -79,7 +79,7 @@ def resident_topk(spark, sf_dir):
 )
 def priority_admission(spark, sf_dir):
     jobs = events(spark, sf_dir).select("event_id", "user_id", F.when(F.col("event_type").isin("view", "error"), "remote").otherwise("local").alias("class"), (F.col("event_id") % 5).alias("priority"), F.col("event_id").alias("seq"))
-    return accesslog.admitted(jobs, group="user_id").select("event_id", "rank", "active")
+    return accesslog.admitted(jobs, "user_id").select("event_id", "rank", "active")
 
 
 @query("q31_debounce", "SELECT event_id FROM (SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap > 3600000 * 1000::BIGINT")

@@ -88,10 +88,11 @@ _slices("q03_sagittal_slice", "sagittal", 3)
     SELECT vol_id, axis, idx, u, w, v, round((CAST(v AS DOUBLE) - lo) / (hi - lo), 9) AS norm FROM p JOIN r USING (vol_id)""",
 )
 def preview(spark, sf_dir):
-    slices = voxels.preview(volumes(spark, sf_dir))
-    ranges = aggregate.value_range(slices)
+    v = volumes(spark, sf_dir)
+    low, high = aggregate.array_range(F.flatten(F.transform(voxels.middle_slices(), lambda s: s["part"])))
+    slices = voxels.preview(v.withColumns({"lo": low, "hi": high}), "lo", "hi")
     norm = intensity.normalised(F.col("v"), F.col("lo"), F.col("hi"))
-    return slices.join(ranges, "vol_id").select("vol_id", "axis", "idx", "u", "w", "v", _six(norm, 9).alias("norm"))
+    return slices.select("vol_id", "axis", "idx", "u", "w", "v", _six(norm, 9).alias("norm"))
 
 
 @query("q05_value_range", f"WITH {VOX}, {_RANGE} SELECT * FROM r")
@@ -116,10 +117,10 @@ def rescale(spark, sf_dir):
 
 def _display(spark, sf_dir, window: float = 0.6, level: float = 0.5) -> DataFrame:
     """Axial slices with t, the display value 0..1."""
-    v = volumes(spark, sf_dir)
-    ranges = aggregate.value_range(voxels.voxels(v))
+    low, high = aggregate.array_range(F.col(voxels.DATA))
+    v = volumes(spark, sf_dir).withColumns({"lo": low, "hi": high})
     norm = intensity.normalised(F.col("v"), F.col("lo"), F.col("hi"))
-    return voxels.slice_voxels(v, "axial", 2).join(ranges, "vol_id").withColumn("t", intensity.window_level(norm, window, level))
+    return voxels.slice_voxels(v, "axial", 2, "lo", "hi").withColumn("t", intensity.window_level(norm, window, level))
 
 
 _DISPLAY = f"""{VOX}, {_RANGE}, d AS (SELECT vol_id, x AS u, y AS w,
@@ -138,8 +139,7 @@ def window_level(spark, sf_dir):
     SELECT vol_id, p01, p99, round((p99 - p01) / (hi - lo), 9) AS win, round(((p01 + p99) / 2 - lo) / (hi - lo), 9) AS level FROM q JOIN r USING (vol_id)""",
 )
 def auto_window(spark, sf_dir):
-    vox = voxels.voxels(volumes(spark, sf_dir))
-    found = aggregate.auto_window(vox, aggregate.value_range(vox))
+    found = aggregate.auto_window(volumes(spark, sf_dir))
     return found.select("vol_id", "p01", "p99", _six(F.col("win"), 9).alias("win"), _six(F.col("level"), 9).alias("level"))
 
 
@@ -284,9 +284,8 @@ _MATCH = "CAST(floor((2 * x + 0.5::DOUBLE * y + 1 - 2) / 2 + 0.5::DOUBLE) AS INT
 def compare_left(spark, sf_dir):
     """Each volume beside the one before it."""
     v = volumes(spark, sf_dir)
-    vox = voxels.voxels(v)
-    first = vox.where("vol_id > 0").select(F.col("vol_id").alias("pair"), "x", "y", "z", "v")
-    second = vox.select((F.col("vol_id") + 1).alias("pair"), "x", "y", "z", "v")
+    first = v.where("vol_id > 0").withColumn("pair", F.col("vol_id"))
+    second = v.withColumn("pair", F.col("vol_id") + 1)
     return compare.compare(first, _affine(spark, v, _FIRST), second, _affine(spark, v, _SECOND))
 
 
@@ -335,12 +334,16 @@ def minimap_resample(spark, sf_dir):
     return voxels.resampled(voxels.slice_voxels(volumes(spark, sf_dir), "axial", 2), F.lit(SIDE), F.lit(SIDE), 6, 6)
 
 
-@query("q39_volume_union_filter", "SELECT vec_id AS vol_id, CASE WHEN vec_id < 20 THEN vec_id - (vec_id > 3)::INT ELSE vec_id - 1 END AS pos FROM embeddings WHERE vec_id < 40 AND vec_id <> 3")
+@query(
+    "q39_volume_union_filter",
+    """WITH b AS (SELECT vec_id AS vol_id, vec_id AS pos FROM embeddings UNION ALL
+      SELECT vec_id + 1000000000 AS vol_id, vec_id + 1 + (SELECT max(vec_id) FROM embeddings) AS pos FROM embeddings)
+    SELECT vol_id, pos - (pos > 3)::INT AS pos FROM b WHERE pos <> 3""",
+)
 def volume_union_filter(spark, sf_dir):
-    """Twenty volumes, twenty more appended, the one at position 3 removed."""
-    v = volumes(spark, sf_dir).select("vol_id")
-    first = v.where("vol_id < 20").withColumn("pos", F.col("vol_id"))
-    more = v.where("vol_id >= 20 AND vol_id < 40").withColumn("pos", F.col("vol_id") - 20)
+    """All volumes, all of them appended once more under other names, the one at position 3 removed."""
+    first = volumes(spark, sf_dir).select("vol_id", F.col("vol_id").alias("pos"))
+    more = first.withColumn("vol_id", F.col("vol_id") + 1_000_000_000)
     return voxels.remove_at(voxels.append_volume(first, more), 3)
 
 
@@ -409,7 +412,20 @@ def lod_picture(spark, sf_dir):
     return views.lod_picture(volumes(spark, sf_dir), 1).select("vol_id", "nx", "ny", "nz", F.posexplode("data").alias("i", "v"))
 
 
-@query("q53_slice_bytes", f"WITH {VOX} SELECT vol_id, CAST(3 AS INTEGER) AS idx, CAST(count(*) * 4 AS INTEGER) AS n_bytes, 'sagittal' AS axis FROM vox WHERE x = 3 GROUP BY vol_id")
+def _hex_float(v: str) -> str:
+    """SQL for the hexadecimal digits of a number's four bytes as a float, lowest byte first: sign, exponent and mantissa by arithmetic."""
+    size = f"abs(CAST({v} AS DOUBLE))"
+    # The exponent is that of the power of two at or below the size; below 2**-126 the mantissa has no leading one.
+    e = f"greatest(-126, CAST(floor(log2({size})) AS INTEGER) + CASE WHEN pow(2.0::DOUBLE, floor(log2({size})) + 1) <= {size} THEN 1 WHEN pow(2.0::DOUBLE, floor(log2({size}))) > {size} THEN -1 ELSE 0 END)"
+    bits = f"CASE WHEN {v} = 0 THEN 0 ELSE CAST(CASE WHEN {size} < pow(2.0::DOUBLE, -126) THEN {size} / pow(2.0::DOUBLE, -149) ELSE ({e} + 127) * 8388608::DOUBLE + ({size} / pow(2.0::DOUBLE, {e}) - 1) * 8388608::DOUBLE END AS BIGINT) END + CASE WHEN {v} < 0 THEN 2147483648 ELSE 0 END"
+    return "(" + " || ".join(f"printf('%02X', ({bits}) // {256**k} % 256)" for k in range(4)) + ")"
+
+
+@query(
+    "q53_slice_bytes",
+    f"""WITH {VOX}, f AS (SELECT vol_id, y, z, {_hex_float('v')} AS h FROM vox WHERE x = 3)
+    SELECT vol_id, CAST(3 AS INTEGER) AS idx, string_agg(h, '' ORDER BY z, y) AS payload, 'sagittal' AS axis FROM f GROUP BY vol_id""",
+)
 def slice_bytes(spark, sf_dir):
     found = views.slice_bytes(voxels.slice_voxels(volumes(spark, sf_dir), "sagittal", 3))
-    return found.select("vol_id", "idx", F.octet_length("payload").alias("n_bytes"), "axis")
+    return found.select("vol_id", "idx", F.hex("payload").alias("payload"), "axis")
