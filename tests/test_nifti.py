@@ -92,7 +92,81 @@ def test_reader_cuts_partitions(folder):
 
     reader = nifti.NiftiReader(None, {"path": str(folder), "slabbytes": "60"})
     assert list(reader.pushFilters([EqualTo(("z",), 2), EqualTo(("x",), 1), GreaterThan(("t",), 0)])) == [EqualTo(("x",), 1)]
-    assert [(p.path[-5:], p.low, p.high, p.first) for p in reader.partitions()] == [("c.nii", 2, 3, 1)]
+    # The filters leave one slab, in one of the parts that the file's size makes.
+    (c,) = [f[0] for p in reader.partitions() for f in p.files if f[0].endswith("c.nii") and f[1] == 0]
+    h = nifti.read_header(c)
+    assert [r for p in reader.partitions() for f in p.files if f[0] == c for r in p.ranges(h, *f[1:])] == [(1, 2, 3)]
+    # 1384 bytes are three parts; a file of 562 bytes is one, and so is a gzipped one.
+    whole = nifti.NiftiReader(None, {"path": str(folder), "slabbytes": "600"}).partitions()
+    assert [[(f[0][-5:], *f[1:]) for f in p.files] for p in whole] == [[("a.nii", 0, 1)], [("c.nii", 0, 3)], [("c.nii", 1, 3)], [("c.nii", 2, 3)], [("ii.gz", 0, 1)]]
+    assert [len(p.files) for p in nifti.NiftiReader(None, {"path": str(folder)}).partitions()] == [3]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 100])
+def test_parts_of_a_file_hold_each_slab_once(parts):
+    whole = nifti.Parts([], (1, 6), (1, 4))
+    seen = [(t, z) for k in range(parts) for t, low, high in whole.ranges({"nz": 7, "nt": 9}, k, parts) for z in range(low, high)]
+    assert seen == [(t, z) for t in range(1, 4) for z in range(1, 6)]
+
+
+def test_patterns_and_uris(spark, folder):
+    nifti.register(spark)
+    one = {nifti.listed(p, "*.nii*")[0] for p in (f"{folder}/a.*", f"file://{folder}/a.nii", f"file:{folder}/a.nii", str(folder / "a.nii"))}
+    assert one == {(str(folder / "a.nii"), (folder / "a.nii").stat().st_size)}
+    assert len(nifti.listed(f"{folder}/*.nii*", "*")) == 3 and nifti.listed(f"{folder}/none*", "*") == []
+    with pytest.raises(FileNotFoundError):
+        nifti.listed(f"{folder}/none", "*")
+    assert spark.read.format("nifti").load(f"file://{folder}").count() == 105 * 4
+
+
+def test_files_behind_http_are_read_by_range(folder):
+    """A server that knows ranges is asked for the header and one slab only; one that doesn't sends all, with the same result."""
+    import functools
+    import http.server
+    import threading
+
+    asked = []
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        ranges = True
+
+        def do_GET(self):
+            raw = (folder / self.path.lstrip("/")).read_bytes()
+            sent, status = raw, 200
+            if self.ranges and self.headers.get("Range"):
+                low, high = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+                sent, status = raw[low : high + 1], 206
+            asked.append(len(sent))
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(sent)))
+            self.end_headers()
+            self.wfile.write(sent)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Handler, directory=str(folder)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        for name, ranges in (("a.nii", True), ("a.nii", False), ("b.nii.gz", True)):
+            Handler.ranges, asked[:] = ranges, []
+            reader = nifti.NiftiReader(None, {"path": f"http://127.0.0.1:{server.server_port}/{name}", "view": "slabs"})
+            reader.bounds["z"] = (2, 3)
+            (batch,) = [b for p in reader.partitions() for b in reader.read(p)]
+            assert batch.column("z").to_pylist() == [2] and batch.column("data")[0].as_py() == [2.0 * ((30 + k) % 100) + 10 for k in range(15)]
+            assert not ranges or name.endswith("gz") or asked[1] == 30
+    finally:
+        server.shutdown()
+
+
+def test_batches_gather_slabs(folder, monkeypatch):
+    reader = nifti.NiftiReader(None, {"path": str(folder), "view": "slabs"})
+    (partition,) = reader.partitions()
+    (batch,) = reader.read(partition)
+    assert batch.num_rows == 7 * 4
+    monkeypatch.setattr(nifti, "BATCH_VOXELS", 40)
+    parts = list(reader.read(partition))
+    assert len(parts) > 7 and sum((b.to_pylist() for b in parts), []) == batch.to_pylist()
 
 
 def test_header_view_and_json(spark, folder):

@@ -1,10 +1,13 @@
 """``spark.read.format("nifti")``: headers and voxels of NIfTI files, plain or gzipped.
 
 A view ``header`` reads the first bytes of each file. A view ``slabs`` has a row for each (file, frame, z)
-with the slab's voxels as an array; a view ``voxels`` one for each voxel. Each plain file is split by z
-ranges of about ``slabBytes``, so a large volume is read by many tasks, each of its own bytes; a gzipped file
-can't be entered in the middle and is one partition, which stops inflating behind the last slab it needs.
-Filters on z and t (equal, less, greater, in) are taken over by the reader and cut these ranges.
+with the slab's voxels as an array; a view ``voxels`` one for each voxel. Paths are local or any URI that
+Arrow's file systems open (s3, gs, hdfs, abfs, file), and http or https, which are read by byte range.
+
+Planning lists files and opens none. A plain file is divided by its size into parts of about ``slabBytes``, so a
+large volume is read by many tasks, each of its own bytes; small files share a task. A gzipped file can't be
+entered in the middle and is one part, which stops inflating behind the last slab it needs. Filters on z and t
+(equal, less, greater, in) are taken over by the reader and cut the ranges that are read.
 """
 
 from __future__ import annotations
@@ -12,14 +15,19 @@ from __future__ import annotations
 import fnmatch
 import glob
 import gzip
+import io
 import json
 import os
+import re
+import urllib.error
+import urllib.request
 import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -36,11 +44,11 @@ from pyspark.sql.datasource import (
 )
 
 from ..session import ship_package
-from .nifti_header import PREFIX_BYTES, SCHEMA, NotNifti, parse_header
+from .nifti_header import PREFIX_BYTES, SCHEMA, NotNifti, parse_header, write_header
 
 SLAB_BYTES = 32 << 20
-#: Headers that are read at a time while a scan is planned.
-PLANNING_THREADS = 32
+#: Voxels that one Arrow batch holds, about, and files that share a task at the most.
+BATCH_VOXELS, TASK_FILES = 1 << 20, 1000
 
 # Numpy types of the element codes that are numbers.
 DTYPES = {1: "u1", 2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
@@ -52,21 +60,77 @@ VIEWS = {
 }
 
 
-class Slab(InputPartition):
-    """z ranges [low, high) of the frames [first, last) of one file; the whole file for the header view."""
-
-    def __init__(self, path: str, first: int = 0, last: int = 0, low: int = 0, high: int = 0):
-        self.path, self.first, self.last, self.low, self.high = path, first, last, low, high
+class Parts(InputPartition):
+    """Files (path, part, parts) that one task reads: of each the part-th of so many equal parts of its slabs within the bounds of z and t."""
+
+    def __init__(self, files: list[tuple[str, int, int]], z: tuple[int, int], t: tuple[int, int]):
+        self.files, self.z, self.t = files, z, t
+
+    def ranges(self, h: dict, part: int, parts: int) -> list[tuple[int, int, int]]:
+        """The slabs of one part of a file, (t, low, high): those within the bounds, in their order, dealt into equal parts."""
+        low, high = max(0, self.z[0]), min(h["nz"], self.z[1])
+        first, last = max(0, self.t[0]), min(h["nt"], self.t[1])
+        if low >= high or first >= last:
+            return []
+        depth = high - low
+        total = depth * (last - first)
+        begin, end = part * total // parts, (part + 1) * total // parts
+        return [(first + k, low + max(0, begin - k * depth), low + min(depth, end - k * depth)) for k in range(begin // depth, -(-end // depth)) if begin < end]
+
+
+def located(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path or URI, the path in it, and what stands before it in the URI."""
+    local = re.match(r"file:/+", path)
+    if local or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path[local.end() :] if local else path, ""
+    system, inside = fs.FileSystem.from_uri(path)
+    return system, inside, path[: len(path) - len(inside)] if path.endswith(inside) else ""
+
+
+def is_remote(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
+
+
+def listed(path: str, pattern: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, of a folder's files that match ``pattern``, or of files that match a path with wildcards."""
+    if not path:
+        return []
+    if is_remote(path):
+        with urllib.request.urlopen(urllib.request.Request(path, method="HEAD")) as answer:
+            return [(path, int(answer.headers.get("Content-Length") or 0))]
+    system, inside, before = located(path)
+    if glob.has_magic(inside):
+        fixed = inside[: re.search(r"[*?\[]", inside).start()].rpartition("/")[0] or "."
+        found = system.get_file_info(fs.FileSelector(fixed, recursive=True, allow_not_found=True))
+        found = [f for f in found if PurePosixPath(f.path).full_match(inside)]
+        folders = [f.path for f in found if f.type == fs.FileType.Directory]
+        files = [f for f in found if f.type == fs.FileType.File]
+    else:
+        info = system.get_file_info(inside)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        folders, files = ([inside], []) if info.type == fs.FileType.Directory else ([], [info])
+    for folder in folders:
+        files += [f for f in system.get_file_info(fs.FileSelector(folder, recursive=True)) if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern)]
+    # As Spark does, leave out what is hidden or still being written.
+    return sorted({(before + f.path, f.size) for f in files if f.base_name[:1] not in "._"})
 
 
 class Inflated:
-    """Byte ranges, in ascending order, of a gzipped file, inflated no further than asked for."""
+    """Byte ranges of a gzipped file, inflated no further than asked for; a range before the last one starts anew."""
 
     def __init__(self, path: str):
-        self.file = gzip.open(path, "rb")
+        if is_remote(path):
+            self.raw = io.BytesIO(urllib.request.urlopen(path).read())
+        else:
+            system, inside, _ = located(path)
+            self.raw = system.open_input_file(inside)
+        self.file = gzip.GzipFile(fileobj=self.raw, mode="rb")
 
     def read(self, start: int, size: int) -> bytes:
         at = self.file.tell()
+        if at > start:  # the header's bytes, read before, reach into the voxels
+            at = self.file.seek(start)
         while at < start:
             step = self.file.read(min(1 << 20, start - at))
             if not step:
@@ -79,13 +143,17 @@ class Inflated:
 
     def close(self) -> None:
         self.file.close()
+        self.raw.close()
 
 
 class Plain:
     def __init__(self, path: str):
-        self.file = open(path, "rb")
+        system, inside, _ = located(path)
+        self.file = system.open_input_file(inside)
 
     def read(self, start: int, size: int) -> bytes:
+        if start >= self.file.size():
+            return b""
         self.file.seek(start)
         return self.file.read(size)
 
@@ -93,12 +161,36 @@ class Plain:
         self.file.close()
 
 
+class Ranged:
+    """A file behind http, read by byte ranges; a server that ignores them sends the whole file, which is cut here."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def read(self, start: int, size: int) -> bytes:
+        if not size:
+            return b""
+        asked = urllib.request.Request(self.path, headers={"Range": f"bytes={start}-{start + size - 1}"})
+        try:
+            with urllib.request.urlopen(asked) as answer:
+                if answer.status != 206:
+                    answer.read(start)
+                return answer.read(size)
+        except urllib.error.HTTPError as e:
+            if e.code == 416:  # beyond the end
+                return b""
+            raise
+
+    def close(self) -> None:
+        pass
+
+
 def is_gzip(path: str) -> bool:
     return path.endswith(".gz")
 
 
-def opened(path: str) -> Inflated | Plain:
-    return Inflated(path) if is_gzip(path) else Plain(path)
+def opened(path: str) -> Inflated | Plain | Ranged:
+    return Inflated(path) if is_gzip(path) else Ranged(path) if is_remote(path) else Plain(path)
 
 
 def read_header(path: str, mode: str = "standard") -> dict:
@@ -124,10 +216,37 @@ def decode(raw: bytes, header: dict, count: int) -> np.ndarray:
     return values.astype(np.float32)
 
 
-def slab_batch(path: str, h: dict, t: int, z: int, values: np.ndarray) -> pa.RecordBatch:
-    data = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
-    columns = [pa.array([path]), *(pa.array([k], pa.int32()) for k in (t, z, h["nx"], h["ny"], h["nz"])), data]
-    return pa.RecordBatch.from_arrays(columns, ["path", "t", "z", "nx", "ny", "nz", "data"])
+class SlabRows:
+    """Slabs gathered into Arrow batches of about BATCH_VOXELS."""
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, int, int, int, int]] = []
+        self.values: list[np.ndarray] = []
+        self.ends = [0]
+
+    def add(self, path: str, h: dict, t: int, z: int, count: int, values: np.ndarray) -> bool:
+        """Take up ``count`` slabs from z on; true when there is enough for a batch."""
+        size = len(values) // count
+        self.rows += [(path, t, z + k, h["nx"], h["ny"], h["nz"]) for k in range(count)]
+        self.values.append(values)
+        self.ends += [self.ends[-1] + size * (k + 1) for k in range(count)]
+        return self.ends[-1] >= BATCH_VOXELS
+
+    def batch(self) -> pa.RecordBatch:
+        data = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(np.concatenate(self.values)))
+        columns = [pa.array(c, pa.int32() if k else pa.string()) for k, c in enumerate(zip(*self.rows))]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([*columns, data], ["path", "t", "z", "nx", "ny", "nz", "data"])
+
+
+def runs_of_slabs(h: dict, ranges: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(t, z, slabs, start, size) of the reads that ranges (t, low, high) of slabs take, each of a batch's voxels at the most."""
+    step = max(1, BATCH_VOXELS // max(1, h["slice_size"]))
+    size = h["slice_size"] * h["bytes_per_voxel"]
+    for t, low, high in ranges:
+        for z in range(low, high, step):
+            count = min(step, high - z)
+            yield t, z, count, h["vox_offset"] + t * h["volume_bytes"] + z * size, size * count
 
 
 class NiftiReader(DataSourceReader):
@@ -137,14 +256,8 @@ class NiftiReader(DataSourceReader):
             raise ValueError(f"view is one of {', '.join(VIEWS)}")
         self.mode = options.get("mode", "standard")
         self.slab_bytes = int(options.get("slabbytes", SLAB_BYTES))
-        pattern = options.get("pathglobfilter", "*.nii*")
-        asked = json.loads(options["paths"]) if options.get("paths") else [options.get("path") or ""]
-        self.files: list[str] = []
-        for name in [n for path in asked for n in (sorted(glob.glob(path)) if glob.has_magic(path) else [path])]:
-            if os.path.isdir(name):
-                self.files += sorted(os.path.join(d, f) for d, _, fs in os.walk(name) for f in fs if fnmatch.fnmatch(f, pattern))
-            elif name:
-                self.files.append(name)
+        self.pattern = options.get("pathglobfilter", "*.nii*")
+        self.asked = json.loads(options["paths"]) if options.get("paths") else [options.get("path") or ""]
         self.bounds: dict[str, tuple[int, int]] = {"z": (0, 1 << 40), "t": (0, 1 << 40)}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -171,54 +284,54 @@ class NiftiReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Slab]:
+    def partitions(self) -> list[Parts]:
+        out, small, held = [], [], 0
+        # A file has no more parts than slabs that the filters leave.
+        (z0, z1), (t0, t1) = self.bounds["z"], self.bounds["t"]
+        most = max(0, z1 - z0) * max(0, t1 - t0) if self.view != "header" else 1
+        for path, size in [f for name in self.asked for f in listed(name, self.pattern)]:
+            parts = 1 if is_gzip(path) else min(-(-size // self.slab_bytes), most)
+            if parts > 1:
+                out += [Parts([(path, part, parts)], (z0, z1), (t0, t1)) for part in range(parts)]
+            elif most:
+                share = PREFIX_BYTES if self.view == "header" else size
+                if small and (held + share > self.slab_bytes or len(small) >= TASK_FILES):
+                    out.append(Parts(small, (z0, z1), (t0, t1)))
+                    small, held = [], 0
+                small = [*small, (path, 0, 1)]
+                held += share
+        return out + ([Parts(small, (z0, z1), (t0, t1))] if small or not out else [])
+
+    def read(self, partition: Parts) -> Iterator:
         if self.view == "header":
-            return [Slab(path) for path in self.files] or [Slab("")]
-        out = []
-        with ThreadPoolExecutor(PLANNING_THREADS) as pool:
-            headers = list(pool.map(lambda path: read_header(path, self.mode), self.files))
-        for path, header in zip(self.files, headers):
-            low, high = max(0, self.bounds["z"][0]), min(header["nz"], self.bounds["z"][1])
-            first, last = max(0, self.bounds["t"][0]), min(header["nt"], self.bounds["t"][1])
-            if low >= high or first >= last:
-                continue
-            if is_gzip(path):
-                out.append(Slab(path, first, last, low, high))
-                continue
-            step = max(1, self.slab_bytes // max(1, header["slice_size"] * header["bytes_per_voxel"]))
-            out += [Slab(path, t, t + 1, z, min(z + step, high)) for t in range(first, last) for z in range(low, high, step)]
-        return out or [Slab("")]
-
-    def read(self, partition: Slab) -> Iterator:
-        if not partition.path:
+            for path, _, _ in partition.files:
+                try:
+                    yield (path, *read_header(path, self.mode).values(), None)
+                except (NotNifti, OSError, EOFError) as e:
+                    yield (path, *[None] * len(SCHEMA.split(", ")), str(e))
             return
-        if self.view == "header":
+        rows = SlabRows()
+        for path, part, parts in partition.files:
+            source = opened(path)
             try:
-                h = read_header(partition.path, self.mode)
-                yield (partition.path, *h.values(), None)
-            except (NotNifti, OSError, EOFError) as e:
-                n = len(SCHEMA.split(", "))
-                yield (partition.path, *[None] * n, str(e))
-            return
-        h = read_header(partition.path, self.mode)
-        source, count = opened(partition.path), h["slice_size"]
-        size = count * h["bytes_per_voxel"]
-        try:
-            for t in range(partition.first, partition.last):
-                for z in range(partition.low, partition.high):
-                    raw = source.read(h["vox_offset"] + t * h["volume_bytes"] + z * size, size)
-                    yield self._batch(partition.path, h, t, z, decode(raw, h, count))
-        finally:
-            source.close()
-
-    def _batch(self, path: str, h: dict, t: int, z: int, values: np.ndarray) -> pa.RecordBatch:
+                h = parse_header(source.read(0, PREFIX_BYTES), is_gzip(path), self.mode)
+                for t, z, count, start, size in runs_of_slabs(h, partition.ranges(h, part, parts)):
+                    values = decode(source.read(start, size), h, count * h["slice_size"])
+                    if self.view == "voxels":
+                        yield self._voxels(path, h, t, z, values)
+                    elif rows.add(path, h, t, z, count, values):
+                        yield rows.batch()
+            finally:
+                source.close()
+        if rows.rows:
+            yield rows.batch()
+
+    def _voxels(self, path: str, h: dict, t: int, z: int, values: np.ndarray) -> pa.RecordBatch:
         n = len(values)
-        if self.view == "slabs":
-            return slab_batch(path, h, t, z, values)
         i = np.arange(n, dtype=np.int64)
         columns = [
-            pa.array([path] * n), pa.array(np.full(n, t, np.int32)), pa.array((i % h["nx"]).astype(np.int32)),
-            pa.array((i // h["nx"]).astype(np.int32)), pa.array(np.full(n, z, np.int32)), pa.array(values),
+            pa.array([path]).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, t, np.int32)), pa.array((i % h["nx"]).astype(np.int32)),
+            pa.array((i // h["nx"] % h["ny"]).astype(np.int32)), pa.array((z + i // h["slice_size"]).astype(np.int32)), pa.array(values),
         ]
         return pa.RecordBatch.from_arrays(columns, ["path", "t", "x", "y", "z", "v"])
 
@@ -245,23 +358,54 @@ def decode_files(files: DataFrame, mode: str = "standard") -> DataFrame:
     ship_package(files.sparkSession)
 
     def slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for path, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        rows = SlabRows()
+        for files_ in batches:
+            for path, raw in zip(files_.column(0).to_pylist(), files_.column(1).to_pylist()):
                 zipped = (raw or b"")[:2] == b"\x1f\x8b"
                 try:
                     raw = gzip.decompress(raw) if zipped else raw or b""
                     h = parse_header(raw[:PREFIX_BYTES], zipped, mode)
                 except (NotNifti, OSError, EOFError, zlib.error):
                     continue
-                size = h["slice_size"] * h["bytes_per_voxel"]
-                for t in range(h["nt"]):
-                    for z in range(h["nz"]):
-                        at = h["vox_offset"] + t * h["volume_bytes"] + z * size
-                        yield slab_batch(path, h, t, z, decode(raw[at : at + size], h, h["slice_size"]))
+                for t, z, count, start, size in runs_of_slabs(h, [(t, 0, h["nz"]) for t in range(h["nt"])]):
+                    if rows.add(path, h, t, z, count, decode(raw[start : start + size], h, count * h["slice_size"])):
+                        yield rows.batch()
+        if rows.rows:
+            yield rows.batch()
 
     return files.select("path", "content").mapInArrow(slabs, VIEWS["slabs"])
 
 
+def write_files(volumes: DataFrame, folder: str) -> DataFrame:
+    """Write volumes(name, nx, ny, nz, datatype, order, scl_slope, scl_inter, data) as NIfTI files in ``folder``, one each; returns (name, bytes).
+
+    ``order`` is '<' or '>', data are stored numbers, not yet rescaled. A name that ends in .gz is gzipped. The
+    folder is a path or URI that all executors share; a file is written by one task and appears under its name when whole.
+    """
+    ship_package(volumes.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inside, _ = located(folder)
+        system.create_dir(inside, recursive=True)
+        for rows in batches:
+            out = []
+            for r in range(rows.num_rows):
+                name, nx, ny, nz, code, order, slope, inter = (rows.column(k)[r].as_py() for k in range(8))
+                values = rows.column(8)[r].values.to_numpy(zero_copy_only=False)
+                raw = write_header((nx, ny, nz), code, 1, order, scl_slope=slope, scl_inter=inter) + values.astype(order + DTYPES[code]).tobytes()
+                raw = gzip.compress(raw, 1) if is_gzip(name) else raw
+                # A task that is run again, or twice at a time, writes the same bytes under a name of its own first.
+                draft = f"{inside}/_{os.getpid()}_{name}"
+                with system.open_output_stream(draft, compression=None) as file:
+                    file.write(raw)
+                system.move(draft, f"{inside}/{name}")
+                out.append((name, len(raw)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["name", "bytes"])
+
+    columns = ("name", "nx", "ny", "nz", "datatype", "order", "scl_slope", "scl_inter", "data")
+    return volumes.select(*columns).mapInArrow(write, "name string, bytes long")
+
+
 def slab_voxels(slabs: DataFrame) -> DataFrame:
     """(path, t, x, y, z, v) of the ``slabs`` view."""
     flat = slabs.select("path", "t", "z", "nx", F.posexplode("data").alias("i", "v"))
