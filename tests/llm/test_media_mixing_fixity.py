@@ -44,6 +44,51 @@ def test_ogg_round_trip_and_damage(size, segments, streams):
         media_ogg.decode(media[:-10])
 
 
+def slow_ogg(payload):
+    """The file of a payload by the format's rules alone: two streams of 4096-byte packets in turn, 255 segments to a page."""
+    packets = {0: [], 1: []}
+    for k in range(0, len(payload), 4096):
+        packets[k // 4096 % 2].append((payload[k : k + 4096], min(k + 4096, len(payload))))
+    pages = {0: [], 1: []}
+    for s in (0, 1):
+        head = b"PCM8" + bytes(4) + bytes([1, s]) + (2).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (4096).to_bytes(4, "little")
+        # Segments: (bytes, ends a packet, granule there); the header packet has a page of its own.
+        segments = []
+        for packet, granule in packets[s]:
+            cut = [packet[k : k + 255] for k in range(0, len(packet) + 1, 255)]
+            segments += [(c, k == len(cut) - 1, granule) for k, c in enumerate(cut)]
+        groups = [[(head, True, 0)], *[segments[k : k + 255] for k in range(0, len(segments), 255)]]
+        open_ = False
+        for n, group in enumerate(groups):
+            ends = [g for _, end, g in group if end]
+            flags = open_ + 2 * (n == 0) + 4 * (n == len(groups) - 1)
+            granule = ends[-1] if ends else -1
+            before = b"OggS\0" + bytes([flags]) + granule.to_bytes(8, "little", signed=True) + (s + 1).to_bytes(4, "little") + n.to_bytes(4, "little")
+            after = bytes([len(group)]) + bytes(len(c) for c, _, _ in group) + b"".join(c for c, _, _ in group)
+            pages[s].append(before + slow_checksum(before + bytes(4) + after).to_bytes(4, "little") + after)
+            open_ = not group[-1][1]
+    first = pages[0][0] + pages[1][0]
+    turns = range(1, max(map(len, pages.values())))
+    return first + b"".join(pages[s][k] for k in turns for s in (0, 1) if k < len(pages[s]))
+
+
+def slow_feature(payload):
+    count = -(-len(payload) // 4096)
+    steps = sum(abs(a - b) for a, b in zip(payload, payload[1:]))
+    return f"streams={min(2, count)};packets={count};ms={len(payload) * 1000 // 8000};last_ms={(count - 1) * 4096 * 1000 // 8000};sum={sum(payload)};steps={steps};silent={payload.count(0)}"
+
+
+def test_media_bytes_and_features_by_hand(spark, sf_dir, texts):
+    want = {}
+    for i, t in texts:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = slow_ogg(payload)
+        want[i] = (len(media), hashlib.sha256(media).hexdigest(), slow_feature(payload))
+    got = {r.doc_id: (r.media_bytes, r.media_sha256, r.feature) for r in queries.QUERIES["op10_ogg_media"](spark, sf_dir).collect()}
+    assert got == want
+
+
 def check_media(rows, got):
     want = []
     for i, t in rows:
