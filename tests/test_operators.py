@@ -157,3 +157,19 @@ def test_strided_projection(spark):
     got = {(r.px, r.py): r.v for r in aggregate.mip(vox, v).collect()}
     even = (0, 40, 158)
     assert got == {(x, y): float(x + 158_000) for x in even for y in even}
+
+
+def test_zoom_in_parts_is_zoom_step_by_step(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, t + dt.timedelta(seconds=n), rng.choice([0.5, 0.8, 1.1, 1.3, 2.0])) for k in range(3) for n in range(57)]
+    want = {}
+    for k, _, f in rows:
+        want[k] = max(0.5, min(10.0, want.get(k, 1.0) * f))
+    log = spark.createDataFrame(rows, "key long, ts timestamp, f double")
+    for size in (1, 10, 1000):
+        monkeypatch.setattr(accesslog, "FOLD_ROWS", size)
+        got = {r.key: r.zoom for r in accesslog.zoomed(log, "key", "f").collect()}
+        assert got == pytest.approx(want)

@@ -17,6 +17,8 @@ QUEUE_CAPS = {"remote": 1, "local": 2}
 # HTTP statuses that are worth another try, besides 500 and above.
 RETRYABLE = (408, 425, 429)
 ZOOM_LIMITS = (0.5, 10.0)
+#: Events of a key that are folded at a time.
+FOLD_ROWS = 10_000
 
 
 def _micros(ts: Column | str) -> Column:
@@ -86,13 +88,26 @@ def panned(log: DataFrame, key: str, *moves: str) -> DataFrame:
 
 
 def zoomed(log: DataFrame, key: str, factor: str) -> DataFrame:
-    """(key, zoom): factors multiplied in the order of time, clamped after each step, from 1.
+    """(key, zoom): positive factors multiplied in the order of time, clamped after each step, from 1.
 
-    The clamp makes it a fold, which no sum or product expresses; a key's events are folded in one row.
+    A step maps a zoom to its clamped multiple, and a row of steps is such a map again: a factor and two bounds.
+    So FOLD_ROWS events of a key are folded into one map, and then the maps, whatever the number of events.
     """
-    low, high = ZOOM_LIMITS
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", F.col(factor).cast("double").alias("f")))), lambda e: e["f"])
-    return log.groupBy(key).agg(F.aggregate(steps, F.lit(1.0), lambda zoom, f: F.greatest(F.lit(low), F.least(F.lit(high), zoom * f))).alias("zoom"))
+    low, high = map(F.lit, ZOOM_LIMITS)
+    clamped = lambda x: F.greatest(low, F.least(high, x))
+    identity = F.struct(F.lit(1.0).alias("f"), low.alias("lo"), high.alias("hi"))
+
+    def then(m: Column, f: Column, lo: Column, hi: Column) -> Column:
+        """The map m and after it the one of factor f and bounds lo and hi."""
+        bounded = lambda x: F.greatest(lo, F.least(hi, x * f))
+        return F.struct((m["f"] * f).alias("f"), bounded(m["lo"]).alias("lo"), bounded(m["hi"]).alias("hi"))
+
+    part = F.expr(f"(row_number() OVER (PARTITION BY `{key}` ORDER BY ts) - 1) div {FOLD_ROWS}")
+    events = log.select(key, "ts", F.col(factor).cast("double").alias("_f"), part.alias("_part"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "_f"))), lambda e: e["_f"])
+    maps = events.groupBy(key, "_part").agg(F.aggregate(steps, identity, lambda m, f: then(m, f, low, high)).alias("m"))
+    whole = F.aggregate(F.array_sort(F.collect_list(F.struct("_part", "m"))), identity, lambda m, p: then(m, p["m"]["f"], p["m"]["lo"], p["m"]["hi"]))
+    return maps.groupBy(key).agg(whole.alias("m")).select(key, F.when(F.col("m.f").isNotNull(), clamped(F.greatest("m.lo", F.least("m.hi", "m.f")))).alias("zoom"))
 
 
 def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0) -> DataFrame:
