@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship_package
+
 #: Samples of a bandwidth estimate, and its levels in Mb/s.
 BANDWIDTH_SAMPLES, HIGH_MBPS, MEDIUM_MBPS = 10, 50, 10
 CACHE_BYTES = 2 << 30
@@ -114,20 +119,36 @@ def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0) -> D
     """(key, moved): slices moved by wheel events(ts, delta), in a fold.
 
     A step counts 2 while the wheel turns faster than 2 units a millisecond, where deltas weigh half; the
-    sum of deltas starts again from zero whenever it reaches the threshold.
+    sum of deltas starts again from zero whenever it reaches the threshold. Null deltas are zero. Each task runs
+    through its keys' events in order with two numbers in memory, however many events a key has.
     """
-    events = log.withColumn("_ms", (_micros("ts") - _micros(F.lag("ts").over(Window.partitionBy(key).orderBy("ts")))) / 1000.0)
-    fast = F.when(F.col("_ms") > 0, F.abs(F.col(delta)) > 2 * F.col("_ms")).otherwise(False)
-    steps = F.array_sort(F.collect_list(F.struct("ts", F.when(fast, F.col(delta) * 0.5).otherwise(F.col(delta).cast("double")).alias("d"), F.when(fast, 2).otherwise(1).alias("step"))))
-
-    def turn(state: Column, e: Column) -> Column:
-        total = state["sum"] + e["d"]
-        full = F.abs(total) >= threshold
-        move = F.when(full & (total > 0), e["step"]).when(full, -e["step"]).otherwise(0)
-        return F.struct(F.when(full, 0.0).otherwise(total).alias("sum"), (state["moved"] + move).alias("moved"))
-
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("moved"))
-    return events.groupBy(key).agg(F.aggregate(steps, start, turn, lambda s: s["moved"]).alias("moved"))
+    ship_package(log.sparkSession)
+    turned = F.coalesce(F.col(delta), F.lit(0))
+    events = log.repartition(key).withColumn("_ms", (_micros("ts") - _micros(F.lag("ts").over(Window.partitionBy(key).orderBy("ts")))) / 1000.0)
+    fast = F.when(F.col("_ms") > 0, F.abs(turned) > 2 * F.col("_ms")).otherwise(False)
+    steps = events.select(key, "ts", F.when(fast, turned * 0.5).otherwise(turned.cast("double")).alias("_d"), F.when(fast, 2).otherwise(1).alias("_step"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, moves, total = [], [], 0.0
+        for rows in batches:
+            for name, d, step in zip(*(rows.column(k).to_pylist() for k in range(3))):
+                if not names or name != names[-1]:
+                    names.append(name)
+                    moves.append(0)
+                    total = 0.0
+                total += d
+                if abs(total) >= threshold:
+                    moves[-1] += step if total > 0 else -step
+                    total = 0.0
+            if len(names) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(names[:-1], rows.schema.field(0).type), pa.array(moves[:-1], pa.int32())], [key, "moved"])
+                names, moves = names[-1:], moves[-1:]
+            kind = rows.schema.field(0).type
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(moves, pa.int32())], [key, "moved"])
+
+    kind = log.schema[key].dataType.simpleString()
+    return steps.sortWithinPartitions(key, "ts", "_d", "_step").select(key, "_d", "_step").mapInArrow(run, f"`{key}` {kind}, moved int")
 
 
 def velocity(log: DataFrame, key: str, delta: str) -> DataFrame:
