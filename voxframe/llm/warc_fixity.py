@@ -136,10 +136,11 @@ def _ordered_hash(order: list[str]) -> Column:
     return F.sha2(F.array_join(text, "\n").cast("binary"), 256).alias("hash")
 
 
-def merkle_levels(hashes: DataFrame) -> list[DataFrame]:
-    """Nodes (file, node, hash) of every level, leaves first, the roots last."""
+def merkle_levels(hashes: DataFrame, kept: bool = True) -> list[DataFrame]:
+    """Nodes (file, node, hash) of every level, leaves first, the roots last; ``kept`` leaves aren't computed again for each level that is read."""
     leaf = F.expr(f"offset div {LEAF_BYTES}").alias("node")
-    levels = [checkpointed(hashes.groupBy("file", leaf).agg(_ordered_hash(["offset", "length", "hash"])))]
+    leaves = hashes.groupBy("file", leaf).agg(_ordered_hash(["offset", "length", "hash"]))
+    levels = [checkpointed(leaves) if kept else leaves]
     for _ in range(LEVELS):
         levels.append(levels[-1].groupBy("file", F.expr(f"node div {FANOUT}").alias("up")).agg(_ordered_hash(["node", "hash"])).withColumnRenamed("up", "node"))
     return levels
@@ -175,9 +176,9 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     replica has differs as a whole. Repeated names are matched in their order. Both tables are read several
     times, so what is costly to compute should be checkpointed before.
     """
-    mine, other = merkle_levels(ours), merkle_levels(theirs)
-    files = checkpointed(_differing(mine[-1], other[-1]).select("file").distinct())
-    left = checkpointed(_numbered(ours.join(files, "file", "left_semi")))
+    mine = merkle_levels(ours)
+    files = checkpointed(_differing(mine[-1], merkle_levels(theirs, kept=False)[-1]).select("file").distinct())
+    left = _numbered(ours.join(files, "file", "left_semi"))
     right = checkpointed(aligned(left, _numbered(theirs.join(files, "file", "left_semi"))))
     other = merkle_levels(right.select("file", F.col("at").alias("offset"), "length", "hash"))
     suspects = checkpointed(_differing(mine[-1].join(files, "file", "left_semi"), other[-1]))
@@ -211,7 +212,7 @@ def op1(spark, sf_dir: str) -> DataFrame:
     sides = []
     for side in ("ours", "theirs"):
         there = both.where(F.col(side).isNotNull()).select("file", "record_id", "page_id", F.col(side).alias("d")).withColumn("size", F.col("d.length"))
-        sides.append(checkpointed(with_offsets(there, "page_id", "d").select("file", "record_id", "offset", "d.length", "d.hash")))
+        sides.append(with_offsets(there, "page_id", "d").select("file", "record_id", "offset", "d.length", "d.hash"))
     return audit(*sides)
 
 
