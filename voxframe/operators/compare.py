@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_voxel, to_world
 from ..functions.intensity import blend
 from ..functions.numeric import clamp, half_up
+from ..session import ship_package
 from .voxels import DATA
 
+#: Voxels that one Arrow batch holds, about.
+BATCH_VOXELS = 1 << 20
+
 
 def aligned(vox: DataFrame, header: DataFrame, other_header: DataFrame) -> DataFrame:
     """Adds bx, by, bz to ``vox``: the voxel of the other volume at the same world point, rounded.
@@ -28,21 +36,45 @@ def compare(volumes: DataFrame, header: DataFrame, others: DataFrame, other_head
     """(pair, x, y, z, v, other): each voxel of volumes(pair, nx, ny, nz, data) with the value of ``others``, alike, at its
     world point, null where that lies outside.
 
-    Volumes meet by ``pair``, a row each; the other's voxels are looked up in its array and never shuffled one by one.
+    Volumes meet by ``pair``, a row each; the other's voxels are looked up in its array by numpy and never shuffled one by one.
     """
+    ship_package(volumes.sparkSession)
     named = other_header.select("pair", *[F.col(c).alias(f"b_{c}") for c in other_header.columns if c != "pair"])
     right = others.select("pair", *[F.col(c).alias(f"other_{c}") for c in ("nx", "ny", "nz", DATA)])
     both = volumes.select("pair", "nx", "ny", DATA).join(header, "pair").join(named, "pair").join(right, "pair", "left")
-
-    def voxel(v: Column, i: Column) -> Column:
-        x, y, z = i % F.col("nx"), F.floor(i / F.col("nx")) % F.col("ny"), F.floor(i / (F.col("nx") * F.col("ny")))
-        bx, by, bz = (half_up(c) for c in to_voxel(*to_world(x, y, z), "b_"))
-        inside = bx.between(0, F.col("other_nx") - 1) & by.between(0, F.col("other_ny") - 1) & bz.between(0, F.col("other_nz") - 1)
-        at = bx + F.col("other_nx") * (by + F.col("other_ny") * bz) + 1
-        other = F.when(inside, F.element_at(f"other_{DATA}", F.when(inside, at).otherwise(F.lit(1)).cast("int")))
-        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), v.alias("v"), other.alias("other"))
-
-    return both.select("pair", F.inline(F.transform(DATA, voxel)))
+    # From voxel to voxel is one affine map: the images of the origin and of a step along each axis, worked out once a pair.
+    corners = F.array(*[F.struct(*[F.lit(float(v)).alias(a) for a, v in zip("xyz", point)]) for point in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))])
+    images = F.flatten(F.transform(corners, lambda p: F.array(*to_voxel(*to_world(p["x"], p["y"], p["z"]), "b_"))))
+    both = both.select("pair", "nx", "ny", "other_nx", "other_ny", "other_nz", images.alias("images"), DATA, f"other_{DATA}")
+    kind = volumes.schema[DATA].dataType.elementType.simpleString()
+    return both.mapInArrow(_looked_up, f"pair long, x int, y int, z int, v {kind}, other {others.schema[DATA].dataType.elementType.simpleString()}")
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each voxel of a volume with the voxel of the other one that the affine map of ``images`` points at; about BATCH_VOXELS to a batch."""
+    out, held = [], 0
+    for rows in batches:
+        for r in range(rows.num_rows):
+            pair, nx, ny, *sides = (rows.column(k)[r].as_py() for k in range(6))
+            image = np.array(rows.column(6)[r].as_py(), float).reshape(4, 3)
+            data, other = (rows.column(k)[r].values for k in (7, 8))
+            i = np.arange(len(data))
+            place = np.stack([i % nx, i // nx % ny, i // (nx * ny)]).astype(np.int32)
+            seen = np.full(len(i), -1)
+            if other is not None:
+                b = np.floor(image[0][:, None] + (image[1:] - image[0]).T @ place + 0.5)
+                inside = np.logical_and.reduce([(b[k] >= 0) & (b[k] < sides[k]) for k in range(3)])
+                b = b[:, inside].astype(np.int64)
+                seen[inside] = b[0] + sides[0] * (b[1] + sides[1] * b[2])
+            found = pa.array(seen, mask=seen < 0)
+            found = pa.nulls(len(i), rows.schema.field(8).type.value_type) if other is None else other.take(found)
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(i), pair)), *map(pa.array, place), data, found], ["pair", "x", "y", "z", "v", "other"]))
+            held += len(i)
+            if held >= BATCH_VOXELS:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out, held = [], 0
+    if out:
+        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
 
 def aligned_slice(index: Column, axis_world: Column, n_other: Column) -> Column:
