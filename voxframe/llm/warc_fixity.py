@@ -25,9 +25,9 @@ from pyspark.sql.window import Window
 
 from .runtime import checkpointed, prepare, table, text_or_empty
 
-LEAF_BYTES, FANOUT = 65536, 16
-#: Levels above the leaves; a root covers LEAF_BYTES * FANOUT**LEVELS bytes, 4 GiB; longer files have several.
-LEVELS = 4
+LEAF_BYTES, FANOUT = 65536, 128
+#: Levels above the leaves, each of which costs a join; a root covers LEAF_BYTES * FANOUT**LEVELS bytes, 1 GiB; longer files have several.
+LEVELS = 2
 #: Pages of one WARC file in :func:`page_records`.
 FILE_PAGES = 250
 
