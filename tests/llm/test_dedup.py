@@ -200,6 +200,10 @@ def test_frequent_grams_of_a_common_line(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
     found = suffix_dedup.frequent_grams(docs)
     assert 0 < len(found) <= 1 / suffix_dedup.FREQUENT
+    from voxframe.llm.textbytes import column_bytes
+    import pyarrow as pa
+
+    assert set(found) <= set(suffix_dedup.suffix_runs(*column_bytes(pa.array([line * 3])))[0]) | set(suffix_dedup.suffix_runs(*column_bytes(pa.array([r.text for r in docs.collect()])))[0])
     # Beyond TASK_ROWS sampled rows a gram is frequent whatever its share, and the list is never longer than MOST.
     monkeypatch.setattr(suffix_dedup, "FREQUENT", 2.0)
     assert not len(suffix_dedup.frequent_grams(docs))

@@ -84,7 +84,6 @@ def runs_of_cycles(stock: DataFrame) -> tuple[DataFrame, DataFrame]:
     points = ends.select(F.explode(F.array(F.lit(0).cast("long"), full, F.col("last_cycle") + 1)).alias("from_cycle")).distinct()
     line = _all_rows().orderBy("from_cycle")
     points = points.withColumns({"to_cycle": F.lead("from_cycle").over(line), "run": F.row_number().over(line)}).where("to_cycle IS NOT NULL")
-    points = checkpointed(points)
     # A source's last cycle begins a run; it is left in this run and all before.
     last = ends.join(points.select(F.col("from_cycle").alias("last_cycle"), F.col("run").alias("last_run")), "last_cycle", "left")
     # Where all its cycles are full, its last cycle lies in the run that ends with it.
@@ -121,9 +120,9 @@ def schedule(stock: DataFrame) -> tuple[DataFrame, DataFrame]:
     return runs, heavy.unionByName(tail.join(free, ["run", "k"]).select("run", "source", F.lit(0).alias("i"), "slot"))
 
 
-def _small(rows: DataFrame) -> DataFrame:
+def _small(rows: DataFrame, count: int) -> DataFrame:
     """The rows, to be broadcast if they are few."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, columns: list[str] | None = None) -> DataFrame:
@@ -159,8 +158,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BL
     stock = checkpointed(stock)
     runs, slots = schedule(stock)
     cycles = runs.select("run", F.explode(F.expr("sequence(from_cycle, to_cycle - 1)")).alias("cycle"), (F.col("base") - F.col("from_cycle") * F.col("slots")).alias("base"), F.col("slots"))
-    cycles = _small(checkpointed(cycles.select("cycle", "run", (F.col("base") + F.col("cycle") * F.col("slots")).alias("first"))))
-    slots = _small(checkpointed(slots))
+    number = runs.agg(F.coalesce(F.sum(F.expr("to_cycle - from_cycle")), F.lit(0))).first()[0]
+    cycles = _small(cycles.select("cycle", "run", (F.col("base") + F.col("cycle") * F.col("slots")).alias("first")), number)
+    slots = checkpointed(slots)
+    slots = _small(slots, slots.count())
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).join(stock, "source").select("source", "bucket", "before", "weight")
     inner = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

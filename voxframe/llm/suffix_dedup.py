@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, prepare, table, text_or_empty
+from .runtime import prepare, table, text_or_empty
 from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, sliding_minimum, whole_keys
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
@@ -160,11 +160,12 @@ def frequent_grams(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> np.
 
     texts = docs.select(text_or_empty().alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
     counts = texts.mapInArrow(count, "one long, n long").groupBy("one").agg(F.sum("n").alias("n")).where(f"one IS NULL OR n >= {SEEN}")
-    counts = checkpointed(counts)
-    total = counts.where("one IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counts.where((F.col("one").isNotNull()) & (F.col("n") >= min(FREQUENT * total, TASK_ROWS / SAMPLED)))
-    largest = frequent.orderBy(F.desc("n")).limit(MOST).select("one").toPandas()["one"]
-    return np.sort(largest.to_numpy(np.int64).view(U64))
+    # The row of no gram, the sum of all, comes first. No null reaches pandas, which would make the grams floats.
+    counts = counts.select(F.col("one").isNull().alias("all"), F.coalesce("one", F.lit(0)).alias("one"), "n")
+    largest = counts.orderBy(F.desc("n"), F.desc("all")).limit(MOST + 1).toPandas()
+    total = largest.loc[largest["all"], "n"].sum()
+    grams = largest.loc[~largest["all"] & (largest["n"] >= min(FREQUENT * total, TASK_ROWS / SAMPLED)), "one"]
+    return np.sort(grams.to_numpy(np.int64).view(U64))
 
 
 def _listed(one: np.ndarray, frequent: np.ndarray) -> np.ndarray:
