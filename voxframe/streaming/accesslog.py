@@ -33,7 +33,7 @@ def swept(accesses: DataFrame, lateness: str = "30 seconds") -> DataFrame:
         count, last = state.get if state.exists else (0, 0)
         for rows in batches:
             count += len(rows)
-            last = max(last, int(rows["ts"].max().timestamp() * 1000))
+            last = max(last, rows["ts"].max().value // 1_000_000)  # whole milliseconds, exactly
         state.update((count, last))
         state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [name], "kind": [kind], "accesses": [count], "last_ts": [pd.Timestamp(last, unit="ms")], "expired": [False]})
