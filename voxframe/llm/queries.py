@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, media_ogg, mixing, packing, quality, simhash, suffix_dedup, token_counts, warc_fixity, window_dedup
+from . import centroids, chat_format, exact_dedup, media_ogg, mixing, packing, periodic_runs, quality, simhash, suffix_dedup, token_counts, warc_fixity, window_dedup
 
 QUERIES = {
     "op1_warc_fixity": warc_fixity.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8,
     "op9_best_fit_packing": packing.op9,
     "op10_ogg_media": media_ogg.op10,
+    "op11_centroid_clusters": centroids.op11,
+    "op12_chat_format": chat_format.op12,
+    "op13_periodic_runs": periodic_runs.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op5_window_dedup": window_dedup.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
+    "op11_centroid_clusters": centroids.OP11_SQL,
+    "op12_chat_format": chat_format.OP12_SQL,
 }
