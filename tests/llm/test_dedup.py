@@ -147,6 +147,32 @@ def test_window_query(spark, sf_dir, texts):
     assert got == _by_text(texts, brute_windows)
 
 
+def thue_morse(k):
+    """Two words of 2**k letters that differ in each, and collide in every polynomial hash modulo 2**64 from 1,024 letters on."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("k", [10, 12])
+def test_windows_of_words_that_collide(spark, k):
+    one, other = thue_morse(k)
+    h = window_dedup._WORD
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    n = len(one)
+    assert len(set(h.spans(h.prefix(data), np.array([0, n]), np.array([n, 2 * n])).tolist())) == 1
+    words = [f"w{i}" for i in range(40)]
+    with_ = lambda w, n=34: " ".join([*words[:n], w])
+    rows = [(1, with_(one)), (2, with_(other)), (3, with_(one) + " between the two " + with_(other)), (4, with_(other, 20)), (5, " ".join([one] * 35)), (6, " ".join([other] * 35))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for docs in (df, df.repartition(3)):
+        got = Counter(tuple(r)[:4] for r in window_dedup.remove_windows(docs, with_text=False).drop("kept").collect())
+        assert got == _by_text(rows, brute_windows)
+    alone = df.where("doc_id IN (1, 4, 5, 6)")
+    assert {r.n_removed for r in window_dedup.remove_windows(alone).collect()} == {0}
+
+
 def test_cover_has_every_difference():
     assert {(a - b) % window_dedup.PERIOD for a in window_dedup.COVER for b in window_dedup.COVER} == set(range(window_dedup.PERIOD))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import prepare, table, text_or_empty
-from .textbytes import SEPARATOR, blocks, runs, word_spans
+from .textbytes import blocks, runs, spaced_words, word_spans
 
 #: Words that a run has at least.
 SHORTEST = 12
@@ -219,14 +219,10 @@ def find_runs(codes: np.ndarray, words: np.ndarray, shortest: int = SHORTEST) ->
 def numbered_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """A number for each word, equal for equal words; the number of words before each text; and the words, each with a space behind it."""
     starts, ends, words = word_spans(data, offsets)
-    sizes = ends - starts
-    letters = data[~SEPARATOR[data]]
-    bounds = np.append(0, np.cumsum(sizes))
-    plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
-    codes = plain.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-    spaced = np.full(len(letters) + len(sizes), 0x20, np.uint8)
-    spaced[np.arange(len(letters)) + np.repeat(np.arange(len(sizes)), sizes)] = letters
-    return codes, words, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds + np.arange(len(bounds))), pa.py_buffer(spaced)])
+    letters, bounds = spaced_words(data, starts, ends)
+    spaced = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    codes = spaced.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+    return codes, words, spaced
 
 
 def kept_words(words: np.ndarray, found: np.ndarray) -> np.ndarray:

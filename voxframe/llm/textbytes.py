@@ -65,6 +65,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def spaced_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one after another, each with a space behind it, and the offset of each (and of the end)."""
+    sizes = ends - starts
+    letters = data[~SEPARATOR[data]]
+    out = np.full(len(letters) + len(sizes), 0x20, np.uint8)
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(sizes)), sizes)] = letters
+    return out, np.append(0, np.cumsum(sizes + 1))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values, so that every output bit depends on every input bit."""
     x = x ^ (x >> U64(30))

@@ -6,7 +6,8 @@ of WINDOW words, wherever they start, some anchors less than PERIOD words in are
 WINDOW - PERIOD + 1 words from each anchor are hashed and shuffled. Where such a hash occurs twice, the
 windows that hold the anchor are extended to all their WINDOW words, and those are compared.
 
-The hashes of windows stand for their words and are compared as two independent ones together. A block of texts sends
+Anchors only propose windows, by a quick hash of their words. Windows are told apart by 128 bits of BLAKE2b over their
+words' bytes, joined by spaces, for which no two inputs with equal digests can be constructed. A block of texts sends
 on only one of its equal anchors or windows, marked as occurring more than once, so what a third of all texts
 share costs a row for each task.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .runtime import prepare, table
 from .suffix_dedup import removed
-from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, whole_keys, word_spans
+from .textbytes import SpanHash, blocks, integers, runs, scattered, signed, spaced_words, whole_keys, word_spans
 from .whole_texts import distinct_texts, first_copies, keyed_rows
 
 WINDOW = 35
@@ -35,7 +36,9 @@ SPREAD = 256
 #: Rows of one hash that a task takes into memory at a time.
 TASK_ROWS = 1 << 19
 
-_WORD, _ONE, _TWO = SpanHash(31), SpanHash(32), SpanHash(33)
+_WORD, _ONE = SpanHash(31), SpanHash(32)
+#: Bytes of a window's digest, two numbers.
+DIGEST = 16
 U64 = np.uint64
 
 _ROWS = "one long, two long, doc long, tag long, place long"
@@ -59,11 +62,16 @@ def _combined(keys: list[np.ndarray], doc, tag, pos) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [*("one", "two")[: len(keys)], "doc", "tag", "place"])
 
 
+def _word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words before each text (and in all), and place of each word in its text."""
+    words = word_spans(data, offsets)[2]
+    return words, np.arange(words[-1]) - np.repeat(words[:-1], np.diff(words))
+
+
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word, number of words before each text (and in all), and place of each word in its text."""
-    starts, ends, words = word_spans(data, offsets)
-    place = np.arange(len(starts)) - np.repeat(words[:-1], np.diff(words))
-    return _WORD.spans(_WORD.prefix(data), starts, ends), words, place
+    """A quick hash of each word, and as :func:`_word_places`."""
+    starts, ends, _ = word_spans(data, offsets)
+    return _WORD.spans(_WORD.prefix(data), starts, ends), *_word_places(data, offsets)
 
 
 def anchor_places(words: np.ndarray, place: np.ndarray, window: int, period: int, cover: tuple[int, ...]) -> np.ndarray:
@@ -75,9 +83,17 @@ def anchor_places(words: np.ndarray, place: np.ndarray, window: int, period: int
     return np.flatnonzero(covered[place % period] & (left >= window - period + 1) & (np.repeat(count, count) >= window))
 
 
-def _span_rows(rows: pa.RecordBatch, hashes: np.ndarray, words: np.ndarray, at: np.ndarray, width: int, digits: int) -> pa.RecordBatch:
+def window_digests(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """BLAKE2b of the ``width`` words from each word ``at`` on, joined by spaces, as two numbers."""
+    starts, ends, _ = word_spans(data, offsets)
+    letters, bounds = spaced_words(data, starts, ends)
+    raw, hashed = memoryview(letters), hashlib.blake2b
+    digests = b"".join([hashed(raw[a:b], digest_size=DIGEST).digest() for a, b in zip(bounds[at].tolist(), (bounds[at + width] - 1).tolist())])
+    return [np.ascontiguousarray(k) for k in np.frombuffer(digests, "<u8").reshape(-1, 2).T]
+
+
+def _span_rows(rows: pa.RecordBatch, words: np.ndarray, at: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
     text = np.searchsorted(words, at, "right") - 1
-    keys = [h.spans(h.prefix(hashes), at, at + width) for h in (_ONE, _TWO)[:digits]]
     return _combined(keys, integers(rows, "doc")[text], integers(rows, "tag")[text], at - words[:-1][text])
 
 
@@ -87,7 +103,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             hashes, words, place = _word_hashes(data, offsets)
             at = anchor_places(words, place, window, period, cover)
             if len(at):
-                yield _span_rows(rows, hashes, words, at, window - period + 1, 1)
+                yield _span_rows(rows, words, at, [_ONE.spans(_ONE.prefix(hashes), at, at + window - period + 1)])
 
     return cut
 
@@ -128,10 +144,10 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _extended(window: int, period: int):
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            hashes, words, place = _word_hashes(data, offsets)
+            words, place = _word_places(data, offsets)
             pos, text = _lists(rows.column(rows.schema.get_field_index("places")))
             # Windows start up to period - 1 words before an anchor that they hold.
-            held = np.zeros(len(hashes) + 1, np.int64)
+            held = np.zeros(len(place) + 1, np.int64)
             anchor = words[:-1][text] + pos
             np.add.at(held, np.maximum(anchor - period + 1, words[:-1][text]), 1)
             np.add.at(held, anchor + 1, -1)
@@ -139,7 +155,7 @@ def _extended(window: int, period: int):
             whole = np.repeat(count, count) - place >= window
             at = np.flatnonzero((np.cumsum(held[:-1]) > 0) & whole)
             if len(at):
-                yield _span_rows(rows, hashes, words, at, window, 2)
+                yield _span_rows(rows, words, at, window_digests(data, offsets, at, window))
 
     return extend
 
