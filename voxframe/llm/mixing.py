@@ -17,6 +17,8 @@ more rows than there are blocks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,12 +136,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BL
     position of the block, gapless from 0 but for blocks that lie wholly inside one long text) and
     ``at`` (bytes of the source before the row), which orders the rows of a block. Null and empty texts
     count as one byte. Within a source documents are ordered by the first 60 bits of the MD5 of their doc_id
-    (null: the empty text), then by doc_id; rows that agree in both take their places in any order. Rows are
-    neither dropped nor repeated; an empty table gives none.
+    (null: the empty text), then by doc_id, then by two hashes of the text and one of the row's other columns (but maps), so
+    a task that is run again puts each row where it was, however its input was dealt; only rows that are alike may change
+    places. Rows are neither dropped nor repeated; an empty table gives none.
     """
     digest = F.substring(F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary")), 1, 15)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and not re.search("map<|variant", f.dataType.simpleString())]
     rows = docs.select(
         F.struct(*(columns or docs.columns)).alias("row"),
+        F.array(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.xxhash64(*hashed)).alias("tie"),
         F.coalesce(docs["source"].cast("string"), F.lit("")).alias("source"),
         F.greatest(F.lit(1), F.coalesce(F.octet_length(docs["text"]), F.lit(1))).cast("long").alias("size"),
         docs["doc_id"].alias("id"),
@@ -164,7 +169,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BL
     slots = _small(slots, slots.count())
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0))).join(stock, "source").select("source", "bucket", "before", "weight")
-    inner = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "bucket").orderBy("h", "id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(inner)).join(bases, ["source", "bucket"])
     placed = placed.withColumn("at", F.col("before") + F.col("upto") - F.col("size")).withColumn("source_block", F.expr(f"at div {block_bytes}"))
     placed = placed.withColumn("cycle", F.expr("source_block div weight")).withColumn("i", F.expr("cast(source_block % weight as int)"))
