@@ -292,3 +292,55 @@ def test_records_of_odd_pages(spark):
     none = warc_fixity.record_hashes(warc_fixity.page_records(pages.where(F.lit(False))))
     assert warc_fixity.audit(none, none).count() == 0
     assert warc_fixity.audit(hashes, none).where("status <> 'missing'").count() == 0
+
+
+def test_ties_are_placed_alike_however_rows_are_dealt(spark):
+    """Rows of one doc_id, with texts of different sizes, and rows that differ in another column alone."""
+    rows = [(7, "x" * n, "s", k) for k, n in enumerate((100, 9000, 1, 5000, 5000))] + [(k, "y" * 300, "s", 0) for k in range(30)]
+    places = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string, n int").repartition(len(places) + 1)
+        places.append(sorted(tuple(r) for r in mixing.mix(docs).select("row.doc_id", "row.n", F.length("row.text").alias("l"), "mix_block", "at").collect()))
+    assert places[0] == places[1] == places[2] and len(set(places[0])) == len(rows)
+
+
+def gz_record(k):
+    import gzip
+
+    body = f"page {k} " * (k + 1)
+    return gzip.compress(f"WARC/1.0\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode())
+
+
+def test_damaged_gzip_members_are_reported(spark):
+    members = [gz_record(k) for k in range(5)]
+    flipped = bytearray(members[1])
+    flipped[-6] ^= 1  # in the checksum
+    files = [
+        ("whole", b"".join(members), [(f"<urn:{k}>", None) for k in range(5)]),
+        ("flipped", members[0] + bytes(flipped) + b"".join(members[2:]), [("<urn:0>", None), (None, "gzip")] + [(f"<urn:{k}>", None) for k in (2, 3, 4)]),
+        ("cut", b"".join(members)[:-3], [(f"<urn:{k}>", None) for k in range(4)] + [(None, "gzip")]),
+        ("junk", members[0] + b"no gzip at all" + members[3], [("<urn:0>", None), (None, "gzip"), ("<urn:3>", None)]),
+        ("nothing whole", members[0][:20], [(None, "gzip")]),
+        ("tail", members[2] + bytes(9), [("<urn:2>", None), (None, "gzip")]),
+    ]
+    rows = warc_fixity.read_warc(spark.createDataFrame([(f, bytes(c)) for f, c, _ in files], "path string, content binary")).collect()
+    for name, _, want in files:
+        got = sorted((r.offset, r.length == 0, r.record_id, r.error) for r in rows if r.file == name)
+        assert [(i, e and "gzip") for _, _, i, e in sorted(got, key=lambda g: (g[0], not g[1]))] == want
+
+
+def test_headers_of_a_stream_that_contradict_are_damage(spark):
+    def with_header(**fields):
+        values = {"magic": media_ogg.MAGIC, "version": 1, "stream": 0, "streams": 1, "rate": 8000, "step": 4096} | fields
+        return b"".join(media_ogg._pages(0, [(media_ogg.CODEC.pack(*values.values()), 0), (b"x" * 64, 64)], 255))
+
+    assert media_ogg.decode(with_header())[0] == b"x" * 64
+    bad = [with_header(**f) for f in ({"rate": 0}, {"step": 0}, {"streams": 0}, {"streams": 2}, {"stream": 1}, {"version": 2}, {"magic": b"other  "})]
+    for media in bad:
+        with pytest.raises(media_ogg.Damaged):
+            media_ogg.decode(media)
+    rows = media_ogg.read_media(spark.createDataFrame([(k, 64, m) for k, m in enumerate(bad)], "doc_id long, n_bytes long, media binary")).collect()
+    assert len(rows) == len(bad) and all(r.error and r.payload_bytes is None for r in rows)
+    one, other = (media_ogg._pages(s, [(media_ogg.CODEC.pack(media_ogg.MAGIC, 1, s, 2, rate, 4096), 0), (b"x", 1)], 255) for s, rate in ((0, 8000), (1, 4000)))
+    with pytest.raises(media_ogg.Damaged, match="contradict"):
+        media_ogg.decode(b"".join([one[0], other[0], *one[1:], *other[1:]]))

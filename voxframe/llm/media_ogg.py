@@ -140,11 +140,18 @@ def decode(media: bytes) -> tuple[bytes, list[tuple[int, int, int]], int]:
     are dated back from there, a stream's own step between packets being known from its header.
     """
     found: list[tuple[int, bytes, int]] = []
-    rate = 0
-    for packets in demultiplex(media).values():
+    rate, seen = 0, {}
+    logical = demultiplex(media)
+    for packets in logical.values():
+        if len(packets[0][0]) != CODEC.size:
+            raise Damaged("codec header")
         magic, version, stream, streams, rate, step = CODEC.unpack(packets[0][0])
-        if magic != MAGIC or version != 1:
+        # Streams are numbered once each and agree in what they share; no rate and no step is zero.
+        if magic != MAGIC or version != 1 or not rate or not step or stream >= streams or streams != len(logical) or stream in seen:
             raise Damaged("codec header")
+        seen[stream] = (streams, rate, step)
+        if len(set(seen.values())) > 1:
+            raise Damaged("codec headers contradict each other")
         k = 1
         while k < len(packets):
             last = k

@@ -74,24 +74,51 @@ def _split(raw: bytes) -> Iterator[tuple[str | None, int, int, bytes, str | None
         at = end
 
 
-def _members(raw: bytes) -> bytes:
-    """The content of a gzipped file of many members, as far as it is whole."""
-    out = []
-    while raw:
-        one = zlib.decompressobj(31)
-        try:
-            out.append(one.decompress(raw))
-        except zlib.error:
-            break
-        raw = one.unused_data
-    return b"".join(out)
+#: What a gzip member begins with: two fixed bytes and the method, deflate.
+_GZIP = b"\x1f\x8b\x08"
+#: Bytes of a member that are inflated at a time.
+_INFLATED = 1 << 16
+
+
+def _member(raw: memoryview, at: int) -> tuple[bytes, int] | None:
+    """The content of the gzip member at a place and where it ends; none if it isn't whole or its checksum is wrong."""
+    one, out = zlib.decompressobj(31), []
+    try:
+        while at < len(raw) and not one.eof:
+            out.append(one.decompress(raw[at : at + _INFLATED]))
+            at = min(len(raw), at + _INFLATED) - len(one.unused_data)
+    except zlib.error:
+        return None
+    return (b"".join(out), at) if one.eof else None
+
+
+def _members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """Stretches of the content of a gzipped file, (bytes, no error) of members that follow each other and are whole, (nothing, error) of
+    what lies between: from a damaged member on to the next place where a whole one begins."""
+    at, good, view = 0, [], memoryview(raw)
+    while at < len(raw):
+        found = _member(view, at)
+        if found:
+            good.append(found[0])
+            at = found[1]
+            continue
+        if good:
+            yield b"".join(good), None
+        good, begin = [], at
+        while at >= 0 and not _member(view, at):
+            at = raw.find(_GZIP, at + 1)
+        at = len(raw) if at < 0 else at
+        yield b"", f"damaged gzip member in bytes {begin} to {at} of the file"
+    if good:
+        yield b"".join(good), None
 
 
 def read_warc(files: DataFrame) -> DataFrame:
     """(file, record_id, offset, length, hash, error) of the records in files(path, content), as ``binaryFile`` reads them.
 
-    ``file`` is the path. Gzipped files are inflated member by member, and offsets are those of the content.
-    Null content has no record; what can't be read as a record gives a row with an error, its record_id null.
+    ``file`` is the path. Gzipped files are inflated member by member, and offsets are those of the content. A damaged
+    member gives a row with an error, its record_id null and its length zero; reading goes on at the next whole member, whose offset
+    is that of the content that could be read. Null content has no record; what can't be read as a record gives a row with an error too.
     """
     prepare(files.sparkSession)
 
@@ -99,8 +126,12 @@ def read_warc(files: DataFrame) -> DataFrame:
         for rows in batches:
             for at, path in enumerate(rows.column(0).to_pylist()):
                 raw = rows.column(1)[at].as_py() or b""
-                raw = _members(raw) if raw[:2] == b"\x1f\x8b" else raw
-                out = [(path, i, o, n, hashlib.sha256(r).hexdigest(), e) for i, o, n, r, e in _split(raw)]
+                out, before = [], 0
+                for part, error in _members(raw) if raw[:2] == _GZIP[:2] else [(raw, None)]:
+                    if error:
+                        out.append((path, None, before, 0, hashlib.sha256(part).hexdigest(), error))
+                    out += [(path, i, before + o, n, hashlib.sha256(r).hexdigest(), e) for i, o, n, r, e in _split(part)]
+                    before += len(part)
                 if out:
                     types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["file", "record_id", "offset", "length", "hash", "error"])
