@@ -43,14 +43,14 @@ def cancel(spark: SparkSession, tag: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Where that is unset and all tasks run in this process, as in tests, a temporary folder serves; a cluster has to name one.
+    Where both are unset and all tasks run in this process, as in tests, a temporary folder serves; a cluster has to name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
     if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not hasattr(context, "_voxframe_folder"):
