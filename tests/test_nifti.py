@@ -72,9 +72,18 @@ def folder(tmp_path_factory):
     return d
 
 
-def test_read_voxels_with_pushed_filters(spark, folder):
+@pytest.mark.parametrize("pushed", ["false", "true"])
+def test_read_voxels_with_filters_pushed_or_not(spark, folder, pushed):
     nifti.register(spark)
-    vox = spark.read.format("nifti").option("slabBytes", "60").load(str(folder))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+    try:
+        check_filters(spark, folder, pushed)
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def check_filters(spark, folder, pushed):
+    vox = spark.read.format("nifti").option("slabBytes", "60").option("pushdown", pushed).load(str(folder))
     assert vox.count() == 105 * 4
     one = vox.where("z = 2 AND path LIKE '%a.nii'")
     assert one.count() == 15
@@ -91,7 +100,7 @@ def test_reader_cuts_partitions(folder):
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     reader = nifti.NiftiReader(None, {"path": str(folder), "slabbytes": "60"})
-    assert list(reader.pushFilters([EqualTo(("z",), 2), EqualTo(("x",), 1), GreaterThan(("t",), 0)])) == [EqualTo(("x",), 1)]
+    assert list(reader.pushFilters([EqualTo(("z",), 2), EqualTo(("v",), 1.0), GreaterThan(("t",), 0)])) == [EqualTo(("v",), 1.0)]
     # The filters leave one slab, in one of the parts that the file's size makes.
     (c,) = [f[0] for p in reader.partitions() for f in p.files if f[0].endswith("c.nii") and f[1] == 0]
     h = nifti.read_header(c)
@@ -181,7 +190,7 @@ def test_binary_files_decode_alike(spark, folder):
     files = spark.read.format("binaryFile").load(str(folder))
     parsed = nifti_header.parse_headers(files)
     assert {r.error is None for r in parsed.where("path LIKE '%.nii'").collect()} == {True}
-    slabs = nifti.decode_files(files)
+    slabs = nifti.decode_files(files, damaged="skip")
     assert slabs.select("path").distinct().count() == 3
     assert slabs.count() == 7 * 4
     assert slabs.where("path LIKE '%a.nii' AND z = 1").first().data[0] == 2 * 15 + 10
@@ -256,3 +265,265 @@ def test_tagged_jobs_can_be_cancelled(spark):
         if not thread.is_alive():
             break
     assert failed
+
+
+def test_one_frame_scanned_twice_keeps_all_rows(spark, folder):
+    """Spark has one reader for both scans; without pushdown neither scan's filter is the other's."""
+    slabs = nifti.read_volumes(spark, str(folder))
+    assert sorted(r.z for r in slabs.where("z = 1").union(slabs.where("z = 2")).collect()) == [1] * 4 + [2] * 4
+
+
+def test_bounds_by_option(spark, folder):
+    path = str(folder / "a.nii")
+    vox = nifti.read_volumes(spark, path, "voxels", x="1:3", y="2", z=":4")
+    want = nifti.read_volumes(spark, path, "voxels").where("x BETWEEN 1 AND 2 AND y = 2 AND z < 4")
+    assert sorted(map(tuple, vox.collect())) == sorted(map(tuple, want.collect())) and vox.count() == 8
+    assert nifti.read_volumes(spark, path, "voxels", x="9").count() == 0
+    with pytest.raises(Exception, match="no bounds of x"):
+        nifti.read_volumes(spark, path, "slabs", x="1").count()
+
+
+@pytest.mark.parametrize("name", ["a.nii", "b.nii.gz", "c.nii"])
+@pytest.mark.parametrize("merged", [0, 8, 1 << 20])
+def test_bounded_cubes_equal_whole_ones(folder, name, merged, monkeypatch):
+    """Any bounds, with runs of bytes read one by one, partly or wholly together."""
+    monkeypatch.setattr(nifti, "MERGED_BYTES", merged)
+    monkeypatch.setattr(nifti, "READ_BYTES", 64 if merged == 8 else 1 << 20)
+    monkeypatch.setattr(nifti, "BATCH_VOXELS", 20)
+    path = str(folder / name)
+    whole = {}
+    for b in nifti.Scan("voxels").read([(path, 0, 1)]):
+        whole |= {(r["t"], r["x"], r["y"], r["z"]): r["v"] for r in b.to_pylist()}
+    for bounds in ({"y": (1, 2)}, {"x": (4, 5)}, {"x": (1, 3), "y": (0, 2), "z": (2, 6)}, {"x": (3, 9), "t": (0, 1)}):
+        scan = nifti.Scan("voxels")
+        for axis, (low, high) in bounds.items():
+            scan.within(axis, low, high)
+        got = [((r["t"], r["x"], r["y"], r["z"]), r["v"]) for b in scan.read([(path, 0, 1)]) for r in b.to_pylist()]
+        want = {k: v for k, v in whole.items() if all(low <= dict(zip("txyz", k))[a] < high for a, (low, high) in bounds.items())}
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_a_coronal_plane_reads_its_rows_only(tmp_path, monkeypatch):
+    raw, _ = volume(4, shape=(100, 90, 80))
+    (tmp_path / "v.nii").write_bytes(raw)
+    read, plain = [], nifti.Plain.read
+    monkeypatch.setattr(nifti.Plain, "read", lambda self, start, size: read.append(size) or plain(self, start, size))
+    for axis, most in (("y", 100 * 80 * 2), ("x", 90 * 80 * 100 * 2)):
+        read.clear()
+        scan = nifti.Scan("voxels")
+        scan.within(axis, 7, 8)
+        assert sum(b.num_rows for b in scan.read([(str(tmp_path / "v.nii"), 0, 1)])) == (8000 if axis == "y" else 7200)
+        assert sum(read[1:]) <= most
+    assert len(read) < 5  # columns of near rows are read along
+
+
+def damaged_files():
+    """Name, bytes and what the error says; good ones have none."""
+    raw, _ = volume(4)
+    zipped = gzip.compress(raw)
+    flipped, wrong = bytearray(zipped), bytearray(zipped)
+    flipped[len(zipped) // 2] ^= 0xFF
+    wrong[-6] ^= 1  # in the checksum
+    return [
+        ("good.nii", raw, None), ("good.nii.gz", zipped, None), ("cut.nii", raw[:-1], "bytes of"), ("cut.nii.gz", zipped[: len(zipped) // 2], "gzip"), ("flipped.nii.gz", bytes(flipped), "gzip"),
+        ("checksum.nii.gz", bytes(wrong), "gzip"), ("short.nii.gz", gzip.compress(raw[:-10]), "bytes of"), ("empty.nii", b"", "too few"), ("text.nii", b"no volume " * 100, "neither"), ("plain.nii.gz", raw, "gzip"),
+        ("colours.nii", nifti_header.write_header(SHAPE, 128) + bytes(315), "aren't numbers"), ("magic.nii", raw[:344] + b"abcd" + raw[348:], "magic"), ("pair.nii", raw[:344] + b"ni1\0" + raw[348:], ".img"),
+        ("lone.hdr", raw[:344] + b"ni1\0" + raw[348:352], ".img"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def damaged(tmp_path_factory):
+    d = tmp_path_factory.mktemp("damaged")
+    for name, raw, _ in damaged_files():
+        (d / name).write_bytes(raw)
+    return d
+
+
+@pytest.mark.parametrize("view,good", [("slabs", 7), ("voxels", 105)])
+def test_damage_is_an_error_left_out_or_reported(spark, damaged, view, good):
+    """No value is made up: a file that isn't whole gives no voxel, whatever part of it could be read."""
+    whole = {name for name, _, error in damaged_files() if error is None}
+    rows = nifti.read_volumes(spark, str(damaged), view, damaged="skip").groupBy("path").count().collect()
+    assert {(r.path.rpartition("/")[2], r["count"]) for r in rows} == {(n, good) for n in whole}
+    reported = nifti.read_volumes(spark, str(damaged), view, damaged="report", slabBytes="100")
+    errors = {r.path.rpartition("/")[2]: r for r in reported.where("error IS NOT NULL").collect()}
+    for name, _, said in damaged_files():
+        assert said is None or said in errors[name].error and errors[name].z is None, (name, errors.get(name))
+    assert len(errors) == len(damaged_files()) - 2 and reported.where("error IS NULL").count() == 2 * good
+    assert reported.where("error IS NOT NULL").count() == len(errors)  # once, in how many parts it is read
+    for name, _, said in damaged_files():
+        one = nifti.read_volumes(spark, str(damaged / name), view)
+        if said is None:
+            assert one.count() == good
+        else:
+            with pytest.raises(Exception, match=name):
+                one.collect()
+
+
+def test_content_follows_the_same_rule(spark, damaged):
+    files = spark.read.format("binaryFile").load(str(damaged))
+    reported = nifti.decode_files(files, damaged="report").where("error IS NOT NULL").collect()
+    # Bytes tell that a file isn't gzipped, and Spark doesn't list empty files.
+    names = {name for name, _, error in damaged_files() if error} - {"plain.nii.gz", "empty.nii"}
+    assert {r.path.rpartition("/")[2] for r in reported} == names
+    assert nifti.decode_files(files, damaged="skip").count() == 3 * 7
+    none = spark.createDataFrame([("a", b""), ("b", None)], "path string, content binary")
+    assert {r.error is None for r in nifti.decode_files(none, damaged="report").collect()} == {False}
+    with pytest.raises(Exception, match="Unreadable"):
+        nifti.decode_files(files).collect()
+
+
+def test_a_gzipped_file_is_read_no_further_than_asked(spark, damaged):
+    """Its first slab is there, before what is damaged; whoever reads the last one learns of it."""
+    rows = nifti.read_volumes(spark, str(damaged / "checksum.nii.gz"), z="0")
+    assert [r.data[:2] for r in rows.collect()] == [[0.0, 1.0]]
+    with pytest.raises(Exception, match="gzip"):
+        nifti.read_volumes(spark, str(damaged / "checksum.nii.gz"), z="6").collect()
+
+
+def test_missing_bytes_are_zero_if_asked_for(spark, damaged):
+    last = nifti.read_volumes(spark, str(damaged / "cut.nii"), z="6", padShort="true").first().data
+    assert last[-1] == 0 and last[-2] == (105 - 2) % 100
+    with pytest.raises(Exception, match="gzip"):
+        nifti.read_volumes(spark, str(damaged / "cut.nii.gz"), z="6", padShort="true").collect()
+
+
+@pytest.mark.parametrize("zipped", [(False, False), (True, False), (False, True), (True, True)])
+def test_pairs_of_header_and_image(spark, tmp_path, zipped):
+    raw, values = volume(8, 2, ">", frames=2, magic=b"ni2\0\r\n\x1a\n", vox_offset=16)
+    for kind, content, z in (("hdr", raw[:540], zipped[0]), ("img", bytes(16) + raw[544:], zipped[1])):
+        (tmp_path / f"v.{kind}{'.gz' * z}").write_bytes(gzip.compress(content) if z else content)
+    (tmp_path / "other.nii").write_bytes(volume(4)[0])
+    for path in (tmp_path, tmp_path / f"v.hdr{'.gz' * zipped[0]}", tmp_path / f"v.img{'.gz' * zipped[1]}"):
+        slabs = nifti.read_volumes(spark, str(path)).where("nz = 7 AND path LIKE '%v.%'").orderBy("t", "z").collect()
+        assert [v for s in slabs for v in s.data] == values.tolist() and len(slabs) == 14
+    headers = nifti.read_volumes(spark, str(tmp_path), "header").where("error IS NULL").collect()
+    assert sorted((r.paired, r.vox_offset) for r in headers) == [(False, 352), (True, 16)]
+
+
+def test_frames_of_a_fifth_dimension(spark, tmp_path):
+    n = int(np.prod(SHAPE))
+    values = np.arange(n * 6) % 1000
+    (tmp_path / "v.nii").write_bytes(nifti_header.write_header((*SHAPE, 2, 3), 4) + values.astype("<i2").tobytes())
+    slabs = nifti.read_volumes(spark, str(tmp_path)).orderBy("t", "z").collect()
+    assert [s.t for s in slabs[::7]] == list(range(6)) and [v for s in slabs for v in s.data] == values.tolist()
+
+
+def rows_to_write(spark, names, bad=None):
+    rows = [(name, 3, 2, 4, 4, "<>"[k % 2], 2.0, float(k), 1.5, [float(k + i) for i in range(24 - (name == bad))]) for k, name in enumerate(names)]
+    return spark.createDataFrame(rows, "name string, nx int, ny int, nz int, datatype int, order string, scl_slope double, scl_inter double, dz double, data array<double>")
+
+
+def test_sink_of_whole_volumes(spark, tmp_path):
+    nifti.register(spark)
+    folder, names = str(tmp_path / "deep" / "out"), [f"v{k}.nii{'.gz' * (k % 3 == 0)}" for k in range(7)]
+    rows_to_write(spark, names).repartition(3).write.format("nifti").mode("append").save(folder)
+    back = nifti.as_volumes(nifti.read_volumes(spark, folder))
+    got = {r.vol_id.rpartition("/")[2]: r.data for r in back.collect()}
+    assert got == {name: [2.0 * (k + i) + k for i in range(24)] for k, name in enumerate(names)}
+    assert {r.dz for r in nifti.read_volumes(spark, folder, "header").collect()} == {1.5}
+    with pytest.raises(Exception, match="there already"):
+        rows_to_write(spark, names[:1]).write.format("nifti").mode("append").save(folder)
+    rows_to_write(spark, ["w.nii"]).write.format("nifti").mode("append").save(folder)
+    assert len(nifti.listed(folder, "*")) == 8
+    rows_to_write(spark, ["w.nii", "x.nii"]).write.format("nifti").mode("overwrite").save(folder)
+    assert sorted(p.name for p in (tmp_path / "deep" / "out").iterdir()) == ["w.nii", "x.nii"]
+
+
+def test_failed_and_repeated_writes_leave_no_file(spark, tmp_path):
+    nifti.register(spark)
+    folder = tmp_path / "out"
+    for rows in (
+        rows_to_write(spark, [f"v{k}.nii" for k in range(6)], bad="v4.nii").repartition(3),
+        rows_to_write(spark, ["same.nii", "same.nii"]).repartition(2),
+        rows_to_write(spark, ["../up.nii"]),
+        rows_to_write(spark, ["v.txt"]),
+        rows_to_write(spark, ["v.nii"]).withColumn("datatype", F.lit(128)),
+        rows_to_write(spark, ["v.nii"]).withColumn("data", F.lit(None).cast("array<double>")),
+        rows_to_write(spark, ["v.nii"]).drop("nz"),
+    ):
+        with pytest.raises(Exception):
+            rows.write.format("nifti").mode("append").save(str(folder))
+        assert not folder.exists() or not list(folder.iterdir())
+    # A task that runs twice has drafts of its own each time; only those of the attempt that counts are named.
+    from voxframe.sources.nifti_sink import NiftiWriter
+
+    df = rows_to_write(spark, ["v.nii"])
+    writer = NiftiWriter(df.schema, {"path": str(folder)}, False)
+    batches = df.toArrow().to_batches()
+    _, message = writer.write(iter(batches)), writer.write(iter(batches))
+    writer.commit([message, None])
+    assert [p.name for p in folder.iterdir()] == ["v.nii"]
+
+
+def test_sink_of_slabs(spark, tmp_path):
+    """A volume written slab by slab, of two frames, equals the one written whole; slabs out of order are refused."""
+    nifti.register(spark)
+    raw, values = volume(16, frames=2)
+    rows = [("v.nii", 5, 3, 7, 2, t, z, values.reshape(2, 7, 15)[t, z].tolist()) for t in range(2) for z in range(7)]
+    slabs = spark.createDataFrame(rows, "name string, nx int, ny int, nz int, nt int, t int, z int, data array<float>")
+    slabs.repartition("name").sortWithinPartitions("name", "t", "z").write.format("nifti").mode("append").save(str(tmp_path / "a"))
+    assert (tmp_path / "a" / "v.nii").read_bytes() == raw
+    for bad in (slabs.coalesce(1).orderBy(F.desc("z")), slabs.where("z < 6"), slabs.where("t = 1")):
+        with pytest.raises(Exception):
+            bad.repartition(1).write.format("nifti").mode("append").save(str(tmp_path / "b"))
+        assert not (tmp_path / "b").exists() or not list((tmp_path / "b").iterdir())
+
+
+def test_catalog_opens_only_chosen_files(spark, folder, tmp_path):
+    import shutil
+
+    for name in ("a.nii", "b.nii.gz", "c.nii"):
+        shutil.copy(folder / name, tmp_path / name)
+    (tmp_path / "bad.nii").write_bytes(b"no")
+    catalog = nifti.catalog(spark, str(tmp_path))
+    catalog.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() == 4 and index.where("error IS NOT NULL").count() == 1
+    # Files that the filter leaves out needn't be there any more.
+    for name in ("a.nii", "b.nii.gz", "bad.nii"):
+        (tmp_path / name).unlink()
+    for slab_bytes in (100, 1 << 20):
+        slabs = nifti.read_listed(index.where("nt = 2 AND datatype = 16"), slab_bytes=slab_bytes, z=(2, 4))
+        assert sorted((r.t, r.z) for r in slabs.collect()) == [(0, 2), (0, 3), (1, 2), (1, 3)]
+    assert nifti.read_listed(index.where("nx > 5")).count() == 0
+
+
+def test_table_function(spark, damaged):
+    from voxframe.sources import nifti_udtf
+
+    nifti_udtf.register(spark)
+    files = spark.read.format("binaryFile").load(str(damaged))
+    rows = spark.sql("SELECT * FROM nifti_voxels(TABLE(SELECT path, content FROM {f}))", f=files)
+    assert rows.where("error IS NULL").count() == 3 * 105 and rows.where("error IS NOT NULL").count() == len(damaged_files()) - 4
+    assert rows.where("path LIKE '%good.nii' AND x = 4 AND y = 1 AND z = 2").first().v == 39.0
+
+
+def test_stream_takes_each_file_once(spark, tmp_path):
+    """Files that arrive between batches and over a restart; a stream that begins anew takes all of them."""
+    import os
+
+    nifti.register(spark)
+    source, marks = tmp_path / "in", str(tmp_path / "marks")
+    source.mkdir()
+
+    def arrive(name, at):
+        (source / f"_{name}").write_bytes(volume(4)[0])
+        os.utime(source / f"_{name}", ns=(at, at))
+        (source / f"_{name}").rename(source / name)
+
+    def run(view="slabs"):
+        stream = spark.readStream.format("nifti").option("view", view).option("slabBytes", "60").load(str(source))
+        query = stream.writeStream.format("parquet").option("checkpointLocation", marks).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        names = spark.read.schema("path string, z int").parquet(str(tmp_path / "out")).groupBy("path").count().collect()
+        return {r.path.rpartition("/")[2]: r["count"] for r in names}
+
+    arrive("a.nii", 10**18)
+    arrive("b.nii", 10**18)
+    assert run() == {"a.nii": 7, "b.nii": 7}
+    assert run() == {"a.nii": 7, "b.nii": 7}
+    arrive("c.nii", 10**18 + 1)
+    arrive("bb.nii", 10**18 + 1)
+    assert run() == {"a.nii": 7, "b.nii": 7, "bb.nii": 7, "c.nii": 7}

@@ -32,49 +32,57 @@ def aligned(vox: DataFrame, header: DataFrame, other_header: DataFrame) -> DataF
     return placed.withColumns({f"b{a}": half_up(c) for a, c in zip("xyz", back)}).select(*vox.columns, "bx", "by", "bz")
 
 
+def affine_images() -> Column:
+    """From voxel to voxel is one affine map: the images of the origin and of a step along each axis, one after another.
+
+    The columns are those of a volume's header and, with the prefix b_, those of the other's; worked out once a pair.
+    """
+    corners = F.array(*[F.struct(*[F.lit(float(v)).alias(a) for a, v in zip("xyz", point)]) for point in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))])
+    return F.flatten(F.transform(corners, lambda p: F.array(*to_voxel(*to_world(p["x"], p["y"], p["z"]), "b_"))))
+
+
 def compare(volumes: DataFrame, header: DataFrame, others: DataFrame, other_header: DataFrame) -> DataFrame:
     """(pair, x, y, z, v, other): each voxel of volumes(pair, nx, ny, nz, data) with the value of ``others``, alike, at its
     world point, null where that lies outside.
 
-    Volumes meet by ``pair``, a row each; the other's voxels are looked up in its array by numpy and never shuffled one by one.
+    Volumes meet by ``pair``, a row each, so this is for small ones; ``slabwise.compare`` joins those of any size by bricks.
+    The other's voxels are looked up in its array by numpy, those of many pairs at once, and never shuffled one by one.
     """
     ship_package(volumes.sparkSession)
     named = other_header.select("pair", *[F.col(c).alias(f"b_{c}") for c in other_header.columns if c != "pair"])
     right = others.select("pair", *[F.col(c).alias(f"other_{c}") for c in ("nx", "ny", "nz", DATA)])
     both = volumes.select("pair", "nx", "ny", DATA).join(header, "pair").join(named, "pair").join(right, "pair", "left")
-    # From voxel to voxel is one affine map: the images of the origin and of a step along each axis, worked out once a pair.
-    corners = F.array(*[F.struct(*[F.lit(float(v)).alias(a) for a, v in zip("xyz", point)]) for point in ((0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1))])
-    images = F.flatten(F.transform(corners, lambda p: F.array(*to_voxel(*to_world(p["x"], p["y"], p["z"]), "b_"))))
-    both = both.select("pair", "nx", "ny", "other_nx", "other_ny", "other_nz", images.alias("images"), DATA, f"other_{DATA}")
-    kind = volumes.schema[DATA].dataType.elementType.simpleString()
-    return both.mapInArrow(_looked_up, f"pair long, x int, y int, z int, v {kind}, other {others.schema[DATA].dataType.elementType.simpleString()}")
+    both = both.select("pair", "nx", "ny", "other_nx", "other_ny", "other_nz", affine_images().alias("images"), DATA, f"other_{DATA}")
+    kind, name = volumes.schema[DATA].dataType.elementType.simpleString(), volumes.schema["pair"].dataType.simpleString()
+    return both.mapInArrow(_looked_up, f"pair {name}, x int, y int, z int, v {kind}, other {others.schema[DATA].dataType.elementType.simpleString()}")
+
+
+def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All values of a list column, and where each row's begin (and the last one's end)."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each voxel of a volume with the voxel of the other one that the affine map of ``images`` points at; about BATCH_VOXELS to a batch."""
-    out, held = [], 0
+    """Each voxel of a volume with the voxel of the other one that the affine map of ``images`` points at; about BATCH_VOXELS, of any rows, at a time."""
     for rows in batches:
-        for r in range(rows.num_rows):
-            pair, nx, ny, *sides = (rows.column(k)[r].as_py() for k in range(6))
-            image = np.array(rows.column(6)[r].as_py(), float).reshape(4, 3)
-            data, other = (rows.column(k)[r].values for k in (7, 8))
-            i = np.arange(len(data))
-            place = np.stack([i % nx, i // nx % ny, i // (nx * ny)]).astype(np.int32)
-            seen = np.full(len(i), -1)
-            if other is not None:
-                b = np.floor(image[0][:, None] + (image[1:] - image[0]).T @ place + 0.5)
-                inside = np.logical_and.reduce([(b[k] >= 0) & (b[k] < sides[k]) for k in range(3)])
-                b = b[:, inside].astype(np.int64)
-                seen[inside] = b[0] + sides[0] * (b[1] + sides[1] * b[2])
-            found = pa.array(seen, mask=seen < 0)
-            found = pa.nulls(len(i), rows.schema.field(8).type.value_type) if other is None else other.take(found)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(i), pair)), *map(pa.array, place), data, found], ["pair", "x", "y", "z", "v", "other"]))
-            held += len(i)
-            if held >= BATCH_VOXELS:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                out, held = [], 0
-    if out:
-        yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        values, first = _flat(rows.column(7))
+        others, other_first = _flat(rows.column(8))
+        pair = rows.column(0)
+        nx, ny, *sides = (rows.column(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1, 6))
+        image = rows.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4, 3)
+        step = image[:, 1:] - image[:, :1]
+        for at in range(0, int(first[-1]), BATCH_VOXELS):
+            k = np.arange(at, min(at + BATCH_VOXELS, int(first[-1])))
+            row = np.searchsorted(first, k, "right") - 1
+            i = k - first[row]
+            place = [i % nx[row], i // nx[row] % ny[row], i // (nx * ny)[row]]
+            b = [np.floor(image[row, 0, c] + (step[row, 0, c] * place[0] + step[row, 1, c] * place[1] + step[row, 2, c] * place[2]) + 0.5) for c in range(3)]
+            inside = np.logical_and.reduce([(b[c] >= 0) & (b[c] < sides[c][row]) for c in range(3)])
+            x, y, z = (np.where(inside, c, 0).astype(np.int64) for c in b)
+            seen = other_first[row] + x + sides[0][row] * (y + sides[1][row] * z)
+            columns = [pair.take(pa.array(row)), *(pa.array(p.astype(np.int32)) for p in place), values.slice(at, len(k)), others.take(pa.array(seen, mask=~inside))]
+            yield pa.RecordBatch.from_arrays(columns, ["pair", "x", "y", "z", "v", "other"])
 
 
 def aligned_slice(index: Column, axis_world: Column, n_other: Column) -> Column:

@@ -40,7 +40,8 @@ def _at(kind: str, k: Column) -> tuple[Column, Column, Column]:
         rows = F.transform(F.sequence(F.lit(0), nz - 1), lambda z: F.slice(data, (z * ny + k) * nx + 1, nx.cast("int")))
         return F.flatten(rows), nx, k.between(0, ny - 1)
     if kind == "sagittal":
-        cells = F.transform(F.sequence(F.lit(0), (ny * nz - 1).cast("int")), lambda r: F.element_at(data, r * nx + k + 1))
+        # Spark may look at the cells of volumes that the index isn't in before it leaves these out.
+        cells = F.transform(F.sequence(F.lit(0), (ny * nz - 1).cast("int")), lambda r: F.try_element_at(data, F.greatest(F.lit(1), r * nx + k + 1).cast("int")))
         return cells, ny, k.between(0, nx - 1)
     raise ValueError(f"no axis named {kind!r}; there are {', '.join(AXES)}")
 

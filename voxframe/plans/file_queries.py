@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregate
+from ..operators import aggregate, slabwise
 from ..session import new_path
 from ..sources import nifti, nifti_header
 
@@ -53,13 +53,13 @@ def files(spark: SparkSession, sf_dir: str) -> str:
         )
         folder = new_path(spark, "volumes")
         # One volume to a task, and one to a batch.
-        nifti.write_files(volumes.repartition("name"), folder).count()
+        nifti.write_files(volumes.repartition("name"), folder)
         held[sf_dir] = folder
     return held[sf_dir]
 
 
-def _read(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    rows = nifti.read_volumes(spark, files(spark, sf_dir), view)
+def _read(spark: SparkSession, sf_dir: str, view: str, **options) -> DataFrame:
+    rows = nifti.read_volumes(spark, files(spark, sf_dir), view, **options)
     return rows.withColumn("r_regionkey", F.regexp_extract("path", r"v(\d+)\.nii", 1).cast("int"))
 
 
@@ -69,8 +69,8 @@ _GRID = f"(SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS IN
 
 @query("q58_nifti_slab", f"SELECT CAST(r_regionkey AS INTEGER) AS r_regionkey, x, y, z, {_VALUE} AS v FROM region, {_GRID} WHERE z = 41")
 def nifti_slab(spark, sf_dir):
-    """One slab of each file: the reader takes over the filters and reads, or inflates, no more than it needs."""
-    return _read(spark, sf_dir, "voxels").where("z = 41 AND t = 0").select("r_regionkey", "x", "y", "z", "v")
+    """One slab of each file: the reader reads, or inflates, no more than it needs."""
+    return _read(spark, sf_dir, "voxels", z="41", t="0").select("r_regionkey", "x", "y", "z", "v")
 
 
 @query(
@@ -95,12 +95,12 @@ def nifti_header_rows(spark, sf_dir):
 def strided_mip(spark, sf_dir):
     """Projection of volumes whose sides are twice the samples that one takes: every other voxel counts."""
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("int").alias("vol_id"))
-    headers = regions.select("vol_id", *[F.lit(MIP_SIDE).alias(c) for c in ("nx", "ny", "nz")], *[F.lit(1.0).alias(c) for c in ("dx", "dy", "dz")])
-    # Voxels of each volume by number; the volumes are a handful.
-    i = spark.range(MIP_SIDE**3).withColumnRenamed("id", "i")
-    vox = i.select("i", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("vol_id")).join(F.broadcast(regions), "vol_id")
-    vox = vox.select("vol_id", *[F.expr(f"cast(i div {MIP_SIDE**k} % {MIP_SIDE} as int)").alias(a) for k, a in enumerate("xyz")])
-    return aggregate.mip(vox.withColumn("v", F.expr("cast((x * 31 + y * 17 + z * 7 + vol_id) % 1009 as float)")), headers)
+    headers = regions.select("vol_id", *[F.lit(1.0).alias(c) for c in ("dx", "dy", "dz")])
+    value = lambda i: (i % MIP_SIDE * 31 + F.floor(i / MIP_SIDE) * 17 + F.col("z") * 7 + F.col("vol_id")) % 1009
+    slabs = regions.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(MIP_SIDE - 1)))).repartition("vol_id", "z")
+    data = F.transform(F.sequence(F.lit(0), F.lit(MIP_SIDE**2 - 1)), lambda i: value(i).cast("float"))
+    slabs = slabs.select("vol_id", F.lit(0).alias("t"), "z", *[F.lit(MIP_SIDE).alias(c) for c in ("nx", "ny", "nz")], data.alias("data"))
+    return slabwise.projection(slabs, headers).drop("t")
 
 
 @query(
@@ -113,6 +113,5 @@ def strided_mip(spark, sf_dir):
 )
 def strided_window(spark, sf_dir):
     """Contrast of whole volumes from files, of every 75th voxel."""
-    volumes = nifti.as_volumes(nifti.read_volumes(spark, files(spark, sf_dir)))
-    found = aggregate.auto_window(volumes)
+    found = slabwise.auto_window(slabwise.of_files(nifti.read_volumes(spark, files(spark, sf_dir))))
     return found.select(F.regexp_extract("vol_id", r"v(\d+)\.nii", 1).cast("int").alias("r_regionkey"), "p01", "p99", F.round("win", 9).alias("win"), F.round("level", 9).alias("level"))

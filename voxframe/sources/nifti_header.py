@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ORIENTATIONS
+from .volume_files import Unreadable
 
 MODES = ("standard", "reference")
 
@@ -48,15 +49,19 @@ SCHEMA = (
     "datatype int, bitpix int, vox_offset long, scl_slope double, scl_inter double, little_endian boolean, is_gzip boolean, "
     "bytes_per_voxel long, total_voxels long, slice_size long, volume_bytes long, qform_code int, sform_code int, "
     "quatern_b double, quatern_c double, quatern_d double, qoffset_x double, qoffset_y double, qoffset_z double, "
-    "srow_x array<double>, srow_y array<double>, srow_z array<double>, descrip string, xyzt_units int, orientation string"
+    "srow_x array<double>, srow_y array<double>, srow_z array<double>, descrip string, xyzt_units int, orientation string, paired boolean"
 )
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
-class NotNifti(ValueError):
+class NotNifti(Unreadable):
     """The bytes don't start with a NIfTI header."""
 
 
+# What the magic string begins with, of single files and of pairs of files, by version.
+SINGLE, PAIR = {1: b"n+1\0", 2: b"n+2\0"}, {1: b"ni1\0", 2: b"ni2\0"}
+
+
 def _or(value: float, default: float) -> float:
     return default if not value or math.isnan(value) else value
 
@@ -71,7 +76,10 @@ def orientation_code(rows: list[tuple[float, ...]]) -> str:
 
 
 def parse_header(raw: bytes, is_gzip: bool = False, mode: str = "standard") -> dict:
-    """Fields of SCHEMA from the first bytes of a file (inflated); raises NotNifti."""
+    """Fields of SCHEMA from the first bytes of a file (inflated); raises NotNifti.
+
+    In mode 'standard' the magic string has to be that of the version; 'reference' doesn't look at it but to find that voxels are in another file.
+    """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if len(raw) < HEADER_BYTES[1]:
@@ -88,6 +96,10 @@ def parse_header(raw: bytes, is_gzip: bool = False, mode: str = "standard") -> d
     for name, at, form in layout:
         value = struct.unpack_from(order + form, raw, at)
         h[name] = value[0] if len(value) == 1 else value
+    magic = h["magic"][:4]
+    if mode == "standard" and magic not in (SINGLE[version], PAIR[version]):
+        raise NotNifti(f"the magic string is {magic!r}")
+    paired = magic == PAIR[version]
     dim, spacing = h["dim"], h["pixdim"]
     ndim = dim[0]
     n = [max(1, dim[1]), max(1, dim[2]), max(1, dim[3]), max(1, dim[4]) if ndim >= 4 else 1, max(1, dim[5]) if ndim >= 5 else 1]
@@ -102,10 +114,10 @@ def parse_header(raw: bytes, is_gzip: bool = False, mode: str = "standard") -> d
             FIELDS,
             [
                 version, ndim, *n, *(_or(abs(d), 1.0) for d in spacing[1:4]), _or(spacing[4], 0.0), -1.0 if spacing[0] == -1 else 1.0,
-                h["datatype"], h["bitpix"], max(FIRST_DATA_BYTE[version], int(offset) if offset == offset else 0),
+                h["datatype"], h["bitpix"], max(0 if paired else FIRST_DATA_BYTE[version], int(offset) if offset == offset else 0),
                 float(_or(h["scl_slope"], 1.0)), float(_or(h["scl_inter"], 0.0)), order == "<", is_gzip,
                 size, n[0] * n[1] * n[2], n[0] * n[1], n[0] * n[1] * n[2] * size, h["qform_code"], h["sform_code"],
-                *map(float, h["quatern"]), *map(float, h["qoffset"]), *(list(map(float, h[f"srow_{a}"])) for a in "xyz"), text, h["xyzt_units"], code,
+                *map(float, h["quatern"]), *map(float, h["qoffset"]), *(list(map(float, h[f"srow_{a}"])) for a in "xyz"), text, h["xyzt_units"], code, paired,
             ],
         )
     )
