@@ -263,6 +263,28 @@ def projection(slabs: DataFrame, headers: DataFrame, rot_x: float = 0.0, rot_y:
     return drawn.groupBy(*KEYS, "px", "py").agg(F.max("v").alias("v"))
 
 
+def pictures(projected: DataFrame, sizes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(vol_id, t, nx, ny, data): the projection of each volume of sizes(vol_id, nx, ny) as one array, row by row; pixels that nothing falls on have
+    the volume's least value, of ranges(vol_id, t, lo). A row is as large as one picture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for r, (nx, ny, lo) in enumerate(zip(*(rows.column(k).to_pylist() for k in (2, 3, 4)))):
+                data = np.full(nx * ny, np.nan if lo is None else lo, np.float64)
+                pixels = rows.column(5)[r].values
+                if pixels is not None:
+                    px, py, v = (pixels.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    data[py * nx + px] = v
+                out.append(data)
+            ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out)))], ["vol_id", "t", "nx", "ny", DATA])
+
+    drawn = projected.groupBy(*KEYS).agg(F.collect_list(F.struct("px", "py", "v")).alias("pixels"))
+    whole = ranges.select(*KEYS, "lo").join(sizes.select("vol_id", "nx", "ny"), "vol_id").join(drawn, list(KEYS), "left")
+    return _mapped(whole.select(*KEYS, "nx", "ny", "lo", "pixels"), "t int, nx int, ny int, data array<double>", run)
+
+
 def _bricks_of(edge: int):
     """Squares of ``edge`` a side of each slab, by the brick that they lie in."""
 

@@ -14,12 +14,14 @@ from ..functions.numeric import clamp
 
 #: Name of the array column of volumes at rest.
 DATA = "data"
+#: Sides of the volumes that vectors of 64 numbers are taken for; no two are equal.
+VECTOR_SIDES = (8, 4, 2)
 
 
 def volumes_from_embeddings(embeddings: DataFrame) -> DataFrame:
-    """(vol_id, label, nx, ny, nz, data): each vector of 64 numbers is a volume of 4 x 4 x 4."""
-    side = F.lit(4)
-    return embeddings.select(F.col("vec_id").alias("vol_id"), "label", side.alias("nx"), side.alias("ny"), side.alias("nz"), F.col("embedding").alias(DATA))
+    """(vol_id, label, nx, ny, nz, data): each vector of 64 numbers is a volume of VECTOR_SIDES."""
+    sides = [F.lit(n).alias(c) for c, n in zip(("nx", "ny", "nz"), VECTOR_SIDES)]
+    return embeddings.select(F.col("vec_id").alias("vol_id"), "label", *sides, F.col("embedding").alias(DATA))
 
 
 def voxels(volumes: DataFrame, *keep: str) -> DataFrame:

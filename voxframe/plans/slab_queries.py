@@ -132,6 +132,28 @@ def pyramid(spark, sf_dir):
     return flat.select("vol_id", "z", "level", F.expr("cast(i % nx as int)").alias("bx"), F.expr("cast(i div nx as int)").alias("by"), "v")
 
 
+_TURN = (0.5, 0.25)
+
+
+@query(
+    "q72_projected_pictures",
+    f"""WITH {VOX}, n AS (SELECT vol_id, max(z) + 1 AS nz, CAST(min(v) AS DOUBLE) AS lo FROM vox GROUP BY vol_id),
+    s AS (SELECT *, CAST(greatest(1, floor(least({min(NX, NY)}, nz) / 80.0::DOUBLE)) AS INTEGER) AS step FROM n),
+    m AS (SELECT vol_id, v, x - {NX / 2}::DOUBLE AS cx, (y - {NY / 2}::DOUBLE) AS cy, (z - nz / 2.0::DOUBLE) AS cz FROM vox JOIN s USING (vol_id) WHERE x % step = 0 AND y % step = 0 AND z % step = 0),
+    p AS (SELECT vol_id, v, CAST(floor({NX / 2}::DOUBLE + (cx * cos({_TURN[1]}::DOUBLE) + cz * sin({_TURN[1]}::DOUBLE)) + 0.5::DOUBLE) AS INTEGER) AS px,
+      CAST(floor({NY / 2}::DOUBLE + (cy * cos({_TURN[0]}::DOUBLE) - (-cx * sin({_TURN[1]}::DOUBLE) + cz * cos({_TURN[1]}::DOUBLE)) * sin({_TURN[0]}::DOUBLE)) + 0.5::DOUBLE) AS INTEGER) AS py FROM m),
+    g AS (SELECT vol_id, lo, CAST(k % {NX} AS INTEGER) AS px, CAST(k // {NX} AS INTEGER) AS py FROM n, range({NX * NY}) t(k))
+    SELECT g.vol_id, g.px, g.py, coalesce(CAST(max(p.v) AS DOUBLE), any_value(g.lo)) AS v FROM g LEFT JOIN p ON p.vol_id = g.vol_id AND p.px = g.px AND p.py = g.py GROUP BY ALL""",
+)
+def projected_pictures(spark, sf_dir):
+    """A turned projection of each volume as a whole picture, drawn from its slabs."""
+    slabs = _slabs(spark, sf_dir)
+    sizes = slabs.select("vol_id", "nx", "ny").distinct()
+    drawn = slabwise.projection(slabs, sizes.select("vol_id", *[F.lit(1.0).alias(c) for c in ("dx", "dy", "dz")]), *_TURN)
+    flat = slabwise.pictures(drawn, sizes, slabwise.value_range(slabs)).select("vol_id", "nx", F.posexplode("data").alias("p", "v"))
+    return flat.select("vol_id", F.expr("cast(p % nx as int)").alias("px"), F.expr("cast(p div nx as int)").alias("py"), "v")
+
+
 @query("q69_catalog_scan", f"WITH {VOX} SELECT vol_id, z, count(*) AS n, max(v) AS v FROM vox WHERE vol_id % 3 = 0 AND z BETWEEN 1 AND 4 GROUP BY ALL")
 def catalog_scan(spark, sf_dir):
     """Only files of one element type are opened, as the catalog's headers tell which they are, and only some of their slabs are read."""

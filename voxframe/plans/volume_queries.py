@@ -1,4 +1,4 @@
-"""Queries over volumes: each vector of ``embeddings`` is a volume of 4 x 4 x 4."""
+"""Queries over volumes: each vector of ``embeddings`` is a volume of 8 x 4 x 2, so that no two sides can be taken for each other."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import geometry, intensity
 from ..operators import aggregate, compare, views, voxels
 
-#: Voxels along each side of these volumes.
-SIDE = 4
+#: Voxels along each side of these volumes, and their middle slices.
+NX, NY, NZ = voxels.VECTOR_SIDES
+_MIDDLE = {"axial": NZ // 2, "coronal": NY // 2, "sagittal": NX // 2}
+_SIZE = {"axial": (NX, NY), "coronal": (NX, NZ), "sagittal": (NY, NZ)}
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ _HEADER_SQL = ", ".join(
     + [f"CAST({e} AS DOUBLE) AS {a}{k}" for a, r in _SROW.items() for k, e in enumerate(r)]
 )
 
-VOX = """vox AS (
-  SELECT vec_id AS vol_id, label, i, CAST(i % 4 AS INTEGER) AS x, CAST((i // 4) % 4 AS INTEGER) AS y, CAST(i // 16 AS INTEGER) AS z, v
+VOX = f"""vox AS (
+  SELECT vec_id AS vol_id, label, i, CAST(i % {NX} AS INTEGER) AS x, CAST((i // {NX}) % {NY} AS INTEGER) AS y, CAST(i // {NX * NY} AS INTEGER) AS z, v
   FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings))"""
 _AXES = {"axial": ("x", "y", "z"), "coronal": ("x", "z", "y"), "sagittal": ("y", "z", "x")}
 
@@ -54,7 +56,7 @@ def _slice_sql(axis: str, k: int) -> str:
     return f"SELECT vol_id, label, '{axis}' AS axis, {n} AS idx, {u} AS u, {w} AS w, v FROM vox WHERE {n} = {k}"
 
 
-_PREVIEW = "p AS (" + " UNION ALL ".join(_slice_sql(a, 2) for a in _AXES) + ")"
+_PREVIEW = "p AS (" + " UNION ALL ".join(_slice_sql(a, _MIDDLE[a]) for a in _AXES) + ")"
 _RANGE = "r AS (SELECT vol_id, CAST(min(v) AS DOUBLE) AS lo, CASE WHEN min(v) = max(v) THEN CAST(min(v) AS DOUBLE) + 1 ELSE CAST(max(v) AS DOUBLE) END AS hi FROM vox GROUP BY vol_id)"
 
 QUERIES: dict = {}
@@ -76,9 +78,9 @@ def _slices(name: str, axis: str, k: int) -> None:
         return voxels.slice_voxels(volumes(spark, sf_dir), axis, k)
 
 
-_slices("q01_axial_slice", "axial", 2)
+_slices("q01_axial_slice", "axial", 1)
 _slices("q02_coronal_slice", "coronal", 1)
-_slices("q03_sagittal_slice", "sagittal", 3)
+_slices("q03_sagittal_slice", "sagittal", 6)
 
 
 @query(
@@ -120,11 +122,11 @@ def _display(spark, sf_dir, window: float = 0.6, level: float = 0.5) -> DataFram
     low, high = aggregate.array_range(F.col(voxels.DATA))
     v = volumes(spark, sf_dir).withColumns({"lo": low, "hi": high})
     norm = intensity.normalised(F.col("v"), F.col("lo"), F.col("hi"))
-    return voxels.slice_voxels(v, "axial", 2, "lo", "hi").withColumn("t", intensity.window_level(norm, window, level))
+    return voxels.slice_voxels(v, "axial", 1, "lo", "hi").withColumn("t", intensity.window_level(norm, window, level))
 
 
 _DISPLAY = f"""{VOX}, {_RANGE}, d AS (SELECT vol_id, x AS u, y AS w,
-  greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((CAST(v AS DOUBLE) - lo) / (hi - lo) - (0.5::DOUBLE - 0.6::DOUBLE / 2)) / 0.6::DOUBLE)) AS t FROM vox JOIN r USING (vol_id) WHERE z = 2)"""
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((CAST(v AS DOUBLE) - lo) / (hi - lo) - (0.5::DOUBLE - 0.6::DOUBLE / 2)) / 0.6::DOUBLE)) AS t FROM vox JOIN r USING (vol_id) WHERE z = 1)"""
 
 
 @query("q08_window_level", f"WITH {_DISPLAY} SELECT vol_id, u, w, round(t, 6) AS t FROM d")
@@ -175,44 +177,41 @@ for _name in intensity.MAPS:
 
 
 def _blocks(name: str, axis: str, k: int, factor: int, level: int | None = None) -> None:
-    n = max(1, 4 // factor)
+    width, height = _SIZE[axis]
     u, w, c = _AXES[axis]
 
-    @query(name, f"WITH {VOX} SELECT vol_id, {u} // {factor} AS bx, {w} // {factor} AS by, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS v FROM vox WHERE {c} = {k} AND {u} // {factor} < {n} AND {w} // {factor} < {n} GROUP BY ALL")
+    @query(name, f"WITH {VOX} SELECT vol_id, {u} // {factor} AS bx, {w} // {factor} AS by, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS v FROM vox WHERE {c} = {k} AND {u} // {factor} < {max(1, width // factor)} AND {w} // {factor} < {max(1, height // factor)} GROUP BY ALL")
     def run(spark, sf_dir):
         slices = voxels.slice_voxels(volumes(spark, sf_dir), axis, k)
-        means = aggregate.block_mean(slices, F.lit(SIDE), F.lit(SIDE), factor) if level is None else aggregate.lod(slices, F.lit(SIDE), F.lit(SIDE), level)
+        size = F.lit(width), F.lit(height)
+        means = aggregate.block_mean(slices, *size, factor) if level is None else aggregate.lod(slices, *size, level)
         return means.select("vol_id", "bx", "by", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
-_blocks("q12_downsample2", "axial", 2, 2)
-_blocks("q13_lod_level", "axial", 2, 4, 2)
+_blocks("q12_downsample2", "axial", 1, 2)
+_blocks("q13_lod_level", "axial", 1, 4, 2)
 _blocks("q14_downsample3_partial", "coronal", 1, 3)
 
 _ROT = (0.5, 0.25)
-_MIP = f"""{VOX}, m AS (SELECT vol_id, CAST(floor(2 + (x - 2) * cos({_ROT[1]}::DOUBLE) + (z - 2) * sin({_ROT[1]}::DOUBLE) + 0.5::DOUBLE) AS INTEGER) AS px,
-  CAST(floor(2 + ((y - 2) * cos({_ROT[0]}::DOUBLE) - (-(x - 2) * sin({_ROT[1]}::DOUBLE) + (z - 2) * cos({_ROT[1]}::DOUBLE)) * sin({_ROT[0]}::DOUBLE)) + 0.5::DOUBLE) AS INTEGER) AS py, v FROM vox),
-  pr AS (SELECT vol_id, px, py, max(v) AS v FROM m WHERE px BETWEEN 0 AND 3 AND py BETWEEN 0 AND 3 GROUP BY ALL)"""
-
-
-def _mip(spark, sf_dir):
-    v = with_header(volumes(spark, sf_dir)).withColumns({c: F.lit(1.0) for c in ("dx", "dy", "dz")})
-    return v, aggregate.mip(voxels.voxels(v), v, *_ROT)
+_MIP = f"""{VOX}, m AS (SELECT vol_id, CAST(floor({NX // 2} + (x - {NX // 2}) * cos({_ROT[1]}::DOUBLE) + (z - {NZ // 2}) * sin({_ROT[1]}::DOUBLE) + 0.5::DOUBLE) AS INTEGER) AS px,
+  CAST(floor({NY // 2} + ((y - {NY // 2}) * cos({_ROT[0]}::DOUBLE) - (-(x - {NX // 2}) * sin({_ROT[1]}::DOUBLE) + (z - {NZ // 2}) * cos({_ROT[1]}::DOUBLE)) * sin({_ROT[0]}::DOUBLE)) + 0.5::DOUBLE) AS INTEGER) AS py, v FROM vox),
+  pr AS (SELECT vol_id, px, py, max(v) AS v FROM m WHERE px BETWEEN 0 AND {NX - 1} AND py BETWEEN 0 AND {NY - 1} GROUP BY ALL)"""
 
 
 @query("q15_mip", f"WITH {_MIP} SELECT * FROM pr")
 def mip(spark, sf_dir):
-    return _mip(spark, sf_dir)[1]
+    v = volumes(spark, sf_dir)
+    return aggregate.mip(voxels.voxels(v), v.withColumns({c: F.lit(1.0) for c in ("dx", "dy", "dz")}), *_ROT)
 
 
 @query(
     "q16_mip_background",
-    f"""WITH {_MIP}, {_RANGE}, g AS (SELECT vec_id AS vol_id, CAST(p % 4 AS INTEGER) AS px, CAST(p // 4 AS INTEGER) AS py FROM embeddings, range(16) t(p))
+    f"""WITH {_MIP}, {_RANGE}, g AS (SELECT vec_id AS vol_id, CAST(p % {NX} AS INTEGER) AS px, CAST(p // {NX} AS INTEGER) AS py FROM embeddings, range({NX * NY}) t(p))
     SELECT vol_id, px, py, coalesce(CAST(pr.v AS DOUBLE), lo) AS v FROM g LEFT JOIN pr USING (vol_id, px, py) JOIN r USING (vol_id)""",
 )
 def mip_background(spark, sf_dir):
-    v, projected = _mip(spark, sf_dir)
-    return aggregate.mip_filled(projected, v, aggregate.value_range(voxels.voxels(v)))
+    v = volumes(spark, sf_dir)
+    return aggregate.mip_filled(mip(spark, sf_dir), v, aggregate.value_range(voxels.voxels(v)))
 
 
 _TURN = """CASE WHEN sform_code <> 0 THEN {r}0 * x + {r}1 * y + {r}2 * z + {r}3 WHEN qform_code <> 0 THEN d{r} * ({m0} * x + {m1} * y + {m2} * z) + qoffset_{r} ELSE d{r} * {r} END"""
@@ -291,14 +290,14 @@ def compare_left(spark, sf_dir):
 
 @query(
     "q21_compare_clamped",
-    f"WITH {VOX}, a AS (SELECT vol_id AS pair, x, y, z, {_MATCH} FROM vox WHERE x = 3 AND y = 3) SELECT pair, z, greatest(0, least(3, a.bx)) AS bx, greatest(0, least(3, a.by)) AS by, greatest(0, least(3, a.bz)) AS bz FROM a",
+    f"WITH {VOX}, a AS (SELECT vol_id AS pair, x, y, z, {_MATCH} FROM vox WHERE x = 7 AND y = 3) SELECT pair, z, greatest(0, least({NX - 1}, a.bx)) AS bx, greatest(0, least({NY - 1}, a.by)) AS by, greatest(0, least({NZ - 1}, a.bz)) AS bz FROM a",
 )
 def compare_clamped(spark, sf_dir):
     """Slices of the other volume that a view of this one shows, the nearest where none matches."""
     v = volumes(spark, sf_dir)
-    corner = voxels.voxels(v).where("x = 3 AND y = 3").select(F.col("vol_id").alias("pair"), "x", "y", "z")
+    corner = voxels.voxels(v).where("x = 7 AND y = 3").select(F.col("vol_id").alias("pair"), "x", "y", "z")
     found = compare.aligned(corner, _affine(spark, v, _FIRST), _affine(spark, v, _SECOND))
-    return found.select("pair", "z", *[compare.aligned_slice(F.col(f"b{a}"), F.col(f"b{a}"), F.lit(SIDE)).cast("int").alias(f"b{a}") for a in "xyz"])
+    return found.select("pair", "z", *[compare.aligned_slice(F.col(f"b{a}"), F.col(f"b{a}"), F.lit(n)).cast("int").alias(f"b{a}") for a, n in zip("xyz", (NX, NY, NZ))])
 
 
 @query(
@@ -311,27 +310,27 @@ def overlay_blend(spark, sf_dir):
     t = _display(spark, sf_dir)
     first = t.select(F.col("vol_id").alias("pair"), "u", "w", F.floor(F.col("t") * 255 + 0.5).alias("g"))
     second = t.groupBy((F.col("vol_id") + 1).alias("pair"), F.expr("cast(u div 2 as int)").alias("u"), F.expr("cast(w div 2 as int)").alias("w")).agg(F.round(F.avg("t") * 255, 3).alias("g"))
-    mixed = compare.overlay(first, second, (4, 4), (2, 2), 0.4, ("g",))
+    mixed = compare.overlay(first, second, (NX, NY), (NX // 2, NY // 2), 0.4, ("g",))
     return mixed.select("pair", "u", "w", F.round("g", 6).alias("g"))
 
 
 @query(
     "q23_point_probe",
-    f"WITH {VOX}, p AS (SELECT vec_id AS vol_id, CAST(vec_id % 5 AS INTEGER) AS x, CAST(vec_id % 3 AS INTEGER) AS y, CAST(vec_id % 6 AS INTEGER) AS z FROM embeddings) SELECT p.vol_id, p.x, p.y, p.z, vox.v FROM p LEFT JOIN vox USING (vol_id, x, y, z)",
+    f"WITH {VOX}, p AS (SELECT vec_id AS vol_id, CAST(vec_id % 9 AS INTEGER) AS x, CAST(vec_id % 5 AS INTEGER) AS y, CAST(vec_id % 4 - 1 AS INTEGER) AS z FROM embeddings) SELECT p.vol_id, p.x, p.y, p.z, vox.v FROM p LEFT JOIN vox USING (vol_id, x, y, z)",
 )
 def point_probe(spark, sf_dir):
     v = volumes(spark, sf_dir)
-    points = v.select("vol_id", *[F.expr(f"cast(vol_id % {n} as int)").alias(a) for a, n in (("x", 5), ("y", 3), ("z", 6))])
+    points = v.select("vol_id", *[F.expr(f"cast(vol_id % {n} as int)").alias(a) for a, n in (("x", "9"), ("y", "5"), ("z", "4 - 1"))])
     return voxels.probe(v, points)
 
 
 @query(
     "q24_minimap_resample",
     f"""WITH {VOX}, g AS (SELECT CAST(x.k AS INTEGER) AS mx, CAST(y.k AS INTEGER) AS my FROM range(6) x(k), range(6) y(k))
-    SELECT vol_id, mx, my, v FROM g JOIN vox ON z = 2 AND x = CAST(floor(mx * 4 / 6.0::DOUBLE) AS INTEGER) AND y = 3 - CAST(floor(my * 4 / 6.0::DOUBLE) AS INTEGER)""",
+    SELECT vol_id, mx, my, v FROM g JOIN vox ON z = 1 AND x = CAST(floor(mx * {NX} / 6.0::DOUBLE) AS INTEGER) AND y = {NY - 1} - CAST(floor(my * {NY} / 6.0::DOUBLE) AS INTEGER)""",
 )
 def minimap_resample(spark, sf_dir):
-    return voxels.resampled(voxels.slice_voxels(volumes(spark, sf_dir), "axial", 2), F.lit(SIDE), F.lit(SIDE), 6, 6)
+    return voxels.resampled(voxels.slice_voxels(volumes(spark, sf_dir), "axial", 1), F.lit(NX), F.lit(NY), 6, 6)
 
 
 @query(
@@ -347,10 +346,10 @@ def volume_union_filter(spark, sf_dir):
     return voxels.remove_at(voxels.append_volume(first, more), 3)
 
 
-@query("q40_flip_side_by_side", f"WITH {VOX} SELECT vol_id, u, 3 - w AS w, v, 'left' AS side FROM ({_slice_sql('axial', 1)}) UNION ALL SELECT vol_id, u, 3 - w, v, 'right' FROM ({_slice_sql('axial', 3)})")
+@query("q40_flip_side_by_side", f"WITH {VOX} SELECT vol_id, u, 3 - w AS w, v, 'left' AS side FROM ({_slice_sql('axial', 0)}) UNION ALL SELECT vol_id, u, 3 - w, v, 'right' FROM ({_slice_sql('axial', 1)})")
 def flip_side_by_side(spark, sf_dir):
     v = volumes(spark, sf_dir)
-    first, second = (voxels.flipped(voxels.slice_clamped(v, "axial", k), F.lit(SIDE)).select("vol_id", "u", "w", "v") for k in (1, 9))
+    first, second = (voxels.flipped(voxels.slice_clamped(v, "axial", k), F.lit(NY)).select("vol_id", "u", "w", "v") for k in (0, 9))
     return compare.side_by_side(first, second)
 
 
@@ -370,7 +369,7 @@ def nifti_roundtrip(spark, sf_dir):
             out = []
             for vol, data in zip(rows["vol_id"], rows["data"]):
                 order, version = "<>"[vol % 2], 2 if vol % 3 == 0 else 1
-                head = nifti_header.write_header((4, 4, 4), 16, version, order, scl_slope=2.0, scl_inter=10.0)
+                head = nifti_header.write_header((NX, NY, NZ), 16, version, order, scl_slope=2.0, scl_inter=10.0)
                 out.append((str(vol), head + np.asarray(data).astype(order + "f4").tobytes()))
             yield pd.DataFrame(out, columns=["path", "content"])
 
@@ -379,7 +378,7 @@ def nifti_roundtrip(spark, sf_dir):
     return slabs.select("vol_id", F.expr("cast(i % nx as int)").alias("x"), F.expr("cast(i div nx as int)").alias("y"), "z", "v")
 
 
-@query("q42_preview_payload", f"WITH {VOX}, {_PREVIEW}, r AS (SELECT vol_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY vol_id) SELECT vol_id, lo, hi, w * 4 + u AS i, v FROM p JOIN r USING (vol_id) WHERE axis = 'coronal'")
+@query("q42_preview_payload", f"WITH {VOX}, {_PREVIEW}, r AS (SELECT vol_id, min(v) AS lo, max(v) AS hi FROM p GROUP BY vol_id) SELECT vol_id, lo, hi, w * {NX} + u AS i, v FROM p JOIN r USING (vol_id) WHERE axis = 'coronal'")
 def preview_payload(spark, sf_dir):
     """Previews encoded to their binary form and decoded again; the coronal slices are shown."""
     from ..sources import preview_codec
@@ -397,7 +396,7 @@ def preview_payload(spark, sf_dir):
     f"""WITH {VOX}, {_PREVIEW}, r AS (SELECT vol_id, CAST(min(v) AS DOUBLE) AS lo, CASE WHEN min(v) = max(v) THEN CAST(min(v) AS DOUBLE) + 1 ELSE CAST(max(v) AS DOUBLE) END AS hi FROM p GROUP BY vol_id),
     d AS (SELECT vol_id, u, w, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CAST(v AS DOUBLE) - lo) / (hi - lo))) AS t FROM p JOIN r USING (vol_id) WHERE axis = 'axial'),
     c AS (SELECT vol_id, u, w, {", ".join(f"CAST(floor({e} + 0.5::DOUBLE) AS INTEGER) AS {c}" for c, e in zip("rgb", _CHANNELS["hot"]))} FROM d)
-    SELECT vol_id, CAST(x.k AS INTEGER) AS mx, CAST(y.k AS INTEGER) AS my, r, g, b FROM c JOIN range(10) x(k) ON CAST(floor(x.k * 4 / 10.0::DOUBLE) AS INTEGER) = u JOIN range(10) y(k) ON 3 - CAST(floor(y.k * 4 / 10.0::DOUBLE) AS INTEGER) = w""",
+    SELECT vol_id, CAST(x.k AS INTEGER) AS mx, CAST(y.k AS INTEGER) AS my, r, g, b FROM c JOIN range(10) x(k) ON CAST(floor(x.k * {NX} / 10.0::DOUBLE) AS INTEGER) = u JOIN range(10) y(k) ON {NY - 1} - CAST(floor(y.k * {NY} / 10.0::DOUBLE) AS INTEGER) = w""",
 )
 def thumbnail(spark, sf_dir):
     return views.thumbnail(volumes(spark, sf_dir), "hot", size=10)
@@ -405,8 +404,8 @@ def thumbnail(spark, sf_dir):
 
 @query(
     "q52_lod_picture",
-    f"""WITH {VOX}, m AS (SELECT vol_id, x // 2 AS bu, y // 2 AS bw, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS v FROM vox WHERE z = 2 GROUP BY ALL)
-    SELECT vol_id, 2 AS nx, 2 AS ny, 1 AS nz, CAST(bu + 2 * bw AS INTEGER) AS i, v FROM m""",
+    f"""WITH {VOX}, m AS (SELECT vol_id, x // 2 AS bu, y // 2 AS bw, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS v FROM vox WHERE z = 1 GROUP BY ALL)
+    SELECT vol_id, {NX // 2} AS nx, {NY // 2} AS ny, 1 AS nz, CAST(bu + {NX // 2} * bw AS INTEGER) AS i, v FROM m""",
 )
 def lod_picture(spark, sf_dir):
     return views.lod_picture(volumes(spark, sf_dir), 1).select("vol_id", "nx", "ny", "nz", F.posexplode("data").alias("i", "v"))
