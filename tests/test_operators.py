@@ -173,3 +173,24 @@ def test_zoom_in_parts_is_zoom_step_by_step(spark, monkeypatch):
         monkeypatch.setattr(accesslog, "FOLD_ROWS", size)
         got = {r.key: r.zoom for r in accesslog.zoomed(log, "key", "f").collect()}
         assert got == pytest.approx(want)
+
+
+def test_equal_times_have_one_order(spark):
+    """However the rows are dealt, by a number of their own or without one."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("k", k, t + dt.timedelta(milliseconds=100 * (k // 3)), 1000 * (k % 5 + 1), k % 4 + 1, k * 7 % 31 - 15, (0.5, 2.0, 3.0)[k % 3]) for k in range(24)]
+    schema = "key string, n int, ts timestamp, bytes long, ms int, d int, f double"
+    found = {}
+    for seq in ("n", None):
+        for order in (rows, rows[::-1], rows[7:] + rows[:7]):
+            log = spark.createDataFrame(order, schema).repartition(3)
+            got = (
+                sorted((r.n, r.bps) for r in accesslog.bandwidth(log, "key", seq).collect()),
+                sorted(r.n for r in accesslog.debounced(log, "key", 50, seq).collect()),
+                sorted((r.n, r.sum_d) for r in accesslog.panned(log, "key", "d", seq=seq).collect()),
+                accesslog.zoomed(log, "key", "f", seq).first().zoom,
+                accesslog.scrolled(log, "key", "d", seq=seq).first().moved,
+                sorted((r.n, r.ms) for r in accesslog.velocity(log, "key", "d", seq).collect() if r.ms is not None),
+            )
+            assert found.setdefault(seq, got) == got
+    assert found["n"][1] == [2, 5, 8, 11, 14, 17, 20, 23]

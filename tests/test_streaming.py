@@ -1,8 +1,11 @@
 import datetime as dt
 import gzip
+import time
+
+import pytest
 
 from voxframe.sources import nifti, nifti_header
-from voxframe.streaming import accesslog
+from voxframe.streaming import accesslog, idle
 
 
 def _write(spark, rows, schema, path):
@@ -42,3 +45,44 @@ def test_volumes_arrive(spark, tmp_path):
     (tmp_path / "in" / "a.nii.gz").write_bytes(gzip.compress(raw))
     rows = _run(nifti.decode_files(accesslog.arriving(spark, str(tmp_path / "in"))), "arriving", tmp_path, spark)
     assert sorted(v for r in rows for v in r.data) == list(map(float, range(8)))
+
+
+def test_unknown_kinds_and_null_times(spark, tmp_path):
+    """They don't end the stream: such a kind has the longest idle time, and an access without a time is none."""
+    t = dt.datetime(2024, 1, 1)
+    for batch in ([("a", "new kind", t), ("b", None, t), ("c", "slice", None)], [("z", "slice", t + dt.timedelta(seconds=1000))], [("z", "slice", t + dt.timedelta(seconds=1001))]):
+        _write(spark, batch, "key string, kind string, ts timestamp", str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _run(accesslog.swept(stream), "unknown", tmp_path, spark)
+    assert {(r.key, r.kind) for r in got if r.expired} == {("a", "new kind"), ("b", None)} and all(r.key != "c" for r in got)
+
+
+@pytest.mark.parametrize("files", [1, 100])
+def test_entries_leave_by_the_clock_without_new_events(spark, tmp_path, files):
+    """Each once, whatever the batches; kinds that aren't named wait longer, and one that comes back is a new entry."""
+    t = dt.datetime(2024, 1, 1)
+    s = lambda n: t + dt.timedelta(seconds=n)
+    source = str(tmp_path / "in")
+    for batch in ([("a", "slice", s(5)), ("a", "slice", s(0))], [("a", "slice", s(3)), (None, "slice", s(1)), ("late", "unnamed", s(1)), ("n", "slice", None)]):
+        _write(spark, batch, "key string, kind string, ts timestamp", source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("key string, kind string, ts timestamp").option("maxFilesPerTrigger", files).parquet(source)
+        found = idle.swept_by_clock(stream, {"slice": 2}, other=600, sweep=0.5)
+        q = found.writeStream.format("memory").queryName(f"clock{files}").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start()
+        table = lambda: sorted(((r.key or "", r.accesses, r.first_ts, r.last_ts) for r in spark.table(f"clock{files}").collect()))
+        first = [("", 1, s(1), s(1)), ("a", 3, s(0), s(5))]
+        wait_for(lambda: table() == first, q)
+        _write(spark, [("a", "slice", s(9))], "key string, kind string, ts timestamp", source)
+        wait_for(lambda: table() == [first[0], ("a", 1, s(9), s(9)), first[1]], q)
+        q.stop()
+    finally:
+        spark.conf.unset(name)
+
+
+def wait_for(true, query):
+    end = time.monotonic() + 90
+    while not true():
+        assert query.exception() is None and time.monotonic() < end
+        time.sleep(0.3)

@@ -44,3 +44,9 @@ def byte_range(header: Column, size: Column) -> list[Column]:
 def backoff_ms(attempt: Column, base: int = BACKOFF_MS) -> Column:
     """Wait after a failed attempt (from 0), doubling; null after the last one."""
     return F.when(attempt < TRIES - 1, (base * F.pow(F.lit(2.0), attempt)).cast("long"))
+
+
+def url_parts(url: Column, suffix: str = ".gz") -> list[Column]:
+    """host, route (the path's first part), id (a number at its end) of a URL, empty where it has none, and whether it ends in ``suffix``, which tells what is gzipped."""
+    parts = {"host": r"^https?://([^/]+)", "route": r"^https?://[^/]+/([^/?#]+)", "id": r"/([0-9]+)(\?|#|$)"}
+    return [F.regexp_extract(url, pattern, 1).alias(name) for name, pattern in parts.items()] + [url.endswith(suffix).alias(suffix.lstrip("."))]

@@ -1,7 +1,12 @@
-"""Caches, queues and interaction as window functions over a log of events."""
+"""Caches, queues and interaction as window functions over a log of events.
+
+Events follow each other by ``ts``. Of equal times they go by ``seq``, a column that numbers them, or, where none is named, by a hash of
+the whole row: then the result is the same however rows were dealt, and only rows that are alike in all columns may change places.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +36,15 @@ def _micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
-def bandwidth(samples: DataFrame, key: str) -> DataFrame:
+def _order(log: DataFrame, seq: str | None) -> list[Column]:
+    """What orders the events of a key: time, then their number or a hash of the row."""
+    columns = [F.col(f"`{f.name}`") for f in log.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    return [F.col("ts"), F.col(seq) if seq else F.xxhash64(*columns)]
+
+
+def bandwidth(samples: DataFrame, key: str, seq: str | None = None) -> DataFrame:
     """Adds bps and level: bits a second over the last samples(ts, bytes, ms) of each ``key``, such as a client; those without a duration are left out."""
-    base = Window.partitionBy(key).orderBy("ts").rowsBetween(1 - BANDWIDTH_SAMPLES, 0)
+    base = Window.partitionBy(key).orderBy(*_order(samples, seq)).rowsBetween(1 - BANDWIDTH_SAMPLES, 0)
     sums = samples.where("ms > 0").withColumns({"_b": F.sum("bytes").over(base), "_m": F.sum("ms").over(base)})
     bps = F.col("_b") * 8000.0 / F.col("_m")
     mbps = bps / float(1 << 20)
@@ -80,19 +91,19 @@ def admitted(jobs: DataFrame, group: str, caps: dict[str, int] | None = None) ->
     return jobs.withColumn("rank", rank).withColumn("active", F.col("rank") <= cap)
 
 
-def debounced(log: DataFrame, key: str, gap_ms: int = DEBOUNCE_MS) -> DataFrame:
+def debounced(log: DataFrame, key: str, gap_ms: int = DEBOUNCE_MS, seq: str | None = None) -> DataFrame:
     """The last event of each burst: those that no other event of the key follows within the gap."""
-    gap = _micros(F.lead("ts").over(Window.partitionBy(key).orderBy("ts"))) - _micros("ts")
+    gap = _micros(F.lead("ts").over(Window.partitionBy(key).orderBy(*_order(log, seq)))) - _micros("ts")
     return log.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > gap_ms * 1000)).drop("_gap")
 
 
-def panned(log: DataFrame, key: str, *moves: str) -> DataFrame:
+def panned(log: DataFrame, key: str, *moves: str, seq: str | None = None) -> DataFrame:
     """Adds the running sum of each move of a key, as sum_<name>."""
-    line = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(key).orderBy(*_order(log, seq)).rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumns({f"sum_{m}": F.sum(m).over(line) for m in moves})
 
 
-def zoomed(log: DataFrame, key: str, factor: str) -> DataFrame:
+def zoomed(log: DataFrame, key: str, factor: str, seq: str | None = None) -> DataFrame:
     """(key, zoom): positive factors multiplied in the order of time, clamped after each step, from 1.
 
     A step maps a zoom to its clamped multiple, and a row of steps is such a map again: a factor and two bounds.
@@ -107,15 +118,16 @@ def zoomed(log: DataFrame, key: str, factor: str) -> DataFrame:
         bounded = lambda x: F.greatest(lo, F.least(hi, x * f))
         return F.struct((m["f"] * f).alias("f"), bounded(m["lo"]).alias("lo"), bounded(m["hi"]).alias("hi"))
 
-    part = F.expr(f"(row_number() OVER (PARTITION BY `{key}` ORDER BY ts) - 1) div {FOLD_ROWS}")
-    events = log.select(key, "ts", F.col(factor).cast("double").alias("_f"), part.alias("_part"))
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("ts", "_f"))), lambda e: e["_f"])
+    # An event's number among its key's is the order in its part, too.
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*_order(log, seq))) - 1
+    events = log.select(key, F.col(factor).cast("double").alias("_f"), number.alias("_n")).withColumn("_part", F.expr(f"_n div {FOLD_ROWS}"))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_f"))), lambda e: e["_f"])
     maps = events.groupBy(key, "_part").agg(F.aggregate(steps, identity, lambda m, f: then(m, f, low, high)).alias("m"))
     whole = F.aggregate(F.array_sort(F.collect_list(F.struct("_part", "m"))), identity, lambda m, p: then(m, p["m"]["f"], p["m"]["lo"], p["m"]["hi"]))
     return maps.groupBy(key).agg(whole.alias("m")).select(key, F.when(F.col("m.f").isNotNull(), clamped(F.greatest("m.lo", F.least("m.hi", "m.f")))).alias("zoom"))
 
 
-def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0) -> DataFrame:
+def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0, seq: str | None = None) -> DataFrame:
     """(key, moved): slices moved by wheel events(ts, delta), in a fold.
 
     A step counts 2 while the wheel turns faster than 2 units a millisecond, where deltas weigh half; the
@@ -124,9 +136,10 @@ def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0) -> D
     """
     ship_package(log.sparkSession)
     turned = F.coalesce(F.col(delta), F.lit(0))
-    events = log.repartition(key).withColumn("_ms", (_micros("ts") - _micros(F.lag("ts").over(Window.partitionBy(key).orderBy("ts")))) / 1000.0)
+    log = log.withColumn("_tie", _order(log, seq)[1])
+    events = log.repartition(key).withColumn("_ms", (_micros("ts") - _micros(F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "_tie")))) / 1000.0)
     fast = F.when(F.col("_ms") > 0, F.abs(turned) > 2 * F.col("_ms")).otherwise(False)
-    steps = events.select(key, "ts", F.when(fast, turned * 0.5).otherwise(turned.cast("double")).alias("_d"), F.when(fast, 2).otherwise(1).alias("_step"))
+    steps = events.select(key, "ts", "_tie", F.when(fast, turned * 0.5).otherwise(turned.cast("double")).alias("_d"), F.when(fast, 2).otherwise(1).alias("_step"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, moves, total = [], [], 0.0
@@ -148,13 +161,13 @@ def scrolled(log: DataFrame, key: str, delta: str, threshold: float = 30.0) -> D
             yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(moves, pa.int32())], [key, "moved"])
 
     kind = log.schema[key].dataType.simpleString()
-    return steps.sortWithinPartitions(key, "ts", "_d", "_step").select(key, "_d", "_step").mapInArrow(run, f"`{key}` {kind}, moved int")
+    return steps.sortWithinPartitions(key, "ts", "_tie").select(key, "_d", "_step").mapInArrow(run, f"`{key}` {kind}, moved int")
 
 
-def velocity(log: DataFrame, key: str, delta: str) -> DataFrame:
+def velocity(log: DataFrame, key: str, delta: str, seq: str | None = None) -> DataFrame:
     """Adds ms (since the key's last event) and velocity (units a millisecond, 0 without one) to the log."""
     now = F.floor(_micros("ts") / 1000)
-    ms = now - F.lag(now).over(Window.partitionBy(key).orderBy("ts"))
+    ms = now - F.lag(now).over(Window.partitionBy(key).orderBy(*_order(log, seq)))
     timed = log.withColumn("ms", ms)
     return timed.withColumn("velocity", F.when(F.col("ms") > 0, F.abs(F.col(delta)) / F.col("ms")).otherwise(0.0))
 
@@ -173,3 +186,12 @@ def retryable(status: Column) -> Column:
 def freshest(log: DataFrame, key: str, seq: str, payload: str) -> DataFrame:
     """Of each key the payload of its latest request; answers to earlier ones are stale."""
     return log.groupBy(key).agg(F.max_by(payload, seq).alias(payload))
+
+
+def totals(log: DataFrame, group: str, size: str, chunk: str, resident: Column, failed: Column) -> DataFrame:
+    """(group, bytes, resident, failures, chunk_bytes): what the caches of each ``group``, such as a host, hold and have seen.
+
+    Sums and counts, combined before they are shuffled. Null sizes count as nothing.
+    """
+    sums = [F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(n) for c, n in ((size, "bytes"), (chunk, "chunk_bytes"))]
+    return log.groupBy(group).agg(*sums, F.count_if(resident).alias("resident"), F.count_if(failed).alias("failures"))

@@ -101,6 +101,11 @@ def mip_pixel(rot_x: float, rot_y: float, nx: Column, ny: Column, nz: Column, dx
     return half_up(nx / 2.0 + x1 / sx).cast("int"), half_up(ny / 2.0 + y1 / sy).cast("int")
 
 
+def brightest(points: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., px, py, v, n): the greatest value on each pixel of points(keys..., px, py, v), and how many fall on it; NaN is no value."""
+    return points.where(~F.isnan(F.col("v").cast("double"))).groupBy(*keys, "px", "py").agg(F.max("v").alias("v"), F.count("*").alias("n"))
+
+
 def mip(vox: DataFrame, headers: DataFrame, rot_x: float = 0.0, rot_y: float = 0.0) -> DataFrame:
     """(vol_id, px, py, v): the greatest value on each pixel of vox(vol_id, x, y, z, v); headers(vol_id, nx, ny, nz, dx, dy, dz)."""
     with_size = vox.join(headers.select("vol_id", "nx", "ny", "nz", "dx", "dy", "dz"), "vol_id")
@@ -108,7 +113,7 @@ def mip(vox: DataFrame, headers: DataFrame, rot_x: float = 0.0, rot_y: float = 0
     px, py = mip_pixel(rot_x, rot_y, *(F.col(c) for c in ("nx", "ny", "nz", "dx", "dy", "dz")))
     kept = with_size.where((F.col("x") % step == 0) & (F.col("y") % step == 0) & (F.col("z") % step == 0))
     seen = kept.withColumns({"px": px, "py": py}).where(F.col("px").between(0, F.col("nx") - 1) & F.col("py").between(0, F.col("ny") - 1))
-    return seen.where(~F.isnan("v")).groupBy("vol_id", "px", "py").agg(F.max("v").alias("v"))
+    return brightest(seen, "vol_id").drop("n")
 
 
 def mip_filled(projected: DataFrame, headers: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numeric, requests
-from ..operators import accesslog, views
+from ..operators import accesslog, aggregate, views
+from ..sources import nifti_header
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,12 +41,12 @@ def prefetch_anti(spark, sf_dir):
 @query(
     "q26_bandwidth",
     """WITH s AS (SELECT event_id, user_id, ts, CAST(round(value * 100) AS BIGINT) * 1000 AS bytes, event_id % 7 AS ms FROM events),
-    b AS (SELECT event_id, sum(bytes) OVER w * 8000.0::DOUBLE / sum(ms) OVER w AS bps FROM s WHERE ms > 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+    b AS (SELECT event_id, sum(bytes) OVER w * 8000.0::DOUBLE / sum(ms) OVER w AS bps FROM s WHERE ms > 0 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
     SELECT event_id, round(bps, 3) AS bps, CASE WHEN bps / 1048576 > 50 THEN 'high' WHEN bps / 1048576 > 10 THEN 'medium' ELSE 'low' END AS level FROM b""",
 )
 def bandwidth(spark, sf_dir):
     samples = events(spark, sf_dir).select("event_id", "user_id", "ts", (F.round(F.col("value") * 100).cast("long") * 1000).alias("bytes"), (F.col("event_id") % 7).alias("ms"))
-    return accesslog.bandwidth(samples, "user_id").select("event_id", F.round("bps", 3).alias("bps"), "level")
+    return accesslog.bandwidth(samples, "user_id", "event_id").select("event_id", F.round("bps", 3).alias("bps"), "level")
 
 
 def _entries(spark, sf_dir) -> DataFrame:
@@ -82,26 +83,26 @@ def priority_admission(spark, sf_dir):
     return accesslog.admitted(jobs, "user_id").select("event_id", "rank", "active")
 
 
-@query("q31_debounce", "SELECT event_id FROM (SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap > 3600000 * 1000::BIGINT")
+@query("q31_debounce", "SELECT event_id FROM (SELECT event_id, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS gap FROM events) WHERE gap IS NULL OR gap > 3600000 * 1000::BIGINT")
 def debounce(spark, sf_dir):
     """The log's events are minutes apart, so the gap is an hour here."""
-    return accesslog.debounced(events(spark, sf_dir), "user_id", 3_600_000).select("event_id")
+    return accesslog.debounced(events(spark, sf_dir), "user_id", 3_600_000, "event_id").select("event_id")
 
 
-@query("q32_cumulative_pan", "SELECT event_id, CAST(sum(event_id % 21 - 10) OVER w AS BIGINT) AS sum_dx, CAST(sum(event_id % 13 - 6) OVER w AS BIGINT) AS sum_dy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("q32_cumulative_pan", "SELECT event_id, CAST(sum(event_id % 21 - 10) OVER w AS BIGINT) AS sum_dx, CAST(sum(event_id % 13 - 6) OVER w AS BIGINT) AS sum_dy FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def cumulative_pan(spark, sf_dir):
     moves = events(spark, sf_dir).select("event_id", "user_id", "ts", (F.col("event_id") % 21 - 10).alias("dx"), (F.col("event_id") % 13 - 6).alias("dy"))
-    return accesslog.panned(moves, "user_id", "dx", "dy").select("event_id", "sum_dx", "sum_dy")
+    return accesslog.panned(moves, "user_id", "dx", "dy", seq="event_id").select("event_id", "sum_dx", "sum_dy")
 
 
 @query(
     "q33_scroll_velocity",
-    """WITH v AS (SELECT event_id, value, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS ms FROM events)
+    """WITH v AS (SELECT event_id, value, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ms FROM events)
     SELECT event_id, ms, CASE WHEN ms > 0 THEN round(value * 1000000 / ms, 6) ELSE 0.0::DOUBLE END AS velocity FROM v""",
 )
 def scroll_velocity(spark, sf_dir):
     wheel = events(spark, sf_dir).withColumn("delta", F.col("value") * 1_000_000)
-    return accesslog.velocity(wheel, "user_id", "delta").select("event_id", "ms", F.round("velocity", 6).alias("velocity"))
+    return accesslog.velocity(wheel, "user_id", "delta", "event_id").select("event_id", "ms", F.round("velocity", 6).alias("velocity"))
 
 
 @query("q34_retryable", "SELECT event_id, CAST(400 + event_id % 150 AS INTEGER) AS status, (400 + event_id % 150) IN (408, 425, 429) OR 400 + event_id % 150 >= 500 AS retry FROM events")
@@ -112,19 +113,15 @@ def retryable(spark, sf_dir):
 
 @query("q35_route_parse", "SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS route, regexp_extract(url, '/([0-9]+)(\\?|#|$)', 1) AS id, ends_with(url, '.gz') AS gz FROM pages")
 def route_parse(spark, sf_dir):
-    url = F.col("url")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
-        "page_id", F.regexp_extract(url, "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(url, "^https?://[^/]+/([^/?#]+)", 1).alias("route"),
-        F.regexp_extract(url, r"/([0-9]+)(\?|#|$)", 1).alias("id"), url.endswith(".gz").alias("gz"),
-    )
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", *requests.url_parts(F.col("url")))
 
 
 @query("q36_header_json", "SELECT s_suppkey, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier")
 def header_json(spark, sf_dir):
-    """Typed columns to JSON and back."""
-    made = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.to_json(F.struct("s_name", "s_nationkey", "s_acctbal")).alias("json"))
-    back = F.from_json("json", "s_name string, s_nationkey int, s_acctbal double")
-    return made.select("s_suppkey", back.alias("h")).select("s_suppkey", F.col("h.s_name").alias("name"), F.col("h.s_nationkey").alias("nation"), F.col("h.s_acctbal").alias("balance"))
+    """Typed columns to JSON as headers are, and back."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    texts = nifti_header.header_json(rows.withColumn("path", F.col("s_suppkey").cast("string")).withColumn("error", F.lit(None).cast("string")))
+    return nifti_header.parsed_json(texts, "s_suppkey long, name string, nation int, balance double").drop("path", "error")
 
 
 @query(
@@ -208,10 +205,8 @@ def edge_labels(spark, sf_dir):
 @query("q46_cache_totals", "SELECT user_id % 8 AS host, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS bytes, count(*) FILTER (WHERE event_type = 'view') AS resident, count(*) FILTER (WHERE event_type = 'error') AS failures, CAST(sum(length(props)) AS BIGINT) AS chunk_bytes FROM events GROUP BY ALL")
 def cache_totals(spark, sf_dir):
     """Bytes held, entries present, failures, and bytes of chunks, by host."""
-    return events(spark, sf_dir).groupBy((F.col("user_id") % 8).alias("host")).agg(
-        F.sum(F.round("value").cast("long")).alias("bytes"), F.count_if(F.col("event_type") == "view").alias("resident"),
-        F.count_if(F.col("event_type") == "error").alias("failures"), F.sum(F.length("props").cast("long")).alias("chunk_bytes"),
-    )
+    log = events(spark, sf_dir).select((F.col("user_id") % 8).alias("host"), F.round("value").alias("size"), F.length("props").alias("chunk"), "event_type")
+    return accesslog.totals(log, "host", "size", "chunk", F.col("event_type") == "view", F.col("event_type") == "error")
 
 
 @query("q47_freshest_answer", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -221,32 +216,32 @@ def freshest_answer(spark, sf_dir):
 
 @query(
     "q48_zoom",
-    """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END AS f FROM events),
+    """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE WHEN event_id % 3 = 0 THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END AS f FROM events),
     z AS (SELECT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS zoom FROM o GROUP BY user_id UNION ALL SELECT o.user_id, o.k, greatest(0.5::DOUBLE, least(10.0::DOUBLE, zoom * f)) FROM z JOIN o ON o.user_id = z.user_id AND o.k = z.k + 1)
     SELECT user_id, arg_max(zoom, k) AS zoom FROM z GROUP BY user_id""",
 )
 def zoom(spark, sf_dir):
     turns = events(spark, sf_dir).withColumn("f", F.when(F.col("event_id") % 3 == 0, 0.5).otherwise(2.0))
-    return accesslog.zoomed(turns, "user_id", "f")
+    return accesslog.zoomed(turns, "user_id", "f", "event_id")
 
 
 @query(
     "q49_scroll",
-    """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, (event_id % 41 - 20)::DOUBLE AS d FROM events),
+    """WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, (event_id % 41 - 20)::DOUBLE AS d FROM events),
     z AS (SELECT user_id, 0::BIGINT AS k, 0.0::DOUBLE AS s, 0 AS moved FROM o GROUP BY user_id UNION ALL
       SELECT o.user_id, o.k, CASE WHEN abs(s + d) >= 30 THEN 0 ELSE s + d END, moved + CASE WHEN s + d >= 30 THEN 1 WHEN s + d <= -30 THEN -1 ELSE 0 END FROM z JOIN o ON o.user_id = z.user_id AND o.k = z.k + 1)
     SELECT user_id, arg_max(moved, k) AS moved FROM z GROUP BY user_id""",
 )
 def scroll(spark, sf_dir):
     wheel = events(spark, sf_dir).withColumn("delta", F.col("event_id") % 41 - 20)
-    return accesslog.scrolled(wheel, "user_id", "delta")
+    return accesslog.scrolled(wheel, "user_id", "delta", seq="event_id")
 
 
 @query("q50_shipment_projection", "SELECT CAST(l_orderkey % 64 AS INTEGER) AS px, CAST(l_partkey % 64 AS INTEGER) AS py, max(l_extendedprice) AS v, count(*) AS n FROM lineitem GROUP BY ALL")
 def shipment_projection(spark, sf_dir):
     """A projection's plan, grouped maximum on pixels, over a table of many rows."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr("cast(l_orderkey % 64 as int)").alias("px"), F.expr("cast(l_partkey % 64 as int)").alias("py"), "l_extendedprice")
-    return rows.groupBy("px", "py").agg(F.max("l_extendedprice").alias("v"), F.count("*").alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.expr("cast(l_orderkey % 64 as int)").alias("px"), F.expr("cast(l_partkey % 64 as int)").alias("py"), F.col("l_extendedprice").alias("v"))
+    return aggregate.brightest(rows)
 
 
 _URLS = """CASE event_id % 8 WHEN 0 THEN '/header/' || user_id WHEN 1 THEN '/preview/' || user_id WHEN 2 THEN '/preview-bin/' || user_id WHEN 3 THEN '/slice/' || user_id || '/coronal/' || event_id

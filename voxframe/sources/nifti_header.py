@@ -7,6 +7,7 @@ it; ``mode='reference'`` reads it at the places some viewers use, which differ.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from collections.abc import Iterator
 
@@ -165,6 +166,15 @@ def header_json(headers: DataFrame) -> DataFrame:
     return headers.select("path", F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).otherwise(plain).alias("json"))
 
 
+def parsed_json(texts: DataFrame, schema: str = SCHEMA) -> DataFrame:
+    """path, the fields of ``schema``, and error, of (path, json) as :func:`header_json` makes it; text that is no JSON object has an error too."""
+    found = F.from_json("json", f"{schema}, error string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = texts.select("path", found.alias("h"))
+    fields = [f.split()[0] for f in re.split(r", (?![^<]*>)", schema)]
+    error = F.coalesce("h.error", F.when(F.col("h").isNull() | F.col("h._corrupt").isNotNull(), "not a header"))
+    return rows.select("path", *[F.col(f"h.{f}") for f in fields], error.alias("error"))
+
+
 def write_header(shape: tuple[int, ...], datatype: int, version: int = 1, order: str = "<", **fields) -> bytes:
     """The header bytes of a file in the standard layout, up to its first data byte; for sinks and tests."""
     layout = LAYOUT_1 if version == 1 else LAYOUT_2

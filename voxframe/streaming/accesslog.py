@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Idle seconds after which a sweep drops an entry, by kind of cache.
 IDLE_SECONDS = {"data": 120, "file_slice": 60, "slice": 90}
-#: Seconds between sweeps.
+#: Seconds between sweeps by the clock.
 SWEEP_SECONDS = 30
 
 
@@ -19,12 +19,14 @@ def swept(accesses: DataFrame, lateness: str = "30 seconds") -> DataFrame:
     """Stream of (key, kind, accesses, last_ts, expired): entries as they are used, and once more when swept.
 
     ``accesses`` is a stream of (key, kind, ts). An entry's state is its count and last use; it times out in
-    event time when the watermark passes its last use by the kind's idle time.
+    event time when the watermark passes its last use by the kind's idle time; kinds that IDLE_SECONDS doesn't name have the longest of
+    these. Null times are left out. There is a row for each entry and batch that uses it, so how many depends on the batches; ``idle.swept_by_clock``
+    gives each entry once, by the clock.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         name, kind = key
-        idle = IDLE_SECONDS[kind] * 1000
+        idle = IDLE_SECONDS.get(kind, max(IDLE_SECONDS.values())) * 1000
         if state.hasTimedOut:
             count, last = state.get
             state.remove()
@@ -38,7 +40,7 @@ def swept(accesses: DataFrame, lateness: str = "30 seconds") -> DataFrame:
         state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [name], "kind": [kind], "accesses": [count], "last_ts": [pd.Timestamp(last, unit="ms")], "expired": [False]})
 
-    grouped = accesses.withWatermark("ts", lateness).groupBy("key", "kind")
+    grouped = accesses.where("ts IS NOT NULL").withWatermark("ts", lateness).groupBy("key", "kind")
     return grouped.applyInPandasWithState(
         update, "key string, kind string, accesses long, last_ts timestamp, expired boolean", "accesses long, last long", "append", GroupStateTimeout.EventTimeTimeout
     )
