@@ -54,6 +54,8 @@ from .volume_files import Inflated, Plain, Ranged, Unreadable, exists, is_gzip,
 SLAB_BYTES = 32 << 20
 #: Voxels that one Arrow batch holds, about, and files that share a task at the most.
 BATCH_VOXELS, TASK_FILES = 1 << 20, 1000
+#: Tasks of one scan at the most; beyond that each has several parts.
+TASKS = 100_000
 #: Bytes between two runs of wanted voxels that are read along rather than skipped, and bytes of one read at the most.
 MERGED_BYTES, READ_BYTES = 4096, 8 << 20
 
@@ -282,7 +284,7 @@ class Scan:
                 try:
                     checked = self._check(source, h)
                     ranges = parts.ranges(h, part, number)
-                    for piece in self._cubes(source, h, ranges):
+                    for piece in self.cubes(source, h, ranges):
                         if rows.add(path, h, *piece):
                             yield rows.batch()
                     if not checked and ranges and ranges[-1][0] == frames(h) - 1 and ranges[-1][2] == h["nz"]:
@@ -306,7 +308,7 @@ class Scan:
         source.verify(end_of_voxels(h))
         return True
 
-    def _cubes(self, source: Inflated | Plain | Ranged, h: dict, ranges: list[tuple[int, int, int]]) -> Iterator[tuple]:
+    def cubes(self, source: Inflated | Plain | Ranged, h: dict, ranges: list[tuple[int, int, int]]) -> Iterator[tuple]:
         """(t, z, cube, y, x) of the voxels within the bounds."""
         (x0, x1), (y0, y1) = ((max(0, low), min(h[n], high)) for (low, high), n in ((self.bounds["x"], "nx"), (self.bounds["y"], "ny")))
         if x0 >= x1 or y0 >= y1:
@@ -540,8 +542,18 @@ def read_listed(files: DataFrame, view: str = "slabs", mode: str = "standard", d
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scan.read(p for rows in batches for p in zip(*(rows.column(k).to_pylist() for k in range(3))))
 
-    # Parts of a file go to different tasks.
-    return pieces.select("path", "part", "parts").repartition("path", "part").mapInArrow(read, scan.schema)
+    total = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # A file that is small shares a task with others.
+    return dealt(pieces.select("path", "part", "parts"), max(-(-total[0] // slab_bytes), min(total[1], spark_cores(files)))).mapInArrow(read, scan.schema)
+
+
+def spark_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def dealt(pieces: DataFrame, tasks: int) -> DataFrame:
+    """Rows that are small and stand for much work, dealt evenly to so many tasks; Spark would put them together by their own size."""
+    return pieces.repartition(max(1, min(tasks, TASKS)))
 
 
 def register(spark: SparkSession) -> None:
