@@ -259,6 +259,33 @@ def test_lost_and_longer_records_are_found_alone(spark):
     assert extra == [(1, next(r[2] for r in theirs if r[4] == "new"), "new")]
 
 
+def test_descent_reads_few_records(spark):
+    """Of 20,000 records in 4 files three are damaged, one of them lost at the beginning: a few leaves are read, and no file that is whole."""
+    rows = [(k % 4, f"r{k}", 1000 + k % 37, f"h{k}") for k in range(20_000)]
+    ours = spark.createDataFrame(laid_out(rows), RECORDS)
+    changed = [(f, n, size, "bad" if h in ("h4001", "h18001") else h) for f, n, size, h in rows if h != "h1"]
+    theirs = spark.createDataFrame(laid_out(changed), RECORDS)
+    left, right = (side.collect() for side in warc_fixity.differing_records(ours, theirs))
+    assert {r.file for r in left} == {1} and {"h1", "h4001", "h18001"} <= {r.hash for r in left}
+    assert max(len(left), len(right)) < 3 * 2 * warc_fixity.LEAF_RECORDS
+    found = sorted((r.hash, r.status) for r in warc_fixity.audit(ours, theirs).collect())
+    assert found == [("h1", "missing"), ("h18001", "changed"), ("h4001", "changed")]
+    assert all(x.count() == 0 for x in warc_fixity.differing_records(ours, ours))
+
+
+def test_alike_records_make_leaves_of_bounded_size(spark):
+    """Records that are all alike have no border among them, or each is one; lost ones are still counted."""
+    for h in ("same", "other", "third", "x", "y"):
+        rows = laid_out([(1, f"r{k}", 10, h) for k in range(1000)] + [(1, "end", 5, "end")])
+        ours = spark.createDataFrame(rows, RECORDS)
+        leaves = warc_fixity.merkle_leaves(ours)
+        assert leaves.where(f"end - start > 10 * {warc_fixity.LEAF_RECORDS}").count() == 0
+        assert leaves.orderBy("start").first().start == 0 and leaves.agg(F.max("end")).first()[0] == 10_005
+        theirs = spark.createDataFrame(laid_out([(f, n, size, x) for f, n, _, size, x in rows if n not in ("r3", "r700")]), RECORDS)
+        found = warc_fixity.audit(ours, theirs).collect()
+        assert {r.status for r in found} == {"missing"} and len(found) == 2
+
+
 def test_warc_files_are_parsed(spark, tmp_path):
     """Records written to files, plain and gzipped member by member, come back with their offsets; a cut file says so."""
     import gzip

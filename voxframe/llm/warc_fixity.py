@@ -1,14 +1,15 @@
 """Fixity audit of WARC replicas by Merkle trees.
 
-Each record is hashed. A tree node covers an ordered range of offsets of one WARC file: a leaf the records
-that start within LEAF_BYTES, a node above FANOUT ranges of the level below, and its hash is that of its
-parts' hashes in order. Roots are compared first, each replica's by its own offsets: files whose roots agree
-are whole and are not looked at again. In a file that is left, a record that was lost or changed its length has
-moved all later ones, so the other replica's records are put at the offsets that records of their name have in
-ours. Then the trees are compared from the roots down: a level is joined only below nodes that differ one level
-up, and records are compared only in leaves that differ.
-
-All nodes of a level are one DataFrame, built from the level below by one grouping of at most FANOUT rows.
+Each record is hashed, and ordered ranges of offsets are hashed into trees. A leaf covers a range of some records of one WARC file, a node
+a range of some nodes of the level below, and its hash is that of its parts' hashes in order. Borders lie where records' own hashes
+say so, a border of a level being one of all levels below. So a record that was lost, changed or put in moves all later ones, but changes
+the one leaf that holds it, and the nodes above that: all other ranges have the same hashes in both replicas, wherever they stand.
+
+Roots are compared first: files whose roots agree are whole and not looked at again. Then the trees are compared from the top down: of the
+children of nodes that the other replica lacks those are left that it lacks too, and only records of leaves that are left at the end are
+compared, by name. Damage to few records costs a few leaves for each, however long the file is.
+
+All nodes of a level are one DataFrame, built from the level below by one grouping.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from pyspark.sql.window import Window
 
 from .runtime import checkpointed, prepare, table, text_or_empty
 
-LEAF_BYTES, FANOUT = 65536, 128
-#: Levels above the leaves, each of which costs a join; a root covers LEAF_BYTES * FANOUT**LEVELS bytes, 1 GiB; longer files have several.
-LEVELS = 2
+#: One record in 2**FANOUT_BITS ends a leaf, one in that number of leaves' ends a node of the next level, and so on; levels between leaves and root.
+FANOUT_BITS, LEVELS = 3, 2
+#: Records of a leaf at the most; more alike ones, which have no border among them, are several.
+LEAF_RECORDS = 64
 #: Pages of one WARC file in :func:`page_records`.
 FILE_PAGES = 250
 
@@ -161,25 +163,65 @@ def record_hashes(records: DataFrame) -> DataFrame:
     return with_offsets(small, "page_id", "d").select("file", "record_id", "offset", "d.length", "d.hash")
 
 
-def _ordered_hash(order: list[str]) -> Column:
-    parts = F.sort_array(F.collect_list(F.struct(*order)))
-    text = F.transform(parts, lambda p: F.concat_ws(":", *[p[c].cast("string") for c in order]))
+#: What names a leaf within its file: the number of its node on each level from the top on, its own, and its part where records are alike.
+PLACE = [*(f"l{k}" for k in range(LEVELS, -1, -1)), "part"]
+
+
+def placed_records(records: DataFrame) -> DataFrame:
+    """Adds PLACE to records(file, record_id, offset, length, hash): the leaf that each is in. A file's records are sorted by one task, digests only."""
+    line = Window.partitionBy("file").orderBy("offset", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.xxhash64("length", "hash")
+    ends = {f"l{k}": F.coalesce(F.sum((F.pmod(own, F.lit(1 << FANOUT_BITS * (k + 1))) == 0).cast("int")).over(line), F.lit(0)) for k in range(LEVELS + 1)}
+    inner = Window.partitionBy("file", "l0").orderBy("offset", "hash")
+    return records.withColumns(ends).withColumn("part", F.floor((F.row_number().over(inner) - 1) / LEAF_RECORDS).cast("int"))
+
+
+def _hash_of(order: list[str], parts: list[str]) -> Column:
+    """The hash of a group's parts in their order."""
+    rows = F.sort_array(F.collect_list(F.struct(*order, *parts)))
+    text = F.transform(rows, lambda p: F.concat_ws(":", *[p[c].cast("string") for c in parts]))
     return F.sha2(F.array_join(text, "\n").cast("binary"), 256).alias("hash")
 
 
-def merkle_levels(hashes: DataFrame, kept: bool = True) -> list[DataFrame]:
-    """Nodes (file, node, hash) of every level, leaves first, the roots last; ``kept`` leaves aren't computed again for each level that is read."""
-    leaf = F.expr(f"offset div {LEAF_BYTES}").alias("node")
-    leaves = hashes.groupBy("file", leaf).agg(_ordered_hash(["offset", "length", "hash"]))
-    levels = [checkpointed(leaves) if kept else leaves]
-    for _ in range(LEVELS):
-        levels.append(levels[-1].groupBy("file", F.expr(f"node div {FANOUT}").alias("up")).agg(_ordered_hash(["node", "hash"])).withColumnRenamed("up", "node"))
-    return levels
+def merkle_leaves(records: DataFrame) -> DataFrame:
+    """(file, PLACE, start, end, hash): the ranges of offsets that leaves cover, and the hashes of their records in order."""
+    span = F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length")).alias("end")
+    return placed_records(records).groupBy("file", *PLACE).agg(*span, _hash_of(["offset"], ["length", "hash"]))
+
+
+def merkle_level(leaves: DataFrame, level: int) -> DataFrame:
+    """(file, the place's first columns, hash) of the nodes of a level above the leaves, LEVELS at the top; one more gives the root of each file."""
+    nodes, place = leaves.select("file", *PLACE, "hash"), list(PLACE)
+    for k in range(level):
+        # The first step puts leaves, with their parts, into nodes of the first level.
+        inside, place = (place[-2:], place[:-2]) if k == 0 else (place[-1:], place[:-1])
+        nodes = nodes.groupBy("file", *place).agg(_hash_of(inside, ["hash"]))
+    return nodes
 
 
-def _differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    both = ours.withColumnRenamed("hash", "a").join(theirs.withColumnRenamed("hash", "b"), ["file", "node"], "full_outer")
-    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
+def _lacking(ours: DataFrame, theirs: DataFrame, place: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (file, place, hash) of both replicas those that the other lacks; of equal ones of a file as many as it has fewer."""
+    nth = F.row_number().over(Window.partitionBy("file", "hash").orderBy(*place))
+    a, b = (side.select("file", *place, "hash", nth.alias("nth")) for side in (ours, theirs))
+    key = ["file", "hash", "nth"]
+    left, right = ((one.join(other.select(*key), key, "left_anti").select("file", *place)) for one, other in ((a, b), (b, a)))
+    return checkpointed(left), checkpointed(right)
+
+
+def differing_records(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of the leaves in which the replicas differ, of each; what is found by descending from differing roots alone."""
+    sides = (ours, theirs)
+    leaves = [checkpointed(merkle_leaves(side)) for side in sides]
+    roots = [merkle_level(side, LEVELS + 1).withColumnRenamed("hash", name) for side, name in zip(leaves, "ab")]
+    files = checkpointed(roots[0].join(roots[1], "file", "full_outer").where("NOT (a <=> b)").select("file"))
+    left = [files, files]
+    for level in range(LEVELS, -1, -1):
+        place = PLACE if not level else PLACE[: LEVELS - level + 1]
+        above = ["file", *PLACE[: LEVELS - level]]
+        nodes = [merkle_level(side.join(up, above, "left_semi"), level) for side, up in zip(leaves, left)]
+        left = list(_lacking(*nodes, place))
+    found = [placed_records(side.join(files, "file", "left_semi")).join(up, ["file", *PLACE], "left_semi").drop(*PLACE) for side, up in zip(sides, left)]
+    return found[0], found[1]
 
 
 def _numbered(records: DataFrame) -> DataFrame:
@@ -188,47 +230,31 @@ def _numbered(records: DataFrame) -> DataFrame:
     return records.withColumn("record_id", F.coalesce("record_id", F.lit(""))).withColumn("nth", F.row_number().over(same))
 
 
-def aligned(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """``theirs`` with ``at``, the offset of the record of the same name in ``ours``; a record that ours lacks stands where the one before it does.
-
-    Both are (file, record_id, nth, offset, length, hash). A file's records are sorted by one task, digests only.
-    """
-    places = ours.select("file", "record_id", "nth", F.col("offset").alias("own"))
-    upto = Window.partitionBy("file").orderBy("offset", "hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return theirs.join(places, ["file", "record_id", "nth"], "left").withColumn("at", F.coalesce(F.last("own", ignorenulls=True).over(upto), F.lit(0))).drop("own")
-
-
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Where the replica ``theirs`` departs from ``ours``; both are (file, record_id, offset, length, hash) of records.
 
     Returns file, offset, length, status ('changed', 'missing' in theirs, 'extra' in theirs), hash and
     other_hash. Offsets are those of the replica's own index, in ``ours`` but for extra records; a record that
     only moved isn't reported. Equal replicas, empty ones too, give no row. A file or branch that only one
-    replica has differs as a whole. Repeated names are matched in their order. Both tables are read several
-    times, so what is costly to compute should be checkpointed before.
+    replica has differs as a whole. Repeated names are matched in their order within the leaves that differ. Both tables are read twice,
+    so what is costly to compute should be checkpointed before.
     """
-    mine = merkle_levels(ours)
-    files = checkpointed(_differing(mine[-1], merkle_levels(theirs, kept=False)[-1]).select("file").distinct())
-    left = _numbered(ours.join(files, "file", "left_semi"))
-    right = checkpointed(aligned(left, _numbered(theirs.join(files, "file", "left_semi"))))
-    other = merkle_levels(right.select("file", F.col("at").alias("offset"), "length", "hash"))
-    suspects = checkpointed(_differing(mine[-1].join(files, "file", "left_semi"), other[-1]))
-    for level in range(LEVELS - 1, -1, -1):
-        up = suspects.withColumnRenamed("node", "up")
-        below = [side[level].withColumn("up", F.expr(f"node div {FANOUT}")).join(up, ["file", "up"], "left_semi").select("file", "node", "hash") for side in (mine, other)]
-        suspects = checkpointed(_differing(*below))
-    left = left.withColumn("node", F.expr(f"offset div {LEAF_BYTES}")).join(suspects, ["file", "node"], "left_semi").drop("node")
-    right = right.withColumn("node", F.expr(f"at div {LEAF_BYTES}")).join(suspects, ["file", "node"], "left_semi")
+    left, right = map(_numbered, differing_records(ours, theirs))
     right = right.select("file", "record_id", "nth", F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("hash").alias("other_hash"))
     both = left.join(right, ["file", "record_id", "nth"], "full_outer").where("NOT (hash <=> other_hash)")
     status = F.when(F.col("other_hash").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("changed")
     return both.select("file", F.coalesce("offset", "other_offset").alias("offset"), F.coalesce("length", "other_length").alias("length"), status.alias("status"), "hash", "other_hash")
 
 
+#: Files of which the made replica is damaged, one in so many, and the pages of a file among which that is.
+DAMAGED_FILES, DAMAGED_PAGES = 3, (100, 149)
+
+
 def damaged(record: Column, page_id: Column) -> Column:
-    """A replica's record with known damage, as none is at hand: of every 50 page_ids, 7 has its last payload
-    character replaced, 23 is missing and 31 has the first byte of its header changed; all others are whole."""
-    kind = page_id % 50
+    """A replica's record with known damage, as none is at hand. Most files and all but one range of the others are whole; there, of every
+    50 page_ids, 7 has its last payload character replaced, 23 is missing and 31 has the first byte of its header changed."""
+    touched = (F.floor(page_id / FILE_PAGES) % DAMAGED_FILES == 0) & (page_id % FILE_PAGES).between(*DAMAGED_PAGES)
+    kind = F.when(touched, page_id % 50)
     changed = F.when(kind == 7, F.concat(F.substring(record, F.lit(1), F.length(record) - 5), F.lit("~\r\n\r\n")))
     changed = changed.when(kind == 31, F.concat(F.lit("w"), F.substr(record, F.lit(2)))).when(kind == 23, F.lit(None))
     return changed.otherwise(record)
@@ -258,8 +284,9 @@ placed AS (
   SELECT file, page_id, record, strlen(record) AS length,
          CAST(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id) - strlen(record) AS BIGINT) AS "offset" FROM records),
 both_sides AS (
-  SELECT file, "offset", length, record, page_id % 50 AS kind,
-         CASE page_id % 50 WHEN 7 THEN left(record, length(record) - 5) || '~' || right(record, 4) WHEN 31 THEN 'w' || substr(record, 2) WHEN 23 THEN NULL ELSE record END AS other
+  SELECT file, "offset", length, record,
+         CASE CASE WHEN file % {DAMAGED_FILES} = 0 AND page_id % {FILE_PAGES} BETWEEN {DAMAGED_PAGES[0]} AND {DAMAGED_PAGES[1]} THEN page_id % 50 END
+           WHEN 7 THEN left(record, length(record) - 5) || '~' || right(record, 4) WHEN 31 THEN 'w' || substr(record, 2) WHEN 23 THEN NULL ELSE record END AS other
   FROM placed)
 SELECT file, "offset", length, CASE WHEN other IS NULL THEN 'missing' ELSE 'changed' END AS status, sha256(record) AS hash, sha256(other) AS other_hash
 FROM both_sides WHERE record IS DISTINCT FROM other
