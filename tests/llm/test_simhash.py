@@ -66,9 +66,12 @@ def test_query(spark, sf_dir, texts):
     check(texts, [tuple(r) for r in queries.QUERIES["op8_simhash_near_dedup"](spark, sf_dir).collect()])
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_connect_all_that_is_near(spark, seed):
-    """Clusters of fingerprints a few bits apart, chains among them."""
+@pytest.mark.parametrize("seed,sampled", [(0, 64), (1, 64), (2, 1), (3, 1)])
+def test_links_connect_all_that_is_near(spark, seed, sampled, monkeypatch):
+    """Clusters of fingerprints a few bits apart, chains among them; no cell listed as large, or all of six or more."""
+    if sampled == 1:
+        monkeypatch.setattr(simhash, "SAMPLED", 1)
+        monkeypatch.setattr(simhash, "CELL_ROWS", 12)
     rng = random.Random(seed)
     fps = set()
     for _ in range(40):
@@ -80,11 +83,20 @@ def test_links_connect_all_that_is_near(spark, seed):
     fps = sorted(fps)
     nodes = spark.createDataFrame([(int(x),) for x in signed(np.array(fps, np.uint64))], "fp long").repartition(3)
     labels = {r.node: r.component for r in components.connected_components(simhash.fingerprint_links(nodes)).collect()}
+    assert (len(simhash.large_cells(nodes)) > 0) == (sampled == 1)
     numbers = signed(np.array(fps, np.uint64)).tolist()
     want = brute_components(list(numbers), fps)
     assert [labels.get(n, n) for n in numbers] == want
 
 
+def test_parts_of_listed_cells_go_their_own_ways():
+    key = np.array([5 << 24 | 1, 5 << 24 | 2, 5 << 24 | 1, 6 << 24 | 1, 6 << 24 | 2], np.uint64)
+    large = np.array([5], np.uint64)
+    found = simhash.routes(key, large).tolist()
+    assert found[0] == found[2] != found[1] and found[3] == found[4] == 6
+    assert simhash.routes(key, large[:0]).tolist() == [5, 5, 5, 6, 6]
+
+
 def test_bound_is_below_distance():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)

@@ -11,7 +11,9 @@ cell are compared: first by Manhattan distance, then exactly by Hamming distance
 
 Counts crowd in the middle, so cells are uneven. A cell of more than CELL_ROWS fingerprints is divided by the
 bits of the blocks chosen: as RADIUS bits touch at most RADIUS blocks, any two near fingerprints agree in the
-bits, and not only in the counts, of some choice of blocks, so dividing cells loses no link.
+bits, and not only in the counts, of some choice of blocks, so dividing cells loses no link. Such cells are looked for
+on a sample of the fingerprints first, and their parts are dealt to tasks of their own; whether a cell is on this list changes where it
+is worked on, not what is found.
 
 Equal fingerprints are one node from the start. Within a cell a breadth-first search compares each node it
 reaches only with those not yet reached and returns one link for each, so a cell of n near copies costs
@@ -40,6 +42,8 @@ XXH_SEED = 42
 CELL_ROWS, CHUNK = 8192, 1 << 16
 #: Lower bits of a key that tell the parts of a cell.
 PART_BITS = 24
+#: One fingerprint in SAMPLED is looked at for large cells, and so many of them are listed at the most, 512 KB.
+SAMPLED, LISTED = 64, 1 << 16
 
 U64 = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -188,21 +192,46 @@ def fingerprint_table(docs: DataFrame, shingle: int = SHINGLE_WORDS, keep: tuple
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), *keep).mapInArrow(made, schema)
 
 
+def large_cells(nodes: DataFrame, radius: int = RADIUS) -> np.ndarray:
+    """Cells, sorted, that hold about CELL_ROWS fingerprints or more as far as a sample tells; at most LISTED."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for key in cell_keys(integers(rows, "fp").view(U64), radius):
+                cell, n = np.unique(key >> U64(PART_BITS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cell)), pa.array(n)], ["cell", "n"])
+
+    sample = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)
+    counts = sample.mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, CELL_ROWS // SAMPLED // 2))
+    found = counts.orderBy(F.desc("n"), "cell").limit(LISTED).select("cell").collect()  # LISTED numbers
+    return np.sort(np.array([r["cell"] for r in found], np.int64).view(U64))
+
+
+def routes(key: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """What keys are dealt to tasks by: their cell, or, for the listed ones, their cell and part."""
+    cell = key >> U64(PART_BITS)
+    if not len(large):
+        return cell
+    listed = large[np.minimum(np.searchsorted(large, cell), len(large) - 1)] == cell
+    return np.where(listed, mixed(key), cell)
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b), a < b, that connect all distinct fingerprints of ``nodes(fp)`` within ``radius`` bits."""
+    large = nodes.sparkSession.sparkContext.broadcast(large_cells(nodes, radius))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             fps = integers(rows, "fp")
             for key in cell_keys(fps.view(U64), radius):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(fps)], ["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(routes(key, large.value))), pa.array(signed(key)), pa.array(fps)], ["route", "key", "fp"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, fp in whole_cells(batches):
             x, y = map(signed, cell_links(key, fp, radius))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    cells = nodes.mapInArrow(keyed, "key long, fp long").repartition(F.shiftrightunsigned("key", PART_BITS)).sortWithinPartitions("key")
+    cells = nodes.mapInArrow(keyed, "route long, key long, fp long").repartition("route").select("key", "fp").sortWithinPartitions("key")
     return cells.mapInArrow(linked, "a long, b long").distinct()
 
 
