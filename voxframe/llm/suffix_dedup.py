@@ -19,7 +19,8 @@ Grams that a share of FREQUENT of all runs have, or about TASK_ROWS of them, fou
 one task: their suffixes skip to the last pass, where only equal ones meet. Whether a gram is on this list
 changes the way, not the result, and the list has a bound of its own, MOST.
 
-Digits are pairs of independent 64-bit hashes, compared together. Each pass is a shuffle by digit and a sort
+Digits that settle suffixes are a quick hash of 64 bits and 64 bits of BLAKE2b, compared together; those of the last pass are 128 bits of
+BLAKE2b over the suffix's DEPTH bytes, for which no two inputs with equal digests can be constructed. Each pass is a shuffle by digit and a sort
 within partitions. A block of texts first sorts its own runs and sends only the first of equal ones on, so a
 string that a third of all texts hold costs a few rows for each task. The passes follow each other in one
 plan, so the texts are shuffled once.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ SPREAD = 8192
 #: Rows of one digit that a task takes into memory at a time.
 TASK_ROWS = 1 << 19
 
-_ONE, _TWO = SpanHash(21), SpanHash(22)
+_ONE = SpanHash(21)
 U64 = np.uint64
 
 #: What a row says of the suffixes that start at pos..pos+n-1 of a text: not settled, repeats, to be sorted
@@ -59,6 +61,14 @@ OPEN, REPEAT, SINGLY, DIRECT = 0, 1, 2, 3
 FREQUENT, SAMPLED, SEEN, MOST = 1 / 4096, 64, 64, 1 << 20
 
 
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of spans of bytes, as two numbers."""
+    raw, hashed = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    digests = b"".join([hashed(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
 def quarter_hashes(one: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, gram: int) -> np.ndarray:
     """Four 16-bit hashes for each run, of the bytes that its suffixes of a quarter have in common; zero beyond the text.
 
@@ -96,9 +106,8 @@ def suffix_runs(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH, gram:
     head = np.flatnonzero(runs(anchor))
     count = np.diff(np.append(head, len(start)))
     first, anchor, text = start[head], anchor[head], text[head]
-    two = _TWO.prefix(data)
     quarters = quarter_hashes(one, anchor, offsets[:-1][text], offsets[1:][text], depth, gram)
-    return grams[anchor], _TWO.spans(two, first, first + count - 1 + depth), quarters, text, first - offsets[:-1][text], count, anchor - first
+    return grams[anchor], span_digests(data, first, first + count - 1 + depth)[0], quarters, text, first - offsets[:-1][text], count, anchor - first
 
 
 def settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +184,14 @@ def _listed(one: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, one), len(frequent) - 1)] == one
 
 
-def _first_pass(depth: int, gram: int, frequent: np.ndarray):
+def _first_pass(depth: int, gram: int, frequent: np.ndarray | Broadcast):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = frequent.value if isinstance(frequent, Broadcast) else frequent
         for rows, data, offsets in blocks(batches):
             one, two, quarters, text, pos, n, before = suffix_runs(data, offsets, depth, gram)
             doc, tag = integers(rows, "doc")[text], integers(rows, "tag")[text]
             state = _block_state(one, two, doc, tag, pos)
-            state[(state == OPEN) & _listed(one, frequent)] = DIRECT
+            state[(state == OPEN) & _listed(one, grams)] = DIRECT
             # Rows leave in the order of the texts, which compresses best. Settled ones are spread evenly.
             settled = state != OPEN
             one = np.where(settled, scattered(doc, pos, SPREAD), one)
@@ -287,9 +297,13 @@ def _refine(depth: int, step: int):
             near = np.maximum(step * j, (before - n + 1)[of])
             far = np.minimum(step * (j + 1) - 1, before[of])
             text, start = text[of], pos[of] + before[of] - far
-            common = offsets[:-1][text] + pos[of] + before[of] - step * j
-            one = _ONE.spans(_ONE.prefix(data), common, common + depth - step + 1)
-            two = _TWO.spans(_TWO.prefix(data), offsets[:-1][text] + start, offsets[:-1][text] + start + far - near + depth)
+            whole = offsets[:-1][text] + start
+            other, two = span_digests(data, whole, whole + far - near + depth)
+            if step > 1:
+                common = offsets[:-1][text] + pos[of] + before[of] - step * j
+                one = _ONE.spans(_ONE.prefix(data), common, common + depth - step + 1)
+            else:
+                one = other  # all suffixes of a row, that is its one, have these bytes in common
             state = _block_state(one, two, doc[text], tag[text], start)
             one = np.where(state == REPEAT, scattered(doc[text], start, SPREAD), one)
             two[state == REPEAT] = 0
@@ -333,6 +347,7 @@ def _with_places(texts: DataFrame, marks: DataFrame, how: str = "inner") -> Data
 def repeat_marks(texts: DataFrame, depth: int, gram: int, frequent: np.ndarray) -> DataFrame:
     """(doc, tag, place): suffixes that repeat, through ``depth``, one that starts earlier; see :func:`unpack_repeats`."""
     plain = texts.select("doc", "tag", "text")
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent)
     marks = _sorted(plain.mapInArrow(_first_pass(depth, gram, frequent), _RUNS)).mapInArrow(_second_pass(depth, gram), _MARKS)
     marks = _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, STEP), _ROWS)).mapInArrow(_third_pass, _MARKS)
     return _sorted(_with_places(plain, marks).mapInArrow(_refine(depth, 1), _ROWS)).mapInArrow(_last_pass, _MARKS)
