@@ -527,3 +527,14 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     arrive("c.nii", 10**18 + 1)
     arrive("bb.nii", 10**18 + 1)
     assert run() == {"a.nii": 7, "b.nii": 7, "bb.nii": 7, "c.nii": 7}
+
+
+def test_header_json_is_read_back(spark, folder):
+    headers = nifti.read_volumes(spark, str(folder), "header", pathGlobFilter="*")
+    back = {r.path: r for r in nifti_header.parsed_json(nifti_header.header_json(headers)).collect()}
+    for r in headers.collect():
+        got = back[r.path]
+        assert (got.error is None) == (r.error is None)
+        assert r.error or all(got[c] == r[c] for c in nifti_header.FIELDS)
+    odd = spark.createDataFrame([("p", "no json"), ("q", None)], "path string, json string")
+    assert all(r.error for r in nifti_header.parsed_json(odd).collect())

@@ -173,3 +173,41 @@ def test_compared_rows_are_small(spark):
         i = np.floor(b + 0.5).astype(int)
         inside = ((i >= 0) & (i < n)).all()
         assert near or other == (data[i[0] + n * (i[1] + n * i[2])] if inside else None)
+
+
+@pytest.mark.parametrize("mode", slabwise.RANGE_MODES)
+def test_ranges_of_each_mode(slabs, mode):
+    got = {r.vol_id: (r.lo, r.hi) for r in slabwise.value_range(slabs, False, mode, 20).collect()}
+    for k, c in cubes().items():
+        d, h, w = c.shape
+        some = {
+            "all": c, "strided": c.ravel()[:: max(1, c.size // 20)], "axial": c[d // 2],
+            "middle": np.concatenate([c[d // 2].ravel(), c[:, h // 2].ravel(), c[:, :, w // 2].ravel()]),
+        }[mode]
+        v = numbers(some)
+        assert got[k] == ((v[0], v[-1]) if len(v) else (None, None))
+    with pytest.raises(ValueError):
+        slabwise.value_range(slabs, mode="other")
+
+
+@pytest.mark.parametrize("together", [1, 1 << 16])
+def test_probe_of_slabs(spark, slabs, together, monkeypatch):
+    """Points inside and outside, one of them many times."""
+    monkeypatch.setattr(slabwise, "PROBED_ROWS", together)
+    points = [(1, 0, x, y, z) for x in range(-1, 5) for y in range(9) for z in (-1, 0, 5, 11)] + [(0, 0, 2, 1, 1)] * 40 + [(9, 0, 0, 0, 0), (0, 1, 0, 0, 0)]
+    rows = slabwise.probe(slabs, spark.createDataFrame(points, "vol_id int, t int, x int, y int, z int")).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(points)
+    for r in rows:
+        c = cubes().get(r.vol_id)
+        inside = c is not None and r.t == 0 and 0 <= r.x < c.shape[2] and 0 <= r.y < c.shape[1] and 0 <= r.z < c.shape[0]
+        want = float(c[r.z, r.y, r.x]) if inside else None
+        assert r.v == want or math.isnan(r.v) and math.isnan(want)
+
+
+def test_a_load_is_counted_on_its_way(slabs):
+    from voxframe.operators import views
+
+    for some in (slabs, slabs.where("vol_id = 99")):
+        seen, counts = views.observed(some, "counted")
+        n = len(seen.collect())
+        assert counts.get["slabs"] == n and counts.get["voxels"] == (sum(c.size for c in cubes().values()) if n else 0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import ship_package
-from .aggregate import CONTRAST_SAMPLES, MIP_SAMPLES
+from .aggregate import CONTRAST_SAMPLES, MIP_SAMPLES, RANGE_SAMPLES
 from .bounded import broadcast_within, kept
 from .compare import affine_images
 from .voxels import AXES, DATA
@@ -53,8 +53,25 @@ def _mapped(slabs: DataFrame, schema: str, function: Callable[[Iterator[pa.Recor
     return slabs.mapInArrow(function, f"vol_id {kind}, {schema}")
 
 
-def _statistics(samples: int):
-    """Of each slab the range of its numbers and every step-th voxel of the volume that lies in it."""
+#: Which voxels a range is of: all; every step-th, so that ``samples`` of a large volume count; those of the three middle slices; of the middle axial one.
+RANGE_MODES = ("all", "strided", "middle", "axial")
+
+
+def _ranged(v: np.ndarray, mode: str, samples: int, z: int, nx: int, ny: int, nz: int) -> np.ndarray:
+    """The voxels of a slab that count."""
+    if mode == "strided":
+        step = max(1, nx * ny * nz // samples)
+        return v[(-z * nx * ny) % step :: step]
+    if mode == "all" or z == nz // 2:
+        return v
+    if mode == "axial":
+        return v[:0]
+    picture = v.reshape(ny, nx)
+    return np.concatenate([picture[ny // 2], picture[:, nx // 2]])
+
+
+def _statistics(samples: int, mode: str = "all", ranged: int = RANGE_SAMPLES):
+    """Of each slab the range of its numbers that count, and every step-th voxel of the volume that lies in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -66,6 +83,7 @@ def _statistics(samples: int):
                 step = max(1, size * nz[r] // samples)
                 part = v[(-z[r] * size) % step :: step]
                 seen.append(part[~np.isnan(part)].astype(np.float64))
+                v = _ranged(v, mode, ranged, z[r], nx[r], ny[r], nz[r])
                 v = v[~np.isnan(v)]
                 low.append(float(v.min()) if len(v) else None)
                 high.append(float(v.max()) if len(v) else None)
@@ -76,9 +94,14 @@ def _statistics(samples: int):
     return run
 
 
-def value_range(slabs: DataFrame, widen: bool = True) -> DataFrame:
-    """(vol_id, t, lo, hi) of all voxels that are numbers; with ``widen`` a range of one value ends one above it."""
-    parts = _mapped(slabs.select(*SLAB), "t int, lo double, hi double, s array<double>", _statistics(1))
+def value_range(slabs: DataFrame, widen: bool = True, mode: str = "all", samples: int = RANGE_SAMPLES) -> DataFrame:
+    """(vol_id, t, lo, hi) of the voxels that count by ``mode``, one of RANGE_MODES, and are numbers; with ``widen`` a range of one value ends one above it.
+
+    Viewers take different ones of these for the same volume: strided after loading, the middle slices for a preview, the axial one, not widened, for a first look.
+    """
+    if mode not in RANGE_MODES:
+        raise ValueError(f"mode is one of {', '.join(RANGE_MODES)}")
+    parts = _mapped(slabs.select(*SLAB), "t int, lo double, hi double, s array<double>", _statistics(1, mode, samples))
     high = F.when(F.min("lo") == F.max("hi"), F.min("lo") + 1).otherwise(F.max("hi")) if widen else F.max("hi")
     return parts.groupBy(*KEYS).agg(F.min("lo").alias("lo"), high.alias("hi"))
 
@@ -181,6 +204,25 @@ def slice_voxels(slabs: DataFrame, axis: str, index: int) -> DataFrame:
     return slabs.where(inside).select("vol_id", "t", F.lit(axis).alias("axis"), F.lit(index).alias("idx"), F.col("z").alias("w"), F.posexplode(part).alias("u", "v")).select("vol_id", "t", "axis", "idx", "u", "w", "v")
 
 
+#: Points that are looked up together in one slab, about.
+PROBED_ROWS = 1 << 16
+
+
+def probe(slabs: DataFrame, points: DataFrame) -> DataFrame:
+    """(vol_id, t, x, y, z, v) at points(vol_id, t, x, y, z); v is null outside the volume. A row for each row of points.
+
+    Points of one slab are put together first, so a slab goes with some thousand of them and not with each; many points of one slab are several groups.
+    """
+    spread = F.pmod(F.xxhash64("x", "y"), F.lit(max(1, points.count() // PROBED_ROWS)))
+    groups = points.groupBy(*KEYS, "z", spread.alias("_s")).agg(F.collect_list(F.struct("x", "y")).alias("_p"))
+    x, y = (lambda p, c=c: p[c] for c in "xy")
+    inside = lambda p: x(p).between(0, F.col("nx") - 1) & y(p).between(0, F.col("ny") - 1)
+    value = lambda p: F.when(inside(p), F.try_element_at(F.col(DATA), F.greatest(F.lit(1), y(p) * F.col("nx") + x(p) + 1).cast("int")))
+    found = groups.join(slabs.select(*KEYS, "z", "nx", "ny", DATA), [*KEYS, "z"], "left")
+    flat = found.select(*KEYS, "z", F.inline(F.transform("_p", lambda p: F.struct(x(p).alias("x"), y(p).alias("y"), value(p).alias("v")))))
+    return flat.select(*KEYS, "x", "y", "z", "v")
+
+
 def block_sums(sums: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the blocks of 2 x 2, those at the far borders of what is there."""
     out = []

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import intensity
@@ -52,6 +52,17 @@ def slice_bytes(slices: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "vol_id long, axis string, idx int, payload binary")
 
 
+def observed(slabs: DataFrame, name: str = "load") -> tuple[DataFrame, Observation]:
+    """The slabs as they are, and what is counted while they are read by whatever follows: slabs, voxels, bytes of values, and least and greatest z.
+
+    ``observation.get`` has the counts once an action has run; there is no pass for them alone.
+    """
+    seen = Observation(name)
+    size = F.size("data").cast("long")
+    counts = [F.count("*").alias("slabs"), F.coalesce(F.sum(size), F.lit(0)).alias("voxels"), F.coalesce(F.sum(size * 4), F.lit(0)).alias("bytes"), F.min("z").alias("first_z"), F.max("z").alias("last_z")]
+    return slabs.observe(seen, *counts), seen
+
+
 def metrics(log: DataFrame, key: str) -> DataFrame:
     """Counters and load times of log(key, kind, ms, resident), by key: loads, their mean time, failures, evictions, residents.
 

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import slabwise
+from ..operators import slabwise, views
 from ..session import new_path, ship_package
 from ..sources import gzip_index, nifti, nifti_header, nifti_udtf
+from . import stream_queries
 
 NX, NY = 9, 7
 PERCENTS = (0.0, 0.01, 0.5, 0.9, 1.0)
@@ -170,6 +171,48 @@ def gzip_stretches(spark, sf_dir):
     return slabs.select(_label().alias("vol_id"), "z", F.size("data").cast("long").alias("n"), F.array_min("data").alias("v"))
 
 
+_COUNTED = {"all": "true", "strided": "(x + {nx} * (y + {ny} * z)) % greatest(1, {n} * nz // 50000) = 0", "middle": "z = nz // 2 OR y = {my} OR x = {mx}", "axial": "z = nz // 2"}
+
+
+@query(
+    "q74_range_modes",
+    f"WITH {VOX}, n AS (SELECT *, max(z) OVER (PARTITION BY vol_id) + 1 AS nz FROM vox) "
+    + " UNION ALL ".join(f"SELECT vol_id, '{m}' AS mode, CAST(min(v) AS DOUBLE) AS lo, CAST(max(v) AS DOUBLE) AS hi FROM n WHERE {w.format(nx=NX, ny=NY, n=NX * NY, my=NY // 2, mx=NX // 2)} GROUP BY vol_id" for m, w in _COUNTED.items()),
+)
+def range_modes(spark, sf_dir):
+    """The value range of each volume by each of the rules that viewers have for it."""
+    slabs = _slabs(spark, sf_dir)
+    parts = [slabwise.value_range(slabs, False, m).select("vol_id", F.lit(m).alias("mode"), "lo", "hi") for m in slabwise.RANGE_MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(
+    "q75_slab_probe",
+    f"WITH {VOX}, p AS (SELECT vec_id, label AS vol_id, CAST(vec_id % 11 - 1 AS INTEGER) AS x, CAST(vec_id % 8 AS INTEGER) AS y, CAST(vec_id % 13 AS INTEGER) AS z FROM embeddings WHERE label IS NOT NULL) SELECT vol_id, p.x, p.y, p.z, vox.v FROM p LEFT JOIN vox USING (vol_id, x, y, z)",
+)
+def slab_probe(spark, sf_dir):
+    """Single voxels at many points, some outside."""
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label IS NOT NULL")
+    at = [F.expr(f"cast({e} as int)").alias(a) for a, e in (("x", "vec_id % 11 - 1"), ("y", "vec_id % 8"), ("z", "vec_id % 13"))]
+    return slabwise.probe(_slabs(spark, sf_dir), points.select(F.col("label").alias("vol_id"), F.lit(0).alias("t"), *at)).drop("t")
+
+
+@query("q76_observed_load", f"WITH {VOX} SELECT count(DISTINCT (vol_id, z)) AS slabs, count(*) AS voxels, 4 * count(*) AS bytes, min(z) AS first_z, max(z) AS last_z FROM vox")
+def observed_load(spark, sf_dir):
+    """What a load of all volumes reads, counted while another result is made of it."""
+    slabs, seen = views.observed(_slabs(spark, sf_dir))
+    slabwise.value_range(slabs).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "slabs long, voxels long, bytes long, first_z int, last_z int")
+
+
+@query("q77_stream_of_volumes", f"WITH {VOX} SELECT vol_id, z, count(*) AS n, max(v) AS v FROM vox GROUP BY ALL")
+def stream_of_volumes(spark, sf_dir):
+    """The files read as a stream, until it has taken each of them once."""
+    stream = spark.readStream.format("nifti").option("view", "slabs").load(files(spark, sf_dir))
+    rows = stream_queries.finished(stream.select("path", "z", F.size("data").cast("long").alias("n"), F.array_max("data").alias("v")))
+    return rows.select(_label().alias("vol_id"), "z", "n", "v")
+
+
 #: What becomes of a vector's file, by vec_id modulo 8; the others are whole.
 DAMAGE = {1: "cut", 3: "no magic", 4: "colours", 5: "empty", 6: "another kind"}
 
