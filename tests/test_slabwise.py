@@ -119,6 +119,18 @@ def test_projection_equals_that_of_voxels(slabs, volumes, turn, samples, monkeyp
     assert got == sorted(tuple(r) for r in aggregate.mip(voxels.voxels(volumes), headers, *turn).collect()) and got
 
 
+@pytest.mark.parametrize("turn", [(0.0, 0.0), (0.5, 0.25)])
+def test_projections_of_volumes_at_rest(volumes, turn):
+    """Without a join, filled or not, as by joins; a volume without numbers has null pixels."""
+    v = volumes.withColumns({"dx": F.lit(1.0), "dy": 1.0 + F.col("vol_id"), "dz": F.lit(0.5)})
+    plain = aggregate.mip(voxels.voxels(v), v, *turn)
+    assert sorted(map(tuple, aggregate.volume_mip(v, *turn).collect())) == sorted(map(tuple, plain.collect()))
+    filled = {tuple(r)[:3]: r.v for r in aggregate.volume_mip(v, *turn, filled=True).collect()}
+    want = {tuple(r)[:3]: r.v for r in aggregate.mip_filled(plain, v, aggregate.value_range(voxels.voxels(v))).collect()}
+    assert {k: x for k, x in filled.items() if k[0] != 4} == want and all(x is None for k, x in filled.items() if k[0] == 4)
+    assert len(filled) == sum(c.shape[1] * c.shape[2] for c in cubes().values())
+
+
 def headers(spark, sizes, srow, sform=1):
     plain = {"dx": 1.0, "dy": 2.0, "dz": 0.5, "quatern_b": 0.0, "quatern_c": 0.0, "quatern_d": 0.0, "qoffset_x": 0.0, "qoffset_y": 0.0, "qoffset_z": 0.0, "sform_code": sform, "qform_code": 0}
     rows = [{"vol_id": k, "nx": s[0], "ny": s[1], "nz": s[2], **plain, **{f"srow_{a}": [float(v) for v in r] for a, r in zip("xyz", srow)}} for k, s in sizes.items()]

@@ -116,6 +116,32 @@ def mip(vox: DataFrame, headers: DataFrame, rot_x: float = 0.0, rot_y: float = 0
     return brightest(seen, "vol_id").drop("n")
 
 
+def _projected(volumes: DataFrame, rot_x: float, rot_y: float) -> DataFrame:
+    """(vol_id, px, py, v) of every voxel that counts of volumes(vol_id, nx, ny, nz, dx, dy, dz, data); sizes go along with the voxels, without a join."""
+    sizes = ("nx", "ny", "nz", "dx", "dy", "dz")
+    flat = volumes.select("vol_id", *sizes, F.posexplode(DATA).alias("i", "v"))
+    placed = flat.withColumns({"x": F.expr("cast(i % nx as int)"), "y": F.expr("cast(i div nx % ny as int)"), "z": F.expr("cast(i div (nx * ny) as int)")})
+    step = F.greatest(F.lit(1), F.floor(F.least("nx", "ny", "nz") / float(MIP_SAMPLES)))
+    px, py = mip_pixel(rot_x, rot_y, *(F.col(c) for c in sizes))
+    kept = placed.where((F.col("x") % step == 0) & (F.col("y") % step == 0) & (F.col("z") % step == 0)).withColumns({"px": px, "py": py})
+    return kept.where(F.col("px").between(0, F.col("nx") - 1) & F.col("py").between(0, F.col("ny") - 1)).select("vol_id", "px", "py", "v")
+
+
+def volume_mip(volumes: DataFrame, rot_x: float = 0.0, rot_y: float = 0.0, filled: bool = False) -> DataFrame:
+    """As :func:`mip`, of volumes at rest that carry their spacing; ``filled``: every pixel, with the volume's least value where nothing falls.
+
+    That value is no greater than any other, so the whole grid of it goes into the same grouped maximum: one shuffle, no join.
+    """
+    seen = _projected(volumes, rot_x, rot_y)
+    if not filled:
+        return brightest(seen, "vol_id").drop("n")
+    low = array_range(F.col(DATA), widen=False)[0]
+    grid = volumes.select("vol_id", "nx", low.alias("v"), F.explode(F.sequence(F.lit(0), (F.col("nx") * F.col("ny") - 1).cast("int"))).alias("p"))
+    grid = grid.select("vol_id", F.expr("cast(p % nx as int)").alias("px"), F.expr("cast(p div nx as int)").alias("py"), "v")
+    every = seen.withColumn("v", F.col("v").cast("double")).where(~F.isnan("v")).unionByName(grid)
+    return every.groupBy("vol_id", "px", "py").agg(F.max("v").alias("v"))
+
+
 def mip_filled(projected: DataFrame, headers: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every pixel of the projection; those that nothing falls on have the volume's least value."""
     grid = headers.select("vol_id", "nx", F.explode(F.sequence(F.lit(0), (F.col("nx") * F.col("ny") - 1).cast("int"))).alias("p"))

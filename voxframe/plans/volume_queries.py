@@ -200,8 +200,7 @@ _MIP = f"""{VOX}, m AS (SELECT vol_id, CAST(floor({NX // 2} + (x - {NX // 2}) *
 
 @query("q15_mip", f"WITH {_MIP} SELECT * FROM pr")
 def mip(spark, sf_dir):
-    v = volumes(spark, sf_dir)
-    return aggregate.mip(voxels.voxels(v), v.withColumns({c: F.lit(1.0) for c in ("dx", "dy", "dz")}), *_ROT)
+    return aggregate.volume_mip(volumes(spark, sf_dir).withColumns({c: F.lit(1.0) for c in ("dx", "dy", "dz")}), *_ROT)
 
 
 @query(
@@ -210,8 +209,7 @@ def mip(spark, sf_dir):
     SELECT vol_id, px, py, coalesce(CAST(pr.v AS DOUBLE), lo) AS v FROM g LEFT JOIN pr USING (vol_id, px, py) JOIN r USING (vol_id)""",
 )
 def mip_background(spark, sf_dir):
-    v = volumes(spark, sf_dir)
-    return aggregate.mip_filled(mip(spark, sf_dir), v, aggregate.value_range(voxels.voxels(v)))
+    return aggregate.volume_mip(volumes(spark, sf_dir).withColumns({c: F.lit(1.0) for c in ("dx", "dy", "dz")}), *_ROT, filled=True)
 
 
 _TURN = """CASE WHEN sform_code <> 0 THEN {r}0 * x + {r}1 * y + {r}2 * z + {r}3 WHEN qform_code <> 0 THEN d{r} * ({m0} * x + {m1} * y + {m2} * z) + qoffset_{r} ELSE d{r} * {r} END"""
