@@ -194,3 +194,18 @@ def test_equal_times_have_one_order(spark):
             )
             assert found.setdefault(seq, got) == got
     assert found["n"][1] == [2, 5, 8, 11, 14, 17, 20, 23]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_iso_text_in_any_time_zone(spark, zone):
+    from voxframe.functions import times
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ '2024-07-01 05:06:07.89', TIMESTAMP '2024-07-01 05:06:07.8919Z'), (TIMESTAMP_NTZ '0999-12-31 00:00:00', TIMESTAMP '1969-12-31 23:59:59.9999Z'), (NULL, NULL) AS t(a, b)")
+        got = [tuple(r) for r in rows.select(times.iso_text(F.col("a")), times.iso_text(F.col("b"))).collect()]
+        assert got == [("2024-07-01T05:06:07.890Z", "2024-07-01T05:06:07.891Z"), ("0999-12-31T00:00:00.000Z", "1969-12-31T23:59:59.999Z"), (None, None)]
+        texts = spark.createDataFrame([("2024-07-01T05:06:07.891Z",), ("2024-07-01",), ("x",), (None,)], "s string")
+        assert [r[0] for r in texts.select(F.unix_millis(times.from_iso(F.col("s")))).collect()] == [1719810367891, None, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

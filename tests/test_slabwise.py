@@ -97,6 +97,27 @@ def test_slices_equal_those_of_volumes_at_rest(slabs, volumes, axis):
         slabwise.slice_voxels(slabs, "oblique", 1)
 
 
+def test_preview_equals_that_of_volumes_at_rest(slabs, volumes):
+    got = sorted(str(tuple(r)) for r in slabwise.preview(slabs).drop("t").collect())
+    assert got == sorted(str(tuple(r)) for r in voxels.preview(volumes).collect())
+
+
+def test_overlay_of_pictures_equals_that_of_pixels(spark):
+    rng = np.random.default_rng(5)
+    size, other = (7, 5), (3, 2)
+    rows = [(k, *size, rng.random(35).tolist(), rng.random(35).tolist()) for k in range(3)]
+    others = [(k, *other, rng.random(6).tolist(), rng.random(6).tolist()) for k in (0, 2, 9)]
+    schema = "pair int, nx int, ny int, r array<double>, g array<double>"
+    first, second = spark.createDataFrame(rows, schema), spark.createDataFrame(others, schema)
+
+    def pixels(df):
+        flat = df.select("pair", "nx", F.posexplode(F.arrays_zip("r", "g")).alias("i", "p"))
+        return flat.select("pair", F.expr("cast(i % nx as int)").alias("u"), F.expr("cast(i div nx as int)").alias("w"), "p.r", "p.g")
+
+    got = sorted(map(tuple, pixels(compare.overlay_pictures(first, second, 0.3, ("r", "g"))).collect()))
+    assert got == sorted(map(tuple, compare.overlay(pixels(first), pixels(second), size, other, 0.3, ("r", "g")).collect()))
+
+
 def test_pyramid_equals_block_means(slabs):
     got = {(r.vol_id, r.z, r.level): np.array(r.data, np.float32).reshape(r.ny, r.nx) for r in slabwise.pyramid(slabs, 4).collect()}
     for k, c in cubes().items():

@@ -102,6 +102,25 @@ def overlay(first: DataFrame, second: DataFrame, size: tuple[int, int], other_si
     return left.join(right, ["pair", "ku", "kw"], "left").select("pair", "u", "w", *mixed)
 
 
+def overlay_pictures(first: DataFrame, second: DataFrame, opacity: float, channels: tuple[str, ...] = ("data",)) -> DataFrame:
+    """(pair, nx, ny, channels...): as :func:`overlay`, of pictures (pair, nx, ny, channels...) whose pixels are arrays, row by row.
+
+    Pictures meet by ``pair``, one row each, and pixels are looked up in place; a picture without a second one stays as it is.
+    """
+    other = second.select("pair", F.col("nx").alias("b_nx"), F.col("ny").alias("b_ny"), *[F.col(c).alias(f"b_{c}") for c in channels])
+    both = first.join(other, "pair", "left")
+
+    def mixed(name: str) -> Column:
+        def pixel(v: Column, i: Column) -> Column:
+            u, w = F.floor((i % F.col("nx") + 0.5) * F.col("b_nx") / F.col("nx")), F.floor((F.floor(i / F.col("nx")) + 0.5) * F.col("b_ny") / F.col("ny"))
+            under = F.element_at(F.col(f"b_{name}"), (w * F.col("b_nx") + u + 1).cast("int")).cast("double")
+            return F.when(F.col("b_nx").isNull() | under.isNull(), v.cast("double")).otherwise(blend(v.cast("double"), under, opacity))
+
+        return F.transform(name, pixel).alias(name)
+
+    return both.select("pair", "nx", "ny", *[mixed(c) for c in channels])
+
+
 def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both pictures, told apart by ``side``."""
     return first.withColumn("side", F.lit("left")).unionByName(second.withColumn("side", F.lit("right")))

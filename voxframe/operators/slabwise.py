@@ -204,6 +204,22 @@ def slice_voxels(slabs: DataFrame, axis: str, index: int) -> DataFrame:
     return slabs.where(inside).select("vol_id", "t", F.lit(axis).alias("axis"), F.lit(index).alias("idx"), F.col("z").alias("w"), F.posexplode(part).alias("u", "v")).select("vol_id", "t", "axis", "idx", "u", "w", "v")
 
 
+def preview(slabs: DataFrame) -> DataFrame:
+    """(vol_id, t, axis, idx, u, w, v): the middle slice along each axis, in one pass: each slab gives its row and column of two, and the middle one itself."""
+    nx, ny, data = F.col("nx"), F.col("ny"), F.col(DATA)
+    column = F.transform(F.sequence(F.lit(0), ny - 1), lambda y: F.element_at(data, (y * nx + F.expr("nx div 2") + 1).cast("int")))
+    cuts = [
+        ("axial", F.expr("nz div 2"), F.when(F.expr("z = nz div 2"), data)),
+        ("coronal", F.expr("ny div 2"), F.slice(data, (F.expr("ny div 2") * nx + 1).cast("int"), nx.cast("int"))),
+        ("sagittal", F.expr("nx div 2"), column),
+    ]
+    parts = F.array(*[F.struct(F.lit(a).alias("axis"), k.cast("int").alias("idx"), part.alias("part")) for a, k, part in cuts])
+    flat = slabs.select("vol_id", "t", "z", "nx", F.inline(parts)).select("vol_id", "t", "z", "nx", "axis", "idx", F.posexplode("part").alias("i", "v"))
+    axial = F.col("axis") == "axial"
+    u, w = F.when(axial, F.col("i") % F.col("nx")).otherwise(F.col("i")), F.when(axial, F.expr("cast(i div nx as int)")).otherwise(F.col("z"))
+    return flat.select("vol_id", "t", "axis", "idx", u.cast("int").alias("u"), w.cast("int").alias("w"), "v")
+
+
 #: Points that are looked up together in one slab, about.
 PROBED_ROWS = 1 << 16
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry, numeric, requests
+from ..functions import geometry, numeric, requests, times
 from ..operators import accesslog, aggregate, views
 from ..sources import nifti_header
 
@@ -285,3 +285,10 @@ def metrics(spark, sf_dir):
     kinds = F.create_map(*[F.lit(x) for pair in (("view", "preview"), ("click", "full"), ("error", "failure"), ("signup", "eviction"), ("purchase", "other")) for x in pair])
     log = events(spark, sf_dir).select("user_id", kinds[F.col("event_type")].alias("kind"), (F.col("event_id") % 900).cast("double").alias("ms"), (F.col("value") > 100).alias("resident"))
     return views.metrics(log, "user_id").withColumns({c: F.round(c, 6) for c in ("preview_ms", "full_ms")})
+
+
+@query("q80_iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS text, CAST(epoch_us(ts) // 1000 AS BIGINT) AS back_ms FROM events")
+def iso_times(spark, sf_dir):
+    """Times as ISO text, and read back from it."""
+    texts = events(spark, sf_dir).select("event_id", times.iso_text(F.col("ts")).alias("text"))
+    return texts.select("event_id", "text", F.unix_millis(times.from_iso(F.col("text"))).alias("back_ms"))

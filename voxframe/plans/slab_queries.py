@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import slabwise, views
+from ..operators import compare, slabwise, views
 from ..session import new_path, ship_package
 from ..sources import gzip_index, nifti, nifti_header, nifti_udtf
 from . import stream_queries
@@ -213,6 +213,30 @@ def stream_of_volumes(spark, sf_dir):
     return rows.select(_label().alias("vol_id"), "z", "n", "v")
 
 
+@query(
+    "q78_overlay_pictures",
+    f"""WITH {VOX}, b AS (SELECT vol_id + 1 AS vol_id, x // 2 AS bx, y // 2 AS by, CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS v FROM vox WHERE z = 2 AND x // 2 < {NX // 2} AND y // 2 < {NY // 2} GROUP BY ALL)
+    SELECT a.vol_id, a.x, a.y, round(CASE WHEN b.v IS NULL THEN CAST(a.v AS DOUBLE) ELSE CAST(a.v AS DOUBLE) * (1 - 0.4::DOUBLE) + CAST(b.v AS DOUBLE) * 0.4::DOUBLE END, 9) AS v
+    FROM (SELECT * FROM vox WHERE z = 2) a LEFT JOIN b ON b.vol_id = a.vol_id AND b.bx = CAST(floor((a.x + 0.5::DOUBLE) * {NX // 2} / {NX}) AS INTEGER) AND b.by = CAST(floor((a.y + 0.5::DOUBLE) * {NY // 2} / {NY}) AS INTEGER)""",
+)
+def overlay_pictures(spark, sf_dir):
+    """A slice of each volume under the one before it at half the resolution, as arrays."""
+    slices = _slabs(spark, sf_dir).where("z = 2")
+    half = slabwise.pyramid(slices, 1).where("level = 1")
+    mixed = compare.overlay_pictures(slices.withColumnRenamed("vol_id", "pair"), half.withColumn("pair", F.col("vol_id") + 1), 0.4)
+    flat = mixed.select(F.col("pair").alias("vol_id"), "nx", F.posexplode("data").alias("i", "v"))
+    return flat.select("vol_id", F.expr("cast(i % nx as int)").alias("x"), F.expr("cast(i div nx as int)").alias("y"), F.round("v", 9).alias("v"))
+
+
+_MIDDLE = f"SELECT vol_id, 'axial' AS axis, nz // 2 AS idx, x AS u, y AS w, v FROM n WHERE z = nz // 2 UNION ALL SELECT vol_id, 'coronal', {NY // 2}, x, z, v FROM n WHERE y = {NY // 2} UNION ALL SELECT vol_id, 'sagittal', {NX // 2}, y, z, v FROM n WHERE x = {NX // 2}"
+
+
+@query("q79_slab_preview", f"WITH {VOX}, n AS (SELECT *, max(z) OVER (PARTITION BY vol_id) + 1 AS nz FROM vox) {_MIDDLE}")
+def slab_preview(spark, sf_dir):
+    """The three middle slices of each volume in one pass over its slabs."""
+    return slabwise.preview(_slabs(spark, sf_dir)).drop("t")
+
+
 #: What becomes of a vector's file, by vec_id modulo 8; the others are whole.
 DAMAGE = {1: "cut", 3: "no magic", 4: "colours", 5: "empty", 6: "another kind"}
 
