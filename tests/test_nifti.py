@@ -538,3 +538,20 @@ def test_header_json_is_read_back(spark, folder):
         assert r.error or all(got[c] == r[c] for c in nifti_header.FIELDS)
     odd = spark.createDataFrame([("p", "no json"), ("q", None)], "path string, json string")
     assert all(r.error for r in nifti_header.parsed_json(odd).collect())
+
+
+def test_decoded_volumes_are_kept_as_a_table(spark, folder, tmp_path):
+    from voxframe.sources import decoded
+
+    place = str(tmp_path / "decoded")
+    catalog = nifti.catalog(spark, str(folder))
+    table = decoded.keep(nifti.read_listed(catalog.where("nt = 1")), place)
+    left = decoded.missing(catalog, table)
+    assert [r.path.rpartition("/")[2] for r in left.collect()] == ["c.nii"]
+    table = decoded.keep(nifti.read_listed(left), place, "append")
+    assert sorted(map(str, table.collect())) == sorted(map(str, nifti.read_volumes(spark, str(folder)).collect()))
+    one = table.where("z = 3 AND t = 1")
+    assert one.count() == 1 and "EqualTo(z,3)" in one._jdf.queryExecution().executedPlan().toString()
+    assert decoded.missing(catalog, table).count() == 0 and decoded.without(table, one.first().path).count() == 14
+    with pytest.raises(Exception, match="already exists"):
+        decoded.keep(nifti.read_listed(catalog), place)

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..operators import compare, slabwise, views
 from ..session import new_path, ship_package
-from ..sources import gzip_index, nifti, nifti_header, nifti_udtf
+from ..sources import decoded, gzip_index, nifti, nifti_header, nifti_udtf
 from . import stream_queries
 
 NX, NY = 9, 7
@@ -237,6 +237,17 @@ def slab_preview(spark, sf_dir):
     return slabwise.preview(_slabs(spark, sf_dir)).drop("t")
 
 
+@query("q81_decoded_table", f"WITH {VOX} SELECT vol_id, z, sum(CAST(x + y AS BIGINT)) AS n, max(v) AS v FROM vox WHERE z IN (1, 7) GROUP BY ALL")
+def decoded_table(spark, sf_dir):
+    """Slabs of all volumes from a table of decoded ones, filled in two steps: the second adds the volumes that it lacks."""
+    folder, path = new_path(spark, "decoded"), files(spark, sf_dir)
+    listed = nifti.catalog(spark, path)
+    table = decoded.keep(nifti.read_listed(listed.where("datatype = 16")), folder)
+    table = decoded.keep(nifti.read_listed(decoded.missing(listed, table)), folder, "append")
+    flat = nifti.slab_voxels(table.where("z IN (1, 7)"))
+    return flat.groupBy(_label().alias("vol_id"), "z").agg(F.sum((F.col("x") + F.col("y")).cast("long")).alias("n"), F.max("v").alias("v"))
+
+
 #: What becomes of a vector's file, by vec_id modulo 8; the others are whole.
 DAMAGE = {1: "cut", 3: "no magic", 4: "colours", 5: "empty", 6: "another kind"}
 
