@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .runtime import checkpointed, prepare, table
 
 WIDTH, CLUSTERS, ROUNDS, SCALE = 64, 40, 5, 256
-#: Components below this keep the squared distance of two vectors of WIDTH components within 63 bits.
-LIMIT = 1 << 27
+#: The greatest squared norm of a vector; so the squared distance of any two, and of one and a centroid, stays within 63 bits.
+LIMIT = 1 << 60
 #: Vectors that are multiplied at a time.
 BATCH_ROWS = 4096
-#: Vectors after which a task returns its sums; so many components below LIMIT add up to less than 2**63.
+#: Vectors after which a task returns its sums; so many components of up to 2**30 add up to less than 2**63.
 SUM_ROWS = 1 << 20
 
 _EPS32, _EPS64 = 2.0**-24, 2.0**-53
@@ -36,16 +36,18 @@ _EPS32, _EPS64 = 2.0**-24, 2.0**-53
 def whole_vectors(column: pa.Array, width: int = WIDTH, scale: float = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a list column that are kept, and their components as whole numbers, floor(scale * x).
 
-    Kept are lists of exactly ``width`` numbers, none null or non-finite, whose scaled components are below LIMIT.
+    Kept are lists of exactly ``width`` numbers, none null or non-finite, whose squared norm, scaled, is LIMIT at the most.
     """
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     rows = np.flatnonzero(sizes == width)
     values = column.take(pa.array(rows)).flatten()
     x = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), width)  # nulls become NaN
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
         x = np.floor(x * scale)
-    good = (np.abs(x) < LIMIT).all(axis=1)  # false for NaN
-    return rows[good], x[good].astype(np.int64)
+        near = np.einsum("ij,ij->i", x, x) <= LIMIT * 1.001  # false for NaN; what is left fits whole numbers of 64 bits
+    rows, x = rows[near], x[near].astype(np.int64)
+    good = np.einsum("ij,ij->i", x, x) <= LIMIT
+    return rows[good], x[good]
 
 
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -60,7 +62,7 @@ def error_bounds(x_norm: np.ndarray, c_norm: np.ndarray, width: int) -> np.ndarr
     With unit rounding error u both factors are rounded once, and a sum of n products in any order, fused or
     not, rounds each term n times at the most: n + 2 factors of (1 + u), so the error is at most
     g = (n+2)u / (1 - (n+2)u) times the sum of the terms' magnitudes, which is at most the product of the norms. One
-    factor more covers the rounding of the norms and of the bound itself. Whole numbers neither underflow nor, below LIMIT, overflow.
+    factor more covers the rounding of the norms and of the bound itself. Whole numbers don't underflow, and of norms within LIMIT not overflow.
     """
     m = (width + 3) * _EPS32
     return (m / (1 - m)) * np.outer(x_norm, c_norm)
@@ -161,8 +163,8 @@ def _assigned(centroids: np.ndarray, width: int, scale: float):
 def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, seed: int = 2, width: int = WIDTH, scale: float = SCALE) -> tuple[DataFrame, np.ndarray]:
     """Lloyd's rounds over vectors(vec_id, embedding): (vec_id, cluster, distance) of every kept vector, and the final centroids.
 
-    Kept are embeddings of exactly ``width`` components, none null or non-finite; each becomes floor(scale * x). A vector with a
-    component beyond LIMIT isn't kept either, as its squared distance may exceed 64 bits. All arithmetic is exact, the nearest
+    Kept are embeddings of exactly ``width`` components, none null or non-finite; each becomes floor(scale * x). A vector whose squared norm
+    then exceeds LIMIT, four million in units of x, isn't kept either, as its squared distance may exceed 64 bits. All arithmetic is exact, the nearest
     centroid of equally near ones is that of the lowest number. With fewer kept vectors than ``clusters`` there are as many
     centroids as vectors; without any there is no row. Rows that repeat, or share a vec_id, null too, each count and each
     give a row. Other columns are ignored. The table is read once for each round and twice besides.
