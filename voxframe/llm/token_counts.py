@@ -94,7 +94,8 @@ _counters: dict[str, Counter] = {}
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens and n_words (runs between spaces) of every whole text; null texts are empty, with no token.
 
-    Nothing is shuffled. Repeated rows give repeated rows; other columns of ``docs`` are ignored.
+    Of segmentations of equal score that of the rules above counts, whose piece starts first. Nothing is shuffled. Repeated rows give
+    repeated rows, an empty table none; other columns of ``docs`` are ignored.
     """
     prepare(docs.sparkSession)
 
