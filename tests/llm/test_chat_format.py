@@ -128,3 +128,34 @@ def test_turns_are_read_from_ids(codec):
     base = np.cumsum([0, *[len(g[0]) for g in got]])
     spans = np.array([(a + b, e + b) for g, b in zip(got, base) for a, e in g[1]])
     assert list(chat_format.loss_texts(codec, ids, spans)) == ["", "[ROLE]"]
+
+
+@pytest.mark.parametrize("part,held", [(1, 1), (10, 25), (10, 10_000), (1 << 16, 1 << 20)])
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_parts_and_what_is_held(monkeypatch, part, held, batch):
+    """In this process, with small bounds: conversations that are too long to be held, and a task's first and last ones, are passed on and read later."""
+    import types
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(chat_format, "PART_TOKENS", part)
+    monkeypatch.setattr(chat_format, "HELD_TOKENS", held)
+    rows = [(c, k, ("user", "assistant", "tool")[(c + k) % 3], f"turn {k} of {c} </s> " * (1 + k % 4)) for c in range(1, 9) for k in range(c * 2)]
+    kept, passed = Counter(), []
+    for task, own in enumerate((rows[:20], rows[20:45], rows[45:])):  # conversations lie in two tasks
+        monkeypatch.setattr(chat_format.TaskContext, "get", staticmethod(lambda task=task: types.SimpleNamespace(partitionId=lambda: task)))
+        table = pa.table({"conv_id": pa.array([r[0] for r in own], pa.int64()), "role": [r[2] for r in own], "text": [r[3] for r in own]})
+        parts = list(chat_format._format(BPE)(iter(table.to_batches(max_chunksize=batch))))
+        columns = [b.select(["conv_id", "part", "ids", "loss"]) for b in parts]
+        for b in chat_format._fold(BPE, False)(iter([x for c in columns for x in pa.Table.from_batches([c]).to_batches(max_chunksize=batch)])):
+            for r in b.to_pylist():
+                if r["part"] is None:
+                    kept[tuple(r.values())[:6]] += 1
+                else:
+                    passed.append(r)
+    passed.sort(key=lambda r: (r["conv_id"], r["part"]))
+    table = pa.table({"conv_id": pa.array([r["conv_id"] for r in passed], pa.int64()), "part": pa.array([r["part"] for r in passed], pa.int64()), "ids": pa.array([r["ids"] for r in passed], pa.list_(pa.int32())), "loss": pa.array([r["loss"] for r in passed], chat_format._SPANS)})
+    for b in chat_format._fold(BPE, True)(iter(table.to_batches(max_chunksize=batch))):
+        kept.update(tuple(r.values())[:6] for r in b.to_pylist())
+    assert kept == brute(rows)
+    assert part > 1 or len(passed) > 30
