@@ -398,6 +398,13 @@ def test_pairs_of_header_and_image(spark, tmp_path, zipped):
     for path in (tmp_path, tmp_path / f"v.hdr{'.gz' * zipped[0]}", tmp_path / f"v.img{'.gz' * zipped[1]}"):
         slabs = nifti.read_volumes(spark, str(path)).where("nz = 7 AND path LIKE '%v.%'").orderBy("t", "z").collect()
         assert [v for s in slabs for v in s.data] == values.tolist() and len(slabs) == 14
+    # A plain file of voxels is read in parts by its own size, whatever its header's is.
+    (pair,) = [f for f in nifti.volumes_listed(str(tmp_path), *nifti.PATTERNS) if ".hdr" in f[0]]
+    assert pair[1] == (len(raw) - 528 if not zipped[1] else len((tmp_path / f"v.hdr{'.gz' * zipped[0]}").read_bytes()))
+    assert nifti.volumes_listed(pair[0])[0] == pair
+    reader = nifti.NiftiReader(None, {"path": pair[0], "slabbytes": "400", "view": "slabs"})
+    assert (len(reader.partitions()) == 3) == (not zipped[1])
+    assert sorted((z, t) for p in reader.partitions() for b in reader.read(p) for z, t in zip(b.column("z").to_pylist(), b.column("t").to_pylist())) == [(z, t) for z in range(7) for t in range(2)]
     headers = nifti.read_volumes(spark, str(tmp_path), "header").where("error IS NULL").collect()
     assert sorted((r.paired, r.vox_offset) for r in headers) == [(False, 352), (True, 16)]
 

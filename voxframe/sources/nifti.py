@@ -103,6 +103,24 @@ def image_path(path: str) -> str | None:
     return next((p for p in (stem[:-4] + ".img", stem[:-4] + ".img.gz") if exists(p)), None)
 
 
+def volumes_listed(path: str, *patterns: str) -> list[tuple[str, int]]:
+    """As ``listed``, of volumes: a .hdr has the size of its .img, so that a large one is read in parts; one beside which there is no plain .img keeps its own."""
+    found = listed(path, *patterns, "*.img")
+    images = {p: s for p, s in found if p.endswith(".img") and p != path}
+    out = []
+    for name, size in found:
+        if name in images:
+            continue
+        stem = name.removesuffix(".gz")
+        if stem.endswith(".hdr"):
+            image = stem[:-4] + ".img"
+            if image not in images and name == path and exists(image):
+                images |= dict(listed(image))
+            size = images.get(image, size)
+        out.append((name, size))
+    return out
+
+
 def header_path(path: str) -> str:
     """The file that holds the header of what is asked for: for an .img its .hdr."""
     stem = path.removesuffix(".gz")
@@ -363,7 +381,7 @@ class BoundedReader(DataSourceReader):
         self.asked = json.loads(options["paths"]) if options.get("paths") else [options.get("path") or ""]
 
     def partitions(self) -> list[Parts]:
-        return partitioned([f for name in self.asked for f in listed(name, *self.patterns)], self.scan, self.slab_bytes)
+        return partitioned([f for name in self.asked for f in volumes_listed(name, *self.patterns)], self.scan, self.slab_bytes)
 
     def read(self, partition: Parts) -> Iterator:
         if self.scan.view == "header":
@@ -408,7 +426,8 @@ def partitioned(files: list[tuple[str, int]], scan: Scan, slab_bytes: int) -> li
     (z0, z1), (t0, t1) = scan.bounds["z"], scan.bounds["t"]
     most = max(0, z1 - z0) * max(0, t1 - t0) if scan.view != "header" else 1
     for path, size in files:
-        parts = 1 if is_gzip(path) else min(-(-size // slab_bytes), most)
+        # A gzipped header may have a plain file of voxels.
+        parts = 1 if is_gzip(path) and not path.endswith(".hdr.gz") else min(-(-size // slab_bytes), most)
         if parts > 1:
             out += [Parts([(path, part, parts)], (z0, z1), (t0, t1)) for part in range(parts)]
         elif most:
@@ -522,7 +541,7 @@ def catalog(spark: SparkSession, path: str | list[str], mode: str = "standard")
     Kept as a table it is an index: filters on shape, type or orientation choose files, and :func:`read_listed` opens no others.
     """
     register(spark)
-    sizes = [f for p in ([path] if isinstance(path, str) else path) for f in listed(p, *PATTERNS)]
+    sizes = [f for p in ([path] if isinstance(path, str) else path) for f in volumes_listed(p, *PATTERNS)]
     known = spark.createDataFrame(sizes, "path string, size long")
     return spark.read.format("nifti").option("view", "header").option("mode", mode).load(path).join(known, "path")
 
@@ -536,7 +555,7 @@ def read_listed(files: DataFrame, view: str = "slabs", mode: str = "standard", d
     scan = Scan(view, mode, damaged)
     for name, (low, high) in bounds.items():
         scan.within(name, low, high)
-    parts = F.when(F.col("path").endswith(".gz"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / slab_bytes))).cast("int")
+    parts = F.when(F.col("path").endswith(".nii.gz"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / slab_bytes))).cast("int")
     pieces = files.select("path", parts.alias("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
