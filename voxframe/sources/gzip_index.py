@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import functools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,6 +44,7 @@ class _Stream(ctypes.Structure):
     ]
 
 
+@functools.cache
 def _library() -> ctypes.CDLL:
     name = ctypes.util.find_library("z")
     if name is None:
