@@ -2,7 +2,8 @@
 
 An offset is the modification time and the path of the last file taken, and files follow each other in that order. So the
 stream's checkpoint holds one pair whatever the number of files, and a restart goes on behind it. A file that arrives with a time
-before that of one already taken isn't seen; ``lagSeconds`` leaves files alone until they are so old, so that such stragglers come first. Files
+before that of one already taken, or with the same and a lesser path, isn't seen; ``lagSeconds`` leaves files alone until they are so old, so
+that such stragglers are there before: on a store whose clock ticks in seconds, take a few. Files
 should appear under their names when whole, as the sink's do. Within a batch large files are divided among tasks as in a scan.
 """
 
