@@ -71,4 +71,4 @@ def test_packed(spark, sf_dir, stages):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{k}" for k in range(1, 11)} and len(corpus_pipeline.STAGES) == 5
+    assert names == {f"op{k}" for k in range(1, 14)} and len(corpus_pipeline.STAGES) == 5
