@@ -283,7 +283,9 @@ def projection(slabs: DataFrame, headers: DataFrame, rot_x: float = 0.0, rot_y:
     computed. A task keeps one picture of the volume at hand and gives its pixels, so pixels are shuffled and not voxels.
     """
     step = F.greatest(F.lit(1), F.floor(F.least("nx", "ny", "nz") / float(MIP_SAMPLES))).cast("int")
-    used = slabs.withColumn("step", step).where("z % step = 0").join(headers.select("vol_id", "dx", "dy", "dz"), "vol_id")
+    # A row for each volume; slabs stay where they are unless there are very many.
+    spacing = broadcast_within(kept(headers.select("vol_id", "dx", "dy", "dz")), BROADCAST_ROWS)
+    used = slabs.withColumn("step", step).where("z % step = 0").join(spacing, "vol_id")
     sin_x, cos_x, sin_y, cos_y = math.sin(rot_x), math.cos(rot_x), math.sin(rot_y), math.cos(rot_y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +361,8 @@ def _bricks_of(edge: int):
                         parts.append(picture[y : y + edge, x : x + edge].ravel())
             at = pa.array(where, pa.int64())
             data = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.float32)])))
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), *(pa.array([p[k] for p in places], pa.int32()) for k in range(4)), data], ["vol_id", "t", "bx", "by", "bz", "z", DATA])
+            sizes = [rows.column(k).take(at) for k in (0, 1, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*sizes, *(pa.array([p[k] for p in places], pa.int32()) for k in range(4)), data], ["vol_id", "t", "nx", "ny", "nz", "bx", "by", "bz", "z", DATA])
 
     return run
 
@@ -368,10 +371,11 @@ BRICK = ("bx", "by", "bz")
 
 
 def bricks(slabs: DataFrame, edge: int = EDGE) -> DataFrame:
-    """(vol_id, t, bx, by, bz, data): volumes cut into cubes of ``edge`` voxels a side, smaller ones at the far borders, x fastest."""
-    squares = _mapped(slabs.select(*SLAB), "t int, bx int, by int, bz int, z int, data array<float>", _bricks_of(edge))
+    """(vol_id, t, nx, ny, nz, bx, by, bz, data): volumes cut into cubes of ``edge`` voxels a side, smaller ones at the far borders, x fastest."""
+    squares = _mapped(slabs.select(*SLAB), "t int, nx int, ny int, nz int, bx int, by int, bz int, z int, data array<float>", _bricks_of(edge))
     data = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("z", DATA))), lambda s: s[DATA]))
-    return squares.groupBy(*KEYS, *BRICK).agg(data.alias(DATA))
+    # Sides are alike within a volume; grouped by the brick alone, bricks lie as the joins on them need.
+    return squares.groupBy(*KEYS, *BRICK).agg(*[F.max(n).alias(n) for n in ("nx", "ny", "nz")], data.alias(DATA))
 
 
 def _box(places: list[int], sides: list[int], edge: int) -> tuple[list[int], list[int]]:
@@ -465,7 +469,7 @@ def compare(slabs: DataFrame, header: DataFrame, others: DataFrame, other_header
     found = _mapped(meeting, "t int, bx int, by int, bz int, at array<int>, other array<float>", _looked_up(edge))
     found = found.groupBy(*KEYS, *BRICK).agg(F.flatten(F.collect_list(F.arrays_zip("at", "other"))).alias("found"))
     found = found.select(*KEYS, *BRICK, F.transform("found", lambda f: f["at"]).alias("at"), F.transform("found", lambda f: f["other"]).alias("other"))
-    mine = bricks(slabs, edge).join(header.select("vol_id", F.array("nx", "ny", "nz").alias("sides")), "vol_id")
+    mine = bricks(slabs, edge).withColumn("sides", F.array("nx", "ny", "nz"))
     return _mapped(mine.join(found, [*KEYS, *BRICK], "left").select(*KEYS, *BRICK, DATA, "sides", "at", "other"), "t int, x0 int, y0 int, z0 int, w int, h int, d int, data array<float>, other array<float>", _assembled(edge))
 
 
