@@ -48,7 +48,7 @@ from pyspark.sql.datasource import (
 )
 
 from ..session import ship_package
-from .nifti_header import PREFIX_BYTES, SCHEMA, NotNifti, parse_header
+from .nifti_header import PREFIX_BYTES, SCHEMA, parse_header
 from .volume_files import Inflated, Plain, Ranged, Unreadable, exists, is_gzip, listed, opened
 
 SLAB_BYTES = 32 << 20
@@ -579,6 +579,3 @@ def register(spark: SparkSession) -> None:
     """Make the format known to the session."""
     ship_package(spark)
     spark.dataSource.register(NiftiDataSource)
-
-
-__all__ = ["NotNifti", "Unreadable"]  # names that callers catch
