@@ -80,6 +80,20 @@ def test_colour_table_ends_at_its_stops(spark):
         intensity.apply_colormap(spark.range(1).withColumn("t", F.lit(0.5)), "none")
 
 
+def test_scale_bar_of_pixels_without_size(spark, tmp_path, same_rows):
+    """The query on events with the value zero, of either sign, and on other odd ones, against its SQL; such rows end no job."""
+    import duckdb
+
+    from voxframe.plans import log_queries
+
+    values = [0.0, -0.0, 0.5, -3.0, None, math.inf, 1e-320, 560.21]
+    spark.createDataFrame([(k, v) for k, v in enumerate(values)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    sql = log_queries.SQL["q37_scale_bar"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = log_queries.scale_bar(spark, str(tmp_path))
+    same_rows(got.toPandas(), duckdb.sql(sql).df())
+    assert {r.event_id: r.bar_px for r in got.where("event_id < 2").collect()} == {0: math.inf, 1: -math.inf}
+
+
 def _header(spark, **more):
     base = {"x": 1, "y": 2, "z": 3, "dx": 2.0, "dy": 3.0, "dz": 4.0, "qfac": -1.0, "sform_code": 0, "qform_code": 0, "quatern_b": 0.1, "quatern_c": 0.2, "quatern_d": 0.3, "qoffset_x": 1.0, "qoffset_y": 2.0, "qoffset_z": 3.0}
     rows = {"srow_x": [1.0, 0.5, 0.0, 2.0], "srow_y": [0.0, 2.0, 0.25, -1.0], "srow_z": [0.5, 0.0, 3.0, 4.0]}

@@ -155,12 +155,14 @@ def with_edge_labels(views: DataFrame) -> DataFrame:
 
 
 def scale_bar(pixel_w: Column, canvas: Column, zoom: Column) -> list[Column]:
-    """Millimetres of the longest bar that fits, and its pixels on screen."""
+    """Millimetres of the longest bar that fits, and its pixels on screen; infinitely many where a pixel has no size, with the sign of its zero."""
     per_pixel = pixel_w.cast("double") * zoom / canvas
     limit = F.least(F.lit(50.0), canvas * 0.35) * per_pixel
     fitting = F.array_max(F.filter(F.array(*map(F.lit, SCALE_BARS)), lambda v: v.cast("double") <= limit))
     bar = F.coalesce(fitting, F.lit(1))
-    return [bar.alias("bar_mm"), (bar / per_pixel).alias("bar_px")]
+    # A zero doesn't end the job, as the division would.
+    pixels = F.when(per_pixel == 0, F.pow(per_pixel, F.lit(-1.0))).otherwise(bar / per_pixel)
+    return [bar.alias("bar_mm"), pixels.alias("bar_px")]
 
 
 def fitted_size(pixel_w: Column, pixel_h: Column, width: Column, height: Column, zoom: Column) -> list[Column]:
