@@ -118,6 +118,23 @@ def test_lru_keeps_pinned_and_newest(spark):
     assert {r.key for r in accesslog.newest(entries, "key", "host", 2).where("kept").collect()} == {"c", "d"}
 
 
+def test_scroll_of_close_events(spark, tmp_path, same_rows):
+    """Events of a user a millisecond apart: the query counts each step once, as its SQL does; the operator counts fast ones twice."""
+    import duckdb
+
+    from voxframe.plans import log_queries
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k * 7, k % 3, t + dt.timedelta(microseconds=k * 300)) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    sql = log_queries.SQL["q49_scroll"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    same_rows(log_queries.scroll(spark, str(tmp_path)).toPandas(), duckdb.sql(sql).df())
+    # 70 units in 1 ms are fast, in 100 ms they aren't.
+    wheel = spark.createDataFrame([("k", t + dt.timedelta(milliseconds=m), 70) for m in (0, 1, 2, 102)], "key string, ts timestamp, d int")
+    moved = [accesslog.scrolled(wheel, "key", "d", fast_at=f).first().moved for f in (2.0, None)]
+    assert moved == [1 + 2 + 2 + 1, 4]
+
+
 def test_thumbnail_of_a_large_slice_keeps_its_corners(spark):
     """More voxels than pixels: some voxels have no pixel, each pixel has one voxel."""
     from voxframe.operators import views
