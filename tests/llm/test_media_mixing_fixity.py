@@ -222,6 +222,17 @@ def test_fixity_query(spark, sf_dir, duck, same_rows):
     same_rows(queries.QUERIES["op1_warc_fixity"](spark, folder).toPandas(), duck.sql(sql).df())
 
 
+def test_fixity_query_damages_every_file(spark, tmp_path):
+    """Three of every 50 pages, in all ranges of all files, and each is found."""
+    pages = spark.range(1100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256)).alias("html"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = defaultdict(int)
+    for r in queries.QUERIES["op1_warc_fixity"](spark, str(tmp_path)).collect():
+        got[r.file, r.status] += 1
+    whole = warc_fixity.FILE_PAGES // 50
+    assert got == {(f, s): n * (whole if f < 4 else 2) for f in range(5) for s, n in (("changed", 2), ("missing", 1))}
+
+
 RECORDS = "file long, record_id string, offset long, length long, hash string"
 
 
