@@ -1,5 +1,6 @@
 import datetime as dt
 import gzip
+import random
 import time
 
 import pytest
@@ -57,6 +58,35 @@ def test_unknown_kinds_and_null_times(spark, tmp_path):
     assert {(r.key, r.kind) for r in got if r.expired} == {("a", "new kind"), ("b", None)} and all(r.key != "c" for r in got)
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_entries_share_groups(spark, tmp_path, buckets):
+    """120 entries in few groups: state and calls are as many as these, and each entry is used and swept as if it were alone, batch by batch."""
+    rng, t = random.Random(3), dt.datetime(2024, 1, 1)
+    kinds, limits = ("data", "file_slice", "slice", None), {"data": 120, "file_slice": 60}
+    batches = []
+    for start in (0, 70, 140, 230, 400, 401):
+        batches.append([(rng.choice([None, *range(29)]), rng.choice(kinds), t + dt.timedelta(milliseconds=start * 1000 + rng.randrange(20_000))) for _ in range(90)])
+        _write(spark, batches[-1], "key int, kind string, ts timestamp", str(tmp_path / "in"))
+    zero, held, want, mark = int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000), {}, [], 0
+    for rows in [*batches, []]:
+        used = set()
+        for key, kind, ts in rows:
+            entry, ms = (None if key is None else str(key), kind), zero + round((ts - t).total_seconds() * 1000)
+            count, last = held.get(entry, (0, 0))
+            held[entry] = count + 1, max(last, ms)
+            used.add(entry)
+        want += [(*e, *held[e], False) for e in used]
+        gone = [e for e, (_, last) in held.items() if e not in used and last + 1000 * limits.get(e[1], 90 if e[1] else 120) < mark]
+        want += [(*e, *held.pop(e), True) for e in gone]
+        mark = max([mark, *(zero + int((ts - t).total_seconds() * 1000) - 30_000 for _, _, ts in rows)])
+    stream = spark.readStream.schema("key int, kind string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = accesslog.swept(stream, buckets=buckets).writeStream.format("memory").queryName(f"shared{buckets}").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [(r.key, r.kind, r.accesses, r.ms, r.expired) for r in spark.table(f"shared{buckets}").selectExpr("*", "unix_millis(last_ts) AS ms").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(r[4] for r in got)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= buckets
+
+
 @pytest.mark.parametrize("files", [1, 100])
 def test_entries_leave_by_the_clock_without_new_events(spark, tmp_path, files):
     """Each once, whatever the batches; kinds that aren't named wait longer, and one that comes back is a new entry."""

@@ -13,37 +13,56 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 IDLE_SECONDS = {"data": 120, "file_slice": 60, "slice": 90}
 #: Seconds between sweeps by the clock.
 SWEEP_SECONDS = 30
+#: Groups that the entries of a stream are dealt to.
+BUCKETS = 1 << 14
 
 
-def swept(accesses: DataFrame, lateness: str = "30 seconds") -> DataFrame:
+def swept(accesses: DataFrame, lateness: str = "30 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Stream of (key, kind, accesses, last_ts, expired): entries as they are used, and once more when swept.
 
-    ``accesses`` is a stream of (key, kind, ts). An entry's state is its count and last use; it times out in
+    ``accesses`` is a stream of (key, kind, ts). Of an entry its count and last use are kept; it leaves in
     event time when the watermark passes its last use by the kind's idle time; kinds that IDLE_SECONDS doesn't name have the longest of
     these. Null times are left out. There is a row for each entry and batch that uses it, so how many depends on the batches; ``idle.swept_by_clock``
     gives each entry once, by the clock.
+
+    A call into Python costs milliseconds, so entries aren't groups of their own: ``buckets`` groups, by a hash, hold them, and a bucket's
+    state is read and written when one of its entries is used or due. The number can't be changed once a stream has a checkpoint.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, kind = key
-        idle = IDLE_SECONDS.get(kind, max(IDLE_SECONDS.values())) * 1000
-        if state.hasTimedOut:
-            count, last = state.get
+    def update(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(name, kind): (count, last, due) for name, kind, count, last, due in zip(*state.get)} if state.exists else {}
+        now, used = state.getCurrentWatermarkMs(), {}
+        if not state.hasTimedOut:
+            for rows in batches:
+                times = (rows["ts"].to_numpy().astype("datetime64[us]").astype("int64") // 1000).tolist()  # whole milliseconds, exactly
+                for name, kind, ms in zip(_texts(rows["key"]), _texts(rows["kind"]), times):
+                    count, last = used.get((name, kind)) or held.get((name, kind), (0, 0))[:2]
+                    used[name, kind] = count + 1, max(last, ms)
+        for (name, kind), (count, last) in used.items():
+            idle = IDLE_SECONDS.get(kind, max(IDLE_SECONDS.values())) * 1000
+            held[name, kind] = count, last, max(last + idle, now + 1)
+        gone = {entry: held.pop(entry)[:2] for entry in [e for e, (_, _, due) in held.items() if due < now]}
+        if held:
+            state.update(tuple(map(list, zip(*(entry + values for entry, values in held.items())))))
+            state.setTimeoutTimestamp(min(due for _, _, due in held.values()))
+        else:
             state.remove()
-            yield pd.DataFrame({"key": [name], "kind": [kind], "accesses": [count], "last_ts": [pd.Timestamp(last, unit="ms")], "expired": [True]})
-            return
-        count, last = state.get if state.exists else (0, 0)
-        for rows in batches:
-            count += len(rows)
-            last = max(last, rows["ts"].max().value // 1_000_000)  # whole milliseconds, exactly
-        state.update((count, last))
-        state.setTimeoutTimestamp(max(last + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [name], "kind": [kind], "accesses": [count], "last_ts": [pd.Timestamp(last, unit="ms")], "expired": [False]})
-
-    grouped = accesses.where("ts IS NOT NULL").withWatermark("ts", lateness).groupBy("key", "kind")
-    return grouped.applyInPandasWithState(
-        update, "key string, kind string, accesses long, last_ts timestamp, expired boolean", "accesses long, last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        found = [(*entry, *values, expired) for entries, expired in ((used, False), (gone, True)) for entry, values in entries.items()]
+        if found:
+            names, kinds, counts, lasts, expired = zip(*found)
+            yield pd.DataFrame({"key": names, "kind": kinds, "accesses": counts, "last_ts": pd.to_datetime(lasts, unit="ms"), "expired": expired})
+
+    named = accesses.where("ts IS NOT NULL").select(F.col("key").cast("string"), F.col("kind").cast("string"), "ts").withWatermark("ts", lateness)
+    dealt = named.withColumn("bucket", F.pmod(F.xxhash64("key", "kind"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(
+        update, "key string, kind string, accesses long, last_ts timestamp, expired boolean",
+        "keys array<string>, kinds array<string>, accesses array<long>, lasts array<long>, dues array<long>", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def _texts(column: pd.Series) -> list:
+    """The column's texts, None for a null, whatever pandas makes of it."""
+    return column.astype(object).where(column.notna(), None).tolist()
 
 
 def bursts(events: DataFrame, key: str, gap: str = "180 milliseconds", lateness: str = "1 second") -> DataFrame:
