@@ -94,6 +94,22 @@ def test_scale_bar_of_pixels_without_size(spark, tmp_path, same_rows):
     assert {r.event_id: r.bar_px for r in got.where("event_id < 2").collect()} == {0: math.inf, 1: -math.inf}
 
 
+def test_scale_bar_is_rounded_as_in_sql(spark, tmp_path, same_rows):
+    """Bars whose seventh decimal is a five, very long, very short and negative ones, against the SQL: the same doubles, with the sign of a zero."""
+    import duckdb
+
+    from voxframe.plans import log_queries
+
+    odd = [(200091, 87.96115154693393), (200209, 918.9188154370704), (200248, 2952.362015087456), (2, 1.2505243096762926e-07), (208, 7.935987396215892e-12), (600025, 5.4351284714482324e-105)]
+    values = [*odd, (1, 1e-303), (3, -1e9), (4, -1e300), (5, -math.inf), (6, -7.0), (7, math.nan), (8, None), (9, 0.0), (10, 560.21)]
+    spark.createDataFrame(values, "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    sql = log_queries.SQL["q37_scale_bar"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = log_queries.scale_bar(spark, str(tmp_path)).toPandas(), duckdb.sql(sql).df()
+    same_rows(got, want)
+    got, want = ({r.event_id: math.copysign(1, r.bar_px) for r in t.itertuples() if r.bar_px == 0} for t in (got, want))
+    assert got == want and -1 in got.values()
+
+
 def _header(spark, **more):
     base = {"x": 1, "y": 2, "z": 3, "dx": 2.0, "dy": 3.0, "dz": 4.0, "qfac": -1.0, "sform_code": 0, "qform_code": 0, "quatern_b": 0.1, "quatern_c": 0.2, "quatern_d": 0.3, "qoffset_x": 1.0, "qoffset_y": 2.0, "qoffset_z": 3.0}
     rows = {"srow_x": [1.0, 0.5, 0.0, 2.0], "srow_y": [0.0, 2.0, 0.25, -1.0], "srow_z": [0.5, 0.0, 3.0, 4.0]}
